@@ -121,3 +121,16 @@ DEFAULT_REAL_SCORE = 85
 DEFAULT_PLATFORM = "career_page"
 DEFAULT_VERSION = 1
 NIL_TEXT = "<nil>"
+
+# FIXED VALUES: per-keyword search templates of the workflow side ({kw} = keyword)
+KEYWORD_QUERY_TEMPLATES = [
+    'intext:"{kw}" AND ("careers" OR "jobs")',
+    'site:greenhouse.io "{kw}"',
+    'site:lever.co "{kw}"',
+    'site:ashbyhq.com "{kw}"',
+    'inurl:careers "{kw}"',
+    '"we are hiring" "{kw}"',
+]
+
+# FIXED VALUES: host enumeration methods in keep-first order
+HOST_METHOD_ORDER = ["crt", "dns", "theharvester"]

@@ -1 +1,530 @@
-"""Registered queries."""
+"""Queries of the discovery side: URL/company tables, targets, upserts,
+hosts, career-page scoring, ATS tagging, emails, search-result records."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hirelake.functions import predicates as P
+from hirelake.functions import rules
+from hirelake.functions import scalars as S
+from hirelake.operators import aggregates as A
+from hirelake.operators import dedupe as D
+from hirelake.operators import discovery as X
+from hirelake.operators import joins as J
+from hirelake.operators import listing as L
+from hirelake.operators import upsert as U
+from hirelake.plans import sqlgen as G
+from hirelake.plans.registry import query
+from hirelake.sources import tables as T
+from hirelake.sources import web as W
+from hirelake.sources.tables import (
+    AS_OF_ORDERS, COMPANIES_SQL, COMPANY_CRAWL_SQL, QUEUE_SQL, URLS_DOMAIN_SQL, URLS_SQL, with_sql,
+)
+
+# ---------------------------------------------------------------- URL table aggregates
+
+
+@query("ats_distribution", ids=("D2", "B6", "F4", "T6"), sql=with_sql(URLS_SQL) + """
+SELECT ats_platform, count(*) AS total_urls,
+       count(CASE WHEN crawl_status = 'completed' THEN 1 END) AS crawled_urls,
+       count(CASE WHEN is_active THEN 1 END) AS active_urls,
+       round(avg(confidence), 6) AS avg_confidence
+FROM urls WHERE ats_platform IS NOT NULL GROUP BY ats_platform ORDER BY total_urls DESC""")
+def ats_distribution(spark, sf):
+    return A.url_distribution(T.discovered_urls(spark, sf)).withColumn(
+        "avg_confidence", F.round("avg_confidence", 6))
+
+
+@query("ats_statistics", ids=("D13",), sql=with_sql(URLS_SQL) + """
+SELECT ats_platform AS platform, CAST(count(*) AS INTEGER) AS total_urls,
+       CAST(count(*) FILTER (WHERE is_active) AS INTEGER) AS active_urls
+FROM urls WHERE ats_platform IS NOT NULL GROUP BY ats_platform""")
+def ats_statistics(spark, sf):
+    return A.platform_statistics(T.discovered_urls(spark, sf))
+
+
+@query("ats_histogram", ids=("D3",), sql=with_sql(URLS_SQL) + """
+SELECT string_agg(k || '=' || CAST(v AS VARCHAR), ',' ORDER BY k) AS histogram_text, count(*) AS n_platforms
+FROM (SELECT ats_platform AS k, count(*) AS v FROM urls
+      WHERE ats_platform IS NOT NULL AND ats_platform <> '' GROUP BY 1)""")
+def ats_histogram(spark, sf):
+    h = A.platform_histogram(T.discovered_urls(spark, sf))
+    entries = F.map_entries("histogram")
+    text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return h.select(text.alias("histogram_text"), F.size(entries).cast("long").alias("n_platforms"))
+
+
+# ---------------------------------------------------------------- companies: stale, touch
+
+
+@query("stalest", ids=("B4", "F2", "T15"), sql=with_sql(COMPANIES_SQL, COMPANY_CRAWL_SQL) + f"""
+SELECT id, name, domain, last_crawled_at FROM companies_c
+WHERE is_active AND (last_crawled_at IS NULL OR last_crawled_at < TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 7 DAY)
+ORDER BY last_crawled_at ASC NULLS FIRST, id LIMIT 50""")
+def stalest(spark, sf):
+    return L.stalest(T.company_last_crawl(spark, sf), AS_OF_ORDERS, days=7, n=50).select(
+        "id", "name", "domain", "last_crawled_at")
+
+
+@query("touch_crawled", ids=("A15", "K6"), sql=with_sql(COMPANIES_SQL, COMPANY_CRAWL_SQL) + f"""
+, due AS (
+  SELECT id FROM companies_c
+  WHERE is_active AND (last_crawled_at IS NULL OR last_crawled_at < TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 7 DAY)
+  ORDER BY last_crawled_at ASC NULLS FIRST, id LIMIT 50)
+SELECT c.id, CASE WHEN d.id IS NOT NULL THEN TIMESTAMP '{AS_OF_ORDERS}' ELSE c.last_crawled_at END AS last_crawled_at
+FROM companies_c c LEFT JOIN due d ON c.id = d.id""")
+def touch_crawled(spark, sf):
+    comp = T.company_last_crawl(spark, sf)
+    due = L.stalest(comp, AS_OF_ORDERS, days=7, n=50)
+    return L.touch_crawled(comp, due, AS_OF_ORDERS).select("id", "last_crawled_at")
+
+
+# ---------------------------------------------------------------- joins
+
+
+@query("targets_view", ids=("C1", "B5", "F3"), sql=with_sql(URLS_SQL, COMPANIES_SQL, QUEUE_SQL) + """
+SELECT u.id, u.url, u.ats_platform, u.page_type, round(u.confidence, 6) AS confidence, u.priority,
+       c.name AS company_name, c.domain AS company_domain, q.status AS crawl_status, q.retry_count,
+       u.discovered_at
+FROM urls u LEFT JOIN companies c ON u.company_id = c.id LEFT JOIN queue q ON q.url_id = u.id
+WHERE u.is_active AND u.crawl_status = 'pending' AND (q.status IS NULL OR q.status = 'pending')
+ORDER BY u.priority DESC NULLS FIRST, u.discovered_at DESC NULLS FIRST, u.id""")
+def targets_view(spark, sf):
+    t = J.targets(T.discovered_urls(spark, sf), T.companies(spark, sf), T.crawl_queue(spark, sf))
+    return t.withColumn("confidence", F.round("confidence", 6))
+
+
+@query("attach_company", ids=("C2",), sql=with_sql(URLS_DOMAIN_SQL, COMPANIES_SQL) + """
+, firsts AS (SELECT domain, min(id) AS company_id FROM companies GROUP BY domain)
+SELECT u.id, u.domain, f.company_id FROM urls_d u LEFT JOIN firsts f ON u.domain = f.domain""")
+def attach_company(spark, sf):
+    urls = T.discovered_urls(spark, sf, with_domain=True).select("id", "domain")
+    return J.attach_company(urls, T.companies(spark, sf)).select("id", "domain", "company_id")
+
+
+@query("name_of", ids=("C3", "T18"), sql=with_sql(URLS_DOMAIN_SQL, COMPANIES_SQL) + """
+, firsts AS (SELECT domain, arg_min(name, id) AS company_name FROM companies GROUP BY domain)
+SELECT d.domain, coalesce(f.company_name, d.domain) AS company_name
+FROM (SELECT DISTINCT domain FROM urls_d) d LEFT JOIN firsts f ON d.domain = f.domain""")
+def name_of(spark, sf):
+    urls = T.discovered_urls(spark, sf, with_domain=True).select("domain")
+    return J.name_of(urls, T.companies(spark, sf))
+
+
+@query("seed_absent", ids=("A13", "C4"), sql="""
+SELECT n_nationkey, n_name FROM nation
+WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+def seed_absent(spark, sf):
+    seeds = T.read_table(spark, sf, "nation").select("n_nationkey", "n_name")
+    target = T.read_table(spark, sf, "supplier").select("s_nationkey")
+    added, _ = U.seed(target, seeds, "n_nationkey", "s_nationkey")
+    return added
+
+
+@query("seed_counts", ids=("A13",), sql="""
+SELECT count(*) FILTER (WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)) AS added,
+       count(*) FILTER (WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)) AS skipped
+FROM nation""")
+def seed_counts(spark, sf):
+    seeds = T.read_table(spark, sf, "nation").select("n_nationkey", "n_name")
+    target = T.read_table(spark, sf, "supplier").select("s_nationkey")
+    _, counts = U.seed(target, seeds, "n_nationkey", "s_nationkey")
+    return counts
+
+
+_DOC_HASH_SQL = """
+docs AS (SELECT doc_id, sha256(text) AS text_hash, lang, source, n_chars FROM documents)"""
+
+
+def _docs(spark, sf):
+    d = T.read_table(spark, sf, "documents")
+    return d.select("doc_id", S.url_hash("text").alias("text_hash"), "lang", "source", "n_chars")
+
+
+@query("seen_hash", ids=("C11", "H1"), sql=with_sql(_DOC_HASH_SQL) + """
+SELECT n.doc_id, n.text_hash, o.text_hash IS NOT NULL AS seen
+FROM (SELECT * FROM docs WHERE lang <> 'en') n
+LEFT JOIN (SELECT DISTINCT text_hash FROM docs WHERE lang = 'en') o ON n.text_hash = o.text_hash""")
+def seen_hash(spark, sf):
+    d = _docs(spark, sf)
+    new, old = d.filter(F.col("lang") != "en"), d.filter(F.col("lang") == "en")
+    return U.mark_seen(new.select("doc_id", "text_hash"), old, "text_hash")
+
+
+@query("new_only", ids=("C4", "C11"), sql=with_sql(_DOC_HASH_SQL) + """
+SELECT doc_id, text_hash FROM docs n WHERE lang <> 'en'
+AND NOT EXISTS (SELECT 1 FROM docs o WHERE o.lang = 'en' AND o.text_hash = n.text_hash)""")
+def new_only(spark, sf):
+    d = _docs(spark, sf)
+    return U.new_only(d.filter(F.col("lang") != "en").select("doc_id", "text_hash"),
+                      d.filter(F.col("lang") == "en"), "text_hash")
+
+
+@query("cascade_delete", ids=("C5",), sql="""
+SELECT l_returnflag, count(*) AS n_lines FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')
+GROUP BY l_returnflag""")
+def cascade_delete(spark, sf):
+    li = T.read_table(spark, sf, "lineitem")
+    surviving = T.read_table(spark, sf, "orders").filter(F.col("o_orderstatus") != "F")
+    kept = U.cascade(li, surviving, "l_orderkey", "o_orderkey")
+    return kept.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+# ---------------------------------------------------------------- upserts
+
+
+_URL_UPSERT_SQL = """
+u AS (SELECT sha256(text) AS url_hash, doc_id AS id, lang AS page_type, n_chars / 40000.0 AS confidence,
+             CAST(substr(source, 4) AS INTEGER) AS priority,
+             CAST(lang <> 'en' AS BIGINT) * 10000000000 + doc_id AS ord FROM documents)"""
+
+
+def _url_rows(spark, sf):
+    d = T.read_table(spark, sf, "documents")
+    return d.select(S.url_hash("text").alias("url_hash"), F.col("doc_id").alias("id"),
+                    F.col("lang").alias("page_type"), (F.col("n_chars") / 40000.0).alias("confidence"),
+                    F.substr("source", F.lit(4)).cast("int").alias("priority"),
+                    F.col("doc_id").alias("seq"), "lang")
+
+
+@query("url_upsert", ids=("A12", "T7", "H24", "L1"), sql=with_sql(_URL_UPSERT_SQL) + """
+SELECT url_hash, arg_min(id, ord) AS id, arg_min(page_type, ord) AS page_type,
+       round(max(confidence), 6) AS confidence, max(priority) AS priority
+FROM u GROUP BY url_hash""")
+def url_upsert(spark, sf):
+    rows = _url_rows(spark, sf)
+    cols = ["url_hash", "id", "page_type", "confidence", "priority", "seq"]
+    existing = rows.filter(F.col("lang") == "en").select(*cols)
+    incoming = rows.filter(F.col("lang") != "en").select(*cols)
+    out = U.upsert_urls(existing, incoming, key="url_hash", seq="seq")
+    return out.select("url_hash", "id", "page_type", F.round("confidence", 6).alias("confidence"), "priority")
+
+
+_COMPANY_UPSERT_SQL = """
+c AS (SELECT concat(source, '.example.org') AS domain, doc_id AS id,
+             concat('Org ', CAST(doc_id AS VARCHAR)) AS name,
+             CASE lang WHEN 'fr' THEN '' WHEN 'de' THEN NULL ELSE substr(text, 1, 40) END AS description,
+             lang AS source, CAST(lang <> 'en' AS BIGINT) * 10000000000 + doc_id AS ord FROM documents)"""
+
+
+@query("company_upsert", ids=("A11", "T6", "T7"), sql=with_sql(_COMPANY_UPSERT_SQL) + """
+SELECT domain, arg_min(id, ord) AS id, arg_max(name, ord) AS name,
+       arg_max(description, ord) FILTER (WHERE description IS NOT NULL) AS description,
+       arg_min(source, ord) AS source
+FROM c GROUP BY domain""")
+def company_upsert(spark, sf):
+    d = T.read_table(spark, sf, "documents")
+    rows = d.select(F.concat(F.col("source"), F.lit(".example.org")).alias("domain"), F.col("doc_id").alias("id"),
+                    F.concat(F.lit("Org "), F.col("doc_id").cast("string")).alias("name"),
+                    F.when(F.col("lang") == "fr", F.lit("")).when(F.col("lang") == "de", F.lit(None).cast("string"))
+                    .otherwise(F.substring("text", 1, 40)).alias("description"),
+                    F.col("lang").alias("source"), F.col("doc_id").alias("seq"), "lang")
+    cols = ["domain", "id", "name", "description", "source", "seq"]
+    existing = rows.filter(F.col("lang") == "en").select(*cols)
+    incoming = rows.filter(F.col("lang") != "en").select(*cols)
+    return U.upsert_companies(existing, incoming).select("domain", "id", "name", "description", "source")
+
+
+# ---------------------------------------------------------------- candidates / templates
+
+
+@query("candidates", ids=("C6", "H7"), sql=with_sql(W.PAGE_HOSTS_SQL) + """
+, d AS (SELECT DISTINCT domain FROM ph)
+SELECT domain, 'subdomain' AS kind, kw AS keyword, concat('https://', kw, '.', domain) AS candidate
+FROM d, (SELECT unnest([""" + ", ".join(G.lit(k) for k in rules.CAREER_KEYWORDS) + """]) AS kw)
+UNION ALL
+SELECT domain, 'path', kw, concat('https://', domain, '/', kw)
+FROM d, (SELECT unnest([""" + ", ".join(G.lit(k) for k in rules.CAREER_KEYWORDS) + """]) AS kw)
+UNION ALL
+SELECT domain, 'dns', kw, concat(kw, '.', domain)
+FROM d, (SELECT unnest([""" + ", ".join(G.lit(k) for k in rules.JOB_HOST_KEYWORDS) + """]) AS kw)""")
+def candidates(spark, sf):
+    doms = W.page_hosts(spark, sf).select("domain").distinct()
+    return J.candidates(doms)
+
+
+@query("templates", ids=("C7",), sql="""
+SELECT keyword, template_id, query FROM (SELECT DISTINCT p_name AS keyword FROM part),
+(SELECT unnest(range(""" + str(len(rules.KEYWORD_QUERY_TEMPLATES)) + """)) AS template_id,
+        unnest([""" + ", ".join(G.lit(t) for t in rules.KEYWORD_QUERY_TEMPLATES) + """]) AS tpl)
+CROSS JOIN LATERAL (SELECT replace(tpl, '{kw}', keyword) AS query)""")
+def templates(spark, sf):
+    kws = T.read_table(spark, sf, "part").select(F.col("p_name").alias("keyword")).distinct()
+    return J.query_templates(kws).select("keyword", F.col("template_id").cast("bigint").alias("template_id"), "query")
+
+
+# ---------------------------------------------------------------- hosts
+
+
+_CT_HOSTS_SQL = """
+cth AS (
+  SELECT page_id, domain, pos - 1 AS line_pos, replace(trim(raw), '*.', '') AS subdomain
+  FROM (SELECT page_id, domain, unnest(string_split(name_value, chr(10))) AS raw,
+               generate_subscripts(string_split(name_value, chr(10)), 1) AS pos FROM ct)
+  WHERE replace(trim(raw), '*.', '') <> '' AND ends_with(replace(trim(raw), '*.', ''), domain)
+),
+hv AS (
+  SELECT page_id, domain, lower(trim(concat('  ', upper(host), ' '))) AS subdomain FROM ph
+  WHERE contains(lower(trim(concat('  ', upper(host), ' '))), domain)
+),
+allh AS (
+  SELECT page_id, domain, line_pos, subdomain, 'crt' AS method, 1 AS mrank FROM cth
+  UNION ALL
+  SELECT page_id, domain, 0, subdomain, 'theharvester', 3 FROM hv
+)"""
+
+
+def _all_hosts(spark, sf):
+    ct = X.ct_hosts(W.ct_entries(spark, sf))
+    hv = X.harvest_hosts(W.harvested(spark, sf)).withColumn("line_pos", F.lit(0))
+    cols = ["page_id", "domain", "line_pos", "subdomain", "method", "is_job_related"]
+    return ct.select(*cols).unionByName(hv.select(*cols))
+
+
+@query("ct_hosts", ids=("I9", "H8", "B18", "B19", "L4"),
+       sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, _CT_HOSTS_SQL) + """
+SELECT page_id, domain, line_pos, subdomain, 'crt' AS method,
+       """ + G.contains_any("lower(subdomain)", rules.JOB_HOST_KEYWORDS) + """ AS is_job_related
+FROM cth""")
+def ct_hosts(spark, sf):
+    return X.ct_hosts(W.ct_entries(spark, sf)).select(
+        "page_id", "domain", F.col("line_pos").cast("bigint").alias("line_pos"), "subdomain", "method",
+        "is_job_related")
+
+
+@query("harvest_hosts", ids=("I10", "H9", "B18"), sql=with_sql(W.PAGE_HOSTS_SQL) + """
+SELECT page_id, domain, lower(trim(concat('  ', upper(host), ' '))) AS subdomain, 'theharvester' AS method,
+       """ + G.contains_any("lower(trim(concat('  ', upper(host), ' ')))", rules.JOB_HOST_KEYWORDS) + """ AS is_job_related
+FROM ph WHERE contains(lower(trim(concat('  ', upper(host), ' '))), domain)""")
+def harvest_hosts(spark, sf):
+    return X.harvest_hosts(W.harvested(spark, sf)).select("page_id", "domain", "subdomain", "method",
+                                                         "is_job_related")
+
+
+@query("union_sources", ids=("G1", "G2", "G5"), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, _CT_HOSTS_SQL) + """
+SELECT method, count(*) AS n_rows, count(DISTINCT subdomain) AS n_hosts FROM allh GROUP BY method""")
+def union_sources(spark, sf):
+    return _all_hosts(spark, sf).groupBy("method").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("subdomain").alias("n_hosts"))
+
+
+@query("dedup_hosts", ids=("E2", "G3", "B22"), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, _CT_HOSTS_SQL) + """
+SELECT subdomain, method, domain, page_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY subdomain ORDER BY mrank, page_id, line_pos) AS rn FROM allh)
+WHERE rn = 1""")
+def dedup_hosts(spark, sf):
+    hosts = _all_hosts(spark, sf).withColumn("seq", F.struct("page_id", "line_pos"))
+    out = D.dedup_hosts(X.by_method(hosts, ["crt", "dns", "theharvester"]))
+    return out.select("subdomain", "method", "domain", "page_id")
+
+
+@query("host_pages", ids=("H15", "T5"), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, _CT_HOSTS_SQL) + """
+SELECT subdomain, concat('https://', subdomain) AS url, 'subdomain' AS page_type,
+       CASE WHEN j THEN 0.8 ELSE 0.5 END AS confidence, CASE WHEN j THEN 1 ELSE 2 END AS priority
+FROM (SELECT DISTINCT subdomain, """ + G.contains_any("lower(subdomain)", rules.JOB_HOST_KEYWORDS) + """ AS j FROM allh)""")
+def host_pages(spark, sf):
+    hosts = _all_hosts(spark, sf).select("subdomain", "is_job_related").distinct()
+    return X.host_pages(hosts).select("subdomain", "url", "page_type", "confidence", "priority")
+
+
+# ---------------------------------------------------------------- career pages, fetch log
+
+
+@query("career_score", ids=("I8", "C8", "B20", "B21", "H11", "H12"), sql=with_sql(W.CAREER_FETCH_SQL) + """
+SELECT url,
+       CASE WHEN kind = 'subdomain' THEN split_part(""" + W.HOST_SQL.format(u="url") + """, '.', 1)
+            ELSE regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/([^/]*)', 1) END AS page_type,
+       round(least(1.0, CASE WHEN kind = 'subdomain' THEN 0.5 ELSE 0.6 END + 0.1 * n), 10) AS confidence,
+       kind AS discovered_via, n AS n_keywords
+FROM (SELECT *, """ + G.count_present("lower(content)", rules.CAREER_KEYWORDS) + """ AS n FROM cfetch)
+WHERE status = 200 AND n >= 2""")
+def career_score(spark, sf):
+    return X.score_career_pages(W.career_fetch_log(spark, sf))
+
+
+@query("fetch_classify", ids=("B17", "B21", "A2"), sql=with_sql(W.PAGE_FETCH_SQL) + """
+SELECT page_id, url, status, status < 400 AS success, length(CASE WHEN status < 400 THEN html ELSE '' END) AS html_chars,
+       CASE WHEN status < 400 THEN NULL ELSE concat('HTTP ', CAST(status AS VARCHAR)) END AS error,
+       status < 500 AS host_alive
+FROM plog""")
+def fetch_classify(spark, sf):
+    c = X.classify_fetch(W.page_fetch_log(spark, sf))
+    return c.select("page_id", "url", "status", "success", F.length("html").alias("html_chars"), "error",
+                    "host_alive")
+
+
+@query("batch_summary", ids=("D18", "D19"), sql=with_sql(W.PAGE_FETCH_SQL) + """
+SELECT count(*) AS requested, count(*) FILTER (WHERE status < 400) AS ok,
+       count(*) FILTER (WHERE status >= 400) AS failed FROM plog""")
+def batch_summary(spark, sf):
+    return X.batch_summary(X.classify_fetch(W.page_fetch_log(spark, sf)))
+
+
+# ---------------------------------------------------------------- ATS tagging, titles, company names
+
+_ATS_CASES_SQL = """
+cases AS (
+  SELECT p.page_id, p.html, CAST(p.page_id % 12 AS INTEGER) AS c,
+         CASE CAST(p.page_id % 12 AS INTEGER)
+           WHEN 0 THEN concat('https://boards.greenhouse.io/', h.host, '/jobs/', CAST(p.page_id AS VARCHAR))
+           WHEN 1 THEN concat('https://jobs.lever.co/', h.host, '/jobs/', CAST(p.page_id AS VARCHAR))
+           WHEN 2 THEN concat('https://jobs.lever.co/', h.host)
+           WHEN 3 THEN concat('https://jobs.ashbyhq.com/', h.host)
+           WHEN 4 THEN concat('https://', h.host, '/jobs')
+           WHEN 5 THEN concat('https://www.linkedin.com/jobs/view/', CAST(p.page_id AS VARCHAR))
+           WHEN 6 THEN concat('https://', h.host, '.myworkdayjobs.com/en')
+           WHEN 7 THEN concat('https://', h.host, '/viewjob?jk=', CAST(p.page_id AS VARCHAR))
+           WHEN 8 THEN concat('https://', h.host, '/cmp/acme')
+           WHEN 9 THEN concat('https://acme.bamboohr.com/careers/', CAST(p.page_id AS VARCHAR))
+           WHEN 10 THEN concat('https://careers-', h.host, '.icims.com/x')
+           ELSE p.url END AS url
+  FROM pages p JOIN ph h ON p.page_id = h.page_id
+)"""
+
+
+def _ats_cases(spark, sf):
+    p = T.read_table(spark, sf, "pages")
+    h = S.url_host("url")
+    pid = F.col("page_id").cast("string")
+    c = (F.col("page_id") % 12).cast("int")
+    url = (F.when(c == 0, F.concat(F.lit("https://boards.greenhouse.io/"), h, F.lit("/jobs/"), pid))
+           .when(c == 1, F.concat(F.lit("https://jobs.lever.co/"), h, F.lit("/jobs/"), pid))
+           .when(c == 2, F.concat(F.lit("https://jobs.lever.co/"), h))
+           .when(c == 3, F.concat(F.lit("https://jobs.ashbyhq.com/"), h))
+           .when(c == 4, F.concat(F.lit("https://"), h, F.lit("/jobs")))
+           .when(c == 5, F.concat(F.lit("https://www.linkedin.com/jobs/view/"), pid))
+           .when(c == 6, F.concat(F.lit("https://"), h, F.lit(".myworkdayjobs.com/en")))
+           .when(c == 7, F.concat(F.lit("https://"), h, F.lit("/viewjob?jk="), pid))
+           .when(c == 8, F.concat(F.lit("https://"), h, F.lit("/cmp/acme")))
+           .when(c == 9, F.concat(F.lit("https://acme.bamboohr.com/careers/"), pid))
+           .when(c == 10, F.concat(F.lit("https://careers-"), h, F.lit(".icims.com/x")))
+           .otherwise(F.col("url")))
+    return p.select("page_id", "html", c.alias("c"), url.alias("url"))
+
+
+def _ats_sql(domain_first: bool) -> str:
+    is_ats, plat, conf = G.ats_case("url", "CASE WHEN c = 11 THEN html END", domain_first)
+    return (with_sql(W.PAGE_HOSTS_SQL, _ATS_CASES_SQL)
+            + f"SELECT page_id, url, {is_ats} AS is_ats, {plat} AS platform, {conf} AS confidence FROM cases")
+
+
+def _ats_query(spark, sf, domain_first: bool):
+    df = _ats_cases(spark, sf)
+    a = P.ats_classify("url", F.when(F.col("c") == 11, F.col("html")), domain_first)
+    return df.select("page_id", "url", a["is_ats"].alias("is_ats"), a["platform"].alias("platform"),
+                     a["confidence"].alias("confidence"))
+
+
+@query("ats_url", ids=("H13", "H14", "T4", "I14"), sql=_ats_sql(False))
+def ats_url(spark, sf):
+    return _ats_query(spark, sf, False)
+
+
+@query("ats_url_domain_first", ids=("H13",), sql=_ats_sql(True))
+def ats_url_domain_first(spark, sf):
+    return _ats_query(spark, sf, True)
+
+
+_H1_SQL = G.unescape("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")
+
+
+@query("title_valid", ids=("B8", "H10"), sql=f"""
+SELECT page_id, title, {G.valid_title('title')} AS valid
+FROM (SELECT page_id, {_H1_SQL} AS title FROM pages)""")
+def title_valid(spark, sf):
+    p = T.read_table(spark, sf, "pages")
+    t = S.html_unescape_basic(F.regexp_extract("html", r"<h1[^>]*>([^<]*)</h1>", 1))
+    return p.select("page_id", t.alias("title")).withColumn("valid", P.valid_title("title"))
+
+
+@query("company_from_url", ids=("H6", "I7", "H21"), sql="""
+SELECT page_id, """ + G.capitalize("CASE WHEN len(string_split(dom, '.')) >= 2 THEN split_part(dom, '.', 1) ELSE dom END") + """ AS company
+FROM (SELECT page_id, replace(replace(replace(
+        regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', ''), 'careers.', ''), 'jobs.', '') AS dom
+      FROM pages)""")
+def company_from_url(spark, sf):
+    p = T.read_table(spark, sf, "pages")
+    return p.select("page_id", S.company_from_url("url").alias("company"))
+
+
+# ---------------------------------------------------------------- emails, org records, search results
+
+
+@query("domain_emails", ids=("B23", "G6", "F11", "I11"), sql=with_sql(W.PAGE_HOSTS_SQL) + """
+, em AS (SELECT DISTINCT lower(trim(e)) AS email FROM
+          (SELECT unnest(regexp_extract_all(text, '""" + X.EMAIL_RE + """')) AS e FROM documents)),
+d AS (SELECT DISTINCT regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain FROM ph)
+SELECT DISTINCT d.domain, em.email FROM em JOIN d
+  ON regexp_extract(regexp_extract(em.email, '@(.*)$', 1), '([^.]+\\.[^.]+)$', 1) = d.domain
+WHERE contains(em.email, lower(d.domain))""")
+def domain_emails(spark, sf):
+    emails = X.extract_emails(T.read_table(spark, sf, "documents").select("text"))
+    doms = W.page_hosts(spark, sf).select(X.registered_domain("host").alias("domain"))
+    return X.emails_for_domains(emails, doms)
+
+
+def _org_login(c):
+    return F.lower(F.replace(c, F.lit("#"), F.lit("-")))
+
+
+@query("org_to_company", ids=("I12", "H27", "H28", "G4"), sql="""
+SELECT c_custkey,
+       CASE WHEN c_acctbal < 500 THEN lower(replace(c_name, '#', '-')) ELSE c_name END AS name,
+       concat(lower(replace(c_name, '#', '-')), '.example.com') AS domain,
+       c_mktsegment AS description, 'github' AS source,
+       json_object('github_url', concat('https://code.example.com/', lower(replace(c_name, '#', '-'))),
+                   'repos', CAST(c_nationkey AS BIGINT), 'followers', CAST(floor(c_acctbal) AS BIGINT))::VARCHAR AS metadata
+FROM customer""")
+def org_to_company(spark, sf):
+    c = T.read_table(spark, sf, "customer")
+    login = _org_login(F.col("c_name"))
+    name = (F.when(F.col("c_acctbal") < 0, F.lit("")).when(F.col("c_acctbal") < 500, F.lit(None).cast("string"))
+            .otherwise(F.col("c_name")))
+    body = F.to_json(F.struct(login.alias("login"), name.alias("name"),
+                              F.concat(login, F.lit(".example.com")).alias("blog"),
+                              F.col("c_mktsegment").alias("bio"),
+                              F.concat(F.lit("https://code.example.com/"), login).alias("html_url"),
+                              F.col("c_nationkey").cast("long").alias("public_repos"),
+                              F.floor("c_acctbal").cast("long").alias("followers")))
+    recs = c.select("c_custkey", body.alias("body"))
+    return X.org_to_company(recs)
+
+
+def _responses(spark, sf):
+    d = T.read_table(spark, sf, "documents")
+    lines = F.split(F.col("text"), "\n")
+    items = F.transform(lines, lambda l, i: F.struct(
+        F.concat(F.lit("https://r.example.com/"), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string")).alias("link"),
+        l.alias("title"),
+        F.when(F.length(l) > 60, F.substring(l, 1, 60)).alias("snippet")))
+    return d.select("doc_id", F.to_json(F.struct(items.alias("organic_results"))).alias("body"))
+
+
+_RESULTS_SQL = """
+res AS (
+  SELECT doc_id, i AS rank, concat('https://r.example.com/', CAST(doc_id AS VARCHAR), '/', CAST(i - 1 AS VARCHAR)) AS url,
+         line AS title, coalesce(CASE WHEN length(line) > 60 THEN substr(line, 1, 60) END, '') AS snippet
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+  WHERE i <= 100
+)"""
+
+
+@query("result_rows", ids=("I13", "E4", "F8", "A16"), sql=with_sql(_RESULTS_SQL) + """
+SELECT doc_id, url, title, snippet, CAST(rank AS INTEGER) AS rank FROM res""")
+def result_rows(spark, sf):
+    return X.result_rows(_responses(spark, sf), limit=100)
+
+
+_TAG = G.ats_case("url", "title")
+
+
+@query("tag_results", ids=("I14", "H13", "H14"), sql=with_sql(_RESULTS_SQL) + f"""
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, {_TAG[0]} AS is_ats, {_TAG[1]} AS ats_platform,
+       {_TAG[2]} AS confidence, 1 AS priority FROM res""")
+def tag_results(spark, sf):
+    rows = X.result_rows(_responses(spark, sf), limit=100)
+    return X.tag_results(rows, "url", "title").select("doc_id", "rank", "is_ats", "ats_platform", "confidence",
+                                                      "priority")
