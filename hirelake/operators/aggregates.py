@@ -90,12 +90,13 @@ def merge_daily_stats(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def duplicate_summary(df: DataFrame, key: str = "job_hash", seen: str = "crawled_at",
-                      url: str = "source_url") -> DataFrame:
+                      url: str = "source_url", exact: bool = False) -> DataFrame:
     """Per hash first/last seen, occurrences and distinct URLs. The URL list
     itself is kept normalised (see ``duplicate_urls``), never one unbounded array."""
     return (df.groupBy(key).agg(F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"),
                                 F.count(F.lit(1)).alias("occurrence_count"),
-                                F.approx_count_distinct(url).alias("approx_distinct_urls")))
+                                (F.count_distinct(url) if exact else F.approx_count_distinct(url))
+                                .alias("distinct_urls")))
 
 
 def duplicate_urls(df: DataFrame, key: str = "job_hash", url: str = "source_url") -> DataFrame:
