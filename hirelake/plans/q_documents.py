@@ -1 +1,229 @@
-"""Registered queries."""
+"""Queries over pages/documents: anchors, job links, JSON-LD, heuristics,
+parse cascade, visible text, raw-page sink rows, fetch-response decode."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hirelake.functions import rules
+from hirelake.functions import scalars as S
+from hirelake.operators import discovery as X
+from hirelake.operators import html as H
+from hirelake.operators import joins as J
+from hirelake.operators import sequence as Q
+from hirelake.plans import sqlgen as G
+from hirelake.plans.registry import query
+from hirelake.sources import tables as T
+
+AS_OF_CRAWL = "2024-01-31 00:00:00"
+
+
+@query("anchors", ids=("I1", "H4", "L4"), sql="""
+SELECT page_id, pos, href, concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), href) AS abs_url
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href,
+             generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS pos FROM pages)""")
+def anchors(spark, sf):
+    p = T.read_table(spark, sf, "pages")
+    return H.anchors_native(p).select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "abs_url")
+
+
+def _job_pages(spark, sf):
+    p = T.read_table(spark, sf, "pages")
+    return p.select("page_id", "url", F.replace("html", F.lit('href="/'), F.lit('href="/jobs/1/')).alias("html"))
+
+
+_LINK_PAT = '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+_JOB_LINKS_SQL = """
+WITH jp AS (SELECT page_id, url, replace(html, 'href="/', 'href="/jobs/1/') AS html FROM pages),
+a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '""" + _LINK_PAT + """', 1)) AS href,
+             unnest(regexp_extract_all(html, '""" + _LINK_PAT + """', 2)) AS title,
+             generate_subscripts(regexp_extract_all(html, '""" + _LINK_PAT + """', 1), 1) - 1 AS pos FROM jp),
+r AS (SELECT page_id, url, pos, trim(title) AS title,
+             CASE WHEN href LIKE '/%' AND href NOT LIKE '//%'
+                  THEN concat(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1), href) ELSE href END AS link_url
+      FROM a WHERE href <> ''),
+ok AS (SELECT * FROM r
+       WHERE (link_url LIKE 'http://%' OR link_url LIKE 'https://%')
+         AND regexp_extract(link_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)
+         AND NOT """ + G.contains_any("lower(link_url)", rules.SKIP_PATH_PATTERNS) + """
+         AND """ + G.contains_any("lower(link_url)", rules.JOB_PATH_PATTERNS) + """
+         AND (regexp_matches(link_url, '[0-9]') OR len(string_split(regexp_replace(
+              regexp_extract(link_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')) >= 3)
+         AND length(title) BETWEEN 5 AND 200)
+SELECT page_id, link_url AS url, arg_min(title, pos) AS title, CAST(min(pos) AS INTEGER) AS pos
+FROM ok GROUP BY page_id, link_url"""
+
+
+@query("job_links", ids=("I2", "E3", "T12", "B12", "B13", "B14", "B15", "B16", "H5"), sql=_JOB_LINKS_SQL)
+def job_links(spark, sf):
+    return H.job_links(H.extract_pages(_job_pages(spark, sf)))
+
+
+@query("top_links", ids=("E5", "T17"), sql=_JOB_LINKS_SQL.replace(
+    "SELECT page_id, link_url AS url, arg_min(title, pos) AS title, CAST(min(pos) AS INTEGER) AS pos\nFROM ok GROUP BY page_id, link_url",
+    """, f AS (SELECT page_id, link_url AS url, min(pos) AS pos FROM ok GROUP BY page_id, link_url)
+SELECT page_id, url, CAST(rn AS INTEGER) AS rn FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM f) WHERE rn <= 5"""))
+def top_links(spark, sf):
+    links = H.job_links(H.extract_pages(_job_pages(spark, sf)))
+    return Q.top_n(links, ["page_id"], [F.col("pos")], 5).select("page_id", "url", F.col("rn").cast("int").alias("rn"))
+
+
+@query("page_result", ids=("D20", "C10", "I15"), sql=_JOB_LINKS_SQL.replace(
+    "SELECT page_id, link_url AS url, arg_min(title, pos) AS title, CAST(min(pos) AS INTEGER) AS pos\nFROM ok GROUP BY page_id, link_url",
+    """, f AS (SELECT page_id, link_url AS url, min(pos) AS pos FROM ok GROUP BY page_id, link_url),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM f) WHERE rn <= 5),
+hit AS (SELECT t.page_id, count(p.page_id) AS n_fetched FROM t LEFT JOIN pages p ON p.url = t.url GROUP BY t.page_id)
+SELECT jp.page_id, coalesce(count(t.url), 0) AS links_followed, coalesce(max(h.n_fetched), 0) AS pages_fetched
+FROM jp LEFT JOIN t ON jp.page_id = t.page_id LEFT JOIN hit h ON jp.page_id = h.page_id GROUP BY jp.page_id"""))
+def page_result(spark, sf):
+    pages = _job_pages(spark, sf)
+    links = Q.top_n(H.job_links(H.extract_pages(pages)), ["page_id"], [F.col("pos")], 5)
+    fetched = J.follow(links.select("page_id", "url"), T.read_table(spark, sf, "pages").select(
+        F.col("page_id").alias("linked_page_id"), "url"))
+    per_page_links = links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links_followed"))
+    per_page_hits = fetched.groupBy("page_id").agg(F.count(F.lit(1)).alias("pages_fetched"))
+    out = pages.select("page_id").join(per_page_links, "page_id", "left").join(per_page_hits, "page_id", "left")
+    return out.select("page_id", F.coalesce("links_followed", F.lit(0)).alias("links_followed"),
+                      F.coalesce("pages_fetched", F.lit(0)).alias("pages_fetched"))
+
+
+# ---------------------------------------------------------------- JSON-LD pages built from documents x part
+
+def _json_str(c):
+    """JSON text of one string value (to_json needs a container)."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
+def jsonld_pages(spark, sf):
+    """Pages whose JSON-LD posting is built from documents joined to part:
+    the language of the document decides the shape (plain object, empty
+    region + scalar employment type, @graph wrapper with zero salary, or no
+    location/currency and a text organisation); small parts carry a list
+    ``@type`` (not a match) or a null title (an unusable hit)."""
+    d = T.read_table(spark, sf, "documents")
+    p = T.read_table(spark, sf, "part")
+    j = d.join(p, d.doc_id == p.p_partkey)
+    lang, size = F.col("lang"), F.col("p_size")
+    typ = F.when(size <= 3, F.to_json(F.array(F.lit("JobPosting")))).otherwise(_json_str(F.lit("JobPosting")))
+    title = F.when(size.isin(4, 5), F.lit("null")).otherwise(_json_str(F.col("p_name")))
+    region = F.when(lang == "fr", F.lit("")).otherwise(F.col("p_brand"))
+    address = F.to_json(F.struct(F.col("lang").alias("addressLocality"), region.alias("addressRegion")))
+    mn = F.when(lang == "de", F.lit(0)).otherwise(size * 1000)
+    salary_val = F.when(lang == "es", F.to_json(F.struct(mn.alias("minValue"), (size * 1000 + 25000).alias("maxValue")))) \
+        .otherwise(F.to_json(F.struct(mn.alias("minValue"), (size * 1000 + 25000).alias("maxValue"),
+                                      F.lit("EUR").alias("currency"))))
+    et = F.when(lang == "fr", _json_str(F.col("p_type"))).otherwise(F.to_json(F.array(F.col("p_type"))))
+    org = F.when(lang == "es", _json_str(F.col("source"))).otherwise(F.to_json(F.struct(F.col("source").alias("name"))))
+    body = F.concat(
+        F.lit('{"@type":'), typ, F.lit(',"title":'), title, F.lit(',"description":'), _json_str(F.col("text")),
+        F.lit(',"hiringOrganization":'), org,
+        F.when(lang == "es", F.lit("")).otherwise(F.concat(F.lit(',"jobLocation":{"address":'), address, F.lit("}"))),
+        F.lit(',"baseSalary":{"value":'), salary_val, F.lit("}"),
+        F.when(lang == "es", F.lit("")).otherwise(F.concat(F.lit(',"employmentType":'), et)),
+        F.lit("}"))
+    doc = F.when(lang == "de", F.concat(F.lit('{"@graph":[{"@type":"Organization"},'), body, F.lit("]}"))).otherwise(body)
+    html = F.concat(F.lit('<html><head><script type="application/ld+json">'), doc,
+                    F.lit("</script></head><body><p>"), F.substring("text", 1, 80), F.lit("</p></body></html>"))
+    url = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/jobs/"), F.col("doc_id").cast("string"))
+    return j.select(F.col("doc_id").alias("page_id"), url.alias("url"), html.alias("html"))
+
+
+@query("jsonld", ids=("I3", "H16", "H17", "H18", "T13", "T20"), sql="""
+SELECT doc_id AS page_id,
+       CASE WHEN p_size IN (4, 5) THEN 'error' ELSE 'ok' END AS jsonld_status,
+       CASE WHEN p_size NOT IN (4, 5) THEN p_name END AS title,
+       CASE WHEN p_size NOT IN (4, 5) THEN text END AS description,
+       CASE WHEN p_size NOT IN (4, 5) THEN source END AS company,
+       CASE WHEN p_size IN (4, 5) THEN NULL WHEN lang = 'es' THEN ''
+            ELSE regexp_replace(concat(lang, ', ', CASE WHEN lang = 'fr' THEN '' ELSE p_brand END), '^[, ]+|[, ]+$', '', 'g') END AS location,
+       CASE WHEN p_size IN (4, 5) OR lang = 'de' THEN NULL
+            ELSE concat('$', format('{:,}', p_size * 1000), ' - $', format('{:,}', p_size * 1000 + 25000), ' ',
+                        CASE WHEN lang = 'es' THEN 'USD' ELSE 'EUR' END) END AS salary,
+       CASE WHEN p_size IN (4, 5) THEN NULL WHEN lang = 'es' THEN '' ELSE p_type END AS job_type
+FROM documents JOIN part ON doc_id = p_partkey WHERE p_size > 3""")
+def jsonld(spark, sf):
+    return H.jsonld_postings(H.extract_pages(jsonld_pages(spark, sf)))
+
+
+@query("heuristics", ids=("I4", "T11", "T19", "B9", "B10", "B11", "H6"))
+def heuristics(spark, sf):
+    """Rows-only (needs an HTML tree); golden tests cover each branch."""
+    return H.heuristics(H.extract_pages(T.read_table(spark, sf, "pages")))
+
+
+def _cascade_pages(spark, sf):
+    pages = T.read_table(spark, sf, "pages").select("page_id", "url", "html")
+    wrapped = jsonld_pages(spark, sf).select((F.col("page_id") + F.lit(10_000_000_000)).alias("page_id"), "url", "html")
+    return pages.unionByName(wrapped)
+
+
+@query("parse_cascade", ids=("I5", "I7", "T20", "L2"))
+def parse_cascade(spark, sf):
+    """Rows-only: pages plus JSON-LD pages through the whole cascade."""
+    return H.parse_cascade(H.extract_pages(_cascade_pages(spark, sf)))
+
+
+@query("store_postings", ids=("A4", "A5", "T8", "T9", "T10", "H2", "H3", "H19", "H20", "H21"))
+def store_postings(spark, sf):
+    """Rows-only: parsed postings normalised into the jobs row shape."""
+    parsed = H.parse_cascade(H.extract_pages(_cascade_pages(spark, sf)))
+    return H.normalise_postings(parsed, crawled_at=AS_OF_CRAWL, epoch=1706659200)
+
+
+@query("page_text", ids=("I6", "H25", "H26"))
+def page_text(spark, sf):
+    """Rows-only: visible text after dropping non-visible subtrees, cleaned."""
+    return H.page_text(H.extract_pages(T.read_table(spark, sf, "pages")))
+
+
+# ---------------------------------------------------------------- hashes over pages, raw-page rows, decode
+
+_H1 = G.unescape("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)")
+_HOSTQ = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+
+
+@query("job_hash", ids=("H2", "T10"), sql=f"""
+SELECT page_id, sha256(concat(url, {_H1}, {_HOSTQ})) AS job_hash,
+       sha256(concat(url, '<nil>', {_HOSTQ})) AS job_hash_no_title FROM pages""")
+def job_hash(spark, sf):
+    p = T.read_table(spark, sf, "pages")
+    title = S.html_unescape_basic(F.regexp_extract("html", r"<h1[^>]*>([^<]*)</h1>", 1))
+    return p.select("page_id", S.job_hash("url", title, S.url_authority("url")).alias("job_hash"),
+                    S.job_hash("url", F.lit(None).cast("string"), S.url_authority("url")).alias("job_hash_no_title"))
+
+
+@query("short_hash", ids=("H3",), sql="""
+SELECT page_id, substr(sha256(url), 1, 16) AS short_id,
+       concat_ws('-', substr(sha256(url), 1, 16), '0', '1706659200') AS batch_id FROM pages""")
+def short_hash(spark, sf):
+    p = T.read_table(spark, sf, "pages")
+    return p.select("page_id", S.short_hash("url").alias("short_id"),
+                    S.batch_row_id("url", F.lit(0), F.lit(1706659200)).alias("batch_id"))
+
+
+@query("raw_pages", ids=("A3", "A6", "A2", "H22"), sql=f"""
+SELECT sha256(url) AS id, url, length(html) AS html_chars, TIMESTAMP '{AS_OF_CRAWL}' AS crawled_at,
+       'success' AS status, CAST(NULL AS VARCHAR) AS error_message, strftime(TIMESTAMP '{AS_OF_CRAWL}', '%Y%m') AS crawl_ym
+FROM pages""")
+def raw_pages(spark, sf):
+    from hirelake.operators.store import raw_page_rows
+    rows = raw_page_rows(T.read_table(spark, sf, "pages"), AS_OF_CRAWL)
+    return rows.select("id", "url", F.length("html").alias("html_chars"), "crawled_at", "status", "error_message",
+                       "crawl_ym")
+
+
+@query("decode_fetch", ids=("A16", "B17"), sql="""
+SELECT page_id, 0 AS item_pos, url, length(html) AS html_chars, CAST(NULL AS VARCHAR) AS error, true AS success FROM pages
+UNION ALL
+SELECT page_id, 1, concat(url, '/jobs'), 0, 'HTTP 404', false FROM pages""")
+def decode_fetch(spark, sf):
+    p = T.read_table(spark, sf, "pages")
+    item_ok = F.struct(F.col("url").alias("url"), F.col("html").alias("html"), F.lit(True).alias("success"))
+    item_bad = F.struct(F.concat(F.col("url"), F.lit("/jobs")).alias("url"), F.lit("").alias("html"),
+                        F.lit("HTTP 404").alias("error"), F.lit(False).alias("success"))
+    bodies = p.select("page_id", F.concat(F.lit("["), F.to_json(item_ok), F.lit(","), F.to_json(item_bad),
+                                          F.lit("]")).alias("body"))
+    d = X.decode_fetch_response(bodies)
+    return d.select("page_id", F.col("item_pos").cast("int").alias("item_pos"), "url",
+                    F.length("html").alias("html_chars"), "error", "success")

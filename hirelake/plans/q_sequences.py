@@ -1 +1,46 @@
-"""Registered queries."""
+"""Queries: top-n per group, fixed-size batches, export batches and JSONL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hirelake.operators import export as E
+from hirelake.operators import sequence as Q
+from hirelake.plans.registry import query
+from hirelake.sources import tables as T
+from hirelake.sources.tables import POSTINGS_SQL, with_sql
+
+
+@query("top_n", ids=("E5", "T17"), sql="""
+SELECT l_orderkey, l_linenumber, rn FROM (
+  SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn
+  FROM lineitem) WHERE rn <= 5""")
+def top_n(spark, sf):
+    li = T.read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return Q.top_n(li, ["l_orderkey"], [F.col("l_linenumber")], 5).select(
+        "l_orderkey", "l_linenumber", F.col("rn").cast("bigint").alias("rn"))
+
+
+@query("batches", ids=("E6",), sql="""
+SELECT l_orderkey, l_linenumber, l_returnflag, seq, CAST(floor(seq / 10) AS BIGINT) AS batch_id FROM (
+  SELECT l_orderkey, l_linenumber, l_returnflag,
+         row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS seq
+  FROM lineitem)""")
+def batches(spark, sf):
+    li = T.read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return Q.batches(li, 10, [F.col("l_orderkey"), F.col("l_linenumber")], group=["l_returnflag"]).select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "seq", "batch_id")
+
+
+@query("export_batches", ids=("A8", "F5"), sql=with_sql(POSTINGS_SQL) + """
+SELECT id, CAST(floor((row_number() OVER (ORDER BY posted_at DESC, id) - 1) / 40) AS BIGINT) AS batch_id FROM jobs""")
+def export_batches(spark, sf):
+    jobs = T.postings(spark, sf).select("id", "posted_at")
+    return Q.batches(jobs, 40, [F.col("posted_at").desc(), F.col("id")]).select("id", "batch_id")
+
+
+@query("export_jsonl", ids=("A7", "A4"))
+def export_jsonl(spark, sf):
+    """Rows-only: JSON text formatting differs between engines; tests parse
+    the lines back and compare with the source rows."""
+    return E.search_documents(T.postings(spark, sf)).select(F.col("__id").alias("id"), "doc")
