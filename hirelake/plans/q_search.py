@@ -1 +1,95 @@
-"""Registered queries."""
+"""Queries: index + search page, facets, hydrate, fuzzy and prefix terms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from hirelake.operators import search as R
+from hirelake.operators.joins import hydrate
+from hirelake.plans.registry import query
+from hirelake.sources import tables as T
+
+Q_TEXT = "the river of ment tion"
+FIELDS = {"title": "title", "company": "source", "description": "text"}
+
+
+def _docs(spark, sf):
+    d = T.read_table(spark, sf, "documents")
+    return d.select("doc_id", "lang", "source", "n_chars", "text",
+                    F.get(F.split("text", "\n"), 0).alias("title"))
+
+
+def _hits(spark, sf):
+    d = _docs(spark, sf)
+    idx = R.build_index(d, FIELDS, only_tokens=R.query_tokens(Q_TEXT))
+    return R.search_hits(idx, Q_TEXT), d
+
+
+_TOK = "regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+')"
+_QT = "('" + "','".join(R.query_tokens(Q_TEXT)) + "')"
+_HITS_SQL = f"""
+WITH d AS (SELECT doc_id, lang, source, n_chars, text, string_split(text, chr(10))[1] AS title FROM documents),
+p AS (
+  SELECT doc_id, unnest({_TOK.format(c='title')}) AS token, 3 AS weight FROM d
+  UNION ALL SELECT doc_id, unnest({_TOK.format(c='source')}), 2 FROM d
+  UNION ALL SELECT doc_id, unnest({_TOK.format(c='text')}), 1 FROM d),
+hits AS (SELECT doc_id, count(DISTINCT token) AS matched, max(weight) AS best_weight, CAST(count(*) AS BIGINT) AS total_tf
+         FROM p WHERE token IN {_QT} GROUP BY doc_id)
+"""
+
+
+@query("search", ids=("J1", "J2", "F6", "F7"), sql=_HITS_SQL + """
+SELECT doc_id, matched, best_weight, total_tf, (SELECT count(*) FROM hits) AS found FROM hits
+ORDER BY matched DESC, best_weight DESC, total_tf DESC, doc_id LIMIT 20""")
+def search(spark, sf):
+    hits, _ = _hits(spark, sf)
+    return R.search_page(hits, 1, 20)
+
+
+@query("search_page2", ids=("F6",), sql=_HITS_SQL + """
+SELECT doc_id, matched, best_weight, total_tf, (SELECT count(*) FROM hits) AS found FROM hits
+ORDER BY matched DESC, best_weight DESC, total_tf DESC, doc_id LIMIT 10 OFFSET 10""")
+def search_page2(spark, sf):
+    hits, _ = _hits(spark, sf)
+    return R.search_page(hits, 2, 10)
+
+
+@query("facets", ids=("D6", "J5"), sql=_HITS_SQL + """
+SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM hits JOIN d USING (doc_id) GROUP BY lang
+UNION ALL
+SELECT 'source', source, count(*) FROM hits JOIN d USING (doc_id) GROUP BY source""")
+def facets(spark, sf):
+    hits, d = _hits(spark, sf)
+    return R.facet_counts(hits.join(d.select("doc_id", "lang", "source"), "doc_id"), ["lang", "source"])
+
+
+@query("hydrate", ids=("C9",), sql=_HITS_SQL + """
+, top AS (SELECT * FROM hits ORDER BY matched DESC, best_weight DESC, total_tf DESC, doc_id LIMIT 20)
+SELECT t.doc_id, t.matched, d.lang, d.source, d.n_chars FROM top t JOIN d USING (doc_id)""")
+def hydrate_hits(spark, sf):
+    hits, d = _hits(spark, sf)
+    page = hits.orderBy(*R.rank_order()).limit(20).select("doc_id", "matched")
+    return hydrate(page, d.select("doc_id", "lang", "source", "n_chars"), "doc_id")
+
+
+FUZZY_TERMS = ["widgit", "bolts", "gaer", "smal", "bleu"]
+PREFIXES = ["gi", "bl", "wid", "s"]
+
+
+@query("fuzzy", ids=("J3",), sql="""
+WITH v AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+')) AS word FROM part) WHERE word <> ''),
+q AS (SELECT unnest(['""" + "','".join(FUZZY_TERMS) + """']) AS term)
+SELECT term, word, CAST(levenshtein(word, term) AS INTEGER) AS distance FROM v JOIN q
+  ON abs(length(word) - length(term)) <= 2 WHERE levenshtein(word, term) <= 2""")
+def fuzzy(spark, sf):
+    vocab = R.vocabulary(T.read_table(spark, sf, "part"), "p_name")
+    return R.fuzzy_terms(vocab, FUZZY_TERMS, 2)
+
+
+@query("prefix", ids=("J4",), sql="""
+WITH v AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+')) AS word FROM part) WHERE word <> ''),
+q AS (SELECT unnest(['""" + "','".join(PREFIXES) + """']) AS prefix)
+SELECT prefix, word FROM v JOIN q ON starts_with(word, prefix)""")
+def prefix(spark, sf):
+    vocab = R.vocabulary(T.read_table(spark, sf, "part"), "p_name")
+    return R.prefix_terms(vocab, PREFIXES)
