@@ -241,9 +241,10 @@ def _extract_batches(batches):
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One parse per page -> anchors, JSON-LD texts, selector
     candidates, visible text. Only the three input columns cross into Python."""
+    from hirelake.session import spread
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                        F.col(html_col).alias("html"))
-    return src.mapInArrow(_extract_batches, EXTRACT_SCHEMA)
+    return spread(src).mapInArrow(_extract_batches, EXTRACT_SCHEMA)
 
 
 # ---------------------------------------------------------------- anchors and job links
@@ -328,6 +329,29 @@ def _thousands(v: Column) -> Column:
     return F.concat(F.call_function("format_number", ip.cast("long"), F.lit("#,###")), frac)
 
 
+def _graph_candidates(v: Column) -> Column:
+    """Candidates of one parsed script, in order: the object itself when it is
+    a posting, else the items of its ``@graph`` (a non-object item, or a
+    non-list non-empty ``@graph``, is an error when reached)."""
+    cand_t = "array<struct<item:variant,hit:boolean,bad:boolean>>"
+    top = F.coalesce(_vget(v, '$["@type"]', "string") == "JobPosting", F.lit(False))
+    g_raw = _vget(v, '$["@graph"]')
+    g_arr = _vget(v, '$["@graph"]', "array<variant>")
+    g_empty = F.coalesce(_vtype(g_raw).isin("OBJECT<>") | (_vtype(g_raw) == "STRING")
+                         & (F.try_variant_get(g_raw, "$", "string") == ""), F.lit(False))
+    items = F.transform(g_arr, lambda it: F.struct(
+        it.alias("item"),
+        (_is_obj(it) & F.coalesce(_vget(it, '$["@type"]', "string") == "JobPosting", F.lit(False))).alias("hit"),
+        (~_is_obj(it)).alias("bad")))
+    bad_graph = F.array(F.struct(g_raw.alias("item"), F.lit(False).alias("hit"), F.lit(True).alias("bad")))
+    empty = F.array().cast(cand_t)
+    return (F.when(top, F.array(F.struct(v.alias("item"), F.lit(True).alias("hit"), F.lit(False).alias("bad"))))
+            .when(g_raw.isNull(), empty)
+            .when(g_arr.isNotNull(), items)
+            .when(g_empty, empty)
+            .otherwise(bad_graph))
+
+
 def jsonld_postings(extracted: DataFrame) -> DataFrame:
     """First schema.org posting per page, in (script, graph item) order.
 
@@ -335,22 +359,14 @@ def jsonld_postings(extracted: DataFrame) -> DataFrame:
     ``error`` (unusable hit: null/non-text title or description, null
     organisation name, text salary bounds, or a non-object graph item met
     before the hit) plus the posting fields. Pages without a hit are absent.
+    The first hit is picked per row with array functions (no explode, no
+    shuffle): all candidates of a page come from that page's own row.
     """
-    scripts = extracted.select("page_id", F.posexplode("ld_json").alias("spos", "txt")).filter(F.col("txt").isNotNull())
-    scripts = scripts.withColumn("v", F.try_parse_json("txt")).filter(_is_obj(F.col("v")))
-    v = F.col("v")
-    top_hit = F.coalesce(_vget(v, '$["@type"]', "string") == "JobPosting", F.lit(False))
-    # candidates: the object itself (gpos -1) or, when it is not a posting, its graph items
-    graph = F.when(~top_hit, _vget(v, '$["@graph"]', "array<variant>"))
-    items = scripts.select("page_id", "spos", F.lit(-1).alias("gpos"), v.alias("item"),
-                           top_hit.alias("hit"), F.lit(False).alias("bad")).filter("hit")
-    g = scripts.select("page_id", "spos", F.posexplode_outer(graph).alias("gpos", "item")).filter(F.col("item").isNotNull())
-    g = g.select("page_id", "spos", "gpos", "item",
-                 (_is_obj(F.col("item")) & F.coalesce(_vget(F.col("item"), '$["@type"]', "string") == "JobPosting",
-                                                     F.lit(False))).alias("hit"),
-                 (~_is_obj(F.col("item"))).alias("bad"))
-    cands = items.unionByName(g).filter(F.col("hit") | F.col("bad"))
-    first = keep_first(cands, ["page_id"], ["spos", "gpos"])
+    parsed = F.filter(F.transform(F.col("ld_json"), lambda t: F.try_parse_json(t)), lambda v: _is_obj(v))
+    cands = F.flatten(F.transform(parsed, _graph_candidates))
+    first_c = F.get(F.filter(cands, lambda c: c["hit"] | c["bad"]), 0)
+    first = (extracted.select("page_id", first_c.alias("c")).filter(F.col("c").isNotNull())
+             .select("page_id", F.col("c.item").alias("item"), F.col("c.bad").alias("bad")))
     it = F.col("item")
     title_v, desc_v = _vget(it, "$.title"), _vget(it, "$.description")
     org = _vget(it, "$.hiringOrganization")

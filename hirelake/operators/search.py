@@ -41,6 +41,8 @@ def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "doc_id",
     """Postings ``(token, doc_id, field, weight, tf)`` over the given
     fields. With ``only_tokens`` the postings are filtered right after the
     split, so a query never materialises the whole index."""
+    from hirelake.session import spread
+    docs = spread(docs)
     parts = []
     for name, col in fields.items():
         t = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(col)).alias("token"))

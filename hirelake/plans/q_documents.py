@@ -92,7 +92,8 @@ def page_result(spark, sf):
 
 def _json_str(c):
     """JSON text of one string value (to_json needs a container)."""
-    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    j = F.to_json(F.array(c))
+    return F.substr(j, F.lit(2), F.length(j) - 2)
 
 
 def jsonld_pages(spark, sf):
@@ -101,7 +102,8 @@ def jsonld_pages(spark, sf):
     region + scalar employment type, @graph wrapper with zero salary, or no
     location/currency and a text organisation); small parts carry a list
     ``@type`` (not a match) or a null title (an unusable hit)."""
-    d = T.read_table(spark, sf, "documents")
+    from hirelake.session import spread
+    d = spread(T.read_table(spark, sf, "documents"))
     p = T.read_table(spark, sf, "part")
     j = d.join(p, d.doc_id == p.p_partkey)
     lang, size = F.col("lang"), F.col("p_size")

@@ -85,3 +85,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one job's output/state."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Spread CPU-heavy per-row work over all cores when the scan produced
+    fewer input splits than the cluster has task slots (small or
+    single-row-group files). Large inputs already have enough splits and are
+    returned unchanged, so this never adds a shuffle at scale."""
+    if df.isStreaming:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
