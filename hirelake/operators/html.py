@@ -352,22 +352,19 @@ def _graph_candidates(v: Column) -> Column:
             .otherwise(bad_graph))
 
 
-def jsonld_postings(extracted: DataFrame) -> DataFrame:
-    """First schema.org posting per page, in (script, graph item) order.
+_JL_FIELDS = ["title", "description", "company", "location", "salary", "job_type"]
 
-    Output per page with at least one hit: ``jsonld_status`` is ``ok`` or
-    ``error`` (unusable hit: null/non-text title or description, null
-    organisation name, text salary bounds, or a non-object graph item met
-    before the hit) plus the posting fields. Pages without a hit are absent.
-    The first hit is picked per row with array functions (no explode, no
-    shuffle): all candidates of a page come from that page's own row.
-    """
+
+def _with_jsonld(extracted: DataFrame) -> DataFrame:
+    """Adds ``jsonld_status`` (NULL: no hit, ``ok`` or ``error``) and ``jl_*``
+    fields to every row. The first hit is picked per row with array
+    functions (no explode, no shuffle): all candidates of a page come from
+    that page's own row."""
     parsed = F.filter(F.transform(F.col("ld_json"), lambda t: F.try_parse_json(t)), lambda v: _is_obj(v))
     cands = F.flatten(F.transform(parsed, _graph_candidates))
     first_c = F.get(F.filter(cands, lambda c: c["hit"] | c["bad"]), 0)
-    first = (extracted.select("page_id", first_c.alias("c")).filter(F.col("c").isNotNull())
-             .select("page_id", F.col("c.item").alias("item"), F.col("c.bad").alias("bad")))
-    it = F.col("item")
+    x = extracted.withColumn("__c", first_c)
+    it = F.col("__c.item")
     title_v, desc_v = _vget(it, "$.title"), _vget(it, "$.description")
     org = _vget(it, "$.hiringOrganization")
     org_name = _vget(org, "$.name")
@@ -399,13 +396,24 @@ def jsonld_postings(extracted: DataFrame) -> DataFrame:
                 .otherwise(F.try_variant_get(et, "$", "string")))
     title = F.when(title_v.isNull(), F.lit("")).otherwise(F.when(_is_str(title_v), F.try_variant_get(title_v, "$", "string")))
     desc = F.when(desc_v.isNull(), F.lit("")).otherwise(F.when(_is_str(desc_v), F.try_variant_get(desc_v, "$", "string")))
-    error = (F.col("bad") | title.isNull() | desc.isNull() | company.isNull() | sal_err)
-    out = first.select("page_id", error.alias("__err"), title.alias("title"), desc.alias("description"),
-                       company.alias("company"), location.alias("location"), salary.alias("salary"),
-                       job_type.alias("job_type"))
-    fields = ["title", "description", "company", "location", "salary", "job_type"]
-    return out.select("page_id", F.when(F.col("__err"), F.lit("error")).otherwise(F.lit("ok")).alias("jsonld_status"),
-                      *[F.when(F.col("__err"), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c) for c in fields])
+    error = F.col("__c.bad") | title.isNull() | desc.isNull() | company.isNull() | sal_err
+    status = F.when(F.col("__c").isNull(), F.lit(None).cast("string")).when(error, F.lit("error")).otherwise(F.lit("ok"))
+    vals = dict(zip(_JL_FIELDS, [title, desc, company, location, salary, job_type]))
+    x = x.withColumn("jsonld_status", status)
+    x = x.select("*", *[F.when(F.col("jsonld_status") == "ok", v).alias(f"jl_{k}") for k, v in vals.items()])
+    return x.drop("__c")
+
+
+def jsonld_postings(extracted: DataFrame) -> DataFrame:
+    """First schema.org posting per page, in (script, graph item) order.
+
+    Output per page with at least one hit: ``jsonld_status`` is ``ok`` or
+    ``error`` (unusable hit: null/non-text title or description, null
+    organisation name, text salary bounds, or a non-object graph item met
+    before the hit) plus the posting fields. Pages without a hit are absent.
+    """
+    x = _with_jsonld(extracted).filter(F.col("jsonld_status").isNotNull())
+    return x.select("page_id", "jsonld_status", *[F.col(f"jl_{k}").alias(k) for k in _JL_FIELDS])
 
 
 # ---------------------------------------------------------------- heuristics (I4, T11) and cascade
@@ -415,11 +423,11 @@ def _last_non_null(arr: Column) -> Column:
     return F.when(F.size(kept) > 0, F.element_at(kept, -1))
 
 
-def heuristics(extracted: DataFrame) -> DataFrame:
-    """I4: title (first valid candidate, else reject), company (first valid,
-    else the last matched text, else from the URL), location (first valid),
-    description (first longer than 100 -> first 2000 chars, else the last
-    matched text, which must still be at least 100)."""
+def _heuristic_columns() -> dict:
+    """I4 columns: title (first valid candidate, else reject), company (first
+    valid, else the last matched text, else from the URL), location (first
+    valid), description (first longer than 100 -> first 2000 chars, else the
+    last matched text, which must still be at least 100)."""
     tc = F.col("title_cands")
     title = F.get(F.filter(tc, lambda t: t.isNotNull() & P.valid_title(t)), 0)
     cc = F.col("company_cands")
@@ -432,32 +440,34 @@ def heuristics(extracted: DataFrame) -> DataFrame:
     desc = F.coalesce(F.substring(long_desc, 1, 2000), _last_non_null(dc))
     reason = (F.when(title.isNull(), F.lit("no_valid_title"))
               .when(~P.valid_description(desc), F.lit("short_description")))
-    return extracted.select("page_id", "url", title.alias("title"), desc.alias("description"), company.alias("company"),
-                            location.alias("location"), reason.alias("reject_reason"))
+    return {"title": title, "description": desc, "company": company, "location": location, "reject_reason": reason}
+
+
+def heuristics(extracted: DataFrame) -> DataFrame:
+    """I4: selector heuristics per page (see ``_heuristic_columns``)."""
+    cols = _heuristic_columns()
+    return extracted.select("page_id", "url", *[c.alias(k) for k, c in cols.items()])
 
 
 def parse_cascade(extracted: DataFrame) -> DataFrame:
     """JSON-LD hit first (even an unusable one ends the cascade), else
-    heuristics, else reject. Failures are kept as rows with a reason."""
-    j = jsonld_postings(extracted)
-    h = heuristics(extracted)
-    x = h.join(j, "page_id", "left")
-    strategy = (F.when(F.col("jsonld_status") == "ok", F.lit("jsonld"))
-                .when(F.col("jsonld_status") == "error", F.lit("error"))
-                .when(F.col("reject_reason").isNull(), F.lit("heuristics"))
-                .otherwise(F.lit("reject")))
-    use_j, use_h = F.col("jsonld_status") == "ok", F.col("jsonld_status").isNull() & F.col("reject_reason").isNull()
-
-    def pick(name, jcol, hcol):
-        return F.when(use_j, jcol).when(use_h, hcol).alias(name)
-
-    return x.select("page_id", "url", strategy.alias("parse_strategy"),
-                    pick("title", j["title"], h["title"]), pick("description", j["description"], h["description"]),
-                    pick("company", j["company"], h["company"]), pick("location", j["location"], h["location"]),
-                    pick("salary", j["salary"], F.lit(None).cast("string")),
-                    pick("job_type", j["job_type"], F.lit(None).cast("string")),
-                    F.when(F.col("jsonld_status") == "error", F.lit("jsonld_unusable"))
-                    .when(F.col("jsonld_status").isNull(), F.col("reject_reason")).alias("reject_reason"))
+    heuristics, else reject. Failures are kept as rows with a reason. Both
+    strategies are columns of one projection over the single parse."""
+    x = _with_jsonld(extracted)
+    h = {f"h_{k}": c for k, c in _heuristic_columns().items()}
+    x = x.select("page_id", "url", "jsonld_status", *[F.col(f"jl_{k}") for k in _JL_FIELDS],
+                 *[c.alias(k) for k, c in h.items()])
+    st = F.col("jsonld_status")
+    strategy = (F.when(st == "ok", F.lit("jsonld")).when(st == "error", F.lit("error"))
+                .when(F.col("h_reject_reason").isNull(), F.lit("heuristics")).otherwise(F.lit("reject")))
+    use_h = st.isNull() & F.col("h_reject_reason").isNull()
+
+    # JSON-LD fields when the hit was usable; heuristic fields only when there was no hit
+    out = [F.coalesce(F.col(f"jl_{k}"), F.when(use_h, F.col(f"h_{k}"))).alias(k)
+           if f"h_{k}" in h else F.col(f"jl_{k}").alias(k) for k in _JL_FIELDS]
+    return x.select("page_id", "url", strategy.alias("parse_strategy"), *out,
+                    F.when(st == "error", F.lit("jsonld_unusable"))
+                    .when(st.isNull(), F.col("h_reject_reason")).alias("reject_reason"))
 
 
 def page_text(extracted: DataFrame, max_chars: int = 8000) -> DataFrame:
