@@ -177,3 +177,36 @@ def by_method(df: DataFrame, methods: list[str], col: str = "method") -> DataFra
     if bad:
         raise ValueError(f"unknown source/method: {bad}")
     return df.filter(F.col(col).isin(methods))
+
+
+def dispatch_sources(readers: dict, sources: list[str]) -> DataFrame:
+    """L3/G1: run the reader of each requested source and union the company
+    rows (``unionByName``), tagging each with its source. A source name with
+    no reader is an error; a reader that fails is skipped, as in the source."""
+    unknown = [s for s in sources if s not in readers]
+    if unknown:
+        raise ValueError(f"unknown source: {unknown}")
+    parts = []
+    for s in sources:
+        try:
+            parts.append(readers[s]().withColumn("source", F.lit(s)))
+        except Exception:  # a failed source does not fail the run
+            continue
+    if not parts:
+        raise ValueError("no source produced rows")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def unprocessed(results: DataFrame, processed_col: str = "processed") -> DataFrame:
+    """Search results not processed yet."""
+    return results.filter(~F.col(processed_col))
+
+
+def campaign_summary(results: DataFrame, campaign: str, company: str, url: str) -> DataFrame:
+    """Per campaign the number of results, distinct companies and URLs."""
+    return results.groupBy(campaign).agg(F.count(F.lit(1)).cast("int").alias("total_results"),
+                                         F.count_distinct(company).cast("int").alias("companies_found"),
+                                         F.count_distinct(url).cast("int").alias("urls_found"))

@@ -528,3 +528,46 @@ def tag_results(spark, sf):
     rows = X.result_rows(_responses(spark, sf), limit=100)
     return X.tag_results(rows, "url", "title").select("doc_id", "rank", "is_ats", "ats_platform", "confidence",
                                                       "priority")
+
+
+# ---------------------------------------------------------------- queue, dork results, campaigns, dispatch
+
+
+@query("retry_queue", ids=("B26", "F9"), sql=with_sql(QUEUE_SQL) + """
+SELECT id, url_id, priority, retry_count, created_at FROM queue
+WHERE status = 'pending' AND retry_count < max_retries
+ORDER BY priority DESC NULLS FIRST, created_at ASC NULLS FIRST, id""")
+def retry_queue(spark, sf):
+    q = L.dequeue_order(L.retryable(T.crawl_queue(spark, sf)))
+    return q.select("id", "url_id", "priority", "retry_count", "created_at")
+
+
+@query("dork_unprocessed", ids=("B27",), sql=with_sql(_RESULTS_SQL) + """
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, sha256(url) AS url_hash FROM res WHERE NOT (rank <= 10)""")
+def dork_unprocessed(spark, sf):
+    rows = X.result_rows(_responses(spark, sf), limit=100).withColumn("processed", F.col("rank") <= 10)
+    return X.unprocessed(rows).select("doc_id", "rank", S.url_hash("url").alias("url_hash"))
+
+
+@query("campaigns", ids=("D14",), sql=with_sql(_RESULTS_SQL) + """
+SELECT d.source AS campaign, CAST(count(*) AS INTEGER) AS total_results,
+       CAST(count(DISTINCT r.doc_id) AS INTEGER) AS companies_found, CAST(count(DISTINCT r.url) AS INTEGER) AS urls_found
+FROM res r JOIN documents d ON r.doc_id = d.doc_id GROUP BY d.source""")
+def campaigns(spark, sf):
+    rows = X.result_rows(_responses(spark, sf), limit=100)
+    src = T.read_table(spark, sf, "documents").select("doc_id", F.col("source").alias("campaign"))
+    return X.campaign_summary(rows.join(src, "doc_id"), "campaign", "doc_id", "url")
+
+
+@query("discover_companies", ids=("L3", "G1", "G4", "B22"), sql=with_sql(W.PAGE_HOSTS_SQL) + """
+SELECT 'github' AS source, CASE WHEN c_acctbal < 500 THEN lower(replace(c_name, '#', '-')) ELSE c_name END AS name,
+       concat(lower(replace(c_name, '#', '-')), '.example.com') AS domain FROM customer
+UNION ALL
+SELECT 'manual', domain, domain FROM (SELECT DISTINCT domain FROM ph)""")
+def discover_companies(spark, sf):
+    readers = {
+        "github": lambda: org_to_company(spark, sf).select("name", "domain"),
+        "manual": lambda: W.page_hosts(spark, sf).select("domain").distinct().select(
+            F.col("domain").alias("name"), "domain"),
+    }
+    return X.dispatch_sources(readers, ["github", "manual"]).select("source", "name", "domain")
