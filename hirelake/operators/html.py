@@ -44,6 +44,11 @@ SELECTOR_GROUPS = {
     "description": rules.DESCRIPTION_SELECTORS,
 }
 _FLAT_SELECTORS = [(g, i, sel) for g, sels in SELECTOR_GROUPS.items() for i, sel in enumerate(sels)]
+# selectors indexed by the attribute they test (None: tag-only), so a start tag
+# only tries the selectors that can apply to it
+_BY_ATTR: dict = {}
+for _g, _i, _sel in _FLAT_SELECTORS:
+    _BY_ATTR.setdefault(_sel[1], []).append(((_g, _i), _sel))
 
 EXTRACT_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()),
@@ -120,9 +125,14 @@ class _PageParser(HTMLParser):
         eid = len(self.tags)
         self.tags.append(tag)
         self.span.append([len(self.texts), -1])
-        for g, i, sel in _FLAT_SELECTORS:
-            if (g, i) not in self.first and _matches(sel, tag, a):
-                self.first[(g, i)] = eid
+        first = self.first
+        for key, sel in _BY_ATTR[None]:
+            if key not in first and sel[0] == tag:
+                first[key] = eid
+        for attr in a:
+            for key, sel in _BY_ATTR.get(attr, ()):
+                if key not in first and _matches(sel, tag, a):
+                    first[key] = eid
         if tag == "a" and "href" in a:
             self.anchors.append((eid, a["href"]))
         if tag == "meta":

@@ -36,23 +36,28 @@ def query_tokens(q: str) -> list[str]:
     return list(dict.fromkeys(toks))
 
 
+def _token_rows(docs: DataFrame, fields: dict[str, str], id_col: str) -> DataFrame:
+    """One row per (doc, token occurrence, field) from a single scan: the
+    token arrays of all fields are concatenated and exploded once."""
+    from hirelake.session import spread
+    def tagger(name):
+        weight = FIELD_WEIGHTS.get(name, 1)
+        return lambda t: F.struct(t.alias("token"), F.lit(name).alias("field"), F.lit(weight).alias("weight"))
+
+    arrays = [F.transform(tokens(col), tagger(name)) for name, col in fields.items()]
+    return spread(docs).select(F.col(id_col).alias("doc_id"), F.inline(F.concat(*arrays)))
+
+
 def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "doc_id",
                 only_tokens: list[str] | None = None) -> DataFrame:
     """Postings ``(token, doc_id, field, weight, tf)`` over the given
-    fields. With ``only_tokens`` the postings are filtered right after the
-    split, so a query never materialises the whole index."""
-    from hirelake.session import spread
-    docs = spread(docs)
-    parts = []
-    for name, col in fields.items():
-        t = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(col)).alias("token"))
-        if only_tokens is not None:
-            t = t.filter(F.col("token").isin(only_tokens))
-        parts.append(t.withColumn("field", F.lit(name)).withColumn("weight", F.lit(FIELD_WEIGHTS.get(name, 1))))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("token", "doc_id", "field", "weight").agg(F.count(F.lit(1)).alias("tf"))
+    fields, from one scan of the documents. With ``only_tokens`` the rows are
+    filtered right after the split, so a query never materialises the whole
+    index."""
+    t = _token_rows(docs, fields, id_col)
+    if only_tokens is not None:
+        t = t.filter(F.col("token").isin(only_tokens))
+    return t.groupBy("token", "doc_id", "field", "weight").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def write_index(index: DataFrame, path: str, prefix_len: int = 2) -> None:
@@ -63,14 +68,14 @@ def write_index(index: DataFrame, path: str, prefix_len: int = 2) -> None:
 
 
 def search_hits(index: DataFrame, q: str) -> DataFrame:
-    """Every matching document with its ranking features."""
+    """Every matching document with its ranking features: matched query
+    tokens, best field weight, total term frequency. Two small aggregates
+    (per document and token, then per document) instead of a distinct count."""
     qt = query_tokens(q)
-    spark = index.sparkSession
-    qdf = F.broadcast(spark.createDataFrame([(t,) for t in qt], "token string"))
-    hits = index.filter(F.col("token").isin(qt)).join(qdf, "token")
-    return hits.groupBy("doc_id").agg(F.count_distinct("token").alias("matched"),
-                                      F.max("weight").alias("best_weight"),
-                                      F.sum("tf").cast("long").alias("total_tf"))
+    per_token = (index.filter(F.col("token").isin(qt)).groupBy("doc_id", "token")
+                 .agg(F.max("weight").alias("w"), F.sum("tf").alias("tf")))
+    return per_token.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"), F.max("w").alias("best_weight"),
+                                           F.sum("tf").cast("long").alias("total_tf"))
 
 
 def rank_order() -> list:
