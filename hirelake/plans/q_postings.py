@@ -117,3 +117,20 @@ def search_filtered(spark, sf):
     df = L.search_filter(jobs, remote=True, job_type="O", salary_min=2000, salary_max=25000,
                          posted_after="2000-01-01")
     return L.quality_gate(df, 70).select("id", "real_score", "salary_min")
+
+
+@query("active_partitioned", ids=("A6", "B3", "H22", "K6"), sql=with_sql(POSTINGS_SQL) + f"""
+SELECT id, real_score, posted_at FROM jobs
+WHERE real_score >= 70 AND posted_at >= TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 90 DAY""")
+def active_partitioned(spark, sf):
+    """Postings written month-partitioned (``posted_ym``) to the shared folder,
+    read back, and filtered; the month bound derived from ``as_of`` prunes
+    whole partitions before any file is opened."""
+    from hirelake.operators.store import write_month_partitioned
+    from hirelake.session import scratch_path
+    path = scratch_path(spark, "jobs-by-month")
+    cols = ["id", "real_score", "posted_at", "company", "location"]
+    write_month_partitioned(T.postings(spark, sf).select(*cols), path, "posted_at", "posted_ym",
+                            sort_cols=["company", "location", "posted_at"], mode="overwrite")
+    jobs = spark.read.parquet(path)
+    return L.active_filter(jobs, AS_OF_ORDERS, partition_col="posted_ym").select("id", "real_score", "posted_at")

@@ -86,3 +86,9 @@ def test_projection_pushed_to_scan(spark):
     p = _plan(df)
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderpriority:string>" in p \
         or "o_custkey" not in p.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_active_partitioned_prunes_months(spark):
+    df = QUERIES["active_partitioned"](spark, SF)
+    p = _plan(df)
+    assert "PartitionFilters: [isnotnull(posted_ym" in p and "posted_ym#" in p and ">= 200105" in p
