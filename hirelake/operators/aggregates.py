@@ -1,5 +1,5 @@
-"""Aggregations (D1-D20). All are hash aggregates with partial (map-side)
-aggregation; none collects an unbounded group into one row."""
+"""Aggregations (D1-D20). All aggregate partially on the map side before
+the shuffle; none collects an unbounded group into one row."""
 
 from __future__ import annotations
 

@@ -1,9 +1,10 @@
 """Keyed dedupe.
 
-Keep-one-row-per-key is written as a ``min_by``/``max_by`` hash aggregate
-over a struct of the row rather than a ``row_number`` window: the aggregate
-is partial (map-side) so a hot key that holds a third of all rows is reduced
-in every map task before the shuffle, and no full sort is needed.
+Keep-one-row-per-key is written as a ``min_by``/``max_by`` aggregate over a
+struct of the row rather than a ``row_number`` window: the aggregate is
+partial (map-side), so a hot key that holds a third of all rows is reduced to
+one row per map task before the shuffle and no task holds a whole group.
+Spark runs struct-valued buffers as a sort-based aggregate, which spills.
 """
 
 from __future__ import annotations

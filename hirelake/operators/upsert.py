@@ -1,7 +1,7 @@
 """Upserts, seeding and existence checks.
 
 Upsert by key = union of the existing rows and the new rows, each tagged with
-an arrival sequence, then one hash aggregate per key. Every rule of the
+an arrival sequence, then one (partial, map-side) aggregate per key. Every rule of the
 source's ``ON CONFLICT`` clauses becomes an aggregate: GREATEST -> ``max``
 (NULL ignored), keep-first -> ``min_by(seq)``, overwrite -> ``max_by(seq)``,
 ``COALESCE(new, old)`` -> ``max_by`` over rows whose new value is not NULL.
