@@ -3,9 +3,9 @@
 State machine of the source, per key in event order: a success increments
 ``success_count``, resets ``fail_count`` to 0 and marks healthy; a failure
 increments ``fail_count`` and marks unhealthy once it reaches 3. The final
-state only depends on the last success, so it is computed with two hash
-aggregates (partial, skew-safe) and one join on the key — no per-key sort
-and no window that would hold a hot key in one task.
+state only depends on the last success, so it is computed with two
+aggregates (partial on the map side, skew-safe) and one join on the key —
+no window that would hold a hot key's events in one task.
 """
 
 from __future__ import annotations
