@@ -34,18 +34,6 @@ def health_fold(events: DataFrame, key: str, order: list[str], is_success, is_fa
                       healthy.alias("is_healthy"))
 
 
-def health_timeline(events: DataFrame, key: str, order: list[str], is_success, is_failure) -> DataFrame:
-    """E7 per event: state after each event, via islands — a running count of
-    successes numbers the islands, failures are counted inside an island."""
-    from pyspark.sql import Window
-    ev = events.withColumn("__s", is_success).withColumn("__f", is_failure).filter(F.col("__s") | F.col("__f"))
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("success_count", F.sum(F.col("__s").cast("long")).over(w))
-    wi = Window.partitionBy(key, "success_count").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ev = ev.withColumn("fail_count", F.sum(F.col("__f").cast("long")).over(wi))
-    return ev.withColumn("is_healthy", F.col("fail_count") < FAIL_LIMIT).drop("__s", "__f")
-
-
 def eligible(pool: DataFrame, country: str | None = None) -> DataFrame:
     """Usable members (healthy or fewer than 3 failures), optional country."""
     df = pool.filter(F.col("is_healthy") | (F.col("fail_count") < FAIL_LIMIT))
