@@ -155,7 +155,10 @@ def heuristics(spark, sf):
 
 
 def _cascade_pages(spark, sf):
-    pages = T.read_table(spark, sf, "pages").select("page_id", "url", "html")
+    from hirelake.session import spread
+    # spread each input before the union: a union of a few busy splits and many
+    # light ones would otherwise leave the expensive pages in one task
+    pages = spread(T.read_table(spark, sf, "pages").select("page_id", "url", "html"))
     wrapped = jsonld_pages(spark, sf).select((F.col("page_id") + F.lit(10_000_000_000)).alias("page_id"), "url", "html")
     return pages.unionByName(wrapped)
 
