@@ -422,8 +422,17 @@ def jsonld_postings(extracted: DataFrame) -> DataFrame:
     organisation name, text salary bounds, or a non-object graph item met
     before the hit) plus the posting fields. Pages without a hit are absent.
     """
-    x = _with_jsonld(extracted).filter(F.col("jsonld_status").isNotNull())
-    return x.select("page_id", "jsonld_status", *[F.col(f"jl_{k}").alias(k) for k in _JL_FIELDS])
+    x = _with_jsonld(extracted)
+    row = F.struct(F.col("page_id"), F.col("jsonld_status"), *[F.col(f"jl_{k}").alias(k) for k in _JL_FIELDS])
+    # a 0-or-1 element inline keeps pages with a hit without a pushed-down
+    # filter, which would evaluate the JSON-LD expressions twice
+    one = F.when(F.col("jsonld_status").isNotNull(), F.array(row)).otherwise(F.array().cast(T.ArrayType(row_type())))
+    return x.select(F.inline(one))
+
+
+def row_type():
+    return T.StructType([T.StructField("page_id", T.LongType()), T.StructField("jsonld_status", T.StringType())]
+                        + [T.StructField(k, T.StringType()) for k in _JL_FIELDS])
 
 
 # ---------------------------------------------------------------- heuristics (I4, T11) and cascade
