@@ -341,7 +341,11 @@ SELECT url,
 FROM (SELECT *, """ + G.count_present("lower(content)", rules.CAREER_KEYWORDS) + """ AS n FROM cfetch)
 WHERE status = 200 AND n >= 2""")
 def career_score(spark, sf):
-    return X.score_career_pages(W.career_fetch_log(spark, sf))
+    log = W.career_fetch_log(spark, sf)
+    # the probed candidates (URL + how it was derived) matched to the fetch log
+    cands = log.select(F.col("url").alias("candidate"), "kind")
+    fetched = J.probe(cands, log.select("url", "content", "status"))
+    return X.score_career_pages(fetched)
 
 
 @query("fetch_classify", ids=("B17", "B21", "A2"), sql=with_sql(W.PAGE_FETCH_SQL) + """
@@ -575,3 +579,19 @@ def discover_companies(spark, sf):
             F.col("domain").alias("name"), "domain"),
     }
     return X.dispatch_sources(readers, ["github", "manual"]).select("source", "name", "domain")
+
+
+@query("org_searches", ids=("G4", "F8"), sql="""
+SELECT search_id, c_custkey, name FROM (
+  SELECT 1 AS search_id, c_custkey, c_name AS name FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
+  UNION ALL
+  SELECT 2, c_custkey, c_name FROM customer WHERE c_acctbal > 5000)""")
+def org_searches(spark, sf):
+    """Two organisation searches concatenated without dedupe (an org found
+    by both appears twice), each already capped by its own result limit in
+    the source; here each search returns all its matches."""
+    c = T.read_table(spark, sf, "customer")
+    s1 = c.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(
+        F.lit(1).alias("search_id"), "c_custkey", F.col("c_name").alias("name"))
+    s2 = c.filter(F.col("c_acctbal") > 5000).select(F.lit(2).alias("search_id"), "c_custkey", F.col("c_name").alias("name"))
+    return s1.unionByName(s2)
