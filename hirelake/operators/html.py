@@ -365,53 +365,95 @@ def _graph_candidates(v: Column) -> Column:
 _JL_FIELDS = ["title", "description", "company", "location", "salary", "job_type"]
 
 
+def _t_is_obj(t: Column) -> Column:
+    return F.coalesce(t.startswith("OBJECT"), F.lit(False))
+
+
+def _t_is_num(t: Column) -> Column:
+    return F.coalesce(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL"),
+                      F.lit(False))
+
+
+def _c_text(v: Column, t: Column) -> Column:
+    """``_py_text`` over a staged value column and its staged type column."""
+    s = F.try_variant_get(v, "$", "string")
+    return (F.when(v.isNull(), F.lit(None).cast("string")).when(t == "VOID", F.lit("None"))
+            .when(t == "BOOLEAN", F.when(s == "true", F.lit("True")).otherwise(F.lit("False")))
+            .otherwise(s))
+
+
+def _c_truthy(v: Column, t: Column) -> Column:
+    s = F.try_variant_get(v, "$", "string")
+    return (F.when(v.isNull() | (t == "VOID"), F.lit(False))
+            .when(_t_is_num(t), F.try_variant_get(v, "$", "double") != 0)
+            .when(t == "STRING", s != "").when(t == "BOOLEAN", s == "true")
+            .when(t.startswith("ARRAY"), F.coalesce(F.array_size(F.try_variant_get(v, "$", "array<variant>")) > 0,
+                                                    F.lit(False)))
+            .when(t.startswith("OBJECT"), t != "OBJECT<>")
+            .otherwise(F.lit(True)))
+
+
 def _with_jsonld(extracted: DataFrame) -> DataFrame:
     """Adds ``jsonld_status`` (NULL: no hit, ``ok`` or ``error``) and ``jl_*``
     fields to every row. The first hit is picked per row with array
     functions (no explode, no shuffle): all candidates of a page come from
-    that page's own row."""
+    that page's own row. Each JSON path and its type is extracted once into a
+    staged column; the field rules then read those columns."""
     parsed = F.filter(F.transform(F.col("ld_json"), lambda t: F.try_parse_json(t)), lambda v: _is_obj(v))
     cands = F.flatten(F.transform(parsed, _graph_candidates))
     first_c = F.get(F.filter(cands, lambda c: c["hit"] | c["bad"]), 0)
     x = extracted.withColumn("__c", first_c)
     it = F.col("__c.item")
-    title_v, desc_v = _vget(it, "$.title"), _vget(it, "$.description")
-    org = _vget(it, "$.hiringOrganization")
-    org_name = _vget(org, "$.name")
-    company = (F.when(org.isNull(), F.lit(""))
-               .when(_is_obj(org), F.when(org_name.isNull(), F.lit("")).otherwise(
-                   F.when(F.is_variant_null(org_name), F.lit(None).cast("string")).otherwise(_py_text(org_name))))
-               .otherwise(_py_text(org)))
-    loc = _vget(it, "$.jobLocation")
-    addr = _vget(loc, "$.address")
-    city = F.coalesce(_py_text(_vget(addr, "$.addressLocality")), F.lit(""))
-    region = F.coalesce(_py_text(_vget(addr, "$.addressRegion")), F.lit(""))
-    joined = F.regexp_replace(F.concat(city, F.lit(", "), region), r"^[, ]+|[, ]+$", "")
-    location = (F.when(loc.isNull(), F.lit(""))
-                .when(_is_obj(loc), F.when(addr.isNull() | _is_obj(addr), joined)
-                      .otherwise(F.try_variant_get(loc, "$.name", "string")))
+    # every path is read straight from the item (a path through a non-object is NULL)
+    paths = {"tv": "$.title", "dv": "$.description", "org": "$.hiringOrganization", "loc": "$.jobLocation",
+             "bs": "$.baseSalary", "val": "$.baseSalary.value", "et": "$.employmentType",
+             "orgn": "$.hiringOrganization.name", "addr": "$.jobLocation.address",
+             "mn": "$.baseSalary.value.minValue", "mx": "$.baseSalary.value.maxValue",
+             "cur": "$.baseSalary.value.currency", "city": "$.jobLocation.address.addressLocality",
+             "region": "$.jobLocation.address.addressRegion"}
+    x = x.select("*", *[_vget(it, p_).alias(f"__{k}") for k, p_ in paths.items()])
+    typed = list(paths)
+    x = x.select("*", *[_vtype(F.col(f"__{k}")).alias(f"__t_{k}") for k in typed])
+
+    def v(k):
+        return F.col(f"__{k}")
+
+    def t(k):
+        return F.col(f"__t_{k}")
+
+    company = (F.when(v("org").isNull(), F.lit(""))
+               .when(_t_is_obj(t("org")), F.when(v("orgn").isNull(), F.lit(""))
+                     .otherwise(F.when(t("orgn") == "VOID", F.lit(None).cast("string"))
+                                .otherwise(_c_text(v("orgn"), t("orgn")))))
+               .otherwise(_c_text(v("org"), t("org"))))
+    joined = F.regexp_replace(F.concat(F.coalesce(_c_text(v("city"), t("city")), F.lit("")), F.lit(", "),
+                                       F.coalesce(_c_text(v("region"), t("region")), F.lit(""))), r"^[, ]+|[, ]+$", "")
+    location = (F.when(v("loc").isNull(), F.lit(""))
+                .when(_t_is_obj(t("loc")), F.when(v("addr").isNull() | _t_is_obj(t("addr")), joined)
+                      .otherwise(F.try_variant_get(v("loc"), "$.name", "string")))
                 .otherwise(F.lit(None).cast("string")))
-    val = _vget(it, "$.baseSalary.value")
-    mn, mx = _vget(val, "$.minValue"), _vget(val, "$.maxValue")
-    cur = _vget(val, "$.currency")
-    currency = F.when(cur.isNull(), F.lit("USD")).otherwise(_py_text(cur))
-    sal_ok = _is_obj(_vget(it, "$.baseSalary")) & _is_obj(val) & _truthy(mn) & _truthy(mx)
-    salary = F.when(sal_ok & _is_num(mn) & _is_num(mx),
-                    F.concat(F.lit("$"), _thousands(mn), F.lit(" - $"), _thousands(mx), F.lit(" "), currency))
-    sal_err = sal_ok & ~(_is_num(mn) & _is_num(mx))
-    et = _vget(it, "$.employmentType")
-    job_type = (F.when(et.isNull(), F.lit(""))
-                .when(F.coalesce(_vtype(et).startswith("ARRAY"), F.lit(False)),
-                      F.coalesce(F.try_variant_get(et, "$[0]", "string"), F.lit("")))
-                .otherwise(F.try_variant_get(et, "$", "string")))
-    title = F.when(title_v.isNull(), F.lit("")).otherwise(F.when(_is_str(title_v), F.try_variant_get(title_v, "$", "string")))
-    desc = F.when(desc_v.isNull(), F.lit("")).otherwise(F.when(_is_str(desc_v), F.try_variant_get(desc_v, "$", "string")))
-    error = F.col("__c.bad") | title.isNull() | desc.isNull() | company.isNull() | sal_err
-    status = F.when(F.col("__c").isNull(), F.lit(None).cast("string")).when(error, F.lit("error")).otherwise(F.lit("ok"))
+    currency = F.when(v("cur").isNull(), F.lit("USD")).otherwise(_c_text(v("cur"), t("cur")))
+    sal_ok = _t_is_obj(t("bs")) & _t_is_obj(t("val")) & _c_truthy(v("mn"), t("mn")) & _c_truthy(v("mx"), t("mx"))
+    nums = _t_is_num(t("mn")) & _t_is_num(t("mx"))
+    salary = F.when(sal_ok & nums, F.concat(F.lit("$"), _thousands(v("mn")), F.lit(" - $"), _thousands(v("mx")),
+                                            F.lit(" "), currency))
+    job_type = (F.when(v("et").isNull(), F.lit(""))
+                .when(F.coalesce(t("et").startswith("ARRAY"), F.lit(False)),
+                      F.coalesce(F.try_variant_get(v("et"), "$[0]", "string"), F.lit("")))
+                .otherwise(F.try_variant_get(v("et"), "$", "string")))
+    title = F.when(v("tv").isNull(), F.lit("")).otherwise(
+        F.when(t("tv") == "STRING", F.try_variant_get(v("tv"), "$", "string")))
+    desc = F.when(v("dv").isNull(), F.lit("")).otherwise(
+        F.when(t("dv") == "STRING", F.try_variant_get(v("dv"), "$", "string")))
     vals = dict(zip(_JL_FIELDS, [title, desc, company, location, salary, job_type]))
-    x = x.withColumn("jsonld_status", status)
-    x = x.select("*", *[F.when(F.col("jsonld_status") == "ok", v).alias(f"jl_{k}") for k, v in vals.items()])
-    return x.drop("__c")
+    x = x.select("*", *[c.alias(f"__f_{k}") for k, c in vals.items()], (sal_ok & ~nums).alias("__sal_err"))
+    error = (F.col("__c.bad") | F.col("__f_title").isNull() | F.col("__f_description").isNull()
+             | F.col("__f_company").isNull() | F.col("__sal_err"))
+    x = x.withColumn("jsonld_status", F.when(F.col("__c").isNull(), F.lit(None).cast("string"))
+                     .when(error, F.lit("error")).otherwise(F.lit("ok")))
+    x = x.select("*", *[F.when(F.col("jsonld_status") == "ok", F.col(f"__f_{k}")).alias(f"jl_{k}") for k in _JL_FIELDS])
+    temps = [c for c in x.columns if c.startswith("__")]
+    return x.drop(*temps)
 
 
 def jsonld_postings(extracted: DataFrame) -> DataFrame:

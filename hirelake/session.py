@@ -88,12 +88,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def spread(df):
-    """Spread CPU-heavy per-row work over all cores when the scan produced
+    """Spread CPU-heavy per-row work over all cores when a plain scan produced
     fewer input splits than the cluster has task slots (small or
-    single-row-group files). Large inputs already have enough splits and are
-    returned unchanged, so this never adds a shuffle at scale."""
+    single-row-group files). Plans that already contain an exchange are left
+    alone: their data is distributed already, and counting their partitions
+    would make AQE run the shuffle stages ahead of time. Large scans have
+    enough splits and are returned unchanged, so this never adds a shuffle at
+    scale."""
     if df.isStreaming:
         return df
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)

@@ -27,13 +27,22 @@ AS_OF_EVENTS = "2024-01-31 00:00:00"
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
+_UNDER_SPLIT: dict[tuple[str, int], bool] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan of a given table. Text tables are spread over all task slots when
-    the scan has fewer splits than slots (a no-op on large inputs)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    the scan has fewer splits than slots (a no-op on large inputs); the
+    decision depends only on the file layout, so it is made once per path."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
     if name in TEXT_TABLES:
-        from hirelake.session import spread
-        df = spread(df)
+        slots = spark.sparkContext.defaultParallelism
+        key = (path, slots)
+        if key not in _UNDER_SPLIT:
+            _UNDER_SPLIT[key] = df.rdd.getNumPartitions() < slots
+        if _UNDER_SPLIT[key]:
+            df = df.repartition(slots)
     return df
 
 
