@@ -60,7 +60,10 @@ def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "doc_id",
     return t.groupBy("token", "doc_id", "field", "weight").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def write_index(index: DataFrame, path: str, prefix_len: int = 2) -> None:
+PREFIX_LEN = 2
+
+
+def write_index(index: DataFrame, path: str, prefix_len: int = PREFIX_LEN) -> None:
     """Persist the postings partitioned by token prefix, so a query reads only
     the prefixes of its tokens (partition pruning)."""
     (index.withColumn("prefix", F.substring("token", 1, prefix_len)).repartition("prefix")
@@ -72,6 +75,8 @@ def search_hits(index: DataFrame, q: str) -> DataFrame:
     tokens, best field weight, total term frequency. Two small aggregates
     (per document and token, then per document) instead of a distinct count."""
     qt = query_tokens(q)
+    if "prefix" in index.columns:  # a persisted index: read only the query's prefix folders
+        index = index.filter(F.col("prefix").isin(sorted({t[:PREFIX_LEN] for t in qt})))
     per_token = (index.filter(F.col("token").isin(qt)).groupBy("doc_id", "token")
                  .agg(F.max("weight").alias("w"), F.sum("tf").alias("tf")))
     return per_token.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"), F.max("w").alias("best_weight"),

@@ -69,16 +69,16 @@ def shared_dir(spark: SparkSession) -> str:
     it is an error, never a machine-local temp folder.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:  # already set for this context (setting it again nests a new folder)
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="hirelake-ckpt-")
     sc.setCheckpointDir(d)
-    d = sc.getCheckpointDir() or d
-    return d
+    return sc.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

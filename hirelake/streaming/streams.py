@@ -59,12 +59,13 @@ def _epoch_writer(path: str, transform=None):
 
 
 def run_available_now(stream: DataFrame, name: str, mode: str = "append", transform=None,
-                      timeout_s: int = 900) -> str:
+                      timeout_s: int = 900, sink: str | None = None, checkpoint: str | None = None) -> str:
     """Run a streaming plan to completion over what is available; returns the
-    sink folder (``epoch=N`` sub-folders)."""
+    sink folder (``epoch=N`` sub-folders). Passing the same ``sink`` and
+    ``checkpoint`` again resumes: only new input is processed."""
     spark = stream.sparkSession
-    sink = scratch_path(spark, f"sink-{name}")
-    ckpt = scratch_path(spark, f"ckpt-{name}")
+    sink = sink or scratch_path(spark, f"sink-{name}")
+    ckpt = checkpoint or scratch_path(spark, f"ckpt-{name}")
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(_epoch_writer(sink, transform)).trigger(availableNow=True).start())
     q.awaitTermination(timeout_s)
