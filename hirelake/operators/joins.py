@@ -72,21 +72,23 @@ def candidates(domains: DataFrame, domain: str = "domain") -> DataFrame:
     return domains.select(d.alias("domain"), F.inline(F.array(*items)))
 
 
-def query_templates(keywords: DataFrame, keyword: str = "keyword", with_base: bool = False) -> DataFrame:
-    """Every keyword expanded through the per-keyword templates
-    (``with_base`` adds the keyword-free base queries once per keyword set)."""
+def query_templates(keywords: DataFrame, keyword: str = "keyword", templates: list[str] | None = None) -> DataFrame:
+    """Every keyword expanded through a template list (``{kw}`` marks
+    the keyword; a template without it is the same query for every keyword).
+    A literal array exploded per keyword row: no join."""
     k = F.col(keyword)
     items = []
-    for i, t in enumerate(rules.KEYWORD_QUERY_TEMPLATES):
-        pre, post = t.split("{kw}")
-        items.append(F.struct(F.lit(i).alias("template_id"), F.concat(F.lit(pre), k, F.lit(post)).alias("query")))
-    out = keywords.select(k.alias("keyword"), F.inline(F.array(*items)))
-    if with_base:
-        spark = keywords.sparkSession
-        base = spark.createDataFrame([(None, 100 + i, q) for i, q in enumerate(rules.QUERY_TEMPLATES_BASE)],
-                                     "keyword string, template_id int, query string")
-        out = out.unionByName(base)
-    return out
+    for i, t in enumerate(templates or rules.KEYWORD_QUERY_TEMPLATES):
+        parts = t.split("{kw}")
+        text = F.lit(t) if len(parts) == 1 else F.concat(F.lit(parts[0]), k, F.lit(parts[1]))
+        items.append(F.struct(F.lit(i).alias("template_id"), text.alias("query")))
+    return keywords.select(k.alias("keyword"), F.inline(F.array(*items)))
+
+
+def dork_templates() -> list[str]:
+    """The discovery service's list per keyword: the base queries, then the
+    keyword queries."""
+    return rules.QUERY_TEMPLATES_BASE + rules.QUERY_TEMPLATES_KEYWORD
 
 
 def probe(cands: DataFrame, fetch_log: DataFrame, cand_col: str = "candidate", url_col: str = "url") -> DataFrame:

@@ -595,3 +595,13 @@ def org_searches(spark, sf):
         F.lit(1).alias("search_id"), "c_custkey", F.col("c_name").alias("name"))
     s2 = c.filter(F.col("c_acctbal") > 5000).select(F.lit(2).alias("search_id"), "c_custkey", F.col("c_name").alias("name"))
     return s1.unionByName(s2)
+
+
+@query("dork_queries", ids=("C7",), sql="""
+SELECT keyword, CAST(template_id AS INTEGER) AS template_id, replace(tpl, '{kw}', keyword) AS query
+FROM (SELECT DISTINCT p_type AS keyword FROM part),
+     (SELECT unnest(range(""" + str(len(J.dork_templates())) + """)) AS template_id,
+             unnest([""" + ", ".join(G.lit(t) for t in J.dork_templates()) + """]) AS tpl)""")
+def dork_queries(spark, sf):
+    kws = T.read_table(spark, sf, "part").select(F.col("p_type").alias("keyword")).distinct()
+    return J.query_templates(kws, templates=J.dork_templates())
