@@ -547,6 +547,9 @@ def normalise_postings(parsed: DataFrame, page_url: str = "url", crawled_at=None
     ok = parsed.filter(F.col("parse_strategy").isin("jsonld", "heuristics"))
     src_url = S.fill_blank(F.lit(None).cast("string"), F.col(page_url))
     ts = F.lit(crawled_at).cast("timestamp") if crawled_at is not None else F.lit(None).cast("timestamp")
+    # posted/updated times: RFC 3339 text when the row has it, else the crawl time
+    posted = S.parse_rfc3339(F.col("date_posted") if "date_posted" in parsed.columns
+                             else F.lit(None).cast("string"), ts)
     # one parsed posting per page, so its index within the page batch is 0
     rows = ok.withColumn("__idx", F.lit(0))
     return rows.select(
@@ -565,6 +568,6 @@ def normalise_postings(parsed: DataFrame, page_url: str = "url", crawled_at=None
         src_url.alias("source_url"),
         F.lit(rules.DEFAULT_PLATFORM).alias("source_platform"),
         F.array().cast("array<string>").alias("tags"),
-        ts.alias("posted_at"), ts.alias("updated_at"), ts.alias("crawled_at"),
+        posted.alias("posted_at"), posted.alias("updated_at"), ts.alias("crawled_at"),
         F.lit(rules.DEFAULT_VERSION).cast("long").alias("version"),
     )

@@ -66,3 +66,11 @@ def test_watermark_dedupe_is_streaming(spark):
     src = spark.readStream.format("rate").option("rowsPerSecond", 1).load().withColumn("k", F.col("value") % 2)
     out = K.stream_dedup(src, "k", event_time="timestamp", delay="1 minute")
     assert out.isStreaming
+
+
+def test_rfc3339_with_fallback(spark):
+    from hirelake.functions import scalars as S
+    df = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("",), (None,), ("not a date",)], "s string")
+    # text form: year 1 does not survive conversion to a Python datetime
+    got = [r[0] for r in df.select(S.ts_text(S.parse_rfc3339("s", "2024-05-05 00:00:00"))).collect()]
+    assert got == ["2024-01-02 03:04:05", "2024-05-05 00:00:00", "2024-05-05 00:00:00", "0001-01-01 00:00:00"]
