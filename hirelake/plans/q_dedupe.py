@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from hirelake.functions import scalars as S
 from hirelake.operators import aggregates as A
