@@ -410,7 +410,7 @@ def _with_jsonld(extracted: DataFrame) -> DataFrame:
              "orgn": "$.hiringOrganization.name", "addr": "$.jobLocation.address",
              "mn": "$.baseSalary.value.minValue", "mx": "$.baseSalary.value.maxValue",
              "cur": "$.baseSalary.value.currency", "city": "$.jobLocation.address.addressLocality",
-             "region": "$.jobLocation.address.addressRegion"}
+             "region": "$.jobLocation.address.addressRegion", "locname": "$.jobLocation.name"}
     x = x.select("*", *[_vget(it, p_).alias(f"__{k}") for k, p_ in paths.items()])
     typed = list(paths)
     x = x.select("*", *[_vtype(F.col(f"__{k}")).alias(f"__t_{k}") for k in typed])
@@ -421,34 +421,44 @@ def _with_jsonld(extracted: DataFrame) -> DataFrame:
     def t(k):
         return F.col(f"__t_{k}")
 
+    # the output model only takes text: a non-text organisation name, location
+    # name or employment type makes the hit unusable (an error), as in the source
     company = (F.when(v("org").isNull(), F.lit(""))
                .when(_t_is_obj(t("org")), F.when(v("orgn").isNull(), F.lit(""))
-                     .otherwise(F.when(t("orgn") == "VOID", F.lit(None).cast("string"))
-                                .otherwise(_c_text(v("orgn"), t("orgn")))))
+                     .when(t("orgn") == "STRING", F.try_variant_get(v("orgn"), "$", "string")))
                .otherwise(_c_text(v("org"), t("org"))))
     joined = F.regexp_replace(F.concat(F.coalesce(_c_text(v("city"), t("city")), F.lit("")), F.lit(", "),
                                        F.coalesce(_c_text(v("region"), t("region")), F.lit(""))), r"^[, ]+|[, ]+$", "")
+    by_name = F.when(t("locname") == "STRING", F.try_variant_get(v("locname"), "$", "string"))
+    use_name = _t_is_obj(t("loc")) & v("addr").isNotNull() & ~_t_is_obj(t("addr"))
     location = (F.when(v("loc").isNull(), F.lit(""))
-                .when(_t_is_obj(t("loc")), F.when(v("addr").isNull() | _t_is_obj(t("addr")), joined)
-                      .otherwise(F.try_variant_get(v("loc"), "$.name", "string")))
+                .when(_t_is_obj(t("loc")), F.when(use_name, by_name).otherwise(joined))
                 .otherwise(F.lit(None).cast("string")))
+    loc_err = use_name & v("locname").isNotNull() & (t("locname") != "VOID") & (t("locname") != "STRING")
     currency = F.when(v("cur").isNull(), F.lit("USD")).otherwise(_c_text(v("cur"), t("cur")))
     sal_ok = _t_is_obj(t("bs")) & _t_is_obj(t("val")) & _c_truthy(v("mn"), t("mn")) & _c_truthy(v("mx"), t("mx"))
     nums = _t_is_num(t("mn")) & _t_is_num(t("mx"))
     salary = F.when(sal_ok & nums, F.concat(F.lit("$"), _thousands(v("mn")), F.lit(" - $"), _thousands(v("mx")),
                                             F.lit(" "), currency))
+    et_first = F.try_variant_get(v("et"), "$[0]", "variant")
+    et_first_t = _vtype(et_first)
+    et_is_arr = F.coalesce(t("et").startswith("ARRAY"), F.lit(False))
     job_type = (F.when(v("et").isNull(), F.lit(""))
-                .when(F.coalesce(t("et").startswith("ARRAY"), F.lit(False)),
-                      F.coalesce(F.try_variant_get(v("et"), "$[0]", "string"), F.lit("")))
+                .when(et_is_arr, F.when(et_first.isNull(), F.lit(""))
+                      .otherwise(F.try_variant_get(et_first, "$", "string")))
                 .otherwise(F.try_variant_get(v("et"), "$", "string")))
+    jt_err = (F.when(et_is_arr, et_first.isNotNull() & ~et_first_t.isin("STRING", "VOID"))
+              .otherwise(v("et").isNotNull() & ~t("et").isin("STRING", "VOID")))
     title = F.when(v("tv").isNull(), F.lit("")).otherwise(
         F.when(t("tv") == "STRING", F.try_variant_get(v("tv"), "$", "string")))
     desc = F.when(v("dv").isNull(), F.lit("")).otherwise(
         F.when(t("dv") == "STRING", F.try_variant_get(v("dv"), "$", "string")))
     vals = dict(zip(_JL_FIELDS, [title, desc, company, location, salary, job_type]))
-    x = x.select("*", *[c.alias(f"__f_{k}") for k, c in vals.items()], (sal_ok & ~nums).alias("__sal_err"))
+    x = x.select("*", *[c.alias(f"__f_{k}") for k, c in vals.items()],
+                 ((sal_ok & ~nums) | F.coalesce(loc_err, F.lit(False)) | F.coalesce(jt_err, F.lit(False)))
+                 .alias("__field_err"))
     error = (F.col("__c.bad") | F.col("__f_title").isNull() | F.col("__f_description").isNull()
-             | F.col("__f_company").isNull() | F.col("__sal_err"))
+             | F.col("__f_company").isNull() | F.col("__field_err"))
     x = x.withColumn("jsonld_status", F.when(F.col("__c").isNull(), F.lit(None).cast("string"))
                      .when(error, F.lit("error")).otherwise(F.lit("ok")))
     x = x.select("*", *[F.when(F.col("jsonld_status") == "ok", F.col(f"__f_{k}")).alias(f"jl_{k}") for k in _JL_FIELDS])

@@ -197,3 +197,21 @@ def test_batch_totals(spark):
     b = spark.createDataFrame([(True, 0, 0), (False, 3, 1)], "batch_error boolean, ok int, failed int")
     r = A.batch_totals(b).first()
     assert (r["successful"], r["failed"], r["total_crawled"]) == (3, 2, 5)
+
+
+def test_jsonld_text_only_fields(spark):
+    pages = [
+        (1, "https://a.test/1", LD.format('{"@type":"JobPosting","title":"T","description":"D",'
+                                          '"hiringOrganization":{"name":42}}')),
+        (2, "https://a.test/2", LD.format('{"@type":"JobPosting","title":"T","description":"D","employmentType":7}')),
+        (3, "https://a.test/3", LD.format('{"@type":"JobPosting","title":"T","description":"D",'
+                                          '"hiringOrganization":42,"employmentType":[null],'
+                                          '"jobLocation":{"address":"x","name":"Berlin"}}')),
+        (4, "https://a.test/4", LD.format('{"@type":"JobPosting","title":"T","description":"D",'
+                                          '"hiringOrganization":null,"employmentType":null}')),
+    ]
+    r = _cascade(spark, pages)
+    assert r[1]["parse_strategy"] == "error" and r[2]["parse_strategy"] == "error"
+    assert r[3]["parse_strategy"] == "jsonld" and r[3]["company"] == "42" and r[3]["location"] == "Berlin"
+    assert r[3]["job_type"] is None
+    assert r[4]["parse_strategy"] == "jsonld" and r[4]["company"] == "None" and r[4]["job_type"] is None
