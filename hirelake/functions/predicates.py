@@ -54,7 +54,7 @@ def is_job_url(url) -> Column:
     at least 3 path segments."""
     u = _c(url)
     has_pattern = contains_any(F.lower(u), rules.JOB_PATH_PATTERNS)
-    has_id = u.rlike("[0-9]") | (path_segment_count(u) >= 3)
+    has_id = u.rlike(r"\p{Nd}") | (path_segment_count(u) >= 3)  # a digit of any script
     return has_pattern & has_id
 
 

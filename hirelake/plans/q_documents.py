@@ -47,7 +47,7 @@ ok AS (SELECT * FROM r
          AND regexp_extract(link_url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)
          AND NOT """ + G.contains_any("lower(link_url)", rules.SKIP_PATH_PATTERNS) + """
          AND """ + G.contains_any("lower(link_url)", rules.JOB_PATH_PATTERNS) + """
-         AND (regexp_matches(link_url, '[0-9]') OR len(string_split(regexp_replace(
+         AND (regexp_matches(link_url, '\\p{Nd}') OR len(string_split(regexp_replace(
               regexp_extract(link_url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/')) >= 3)
          AND length(title) BETWEEN 5 AND 200)
 SELECT page_id, link_url AS url, arg_min(title, pos) AS title, CAST(min(pos) AS INTEGER) AS pos
