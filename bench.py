@@ -32,22 +32,26 @@ def main() -> None:
 
     load_all()
     spark = build_session(f"local[{cpus}]", int(cpus) * 2)
-    timings = {}
+    timings, errors = {}, {}
     for name in names:
         fn = QUERIES[name]
         runs = []
-        for i in range(reps + 1):
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            dt = time.perf_counter() - t0
-            if i:
-                runs.append(dt)
-        timings[name] = round(statistics.median(runs), 3)
+        try:
+            for i in range(reps + 1):
+                t0 = time.perf_counter()
+                fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                dt = time.perf_counter() - t0
+                if i:
+                    runs.append(dt)
+            timings[name] = round(statistics.median(runs), 3)
+        except Exception as e:  # keep measuring the others; report the failure
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({
         "metric": "headline_total_median_sec", "value": round(sum(timings.values()), 3), "unit": "sec",
         "queries": timings, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": int(cpus), "reps": reps, "pyspark": __import__("pyspark").__version__,
+        **({"errors": errors} if errors else {}),
     }))
     spark.stop()
 
