@@ -192,19 +192,23 @@ def keyword_confidence(n: ColOrName, base: float) -> Column:
     return F.round(F.least(F.lit(1.0), F.lit(base) + F.lit(0.1) * _c(n)), 10)
 
 
+def clock(as_of) -> Column:
+    """A fixed wall-clock time as a naive timestamp (the tables' timestamps are
+    naive too, so comparisons and outputs never depend on the session zone)."""
+    return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+
+
 def days_before(as_of, days: int) -> Column:
-    ts = F.lit(as_of).cast("timestamp") if not isinstance(as_of, Column) else as_of
-    return ts - F.make_dt_interval(F.lit(days))
+    return clock(as_of) - F.make_dt_interval(F.lit(days))
 
 
 def parse_rfc3339(x: ColOrName, fallback) -> Column:
     """RFC 3339 text to timestamp; missing/empty -> fallback; bad text -> epoch zero."""
     s = _c(x)
     parsed = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-                        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
-    fb = F.lit(fallback).cast("timestamp") if not isinstance(fallback, Column) else fallback
-    return (F.when(s.isNull() | (s == ""), fb)
-            .otherwise(F.coalesce(parsed, F.lit("0001-01-01 00:00:00").cast("timestamp"))))
+                        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))).cast("timestamp_ntz")
+    return (F.when(s.isNull() | (s == ""), clock(fallback).cast("timestamp_ntz"))
+            .otherwise(F.coalesce(parsed, clock("0001-01-01 00:00:00"))))
 
 
 def ts_text(x: ColOrName) -> Column:

@@ -556,7 +556,7 @@ def normalise_postings(parsed: DataFrame, page_url: str = "url", crawled_at=None
     ``short-hash(url)-index-epoch`` and ``job_hash`` of url‖title‖company."""
     ok = parsed.filter(F.col("parse_strategy").isin("jsonld", "heuristics"))
     src_url = S.fill_blank(F.lit(None).cast("string"), F.col(page_url))
-    ts = F.lit(crawled_at).cast("timestamp") if crawled_at is not None else F.lit(None).cast("timestamp")
+    ts = S.clock(crawled_at) if crawled_at is not None else F.lit(None).cast("timestamp_ntz")
     # posted/updated times: RFC 3339 text when the row has it, else the crawl time
     posted = S.parse_rfc3339(F.col("date_posted") if "date_posted" in parsed.columns
                              else F.lit(None).cast("string"), ts)

@@ -122,7 +122,7 @@ def touch_crawled(companies: DataFrame, keys: DataFrame, as_of, key: str = "id")
     k = keys.select(F.col(key).alias("__k")).distinct().withColumn("__hit", F.lit(True))
     out = companies.join(k, companies[key] == k["__k"], "left")
     return out.withColumn("last_crawled_at",
-                          F.when(F.col("__hit"), F.lit(as_of).cast("timestamp"))
+                          F.when(F.col("__hit"), S.clock(as_of))
                           .otherwise(F.col("last_crawled_at"))).drop("__k", "__hit")
 
 
@@ -140,7 +140,7 @@ def search_filter(jobs: DataFrame, remote: bool | None = None, job_type: str | N
     if salary_max is not None:
         df = df.filter(F.col("salary_max") <= salary_max)
     if posted_after is not None:
-        df = df.filter(F.col("posted_at") >= F.lit(posted_after).cast("timestamp"))
+        df = df.filter(F.col("posted_at") >= S.clock(posted_after))
     if quality_min is not None:
         df = df.filter(F.col("real_score") >= quality_min)
     return df

@@ -14,7 +14,7 @@ from hirelake.functions import scalars as S
 
 def raw_page_rows(pages: DataFrame, crawled_at, url: str = "url", html: str = "html") -> DataFrame:
     """A3: raw-page rows: id = sha256(url), status ``success``, crawl month."""
-    ts = F.lit(crawled_at).cast("timestamp")
+    ts = S.clock(crawled_at)
     return pages.select(S.url_hash(url).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"),
                         ts.alias("crawled_at"), F.lit("success").alias("status"),
                         F.lit(None).cast("string").alias("error_message"), S.year_month(ts).alias("crawl_ym"))
