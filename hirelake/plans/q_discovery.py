@@ -322,7 +322,8 @@ def dedup_hosts(spark, sf):
 
 @query("host_pages", ids=("H15", "T5"), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, _CT_HOSTS_SQL) + """
 SELECT subdomain, concat('https://', subdomain) AS url, 'subdomain' AS page_type,
-       CASE WHEN j THEN 0.8 ELSE 0.5 END AS confidence, CASE WHEN j THEN 1 ELSE 2 END AS priority
+       CASE WHEN j THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence,
+       CASE WHEN j THEN 1 ELSE 2 END AS priority
 FROM (SELECT DISTINCT subdomain, """ + G.contains_any("lower(subdomain)", rules.JOB_HOST_KEYWORDS) + """ AS j FROM allh)""")
 def host_pages(spark, sf):
     hosts = _all_hosts(spark, sf).select("subdomain", "is_job_related").distinct()
@@ -336,7 +337,8 @@ def host_pages(spark, sf):
 SELECT url,
        CASE WHEN kind = 'subdomain' THEN split_part(""" + W.HOST_SQL.format(u="url") + """, '.', 1)
             ELSE regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/([^/]*)', 1) END AS page_type,
-       round(least(1.0, CASE WHEN kind = 'subdomain' THEN 0.5 ELSE 0.6 END + 0.1 * n), 10) AS confidence,
+       round(least(CAST(1.0 AS DOUBLE), CASE WHEN kind = 'subdomain' THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END
+                   + CAST(0.1 AS DOUBLE) * n), 10) AS confidence,
        kind AS discovered_via, n AS n_keywords
 FROM (SELECT *, """ + G.count_present("lower(content)", rules.CAREER_KEYWORDS) + """ AS n FROM cfetch)
 WHERE status = 200 AND n >= 2""")
@@ -349,7 +351,8 @@ def career_score(spark, sf):
 
 
 @query("fetch_classify", ids=("B17", "B21", "A2"), sql=with_sql(W.PAGE_FETCH_SQL) + """
-SELECT page_id, url, status, status < 400 AS success, length(CASE WHEN status < 400 THEN html ELSE '' END) AS html_chars,
+SELECT page_id, url, status, status < 400 AS success,
+       CAST(length(CASE WHEN status < 400 THEN html ELSE '' END) AS INTEGER) AS html_chars,
        CASE WHEN status < 400 THEN NULL ELSE concat('HTTP ', CAST(status AS VARCHAR)) END AS error,
        status < 500 AS host_alive
 FROM plog""")

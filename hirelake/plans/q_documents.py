@@ -208,7 +208,7 @@ def short_hash(spark, sf):
 
 
 @query("raw_pages", ids=("A3", "A6", "A2", "H22"), sql=f"""
-SELECT sha256(url) AS id, url, length(html) AS html_chars, TIMESTAMP '{AS_OF_CRAWL}' AS crawled_at,
+SELECT sha256(url) AS id, url, CAST(length(html) AS INTEGER) AS html_chars, TIMESTAMP '{AS_OF_CRAWL}' AS crawled_at,
        'success' AS status, CAST(NULL AS VARCHAR) AS error_message, strftime(TIMESTAMP '{AS_OF_CRAWL}', '%Y%m') AS crawl_ym
 FROM pages""")
 def raw_pages(spark, sf):
@@ -219,7 +219,8 @@ def raw_pages(spark, sf):
 
 
 @query("decode_fetch", ids=("A16", "B17"), sql="""
-SELECT page_id, 0 AS item_pos, url, length(html) AS html_chars, CAST(NULL AS VARCHAR) AS error, true AS success FROM pages
+SELECT page_id, 0 AS item_pos, url, CAST(length(html) AS INTEGER) AS html_chars, CAST(NULL AS VARCHAR) AS error,
+       true AS success FROM pages
 UNION ALL
 SELECT page_id, 1, concat(url, '/jobs'), 0, 'HTTP 404', false FROM pages""")
 def decode_fetch(spark, sf):

@@ -33,7 +33,8 @@ def ats_case(url: str, content: str | None = None, domain_first: bool = False) -
         c = f"lower({content})"
         arms += [(contains_any(c, ind), p, rules.ATS_CONF_CONTENT) for p, _, _, ind in rules.ATS_RULES]
     plat = "CASE " + " ".join(f"WHEN {cond} THEN {lit(p)}" for cond, p, _ in arms) + " ELSE NULL END"
-    conf = "CASE " + " ".join(f"WHEN {cond} THEN {v}" for cond, _, v in arms) + f" ELSE {rules.ATS_CONF_NONE} END"
+    conf = ("CASE " + " ".join(f"WHEN {cond} THEN CAST({v} AS DOUBLE)" for cond, _, v in arms)
+            + f" ELSE CAST({rules.ATS_CONF_NONE} AS DOUBLE) END")
     is_ats = "CASE " + " ".join(f"WHEN {cond} THEN true" for cond, _, _ in arms) + " ELSE false END"
     return is_ats, plat, conf
 

@@ -46,6 +46,22 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE", "float": "FLOAT",
+                 "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_mismatches(sdf, con, sql):
+    """Columns whose Spark type and DuckDB type differ."""
+    duck_types = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    out = []
+    for f in sdf.schema.fields:
+        st = f.dataType.simpleString()
+        if SPARK_TO_DUCK.get(st, st.upper()) != duck_types.get(f.name):
+            out.append((f.name, st, duck_types.get(f.name)))
+    return out
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in rows]
@@ -73,8 +89,11 @@ def compare(spark, name: str, sf_dir: str, verbose: bool = True) -> dict:
         res["status"] = f"COLUMNS {sorted(scols)} vs {sorted(dcols)}"
         return res
     a, b = rows_of(scols, srows), rows_of(dcols, drows)
-    if a == b:
+    types = type_mismatches(sdf, con, sql)
+    if a == b and not types:
         res["status"] = "ok"
+    elif a == b:
+        res["status"] = f"TYPES {types}"
     else:
         res["status"] = "VALUES"
         if verbose:
