@@ -63,10 +63,14 @@ def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "doc_id",
 PREFIX_LEN = 2
 
 
-def write_index(index: DataFrame, path: str, prefix_len: int = PREFIX_LEN) -> None:
+def write_index(index: DataFrame, path: str, prefix_len: int = PREFIX_LEN, partitions: int | None = None) -> None:
     """Persist the postings partitioned by token prefix, so a query reads only
-    the prefixes of its tokens (partition pruning)."""
-    (index.withColumn("prefix", F.substring("token", 1, prefix_len)).repartition("prefix")
+    the prefixes of its tokens (partition pruning). Range-partitioned on
+    (prefix, token, doc): a very common prefix is written by many tasks, and
+    files are sorted by token for min/max skipping."""
+    n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (index.withColumn("prefix", F.substring("token", 1, prefix_len))
+     .repartitionByRange(n, "prefix", "token", "doc_id").sortWithinPartitions("prefix", "token", "doc_id")
      .write.mode("overwrite").partitionBy("prefix").parquet(path))
 
 

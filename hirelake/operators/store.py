@@ -21,12 +21,15 @@ def raw_page_rows(pages: DataFrame, crawled_at, url: str = "url", html: str = "h
 
 
 def write_month_partitioned(df: DataFrame, path: str, ts_col: str, part_col: str = "ym",
-                            sort_cols: list[str] | None = None, mode: str = "append") -> None:
+                            sort_cols: list[str] | None = None, mode: str = "append",
+                            partitions: int | None = None) -> None:
     """Month-partitioned Parquet layout (``yyyyMM`` folders), rows sorted
-    within each file by the store's sort key for min/max skipping."""
-    out = df.withColumn(part_col, S.year_month(ts_col)).repartition(part_col)
-    if sort_cols:
-        out = out.sortWithinPartitions(*sort_cols)
+    within each file by the store's sort key for min/max skipping. Rows are
+    range-partitioned on (month, sort key), not hashed on the month, so a
+    month holding a third of all rows is written by many tasks, not one."""
+    keys = [part_col] + list(sort_cols or [ts_col])
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df.withColumn(part_col, S.year_month(ts_col)).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     out.write.mode(mode).partitionBy(part_col).parquet(path)
 
 
