@@ -140,7 +140,9 @@ def _health_update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
     succ, fail = state.get if state.exists else (0, 0)
     frames = [p for p in pdfs if len(p)]
     if frames:
-        ev = pd.concat(frames).sort_values(["ts", "event_id"], kind="mergesort")
+        ev = pd.concat(frames)
+        order = [c for c in ev.columns if c.startswith("__o")]
+        ev = ev.sort_values(order, kind="mergesort")
         for is_s in ev["is_success"].tolist():
             if is_s:
                 succ += 1
@@ -152,11 +154,14 @@ def _health_update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iter
                         "is_healthy": [fail < FAIL_LIMIT]})
 
 
-def stream_health(src: DataFrame, key: str, is_success, is_failure) -> DataFrame:
+def stream_health(src: DataFrame, key: str, is_success, is_failure,
+                  order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """K4: per-key health state machine kept in the state store; each batch
     emits the new state of the keys it touched (update mode). Events inside
-    a batch are applied in (ts, event_id) order."""
-    ev = src.select(F.col(key).alias("user_id"), "ts", "event_id", is_success.alias("is_success"),
-                    is_failure.alias("is_failure")).filter(F.col("is_success") | F.col("is_failure"))
+    a batch are applied in ``order`` (a total order, e.g. time then id). The
+    output key column is named ``user_id``."""
+    ev = src.select(F.col(key).alias("user_id"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)],
+                    is_success.alias("is_success"), is_failure.alias("is_failure")) \
+        .filter(F.col("is_success") | F.col("is_failure"))
     return ev.groupBy("user_id").applyInPandasWithState(
         _health_update, HEALTH_OUT, HEALTH_STATE, "update", GroupStateTimeout.NoTimeout)
