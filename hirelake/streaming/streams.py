@@ -28,7 +28,9 @@ from hirelake.session import scratch_path
 def stage_in_order(df: DataFrame, time_col: str, n_files: int, name: str) -> str:
     """Copy a table into ``n_files`` files ordered by ``time_col`` (one write
     per time slice, so file modification times follow event time) — the
-    shape of an append-only landing folder."""
+    shape of an append-only landing folder. This stages the given tables for
+    the registered stream queries; in production the producer writes the
+    landing folder and the stream reads it directly."""
     spark = df.sparkSession
     path = scratch_path(spark, f"landing-{name}")
     dtype = df.schema[time_col].dataType.typeName()
