@@ -69,6 +69,19 @@ def list_newest(jobs: DataFrame, limit=20, offset=0, min_score=70, company=None,
     return list_projection(page(filtered, newest_first(), limit, offset))
 
 
+def list_newest_fk(fact: DataFrame, enrich, limit=20, offset=0, min_score=70) -> DataFrame:
+    """B1 + B7 + F1 when the list needs no dimension filter: the newest-first
+    page is taken on the fact table alone (a top-k, no shuffle), and only
+    those at most ``offset + limit`` rows are joined to the dimensions.
+
+    Exact only when ``enrich`` is a foreign-key join that keeps every fact row
+    exactly once (each posting has one owner); with company or location
+    filters use ``list_newest`` on the joined table. The page is bounded by
+    ``limit``, so it is broadcast."""
+    top = page(list_filter(fact, min_score), newest_first(), limit, offset)
+    return list_projection(enrich(F.broadcast(top))).orderBy(F.col("posted_at").desc(), F.col("id"))
+
+
 def page_info(jobs: DataFrame, limit=20, offset=0, **filters) -> DataFrame:
     """total matches and whether another page follows (one row)."""
     lim, off = _to_int(limit, 20) or 0, _to_int(offset, 0) or 0

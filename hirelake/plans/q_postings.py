@@ -19,7 +19,8 @@ FROM jobs"""
 @query("list_newest", ids=("F1", "B1", "B7", "A1"), sql=with_sql(POSTINGS_SQL) + _LIST_SELECT + """
 WHERE real_score >= 70 ORDER BY jobs.posted_at DESC, id LIMIT 20 OFFSET 0""")
 def list_newest(spark, sf):
-    return L.list_newest(T.postings(spark, sf))
+    # no dimension filter: page on the orders alone, then join only the page (foreign keys hold)
+    return L.list_newest_fk(T.postings_fact(spark, sf), lambda f: T.enrich_postings(f, spark, sf))
 
 
 @query("list_filtered", ids=("B1", "F1", "B7"), sql=with_sql(POSTINGS_SQL) + _LIST_SELECT + """
@@ -32,10 +33,10 @@ def list_filtered(spark, sf):
 
 
 @query("list_by_location", ids=("B1", "F1"), sql=with_sql(POSTINGS_SQL) + _LIST_SELECT + """
-WHERE real_score >= 70 AND location = 'FRANCE'
-ORDER BY jobs.posted_at DESC, id LIMIT 20 OFFSET 20""")
+WHERE real_score >= 70 AND location = 'NATION_7'
+ORDER BY jobs.posted_at DESC, id LIMIT 20 OFFSET 5""")
 def list_by_location(spark, sf):
-    return L.list_newest(T.postings(spark, sf), limit=20, offset=20, location="FRANCE")
+    return L.list_newest(T.postings(spark, sf), limit=20, offset=5, location="NATION_7")
 
 
 _DETAIL = ["id", "job_hash", "title", "company", "location", "remote", "salary_min", "salary_max",

@@ -54,40 +54,63 @@ def bounded_dim(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- postings (jobs table)
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``jobs`` table: one posting per order, owned by the order's customer."""
+POSTING_FACT_COLUMNS = ["id", "o_custkey", "remote", "job_type", "real_score", "source_platform", "posted_at",
+                        "updated_at", "crawled_at", "version"]
+
+
+def postings_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order-side columns of the postings: everything a list filter and
+    the newest-first order need, from one table."""
     o = read_table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("id"), "o_custkey",
+        F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("remote"),
+        F.col("o_orderstatus").alias("job_type"),
+        F.floor(F.col("o_totalprice") / 5000).cast("int").alias("real_score"),
+        F.col("o_orderpriority").alias("source_platform"),
+        F.col("o_orderdate").alias("posted_at"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("updated_at"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("crawled_at"),
+        F.lit(1).cast("long").alias("version"),
+    )
+
+
+def enrich_postings(fact: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adds the customer/nation-side columns to posting fact rows. Every order
+    has exactly one customer and every customer one nation (foreign keys), so
+    this inner join keeps each fact row exactly once."""
     c = read_table(spark, sf_dir, "customer")
     n = bounded_dim(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
-    j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
+    j = fact.join(c, fact.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
     has_salary = F.col("c_acctbal") > 0
     smin = F.when(has_salary, F.floor("c_acctbal").cast("int"))
-    url = F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".example.com/jobs/"),
-                   F.col("o_orderkey").cast("string"))
+    url = F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".example.com/jobs/"), F.col("id").cast("string"))
     return j.select(
-        F.col("o_orderkey").alias("id"),
+        "id",
         S.job_hash(url, F.col("c_name"), F.col("c_mktsegment")).alias("job_hash"),
         F.col("c_name").alias("title"),
         F.col("c_mktsegment").alias("company"),
         F.col("n_name").alias("location"),
-        F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("remote"),
+        "remote",
         smin.alias("salary_min"),
         (smin + F.lit(20000)).alias("salary_max"),
         F.when(has_salary, F.lit("USD")).alias("currency"),
-        F.col("o_orderstatus").alias("job_type"),
+        "job_type",
         F.when(F.col("c_acctbal") > 5000, F.lit("senior")).alias("experience_level"),
-        F.floor(F.col("o_totalprice") / 5000).cast("int").alias("real_score"),
+        "real_score",
         F.when(F.col("c_acctbal") >= 1000, F.col("c_name")).alias("hiring_manager_name"),
         url.alias("source_url"),
-        F.col("o_orderpriority").alias("source_platform"),
+        "source_platform",
         F.array(F.lower("c_mktsegment"), F.lower("n_name")).alias("tags"),
-        F.col("o_orderdate").alias("posted_at"),
-        (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("updated_at"),
-        (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("crawled_at"),
-        F.lit(1).cast("long").alias("version"),
+        "posted_at", "updated_at", "crawled_at", "version",
     )
 
 
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``jobs`` table: one posting per order, owned by the order's customer."""
+    return enrich_postings(postings_fact(spark, sf_dir), spark, sf_dir)
+
+
 POSTINGS_SQL = """
 jobs AS (
   SELECT o.o_orderkey AS id,

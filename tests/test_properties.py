@@ -92,3 +92,10 @@ def test_active_partitioned_prunes_months(spark):
     df = QUERIES["active_partitioned"](spark, SF)
     p = _plan(df)
     assert "PartitionFilters: [isnotnull(posted_ym" in p and "posted_ym#" in p and ">= 200105" in p
+
+
+def test_flagship_pages_before_join(spark):
+    p = _plan(QUERIES["list_newest"](spark, SF))
+    # the top-k runs on the orders scan; only the page is broadcast into the customer join
+    assert p.index("TakeOrderedAndProject") > p.index("BroadcastHashJoin")
+    assert "SortMergeJoin" not in p
