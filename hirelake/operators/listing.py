@@ -79,7 +79,9 @@ def list_newest_fk(fact: DataFrame, enrich, limit=20, offset=0, min_score=70) ->
     filters use ``list_newest`` on the joined table. The page is bounded by
     ``limit``, so it is broadcast."""
     top = page(list_filter(fact, min_score), newest_first(), limit, offset)
-    return list_projection(enrich(F.broadcast(top))).orderBy(F.col("posted_at").desc(), F.col("id"))
+    # at most ``limit`` rows: one partition keeps them in page order without a shuffle
+    return (list_projection(enrich(F.broadcast(top))).coalesce(1)
+            .sortWithinPartitions(F.col("posted_at").desc(), F.col("id")))
 
 
 def page_info(jobs: DataFrame, limit=20, offset=0, **filters) -> DataFrame:
