@@ -22,3 +22,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.llm.simhash import near_duplicates
     out = near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from hirelake.llm.token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@query
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from hirelake.llm.token_files import read_token_files, write_token_files
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), path, end_id=1))
