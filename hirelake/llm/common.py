@@ -27,7 +27,7 @@ def blank_words(data: bytes) -> list[bytes]:
 
 def alnum_words(data: bytes) -> list[bytes]:
     """Runs of lower-cased letters, digits and non-ASCII characters."""
-    return data.translate(WORDS).split(b" ") if not data else [w for w in data.translate(WORDS).split(b" ") if w]
+    return data.translate(WORDS).split()
 
 
 def shared_base(spark: SparkSession) -> str:

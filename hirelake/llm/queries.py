@@ -39,3 +39,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.llm.token_files import read_token_files, write_token_files
     path = public_tokenizers.path("word_bpe_49k.json")
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), path, end_id=1))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.llm.decontaminate import find_contamination
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select(
+        "doc_id", "n_words", hits.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
