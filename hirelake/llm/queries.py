@@ -55,3 +55,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.llm.rules import quality_rules
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.llm.quality import classifier, held_out, quality_scores
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_scores(docs, classifier(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
