@@ -63,3 +63,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_scores(docs, classifier(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.llm.pii import BASE, find_pii, listed, of_kind
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(of_kind(F.col("base"), i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
