@@ -72,3 +72,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(of_kind(F.col("base"), i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.llm.html_text import extract_text
+    return extract_text(table(spark, sf_dir, "pages"))
