@@ -78,3 +78,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.llm.html_text import extract_text
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from hirelake.llm.pieces import encode
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return encode(table(spark, sf_dir, "documents"), path).select("doc_id", "n_tokens", "ids_crc32", "round_trip")
