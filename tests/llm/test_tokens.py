@@ -141,3 +141,15 @@ def test_files_of_odd_rows(spark):
     rows = [tuple(r)[:3] for r in read_token_files(made).orderBy("start").collect()]
     assert rows == [(None, 0, 3), (3, 3, 1), (4, 4, 1), (9, 5, 2), (9, 7, 2), (9, 9, 2)]
     assert read_token_files(write_token_files(docs(spark, []), WORDS)).count() == 0
+
+
+def test_letters_with_marks_equal_the_library():
+    rng = random.Random(13)
+    letters = "abcxyzABCÀÉÎÖØßàéîöøÿñÑ"
+    tails = ["", ",", ".", "!!", "###", "'", "'s", "<|", "_", "-", "×", "÷", "'S'", "’", "1", "́", "́,"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + rng.choice(tails) for _ in range(4000)]
+    enc, lib = Encoder(WORDS), library("word_bpe_49k.json")
+    texts = [" ".join(words[a:a + 40]) for a in range(0, 4000, 40)]
+    assert enc.plain is not None
+    assert [x.tolist() for x in enc.ids(texts)] == [lib(t) for t in texts]
+    assert [x.tolist() for x in enc.ids(words)] == [lib(t) for t in words]
