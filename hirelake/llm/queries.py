@@ -87,3 +87,10 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.llm.pieces import encode
     path = public_tokenizers.path("piece_bpe_32k.model")
     return encode(table(spark, sf_dir, "documents"), path).select("doc_id", "n_tokens", "ids_crc32", "round_trip")
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.llm.suffix_dedup import remove_repeats
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
