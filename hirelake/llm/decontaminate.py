@@ -201,6 +201,17 @@ def search_shard(docs: list[np.ndarray], phrases: Phrases) -> list[tuple[np.ndar
     return out
 
 
+def _in_shards(pieces: list[np.ndarray], phrases: Phrases, shard_words: int):
+    """``search_shard`` over shards of bounded size, in order."""
+    at = 0
+    while at < len(pieces):
+        end, size = at, 0
+        while end < len(pieces) and (end == at or size + len(pieces[end]) <= shard_words):
+            size, end = size + len(pieces[end]), end + 1
+        yield from search_shard(pieces[at:end], phrases)
+        at = end
+
+
 def _spans(hit: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0])).astype(np.int8)))
     return [{"first": int(a), "last": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])]
@@ -227,15 +238,9 @@ def _scan(docs: DataFrame, block, window: int, shard_words: int, keep: str) -> D
                     owner.append((i, a))
             hits = [np.zeros(len(r[1]), bool) for r in rows]
             items = [set() for _ in rows]
-            at = 0
-            while at < len(pieces):  # shards of bounded size
-                end, size = at, 0
-                while end < len(pieces) and (end == at or size + len(pieces[end]) <= shard_words):
-                    size, end = size + len(pieces[end]), end + 1
-                for (i, a), (hit, own) in zip(owner[at:end], search_shard(pieces[at:end], phrases)):
-                    hits[i][a:a + len(hit)] |= hit
-                    items[i] |= own
-                at = end
+            for (i, a), (hit, own) in zip(owner, _in_shards(pieces, phrases, shard_words)):
+                hits[i][a:a + len(hit)] |= hit
+                items[i] |= own
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()),
                  pa.array([_spans(h) for h in hits], schema.field("spans").type),
@@ -304,6 +309,39 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
                       F.explode(F.sequence(F.lit(1), "times"))).drop("col")
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``docs`` without the rows that hold a window of an item. The rows keep
+    all their columns; null and empty texts stay."""
+    spark = docs.sparkSession
+    text_rows(spark)
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(items, "item_id", "text")]
+    out = docs
+    for block in blocks:  # each block of items takes out what it finds
+        out = _without_hits(out, block, window, shard_words)
+    return out
+
+
+def _without_hits(docs: DataFrame, block, window: int, shard_words: int) -> DataFrame:
+    at = docs.columns.index("text")
+
+    def run(batches):
+        phrases = Phrases(block.value, window)
+        get = phrases.symbol.get
+        for b in batches:
+            pieces, owner, clean = [], [], np.ones(b.num_rows, bool)
+            for i, text in enumerate(b.column(at).to_pylist()):
+                words = alnum_words((text or "").encode())
+                syms = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+                for a in range(0, max(1, len(syms)), shard_words):
+                    pieces.append(syms[a:a + shard_words + window - 1])
+                    owner.append(i)
+            for i, (hit, _) in zip(owner, _in_shards(pieces, phrases, shard_words)):
+                clean[i] &= not hit.any()
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def merged(spans):
     """Sorted spans with those that touch or overlap joined."""
     kind = "array<struct<first:long,last:long>>"

@@ -35,15 +35,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import fresh_path, stored, text_rows
+from hirelake.llm.blocks import by_block, of_block, placed, runs
+from hirelake.llm.common import stored, text_rows
 from hirelake.llm.encoders import _Memo
-from hirelake.llm.token_files import _fs, _qualified
 
 MARK = "▁"
 MAX_PART = 60
@@ -263,19 +260,7 @@ def viterbi(edges: Column, n: Column) -> Column:
 
 # ------------------------------------------------------------------ documents
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, block_rows: int) -> DataFrame:
-    """``(doc_id, text, block)``; a block is a run of rows of one file, so that
-    a second scan meets the same blocks. Rows that are not a plain scan of
-    files are written first."""
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / block_rows)).alias("block")
-    try:
-        return docs.select(*cols, block)
-    except AnalysisException:
-        return stored(docs.select(*cols), "pieces-input").select("doc_id", "text", block)
-
-
-def block_parts(placed: DataFrame, path: str, held: int = HELD) -> DataFrame:
+def block_parts(rows: DataFrame, path: str, held: int = HELD) -> DataFrame:
     """``(block, part)``: the word parts that need a lattice, distinct within a
     block but for repeats from a full buffer."""
 
@@ -285,11 +270,11 @@ def block_parts(placed: DataFrame, path: str, held: int = HELD) -> DataFrame:
         def out():
             for w in words:
                 parts.update(p for p in table.parts(w) if 1 < len(p) and table.alone(p) is None)
-            rows = list(parts)
+            all_ = list(parts)
             words.clear()
             parts.clear()
-            for a in range(0, len(rows), 50_000):
-                part = rows[a:a + 50_000]
+            for a in range(0, len(all_), 50_000):
+                part = all_[a:a + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())],
                                                  names=["block", "part"])
 
@@ -302,26 +287,18 @@ def block_parts(placed: DataFrame, path: str, held: int = HELD) -> DataFrame:
                 words.update(words_of(text))
         yield from out()
 
-    return placed.mapInArrow(run, "block long, part string")
+    return rows.mapInArrow(run, "block long, part string")
 
 
 def _dictionary(folder: str, block: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
     """Part -> number, and the parts' ids, of one block's file."""
-    fs, base = _fs(folder)
-    place = f"{base}/block={block}"
-    number, sizes, flats = {}, [], []
-    if fs.get_file_info(place).type == pafs.FileType.Directory:
-        for f in fs.get_file_info(pafs.FileSelector(place)):
-            if f.base_name.endswith(".parquet") and f.base_name[0] not in "._":
-                with fs.open_input_file(f.path) as src:
-                    t = pq.ParquetFile(src).read(["part", "ids"])
-                for part in t.column("part").to_pylist():
-                    number[part] = len(number)
-                ids = t.column("ids").combine_chunks()
-                sizes.append(ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-                flats.append(ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32))
-    size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    return number, size, np.cumsum(size) - size, np.concatenate(flats) if flats else np.zeros(0, np.uint32)
+    t = of_block(folder, block, ["part", "ids"])
+    if t is None:
+        return {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    ids = t.column("ids").combine_chunks()
+    size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    number = {p: i for i, p in enumerate(t.column("part").to_pylist())}
+    return number, size, np.cumsum(size) - size, ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
 
 
 class _BlockEncoder:
@@ -368,23 +345,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     text_rows(spark)
     table = piece_table(path)
-    placed = _placed(docs, id_col, text_col, block_rows)
-    noted = stored(block_parts(placed, path), "piece-parts")
+    rows = placed(docs, id_col, text_col, block_rows)
+    noted = stored(block_parts(rows, path), "piece-parts")
     known = lattice(noted.select("part").distinct(), table)
-    folder = fresh_path(spark, "piece-ids")
-    noted.distinct().join(known, "part").repartition("block").write.partitionBy("block").parquet(folder)
-    folder = _qualified(spark, folder)
+    folder = by_block(noted.distinct().join(known, "part"), "piece-ids")
 
     def run(batches):
         own, now, enc = piece_table(path), None, None
         for b in batches:
-            texts, blocks = b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(texts)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
+            texts, blocks = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for lo, hi in runs(blocks):
                 if enc is None or now != blocks[lo]:
-                    now, enc = blocks[lo], _BlockEncoder(folder, int(blocks[lo]), own)
+                    now, enc = blocks[lo], _BlockEncoder(folder, blocks[lo], own)
                 ids = enc.encode(texts[lo:hi])
                 ends = np.cumsum([0, *map(len, ids)])
                 cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -394,7 +366,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                      pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(same, pa.bool_())],
                     names=["doc_id", "ids", "n_tokens", "ids_crc32", "round_trip"])
 
-    return placed.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
