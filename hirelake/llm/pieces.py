@@ -19,11 +19,13 @@ ranks that rise towards the piece (checked when the table is loaded); hence
 one walk gives what a priority queue would.
 
 Plan: one scan notes the distinct word parts of each block of rows; a join on
-the parts carries their ids back to the blocks that use them, one file a block
-in the shared folder; a second scan of the same rows replaces words by ids.
-Texts are never shuffled, and a task holds the parts of one block. Parts over
-``MAX_PART`` characters have no bit mask; they are merged in the second scan by
-a queue in the same order, and characters without a piece become byte pieces.
+the parts carries their borders back to the blocks that use them, one file a
+block in the shared folder; a second scan of the same rows cuts the words there
+and looks the pieces up. Texts are never shuffled, and a task holds the parts
+of one block. Parts over ``MAX_PART`` characters have no bit mask, and runs of
+blanks have pieces of equal score; both are merged in the second scan by a
+queue in the same order. A part that is a piece needs nothing, and characters
+without a piece become byte pieces.
 """
 
 from __future__ import annotations
@@ -45,8 +47,8 @@ from hirelake.llm.encoders import _Memo
 MARK = "▁"
 MAX_PART = 60
 BLOCK_ROWS = 8192
-#: parts noted by a task before they are handed on
-HELD = 400_000
+#: words held by a task before they are handed on or forgotten
+HELD = 200_000
 
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*").findall
 
@@ -67,6 +69,17 @@ class PieceTable:
     def __post_init__(self):
         self.pairs = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.longest = max(map(len, self.pieces))
+        # the same pairs for whole arrays of characters: those that stand in a pair are numbered from 1
+        chars = sorted({ord(c) for p in self.pairs for c in p if ord(c) < 0x10000})
+        self.char_no = np.zeros(0x10001, np.int32)  # the last one stands for all beyond
+        self.char_no[chars] = np.arange(1, len(chars) + 1)
+        self.pair_ok = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.rare_pairs = set()
+        for p in self.pairs:
+            if max(map(ord, p)) < 0x10000:
+                self.pair_ok[self.char_no[ord(p[0])], self.char_no[ord(p[1])]] = True
+            else:
+                self.rare_pairs.add(p)
 
     @classmethod
     def load(cls, path: str) -> PieceTable:
@@ -101,38 +114,34 @@ class PieceTable:
                 split[p] = last_split(p, pieces)
         return cls(pieces, split, False, first, m.trainer_spec.unk_id, texts, byte_of)
 
-    def order(self) -> dict:
-        """Piece -> (rank, begin and end of the merge that sets it off, steps
-        after that merge), the places counted from the piece's first character."""
-        ranks = {s: k for k, s in enumerate(sorted({s for _, s in self.pieces.values()}, reverse=True))}
-        out: dict = {}
-        for p in sorted(self.pieces, key=len):
-            if len(p) == 1:
-                out[p] = (-1, 0, 0, 0)
-                continue
-            at = self.split.get(p, 0)
-            own = (ranks[self.pieces[p][1]], 0, len(p), 0)
-            (r, a, b, f), (r2, a2, b2, f2) = out.get(p[:at], own), out.get(p[at:], own)
-            last = max((r, a, b, f), (r2, a2 + at, b2 + at, f2)) if at else own
-            out[p] = own if own >= last else (*last[:3], last[3] + 1)
-        return out
-
     def bytes_of(self, ch: str) -> list[int]:
         return [self.first_byte + b for b in ch.encode()] if self.first_byte >= 0 else [self.unknown]
 
-    def parts(self, word: str) -> list[str]:
-        """The word cut where no piece can cross."""
-        pairs = self.pairs
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1:i + 1] not in pairs), len(word)]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def alone(self, part: str) -> list[int] | None:
-        """The ids of a part that needs no lattice, or None."""
-        if len(part) == 1:
-            return [self.pieces[part][0]] if part in self.pieces else self.bytes_of(part)
-        if len(part) > MAX_PART and not self.unigram:
-            return [self.pieces[x][0] for x in merge_queue(part, self.pieces)[0]]
-        return None
+    def cuts(self, words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+        """The words joined, the places where each begins (and the end), and
+        the places where no piece can cross, word borders included."""
+        text = "".join(words)
+        starts = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, words), np.int64, len(words)), out=starts[1:])
+        code = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x10000)
+        no = self.char_no[code]
+        cut = np.ones(len(code) + 1, bool)
+        cut[1:-1] = ~self.pair_ok[no[:-1], no[1:]]
+        if self.rare_pairs:
+            for i in np.flatnonzero((code[:-1] == 0x10000) | (code[1:] == 0x10000)) + 1:
+                cut[i] = text[i - 1:i + 1] not in self.rare_pairs
+        cut[starts] = True
+        return text, starts, np.flatnonzero(cut)
+
+    def plain(self, part: str) -> bool:
+        """True if a part of two characters or more goes through the lattice."""
+        return len(part) <= MAX_PART and (self.unigram or part not in self.pieces and not part.startswith(MARK + MARK))
+
+    def queued(self, part: str) -> list[str]:
+        """The tokens of a part that does not."""
+        if self.unigram:
+            return best_path(part, self.pieces, self.longest)
+        return [part] if part in self.pieces else merge_queue(part, self.pieces)[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte pieces as bytes (broken UTF-8
@@ -170,6 +179,21 @@ def merge_queue(word: str, pieces: dict) -> tuple[list[str], list[float]]:
     return [x for x in sym if x is not None], scores
 
 
+def best_path(word: str, pieces: dict, longest: int) -> list[str]:
+    """Viterbi for one long word: the tokens with the largest sum of scores,
+    a character without a piece below every other."""
+    worst = min((s for _, s in pieces.values()), default=0.0) - 10.0
+    best = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        found = [(best[s][0] + pieces[word[s:e]][1], s) for s in range(max(0, e - longest), e) if word[s:e] in pieces]
+        best.append(max(found, key=lambda x: (x[0], -x[1])) if found else (best[e - 1][0] + worst, e - 1))
+    out, e = [], len(word)
+    while e:
+        out.append(word[best[e][1]:e])
+        e = best[e][1]
+    return out[::-1]
+
+
 def last_split(piece: str, pieces: dict) -> int:
     """Length of the left half when the piece is merged at last."""
     without = {k: v for k, v in ((piece[i:j], pieces.get(piece[i:j])) for i in range(len(piece))
@@ -199,63 +223,67 @@ def words_of(text: str) -> list[str]:
 # ------------------------------------------------------------------ the lattice
 
 def lattice(parts: DataFrame, table: PieceTable) -> DataFrame:
-    """``(part, ids)`` for distinct word parts of 2 to ``MAX_PART`` characters,
-    all of them characters that have pieces."""
+    """``(part, borders)`` for distinct word parts of 2 to ``MAX_PART``
+    characters, all of them characters that have pieces. Bit ``i`` of
+    ``borders`` is set if a token begins or ends before character ``i``."""
     spark = parts.sparkSession
-    order = table.order()
-    rows = [(p, i, float(s), table.split.get(p, 0), *order[p]) for p, (i, s) in table.pieces.items()]
-    vocabulary = spark.createDataFrame(
-        rows, "piece string, id int, score double, split int, rank int, first int, last int, after int")
+    ranks = {p: k for k, p in enumerate(sorted(table.pieces, key=lambda p: -table.pieces[p][1]))}
+    least = 1 if table.unigram else 2  # single characters are where merging starts
+    rows = [(p, float(s), ranks[p], table.split.get(p, 0)) for p, (_, s) in table.pieces.items() if len(p) >= least]
+    vocabulary = spark.createDataFrame(rows, "piece string, score double, rank long, split int")
     n = F.length("part")
-    cut = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(table.longest), n - s)),
-        lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("part"), s + 1, k).alias("piece"))))))
-    edges = parts.select("part", cut.alias("x")).select("part", "x.s", "x.e", "x.piece")
-    edges = edges.join(F.broadcast(vocabulary), "piece")  # the vocabulary file bounds it
+    cut = parts.select("part", F.explode(F.sequence(F.lit(0), n - least)).alias("s"))
+    cut = cut.select("part", "s", F.explode(F.sequence(F.lit(least), F.least(F.lit(table.longest), n - F.col("s")))).alias("k"))
+    cut = cut.withColumn("piece", F.substr("part", F.col("s") + 1, F.col("k")))
+    edges = cut.join(F.broadcast(vocabulary), "piece")  # the vocabulary file bounds it
     if table.unigram:
-        grouped = edges.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("e", "s", "score", "id"))).alias("edges"))
-        return grouped.select("part", viterbi(F.col("edges"), n).alias("ids"))
-    one = F.lit(1).cast("long")
-    bit = lambda at: F.call_function("shiftleft", one, at)
-    ends = bit(F.col("s")).bitwiseOR(bit(F.col("e")))
-    region = F.call_function("shiftleft", bit(F.col("e") - F.col("s") + 1) - 1, F.col("s"))
-    middle = F.when(F.col("split") > 0, bit(F.col("s") + F.col("split"))).otherwise(F.lit(0).cast("long"))
-    edge = F.struct("rank", (F.col("s") + F.col("first")).alias("first"), (F.col("s") + F.col("last")).alias("last"), "after",
-                    "s", region.alias("region"), ends.alias("ends"), middle.alias("middle"), "id")
-    grouped = edges.groupBy("part").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-    return grouped.select("part", merge_fold(F.col("edges"), n).alias("ids"))
+        edge = F.struct((F.col("s") + F.col("k")).alias("e"), "s", "score")
+        grouped = edges.groupBy("part").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+        return grouped.select("part", viterbi(F.col("edges"), n).alias("borders"))
+    # one number an edge: rank, begin, length, length of the left half
+    edge = (F.shiftleft("rank", 18).bitwiseOR(F.shiftleft("s", 12).cast("long")).bitwiseOR(F.shiftleft("k", 6).cast("long"))
+            .bitwiseOR(F.col("split").cast("long")))
+    grouped = edges.groupBy("part").agg(F.collect_list(edge).alias("edges"))
+    return grouped.select("part", merge_fold(F.sort_array("edges"), n).alias("borders"))
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
 
 
 def merge_fold(edges: Column, n: Column) -> Column:
-    """Ids by a walk over the edges in the order of their ranks. The state has
-    a bit for each border between two symbols; an edge whose region shows just
-    its ends and its middle loses the middle."""
-    everywhere = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-    borders = F.aggregate(edges, everywhere, lambda b, x: F.when(
-        (x["middle"] != 0) & (b.bitwiseAND(x["region"]) == x["ends"] + x["middle"]), b - x["middle"]).otherwise(b))
-    left = F.transform(F.array(borders), lambda b: F.filter(edges, lambda x: b.bitwiseAND(x["region"]) == x["ends"]))
-    tokens = F.array_sort(F.transform(F.element_at(left, 1), lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id"))))
-    return F.transform(tokens, lambda x: x["id"])
+    """Borders by a walk over the edges in the order of their ranks. All
+    borders stand at first; an edge whose region shows just its ends and its
+    middle loses the middle."""
+    def step(b, x):
+        s = F.shiftright(x, 12).bitwiseAND(63)
+        k, left = F.shiftright(x, 6).bitwiseAND(63), x.bitwiseAND(63)
+        region = F.call_function("shiftleft", _bit(k + 1) - 1, s.cast("int"))
+        middle = _bit(s + left)
+        return F.when(b.bitwiseAND(region) == _bit(s) + _bit(s + k) + middle, b - middle).otherwise(b)
+
+    return F.aggregate(edges, _bit(n + 1) - 1, step)
 
 
 def viterbi(edges: Column, n: Column) -> Column:
-    """Ids of the path with the largest sum of scores; among equal sums the
-    one whose last edges are longest. ``edges`` are sorted by end and start."""
-    state = "array<struct<score:double,ids:array<int>>>"
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids"))).cast(state)
+    """Borders of the path with the largest sum of scores; among equal sums
+    the one whose last edges are longest. ``edges`` are sorted by end and
+    start."""
+    state = "array<struct<score:double,borders:bigint>>"
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("borders"))).cast(state)
 
     def step(acc, e):
         def better(best, x):
             before = F.element_at(acc, x["s"] + 1)
             total = before["score"] + x["score"]
             return F.when(before["score"].isNotNull() & (best["score"].isNull() | (total > best["score"])), F.struct(
-                total.alias("score"), F.concat(before["ids"], F.array(x["id"])).alias("ids"))).otherwise(best)
+                total.alias("score"), before["borders"].bitwiseOR(_bit(x["e"])).alias("borders"))).otherwise(best)
 
-        none = F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("array<int>").alias("ids"))
+        none = F.struct(F.lit(None).cast("double").alias("score"), F.lit(None).cast("long").alias("borders"))
         best = F.aggregate(F.filter(edges, lambda x: x["e"] == e), none, better)
         return F.concat(acc, F.array(best))
 
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["ids"]
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["borders"]
 
 
 # ------------------------------------------------------------------ documents
@@ -265,69 +293,88 @@ def block_parts(rows: DataFrame, path: str, held: int = HELD) -> DataFrame:
     block but for repeats from a full buffer."""
 
     def run(batches):
-        table, block, words, parts = piece_table(path), None, set(), set()
+        table, block, words = piece_table(path), None, set()
 
         def out():
-            for w in words:
-                parts.update(p for p in table.parts(w) if 1 < len(p) and table.alone(p) is None)
-            all_ = list(parts)
+            text, _, cuts = table.cuts(list(words))
             words.clear()
-            parts.clear()
-            for a in range(0, len(all_), 50_000):
-                part = all_[a:a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())],
+            a, b = cuts[:-1], cuts[1:]
+            long_ = b - a > 1
+            parts = {text[x:y] for x, y in zip(a[long_].tolist(), b[long_].tolist())}
+            parts = [p for p in parts if table.plain(p)]
+            for x in range(0, len(parts), 50_000):
+                some = parts[x:x + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.string())],
                                                  names=["block", "part"])
 
         for b in batches:
-            blocks = b.column(2).to_numpy(zero_copy_only=False)
-            for text, k in zip(b.column(1).to_pylist(), blocks.tolist()):
+            for text, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if k != block or len(words) > held:
-                    yield from out()
+                    if words:
+                        yield from out()
                     block = k
                 words.update(words_of(text))
-        yield from out()
+        if words:
+            yield from out()
 
     return rows.mapInArrow(run, "block long, part string")
 
 
-def _dictionary(folder: str, block: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-    """Part -> number, and the parts' ids, of one block's file."""
-    t = of_block(folder, block, ["part", "ids"])
-    if t is None:
-        return {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-    ids = t.column("ids").combine_chunks()
-    size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    number = {p: i for i, p in enumerate(t.column("part").to_pylist())}
-    return number, size, np.cumsum(size) - size, ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-
-
 class _BlockEncoder:
-    """Encodes the texts of one block from its dictionary."""
+    """Encodes the texts of one block from the borders in its file."""
 
     def __init__(self, folder: str, block: int, table: PieceTable):
         self.table, self.words = table, _Memo()
-        self.number, self.size, self.begin, self.flat = _dictionary(folder, block)
-
-    def _word(self, word: str) -> list:
-        out = []
-        for p in self.table.parts(word):
-            k = self.number.get(p)
-            if k is None:
-                if (ids := self.table.alone(p)) is None:
-                    raise KeyError(f"no ids for {p!r}: the input changed between two scans")
-                out.append(np.array(ids, np.uint32))
-            else:
-                out.append(self.flat[self.begin[k]:self.begin[k] + self.size[k]])
-        return out
+        t = of_block(folder, block, ["part", "borders"])
+        self.borders = dict(zip(*(c.to_pylist() for c in t.columns))) if t is not None else {}
+
+    def _learn(self) -> None:
+        """Cut the words noted since the last call into pieces."""
+        new = self.words.new
+        if not new:
+            return
+        table, known = self.table, self.borders
+        text, starts, cuts = table.cuts(new)
+        places, more = [cuts], []
+        parts = [text[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        masks = np.fromiter((known.get(p, 0) for p in parts), np.int64, len(parts))
+        for i in np.flatnonzero((masks == 0) & (np.diff(cuts) > 1)).tolist():
+            if table.plain(parts[i]):
+                raise KeyError(f"no borders for {parts[i]!r}: the rows changed between two scans")
+            at = int(cuts[i])
+            for token in table.queued(parts[i])[:-1]:
+                at += len(token)
+                more.append(at)
+        some = np.flatnonzero(masks)
+        for k in range(1, MAX_PART):
+            some = some[masks[some] >> k > 0]
+            if not len(some):
+                break
+            places.append(cuts[some[(masks[some] >> k) & 1 == 1]] + k)
+        ends = np.unique(np.concatenate([*places, np.array(more, np.int64)]))
+        tokens = [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        get = table.pieces.get
+        found = [get(t) for t in tokens]
+        owner = np.searchsorted(starts, ends[:-1], side="right") - 1
+        if None in found:  # characters without a piece
+            ids, of = [], []
+            for t, f, w in zip(tokens, found, owner.tolist()):
+                own = [f[0]] if f else table.bytes_of(t)
+                ids += own
+                of += [w] * len(own)
+            owner = np.array(of, np.int64)
+        else:
+            ids = [f[0] for f in found]
+        self.words.put(np.bincount(owner, minlength=len(new)), np.array(ids, np.uint32))
 
     def encode(self, texts: list) -> list[np.ndarray]:
+        if len(self.words) > HELD:
+            self.words = _Memo()
         at = []
         for t in texts:
             w = words_of(t or "")
             at.append(np.fromiter(map(self.words.__getitem__, w), np.int64, len(w)))
-        ids = [self._word(w) for w in self.words.new]
-        if ids:
-            self.words.put(np.array([sum(map(len, x)) for x in ids], np.int64), np.concatenate([y for x in ids for y in x]))
+        self._learn()
         return [self.words.take(a) for a in at]
 
 
@@ -348,7 +395,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     rows = placed(docs, id_col, text_col, block_rows)
     noted = stored(block_parts(rows, path), "piece-parts")
     known = lattice(noted.select("part").distinct(), table)
-    folder = by_block(noted.distinct().join(known, "part"), "piece-ids")
+    alone = F.call_function("shiftleft", F.lit(1).cast("long"), F.length("part") + 1) - 1  # no edge: no merge
+    answers = noted.join(known, "part", "left").select("block", "part", F.coalesce("borders", alone).alias("borders"))
+    folder = by_block(answers, "piece-borders")
 
     def run(batches):
         own, now, enc = piece_table(path), None, None
