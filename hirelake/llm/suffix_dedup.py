@@ -52,7 +52,8 @@ LENGTH = 400
 BLOCK = 200
 SPREAD = LENGTH - BLOCK + 1  # block starts inside one string
 AROUND = LENGTH - BLOCK  # bytes before and after a sample's block that matter
-GROUP = 8000
+#: triples of one group that a task compares; a row takes 2 KB
+GROUP = 40_000
 BLOCK_ROWS = 8192
 #: bytes hashed at once
 SLAB = 1 << 20
@@ -191,46 +192,43 @@ def _ranges(good: np.ndarray) -> list[dict]:
     return [{"lo": int(a), "hi": int(b) - 1} for a, b in zip(edge[::2], edge[1::2])]
 
 
-class _Group:
-    """Surroundings of samples with the same block: a matrix of ``AROUND``
-    bytes, the block, ``AROUND`` bytes; what lies outside a document is 0 and
-    not ``valid``."""
-
-    def __init__(self, around: list[bytes], left: np.ndarray):
-        n = len(around)
-        self.bytes = np.zeros((n, LENGTH + AROUND), np.uint8)
-        size = np.fromiter(map(len, around), np.int64, n)
-        for i, (x, l) in enumerate(zip(around, left.tolist())):
-            self.bytes[i, AROUND - l:AROUND - l + len(x)] = np.frombuffer(x, np.uint8)
-        shift = np.arange(AROUND + 1)
-        self.valid = (shift <= left[:, None]) & (LENGTH - shift <= (size - left)[:, None])
-
-    def names(self) -> np.ndarray:
-        """Names of the strings that start 0, 1, ... bytes before the sample."""
-        n, width = self.bytes.shape
-        up, down = _tables(width + 1)
-        prefix = np.zeros((n, width + 1), np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + _U(7)) * up[:width], axis=1, out=prefix[:, 1:])
-        a = AROUND - np.arange(AROUND + 1)
-        return _mixed((prefix[:, a + LENGTH] - prefix[:, a]) * down[a])
-
-    def repeated(self) -> np.ndarray:
-        """Row by row, the shifts whose string some other row has too."""
-        names = self.names()
-        order = np.argsort(names, axis=0, kind="stable")
-        names = np.take_along_axis(names, order, 0)
-        valid = np.take_along_axis(self.valid, order, 0)
-        # invalid strings never equal anything: valid ones are brought together first
-        key = np.lexsort((~valid, names), axis=0)
-        names, valid = np.take_along_axis(names, key, 0), np.take_along_axis(valid, key, 0)
-        order = np.take_along_axis(order, key, 0)
-        same = (names[1:] == names[:-1]) & valid[1:] & valid[:-1]
-        hit = np.zeros(names.shape, bool)
+def _strings(around: list[bytes], left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the strings that start 0, 1, ... bytes before each sample,
+    from its surroundings, and which of them lie inside the document. A few
+    rows at a time, so that only the names are as many as the rows."""
+    n, width = len(around), LENGTH + AROUND
+    up, down = _tables(width + 1)
+    shift = np.arange(AROUND + 1)
+    a = AROUND - shift
+    names = np.empty((n, AROUND + 1), np.uint64)
+    size = np.fromiter(map(len, around), np.int64, n)
+    for r in range(0, n, 1000):
+        part = around[r:r + 1000]
+        raw = np.zeros((len(part), width), np.uint8)
+        for i, (x, l) in enumerate(zip(part, left[r:r + 1000].tolist())):
+            raw[i, AROUND - l:AROUND - l + len(x)] = np.frombuffer(x, np.uint8)
+        prefix = np.zeros((len(part), width + 1), np.uint64)
+        np.cumsum((raw.astype(np.uint64) + _U(7)) * up[:width], axis=1, out=prefix[:, 1:])
+        names[r:r + 1000] = _mixed((prefix[:, a + LENGTH] - prefix[:, a]) * down[a])
+    valid = (shift <= left[:, None]) & (LENGTH - shift <= (size - left)[:, None])
+    return names, valid
+
+
+def _repeated(names: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Row by row, the shifts whose string some other row has too."""
+    out = np.zeros(names.shape, bool)
+    names[~valid] = np.arange(int((~valid).sum()), dtype=np.uint64)  # each unlike all others
+    for c in range(0, names.shape[1], max(1, 2_000_000 // len(names))):  # some columns of a large group
+        part = names[:, c:c + max(1, 2_000_000 // len(names))]
+        order = np.argsort(part, axis=0, kind="stable")
+        part = np.take_along_axis(part, order, 0)
+        ok = np.take_along_axis(valid[:, c:c + part.shape[1]], order, 0)
+        same = (part[1:] == part[:-1]) & ok[1:] & ok[:-1]
+        hit = np.zeros(part.shape, bool)
         hit[1:] |= same
         hit[:-1] |= same
-        out = np.zeros(names.shape, bool)
-        np.put_along_axis(out, order, hit, 0)
-        return out
+        np.put_along_axis(out[:, c:c + part.shape[1]], order, hit, 0)
+    return out
 
 
 def _pair_shifts(a: bytes, la: int, b: bytes, lb: int) -> tuple[int, int]:
@@ -263,7 +261,7 @@ def _compare(groups: DataFrame) -> DataFrame:
                 if lo <= hi:
                     out += [(own[i], triple[i], [{"lo": lo, "hi": hi}]) for i in (a, a + 1)]
             elif b - a > 2:
-                hit = _Group(around[a:b], left[a:b]).repeated()
+                hit = _repeated(*_strings(around[a:b], left[a:b]))
                 out += [(own[i], triple[i], _ranges(h)) for i, h in zip(range(a, b), hit) if h.any()]
         cols = list(zip(*out)) if out else [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
@@ -292,11 +290,11 @@ def _compare_large(groups: DataFrame) -> DataFrame:
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                g = _Group(part.column(2).to_pylist(), part.column(3).to_numpy(zero_copy_only=False))
-                i, shift = np.nonzero(g.valid)
+                names, valid = _strings(part.column(2).to_pylist(), part.column(3).to_numpy(zero_copy_only=False))
+                i, shift = np.nonzero(valid)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(i)), part.column(1).take(pa.array(i)), pa.array(shift, pa.int32()),
-                     pa.array(g.names()[i, shift].view(np.int64))], names=["own", "triple", "shift", "name"])
+                     pa.array(names[i, shift].view(np.int64))], names=["own", "triple", "shift", "name"])
 
     strings = groups.select("own", "triple", "around", "left").mapInArrow(run, "own long, triple long, shift int, name long")
     again = strings.groupBy("own", "shift", "name").agg(F.count("*").alias("n")).where("n > 1").drop("n")
