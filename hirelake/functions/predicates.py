@@ -92,20 +92,6 @@ def career_keyword_count(content) -> Column:
     return count_present(F.lower(_c(content)), rules.CAREER_KEYWORDS)
 
 
-def career_like(content) -> Column:
-    return career_keyword_count(content) >= 2
-
-
-def fetch_ok(status) -> Column:
-    return _c(status) < 400
-
-
-def proxy_eligible(is_healthy, fail_count) -> Column:
-    return _c(is_healthy) | (_c(fail_count) < 3)
-
-
-# ---------------------------------------------------------------- ATS
-
 def ats_from_url(url, domain_first: bool = False) -> Column:
     """Struct(is_ats, platform, confidence) from the URL alone, or NULL when no
     rule hits. Faithful order tests, per platform, its domains then its URL

@@ -82,45 +82,51 @@ def is_http(url: ColOrName) -> Column:
     return u.startswith("http://") | u.startswith("https://")
 
 
-def _strip_fragment(u: Column) -> Column:
-    return F.regexp_replace(u, r"#.*$", "")
-
-
-def _strip_query(u: Column) -> Column:
-    return F.regexp_replace(_strip_fragment(u), r"\?.*$", "")
-
-
-def _remove_dot_segments(p: Column) -> Column:
-    # "/./" -> "/", then collapse "seg/../" pairs a bounded number of times
-    p = F.regexp_replace(p, r"/\./", "/")
-    p = F.regexp_replace(p, r"/\.$", "/")
-    for _ in range(4):
-        p = F.regexp_replace(p, r"/[^/]+/\.\./", "/")
-        p = F.regexp_replace(p, r"/[^/]+/\.\.$", "/")
-    return F.regexp_replace(p, r"^/\.\./", "/")
+def _merged_path(base_path: Column, path: Column) -> Column:
+    """Path of a relative reference: merged with the base's directory, empty
+    inner segments dropped, dot segments resolved one after the other."""
+    up = F.split(base_path, "/")
+    directory = F.when(F.element_at(up, -1) != "", F.slice(up, 1, F.size(up) - 1)).otherwise(up)
+    joined = F.concat(directory, F.split(path, "/"))
+    n = F.size(joined)
+    inner = F.filter(F.slice(joined, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")
+    relative = F.when(n > 1, F.concat(F.slice(joined, 1, 1), inner, F.slice(joined, -1, 1))).otherwise(joined)
+    segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(relative)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, s: F.when(
+        s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    dots = F.element_at(segments, -1).isin(".", "..")
+    out = F.array_join(F.when(dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
 
 
 def resolve_url(base: ColOrName, href: ColOrName) -> Column:
-    """Absolute URL of ``href`` relative to page ``base`` (RFC 3986 merge).
-
-    Covers absolute, network-path (``//h``), root (``/p``), query (``?q``),
-    fragment (``#f``), empty and relative references with dot segments.
-    """
-    b, h = _c(base), _c(href)
-    scheme = F.regexp_extract(b, _SCHEME_RE, 1)
-    origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    """Absolute URL of ``href`` relative to page ``base``, as browsers' and
+    the standard library's joins agree on: blanks and control characters in
+    front are dropped, tabs and line ends vanish, query and fragment are cut
+    off before dot segments are resolved (any number of them), a reference
+    without a path keeps the base's, and one of another scheme stays as it
+    is. An empty reference gives the base, an empty base the reference."""
+    b, raw = _c(base), _c(href)
+    h = F.regexp_replace(F.regexp_replace(raw, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    scheme = F.lower(F.regexp_extract(b, _SCHEME_RE, 1))
+    own = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    rest = F.when(own != "", F.substr(h, F.length(own) + 2)).otherwise(h)
+    network = rest.startswith("//")
+    authority = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+    after = F.when(network, F.regexp_replace(rest, r"^//[^/?#]*", "")).otherwise(rest)
+    path = F.regexp_extract(after, r"^([^?#]*)", 1)
+    query = F.regexp_extract(after, r"^[^?#]*\?([^#]*)", 1)
+    fragment = F.regexp_extract(after, r"(?s)^[^#]*#(.*)$", 1)
     base_path = url_path(b)
-    base_dir = F.regexp_replace(base_path, r"[^/]*$", "")
-    rel_dir = F.when(base_dir == "", F.lit("/")).otherwise(base_dir)
-    return (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, _remove_dot_segments(h)))
-        .when(h.startswith("?"), F.concat(_strip_query(b), h))
-        .when(h.startswith("#"), F.concat(_strip_fragment(b), h))
-        .when(h == "", _strip_fragment(b))
-        .otherwise(F.concat(origin, _remove_dot_segments(F.concat(rel_dir, h))))
-    )
+    base_query = F.regexp_extract(b, r"^[^?#]*\?([^#]*)", 1)
+    tail_query = F.when((path == "") & (query == "") & ~network, base_query).otherwise(query)
+    tail = F.concat(F.when(tail_query != "", F.concat(F.lit("?"), tail_query)).otherwise(F.lit("")),
+                    F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(F.lit("")))
+    new_path = F.when(path == "", base_path).otherwise(_merged_path(base_path, path))
+    return (F.when(raw == "", b).when(b == "", raw)
+            .when((own != "") & (own != scheme), raw)
+            .when(network, F.concat(scheme, F.lit(":"), F.regexp_extract(rest, r"^(//[^/?#]*)", 1), path, tail))
+            .otherwise(F.concat(scheme, F.lit("://"), authority, new_path, tail)))
 
 
 def capitalize(x: ColOrName) -> Column:
@@ -168,13 +174,15 @@ def count_present(x: ColOrName, needles: list[str]) -> Column:
     return F.size(F.filter(arr, lambda k: F.contains(_c(x), k)))
 
 
-def clean_text(x: ColOrName, max_chars: int = 8000) -> Column:
+def clean_text(x: ColOrName, max_chars: int | None = None) -> Column:
     """Visible-text normalisation: split lines, strip, split on double space,
-    strip, drop blanks, join with newline, keep the first ``max_chars``."""
+    strip, drop blanks, join with newline; with ``max_chars`` only so many
+    characters."""
     lines = F.split(_c(x), r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]")
     phrases = F.flatten(F.transform(lines, lambda l: F.split(strip_ws(l), "  ")))
     kept = F.filter(F.transform(phrases, lambda p: strip_ws(p)), lambda p: p != "")
-    return F.substring(F.array_join(kept, "\n"), 1, max_chars)
+    text = F.array_join(kept, "\n")
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
 def html_unescape_basic(x: ColOrName) -> Column:
@@ -205,8 +213,9 @@ def days_before(as_of, days: int) -> Column:
 def parse_rfc3339(x: ColOrName, fallback) -> Column:
     """RFC 3339 text to timestamp; missing/empty -> fallback; bad text -> epoch zero."""
     s = _c(x)
+    short = F.regexp_replace(s, r"(\.[0-9]{6})[0-9]+", "$1")  # a timestamp holds microseconds
     parsed = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-                        F.try_to_timestamp(s, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))).cast("timestamp_ntz")
+                        F.try_to_timestamp(short, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))).cast("timestamp_ntz")
     return (F.when(s.isNull() | (s == ""), clock(fallback).cast("timestamp_ntz"))
             .otherwise(F.coalesce(parsed, clock("0001-01-01 00:00:00"))))
 

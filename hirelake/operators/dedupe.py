@@ -50,9 +50,16 @@ def dedup_hosts(hosts: DataFrame, host: str = "subdomain", method: str = "method
     return out.drop("__rank")
 
 
-def seen_window(df: DataFrame, key: str, seen: str) -> DataFrame:
-    """first/last seen per key attached to every row — aggregate then
-    join back (AQE splits a skewed key on the large side) instead of an
-    unordered window that would put a hot key in one task."""
-    agg = df.groupBy(key).agg(F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"))
-    return df.join(agg, key, "left")
+def seen_window(df: DataFrame, key: str, seen: str, salts: int = 16) -> DataFrame:
+    """first/last seen per key attached to every row: a partial
+    aggregate, then a join back on (key, salt). The rows of a key are dealt
+    over ``salts`` tasks (a join with an aggregate on its own key is not split
+    at run time); only keys with more than one row are copied for each salt,
+    a row alone with its key is its own first and last."""
+    agg = (df.groupBy(key).agg(F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), F.count(F.lit(1)).alias("__n"))
+           .filter((F.col("__n") > 1) & F.col(key).isNotNull()).drop("__n")
+           .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(F.col(seen)), F.lit(salts)).cast("int"))
+    out = salted.join(agg, [key, "__salt"], "left").drop("__salt")
+    alone = F.when(F.col(key).isNotNull(), F.col(seen))
+    return out.withColumn("first_seen", F.coalesce("first_seen", alone)).withColumn("last_seen", F.coalesce("last_seen", alone))

@@ -23,11 +23,6 @@ def site_domain(host) -> F.Column:
     return F.regexp_replace(S._c(host), r"^(www|m|blog)\.", "")
 
 
-def registered_domain(host) -> F.Column:
-    """Last two labels of a host."""
-    return F.regexp_extract(S._c(host), r"([^.]+\.[^.]+)$", 1)
-
-
 def ct_hosts(entries: DataFrame, domain: str = "domain", name_value: str = "name_value") -> DataFrame:
     """Certificate-log entries -> hosts. Each entry's name list is split on
     newlines, stripped, wildcard ``*.`` removed, kept when it ends with the
@@ -110,18 +105,19 @@ def org_to_company(records: DataFrame, json_col: str = "body") -> DataFrame:
                     F.lit("github").alias("source"), meta.alias("metadata"))
 
 
-def result_rows(responses: DataFrame, json_col: str = "body", limit: int = 100) -> DataFrame:
+def result_rows(responses: DataFrame, json_col: str = "body", limit: int | None = None) -> DataFrame:
     """Search-API response -> one row per organic result with
-    rank = position + 1; missing fields become ''; at most ``min(limit, 100)``
-    results per response (the API's page cap)."""
+    rank = position + 1; missing fields become ''; with ``limit`` only the
+    first so many results of each response."""
     item = T.StructType([T.StructField("link", T.StringType()), T.StructField("title", T.StringType()),
                          T.StructField("snippet", T.StringType())])
     schema = T.StructType([T.StructField("organic_results", T.ArrayType(item))])
     parsed = responses.withColumn("__r", F.from_json(F.col(json_col), schema))
     rows = parsed.select(*[c for c in responses.columns if c != json_col],
                          F.posexplode(F.col("__r.organic_results")).alias("__pos", "__it"))
-    cap = min(limit, 100)
-    return rows.filter(F.col("__pos") < cap).select(
+    if limit is not None:
+        rows = rows.filter(F.col("__pos") < limit)
+    return rows.select(
         *[c for c in responses.columns if c != json_col],
         F.coalesce(F.col("__it.link"), F.lit("")).alias("url"),
         F.coalesce(F.col("__it.title"), F.lit("")).alias("title"),
@@ -180,24 +176,53 @@ def by_method(df: DataFrame, methods: list[str], col: str = "method") -> DataFra
 def dispatch_sources(readers: dict, sources: list[str]) -> DataFrame:
     """L3/G1: run the reader of each requested source and union the company
     rows (``unionByName``), tagging each with its source. A source name with
-    no reader is an error; a reader that fails is skipped, as in the source."""
+    no reader is an error, and so is a reader that fails: whether a lazy plan
+    fails now or when it runs must not decide which rows come out. A caller
+    who wants to go on without a source leaves it out of ``sources``."""
     unknown = [s for s in sources if s not in readers]
     if unknown:
         raise ValueError(f"unknown source: {unknown}")
-    parts = []
-    for s in sources:
-        try:
-            parts.append(readers[s]().withColumn("source", F.lit(s)))
-        except Exception:  # a failed source does not fail the run
-            continue
-    if not parts:
-        raise ValueError("no source produced rows")
+    if not sources:
+        raise ValueError("no source asked for")
+    parts = [readers[s]().withColumn("source", F.lit(s)) for s in sources]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
+def host_summary(hosts: DataFrame, host: str = "subdomain", related: str = "is_job_related") -> DataFrame:
+    """Distinct hosts found per domain and how many are job related."""
+    one = hosts.groupBy("domain", host).agg(F.max(related).alias("__r"))
+    return one.groupBy("domain").agg(F.count(F.lit(1)).alias("total_found"), F.count_if("__r").alias("job_related"))
+
+
+def discovery_totals(companies: DataFrame, pages: DataFrame, queued: DataFrame) -> DataFrame:
+    """Companies found, career pages found and URLs queued, over all
+    child runs: one partial aggregate over the three inputs' counts."""
+    def n(df, name):
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+
+    counts = n(companies, "companies_found").unionByName(n(pages, "career_pages_found")).unionByName(n(queued, "urls_queued"))
+    return counts.agg(*[F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)).cast("long").alias(w)
+                        for w in ("companies_found", "career_pages_found", "urls_queued")])
+
+
+def career_pages(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """A company's career pages followed by its enumerated hosts, in one
+    table (UNION ALL: a host that is a page too stays twice)."""
+    cols = ["domain", "url", "page_type", "confidence", "priority"]
+    return pages.select(*cols).unionByName(hosts.select(*cols))
+
+
+def query_result_urls(results: list[DataFrame]) -> DataFrame:
+    """The URLs of several search queries, UNION ALL."""
+    out = results[0].select("query", "url", "rank")
+    for r in results[1:]:
+        out = out.unionByName(r.select("query", "url", "rank"))
+    return out
+
+
 def unprocessed(results: DataFrame, processed_col: str = "processed") -> DataFrame:
     """Search results not processed yet."""
     return results.filter(~F.col(processed_col))

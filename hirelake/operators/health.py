@@ -3,33 +3,52 @@
 State machine of the source, per key in event order: a success increments
 ``success_count``, resets ``fail_count`` to 0 and marks healthy; a failure
 increments ``fail_count`` and marks unhealthy once it reaches 3. The final
-state only depends on the last success, so it is computed with two
-aggregates (partial on the map side, skew-safe) and one join on the key —
-no window that would hold a hot key's events in one task.
+state depends on the last success only.
+
+The events are scanned once and grouped by key *and time bucket*: successes,
+failures, and the failures after the bucket's last success. Only these bucket
+rows meet by key afterwards: the failures of the buckets after the last one
+with a success are added to that bucket's own. A key with a third of all
+events is spread over its buckets, so no task holds its events.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FAIL_LIMIT = 3
 
 
+def time_bucket(df: DataFrame, col: str) -> Column:
+    """The hour of a timestamp; of a number, its thousands."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.date_trunc("hour", F.col(col))
+    return F.floor(F.col(col) / 1000)
+
+
 def health_fold(events: DataFrame, key: str, order: list[str], is_success, is_failure,
-                initial_healthy: bool = True) -> DataFrame:
-    """Final (success_count, fail_count, is_healthy) per key."""
-    ev = events.select(F.col(key).alias(key), F.struct(*[F.col(c) for c in order]).alias("__o"),
+                initial_healthy: bool = True, bucket: Column | None = None) -> DataFrame:
+    """Final (success_count, fail_count, is_healthy) per key. ``order`` is a
+    total order; ``bucket`` must rise with its first column (default: the
+    hour)."""
+    b = bucket if bucket is not None else time_bucket(events, order[0])
+    ev = events.select(F.col(key).alias(key), b.alias("__b"), F.struct(*[F.col(c) for c in order]).alias("__o"),
                        is_success.alias("__s"), is_failure.alias("__f")).filter(F.col("__s") | F.col("__f"))
-    last = ev.groupBy(key).agg(F.count_if("__s").alias("success_count"),
-                               F.max(F.when(F.col("__s"), F.col("__o"))).alias("__last_s"))
-    fails = (ev.filter("__f").join(last.select(key, "__last_s"), key)
-             .filter(F.col("__last_s").isNull() | (F.col("__o") > F.col("__last_s")))
-             .groupBy(key).agg(F.count(F.lit(1)).alias("fail_count")))
-    out = last.join(fails, key, "left").withColumn("fail_count", F.coalesce("fail_count", F.lit(0)).cast("long"))
+    w = Window.partitionBy(key, "__b")
+    ev = ev.withColumn("__last", F.max(F.when(F.col("__s"), F.col("__o"))).over(w))
+    after = F.col("__f") & (F.col("__last").isNull() | (F.col("__o") > F.col("__last")))
+    parts = ev.groupBy(key, "__b").agg(F.count_if("__s").alias("__ns"), F.count_if(after).alias("__nf"))
+    won = parts.groupBy(key).agg(F.sum("__ns").alias("success_count"),
+                                 F.max(F.when(F.col("__ns") > 0, F.col("__b"))).alias("__won"))
+    out = (parts.join(won, key).groupBy(key, "success_count", "__won")
+           .agg(F.sum(F.when(F.col("__won").isNull() | (F.col("__b") >= F.col("__won")), F.col("__nf")).otherwise(0))
+                .cast("long").alias("fail_count")))
     healthy = F.col("fail_count") < FAIL_LIMIT
     if not initial_healthy:
-        healthy = healthy & (F.col("__last_s").isNotNull() | F.lit(False))
+        healthy = healthy & F.col("__won").isNotNull()
     return out.select(key, F.col("success_count").cast("long").alias("success_count"), "fail_count",
                       healthy.alias("is_healthy"))
 

@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 from hirelake.functions import predicates as P
 from hirelake.functions import rules
 from hirelake.functions import scalars as S
-from hirelake.operators.dedupe import keep_first
 
 # FIXED VALUES: elements that never have content (stay closed after the start tag)
 VOID_TAGS = frozenset([
@@ -62,6 +61,7 @@ EXTRACT_SCHEMA = T.StructType([
     T.StructField("location_cands", T.ArrayType(T.StringType())),
     T.StructField("description_cands", T.ArrayType(T.StringType())),
     T.StructField("visible_text", T.StringType()),
+    T.StructField("parse_error", T.StringType()),
 ])
 
 
@@ -196,11 +196,12 @@ class _PageParser(HTMLParser):
 
 def parse_page(html: str | None) -> dict:
     """Extraction of one page (plain Python; used by the Arrow task and tests)."""
-    p = _PageParser()
+    p, error = _PageParser(), None
     try:
         p.feed(html or "")
         p.finish()
-    except Exception:  # malformed beyond the tokenizer's tolerance: keep what was seen
+    except (AssertionError, ValueError, IndexError) as e:  # beyond the tokenizer's tolerance: keep what was seen, and say so
+        error = f"{type(e).__name__}: {e}"
         p._flush()
         for eid in p.stack:
             if p.span[eid][1] < 0:
@@ -209,6 +210,7 @@ def parse_page(html: str | None) -> dict:
         "anchors": [{"pos": i, "href": href, "text": p.text_of(eid)} for i, (eid, href) in enumerate(p.anchors)],
         "ld_json": [("".join(parts) if parts else None) for _, parts in p.ld],
         "visible_text": "".join(p.visible),
+        "parse_error": error,
     }
     for g, sels in SELECTOR_GROUPS.items():
         cands = []
@@ -225,15 +227,16 @@ def parse_page(html: str | None) -> dict:
 
 
 def _extract_batches(batches):
-    arrow_schema = pa.schema([
-        ("page_id", pa.int64()), ("url", pa.string()),
-        ("anchors", pa.list_(pa.struct([("pos", pa.int32()), ("href", pa.string()), ("text", pa.string())]))),
-        ("ld_json", pa.list_(pa.string())),
-        ("title_cands", pa.list_(pa.string())), ("company_cands", pa.list_(pa.string())),
-        ("location_cands", pa.list_(pa.string())), ("description_cands", pa.list_(pa.string())),
-        ("visible_text", pa.string()),
-    ])
+    arrow_schema = None
     for batch in batches:
+        arrow_schema = arrow_schema or pa.schema([
+            ("page_id", batch.column("page_id").type), ("url", pa.string()),
+            ("anchors", pa.list_(pa.struct([("pos", pa.int32()), ("href", pa.string()), ("text", pa.string())]))),
+            ("ld_json", pa.list_(pa.string())),
+            ("title_cands", pa.list_(pa.string())), ("company_cands", pa.list_(pa.string())),
+            ("location_cands", pa.list_(pa.string())), ("description_cands", pa.list_(pa.string())),
+            ("visible_text", pa.string()), ("parse_error", pa.string()),
+        ])
         ids = batch.column("page_id").to_pylist()
         urls = batch.column("url").to_pylist()
         htmls = batch.column("html").to_pylist()
@@ -243,44 +246,50 @@ def _extract_batches(batches):
             cols["page_id"].append(pid)
             cols["url"].append(url)
             for k in ("anchors", "ld_json", "title_cands", "company_cands", "location_cands",
-                      "description_cands", "visible_text"):
+                      "description_cands", "visible_text", "parse_error"):
                 cols[k].append(r[k])
         yield pa.RecordBatch.from_pydict(cols, schema=arrow_schema)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One parse per page -> anchors, JSON-LD texts, selector
-    candidates, visible text. Only the three input columns cross into Python."""
-    from hirelake.session import spread
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
+    candidates, visible text, and why a page was parsed in part only (null
+    otherwise). Only the three input columns cross into Python. A text id
+    (the raw-page table's hash) stays text, a number becomes a bigint."""
+    text_id = isinstance(pages.schema[id_col].dataType, T.StringType)
+    kind = T.StringType() if text_id else T.LongType()
+    src = pages.select(F.col(id_col).cast(kind).alias("page_id"), F.col(url_col).alias("url"),
                        F.col(html_col).alias("html"))
-    return spread(src).mapInArrow(_extract_batches, EXTRACT_SCHEMA)
+    schema = T.StructType([T.StructField("page_id", kind), *EXTRACT_SCHEMA.fields[1:]])
+    return src.mapInArrow(_extract_batches, schema)
 
 
 # ---------------------------------------------------------------- anchors and job links
 
-HREF_RE = r'href="([^"]*)"'
-
-
-def anchors_native(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """I1 fast path without Python: double-quoted ``href`` values in document
-    order with their resolved absolute URL."""
-    ex = pages.select("page_id", F.col(url_col).alias("url"),
-                      F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(HREF_RE), 1)).alias("pos", "href"))
-    return ex.withColumn("abs_url", S.resolve_url("url", "href"))
+def anchors(extracted: DataFrame) -> DataFrame:
+    """``(page_id, pos, href, abs_url, text)``, one row per anchor with an
+    ``href``, in document order."""
+    a = extracted.select("page_id", "url", F.inline("anchors"))
+    return a.select("page_id", "pos", "href", S.resolve_url("url", "href").alias("abs_url"), "text")
 
 
 def job_links(extracted: DataFrame) -> DataFrame:
     """Anchors -> absolute URL -> http / same host / not generic / job
     URL with an id / title length -> first accepted anchor per (page, URL)."""
-    a = extracted.select("page_id", "url", F.explode("anchors").alias("a"))
-    a = a.select("page_id", F.col("url").alias("page_url"), F.col("a.pos").alias("pos"),
-                 F.col("a.href").alias("href"), F.col("a.text").alias("title"))
-    a = a.filter(F.coalesce(F.col("href") != "", F.lit(False)))
-    a = a.withColumn("link_url", S.resolve_url("page_url", "href"))
-    ok = a.filter(P.job_link_ok("page_url", "link_url", "title"))
-    first = keep_first(ok.select("page_id", "link_url", "pos", "title"), ["page_id", "link_url"], ["pos"])
-    return first.select("page_id", F.col("link_url").alias("url"), "title", "pos")
+    return job_link_arrays(extracted).select("page_id", F.inline("links")).select("page_id", "url", "title", "pos")
+
+
+def job_link_arrays(extracted: DataFrame) -> DataFrame:
+    """I2 per page: ``(page_id, page_url, links)``. All anchors of a page sit
+    in its row, so filter and keep-first run inside the array: no shuffle."""
+    found = F.transform(F.filter("anchors", lambda a: a["href"] != ""), lambda a: F.struct(
+        S.resolve_url(F.col("url"), a["href"]).alias("url"), a["text"].alias("title"), a["pos"].alias("pos")))
+    rows = extracted.select("page_id", F.col("url").alias("page_url"), found.alias("__all"))
+    ok = F.filter("__all", lambda a: P.job_link_ok(F.col("page_url"), a["url"], a["title"]))
+    rows = rows.select("page_id", "page_url", ok.alias("__ok"))
+    rows = rows.select("page_id", "page_url", "__ok", F.transform("__ok", lambda a: a["url"]).alias("__urls"))
+    first = F.filter("__ok", lambda a, i: F.array_position("__urls", a["url"]) == i + 1)
+    return rows.select("page_id", "page_url", first.alias("links"))
 
 
 # ---------------------------------------------------------------- JSON-LD
@@ -297,40 +306,6 @@ def _is_obj(v: Column) -> Column:
     return F.coalesce(_vtype(v).startswith("OBJECT"), F.lit(False))
 
 
-def _is_num(v: Column) -> Column:
-    t = _vtype(v)
-    return F.coalesce(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL"),
-                      F.lit(False))
-
-
-def _is_str(v: Column) -> Column:
-    return F.coalesce(_vtype(v) == "STRING", F.lit(False))
-
-
-def _py_text(v: Column) -> Column:
-    """How Python formats a JSON value with ``str``/f-strings (None for null)."""
-    t = _vtype(v)
-    s = F.try_variant_get(v, "$", "string")
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
-            .when(F.is_variant_null(v), F.lit("None"))
-            .when(t == "BOOLEAN", F.when(s == "true", F.lit("True")).otherwise(F.lit("False")))
-            .otherwise(s))
-
-
-def _truthy(v: Column) -> Column:
-    t = _vtype(v)
-    s = F.try_variant_get(v, "$", "string")
-    d = F.try_variant_get(v, "$", "double")
-    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(False))
-            .when(_is_num(v), d != 0)
-            .when(t == "STRING", s != "")
-            .when(t == "BOOLEAN", s == "true")
-            .when(t.startswith("ARRAY"), F.coalesce(F.array_size(F.try_variant_get(v, "$", "array<variant>")) > 0,
-                                                   F.lit(False)))
-            .when(t.startswith("OBJECT"), t != "OBJECT<>")
-            .otherwise(F.lit(True)))
-
-
 def _thousands(v: Column) -> Column:
     """Python ``f"{x:,}"`` of a JSON number."""
     s = F.try_variant_get(v, "$", "string")
@@ -494,11 +469,12 @@ def _last_non_null(arr: Column) -> Column:
     return F.when(F.size(kept) > 0, F.element_at(kept, -1))
 
 
-def _heuristic_columns() -> dict:
+def _heuristic_columns(max_description: int | None = None) -> dict:
     """I4 columns: title (first valid candidate, else reject), company (first
     valid, else the last matched text, else from the URL), location (first
-    valid), description (first longer than 100 -> first 2000 chars, else the
-    last matched text, which must still be at least 100)."""
+    valid), description (first longer than 100, of which ``max_description``
+    characters if a limit is given, else the last matched text, which must
+    still be at least 100)."""
     tc = F.col("title_cands")
     title = F.get(F.filter(tc, lambda t: t.isNotNull() & P.valid_title(t)), 0)
     cc = F.col("company_cands")
@@ -508,7 +484,8 @@ def _heuristic_columns() -> dict:
     location = F.get(F.filter(F.col("location_cands"), lambda t: t.isNotNull() & P.valid_location(t)), 0)
     dc = F.col("description_cands")
     long_desc = F.get(F.filter(dc, lambda t: t.isNotNull() & (F.length(t) > 100)), 0)
-    desc = F.coalesce(F.substring(long_desc, 1, 2000), _last_non_null(dc))
+    long_desc = long_desc if max_description is None else F.substring(long_desc, 1, max_description)
+    desc = F.coalesce(long_desc, _last_non_null(dc))
     reason = (F.when(title.isNull(), F.lit("no_valid_title"))
               .when(~P.valid_description(desc), F.lit("short_description")))
     return {"title": title, "description": desc, "company": company, "location": location, "reject_reason": reason}
@@ -541,32 +518,36 @@ def parse_cascade(extracted: DataFrame) -> DataFrame:
                     .when(st.isNull(), F.col("h_reject_reason")).alias("reject_reason"))
 
 
-def page_text(extracted: DataFrame, max_chars: int = 8000) -> DataFrame:
+def page_text(extracted: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Visible text (script/style/nav/header/footer dropped), cleaned."""
     return extracted.select("page_id", S.clean_text("visible_text", max_chars).alias("text"))
 
 
 # ---------------------------------------------------------------- posting normaliser
 
-def normalise_postings(parsed: DataFrame, page_url: str = "url", crawled_at=None, epoch: int = 0) -> DataFrame:
+def normalise_postings(parsed: DataFrame, page_url: str = "url", crawled_at=None, epoch: int = 0,
+                       company_name=None, batch_url: str | None = None, batch_pos: str | None = None) -> DataFrame:
     """A4/A5: parsed postings -> the jobs table row shape with the source's
     literal defaults (remote 0, no salary numbers, score 85, empty tags,
     version 1, platform ``career_page``), ``job_type`` NULL -> full-time
-    (empty string kept), company/url filled when NULL or empty, the batch id
-    ``short-hash(url)-index-epoch`` and ``job_hash`` of url‖title‖company."""
+    (empty string kept), company and url filled when NULL or empty: the
+    company with the crawl's ``company_name`` (a column; without one it stays
+    blank). The id is ``short-hash(batch url)-position-epoch``: the career
+    page whose batch the posting came in and its place there (by default each
+    page is a batch of its own). ``job_hash`` is of url‖title‖company."""
     ok = parsed.filter(F.col("parse_strategy").isin("jsonld", "heuristics"))
     src_url = S.fill_blank(F.lit(None).cast("string"), F.col(page_url))
     ts = S.clock(crawled_at) if crawled_at is not None else F.lit(None).cast("timestamp_ntz")
     # posted/updated times: RFC 3339 text when the row has it, else the crawl time
     posted = S.parse_rfc3339(F.col("date_posted") if "date_posted" in parsed.columns
                              else F.lit(None).cast("string"), ts)
-    # one parsed posting per page, so its index within the page batch is 0
-    rows = ok.withColumn("__idx", F.lit(0))
-    return rows.select(
-        S.batch_row_id(F.col(page_url), F.col("__idx"), F.lit(epoch)).alias("id"),
-        S.job_hash(src_url, F.col("title"), S.fill_blank("company", "Unknown Company")).alias("job_hash"),
+    place = F.col(batch_pos) if batch_pos else F.lit(0)
+    company = S.fill_blank("company", company_name if company_name is not None else F.lit(""))
+    return ok.select(
+        S.batch_row_id(F.col(batch_url or page_url), place, F.lit(epoch)).alias("id"),
+        S.job_hash(src_url, F.col("title"), company).alias("job_hash"),
         F.coalesce("title", F.lit("")).alias("title"),
-        S.fill_blank("company", "Unknown Company").alias("company"),
+        company.alias("company"),
         F.coalesce("description", F.lit("")).alias("description"),
         F.coalesce("location", F.lit("")).alias("location"),
         F.lit(0).alias("remote"),

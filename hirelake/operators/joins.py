@@ -16,8 +16,8 @@ from hirelake.functions import rules
 
 def targets(urls: DataFrame, companies: DataFrame, queue: DataFrame) -> DataFrame:
     """Active pending URLs with their company and queue state,
-    excluding URLs whose queue row is not pending; priority DESC then
-    discovered DESC, NULLs first as in the row store."""
+    excluding URLs whose queue row is not pending. ``target_order`` is the
+    row store's order, for a caller who pages through the result."""
     u = urls.filter(F.col("is_active") & (F.col("crawl_status") == "pending"))
     c = companies.select(F.col("id").alias("__cid"), F.col("name").alias("company_name"),
                          F.col("domain").alias("company_domain"))
@@ -27,14 +27,17 @@ def targets(urls: DataFrame, companies: DataFrame, queue: DataFrame) -> DataFram
          .filter(F.col("queue_status").isNull() | (F.col("queue_status") == "pending")))
     return (j.select("id", "url", "ats_platform", "page_type", "confidence", "priority",
                      "company_name", "company_domain", F.col("queue_status").alias("crawl_status"),
-                     "retry_count", "discovered_at")
-            .orderBy(F.col("priority").desc_nulls_first(), F.col("discovered_at").desc_nulls_first(),
-                     F.col("id").asc()))
+                     "retry_count", "discovered_at"))
+
+
+def target_order() -> list:
+    """Priority DESC, discovered DESC, NULLs first, then the id."""
+    return [F.col("priority").desc_nulls_first(), F.col("discovered_at").desc_nulls_first(), F.col("id").asc()]
 
 
 def first_company_per_domain(companies: DataFrame) -> DataFrame:
     """One company per domain: the lowest id (the row store's first match)."""
-    return companies.groupBy("domain").agg(F.min_by(F.struct("id", "name"), F.col("id")).alias("c")) \
+    return companies.filter(F.col("domain").isNotNull()).groupBy("domain").agg(F.min_by(F.struct("id", "name"), F.col("id")).alias("c")) \
         .select("domain", F.col("c.id").alias("company_id"), F.col("c.name").alias("company_name"))
 
 
@@ -97,9 +100,9 @@ def probe(cands: DataFrame, fetch_log: DataFrame, cand_col: str = "candidate", u
 
 
 def hydrate(hits: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """A page of search hits joined to full rows. A page is bounded by
-    its ``per_page`` limit, so it is broadcast."""
-    return rows.join(F.broadcast(hits), key, "inner")
+    """A page of search hits joined to full rows; whether the page is
+    broadcast is left to its measured size."""
+    return rows.join(hits, key, "inner")
 
 
 def follow(links: DataFrame, pages: DataFrame, link_url: str = "url", page_url: str = "url") -> DataFrame:

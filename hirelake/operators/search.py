@@ -15,6 +15,9 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from hirelake.session import materialised
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -30,7 +33,7 @@ def tokens(col) -> Column:
 
 def query_tokens(q: str) -> list[str]:
     """Tokens of a query string; an empty query is an error (as in the source)."""
-    toks = [t for t in re.split(r"[^\w]+", (q or "").lower()) if t and not t.startswith("_")]
+    toks = [t for t in re.split(r"[\W_]+", (q or "").lower()) if t]
     if not toks:
         raise ValueError("empty search query")
     return list(dict.fromkeys(toks))
@@ -39,13 +42,12 @@ def query_tokens(q: str) -> list[str]:
 def _token_rows(docs: DataFrame, fields: dict[str, str], id_col: str) -> DataFrame:
     """One row per (doc, token occurrence, field) from a single scan: the
     token arrays of all fields are concatenated and exploded once."""
-    from hirelake.session import spread
     def tagger(name):
         weight = FIELD_WEIGHTS.get(name, 1)
         return lambda t: F.struct(t.alias("token"), F.lit(name).alias("field"), F.lit(weight).alias("weight"))
 
     arrays = [F.transform(tokens(col), tagger(name)) for name, col in fields.items()]
-    return spread(docs).select(F.col(id_col).alias("doc_id"), F.inline(F.concat(*arrays)))
+    return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.concat(*arrays)))
 
 
 def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "doc_id",
@@ -91,23 +93,41 @@ def rank_order() -> list:
     return [F.col("matched").desc(), F.col("best_weight").desc(), F.col("total_tf").desc(), F.col("doc_id").asc()]
 
 
+def search_expanded(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """J2 over expanded terms (J3, J4): ``terms`` is ``(term, word)`` with the
+    vocabulary words that stand for each query term. An equi-join on the word,
+    so a term may stand for any number of words; ``matched`` counts terms."""
+    t = terms.select("term", F.col("word").alias("token")).distinct()
+    per_term = index.join(t, "token").groupBy("doc_id", "term").agg(F.max("weight").alias("w"), F.sum("tf").alias("tf"))
+    return per_term.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"), F.max("w").alias("best_weight"),
+                                          F.sum("tf").cast("long").alias("total_tf"))
+
+
 def search_page(hits: DataFrame, page: int = 1, per_page: int = 20) -> DataFrame:
-    """one page of ranked hits plus the total ``found`` count."""
+    """one page of ranked hits plus the total ``found`` count, both from
+    one run of the search."""
+    hits = materialised(hits, "hits")
     found = hits.agg(F.count(F.lit(1))).scalar()
     ranked = hits.orderBy(*rank_order()).offset((page - 1) * per_page).limit(per_page)
     return ranked.withColumn("found", found)
 
 
 def facet_counts(hits_with_fields: DataFrame, facets: list[str]) -> DataFrame:
-    """Counts per value of each facet field over the hits, in one
-    aggregate (the facet columns are unpivoted with ``stack``)."""
-    arr = F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets])
-    long = hits_with_fields.select(F.inline(arr))
+    """Counts per value of each facet field over the hits, in one scan
+    and one aggregate; a list field counts each of its values, a field
+    without a value counts nowhere."""
+    def values(f):
+        many = isinstance(hits_with_fields.schema[f].dataType, T.ArrayType)
+        return F.transform(F.col(f) if many else F.array(F.col(f)), lambda v: F.struct(
+            F.lit(f).alias("facet"), v.cast("string").alias("value")))
+
+    long = hits_with_fields.select(F.inline(F.concat(*map(values, facets)))).filter(F.col("value").isNotNull())
     return long.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary(df: DataFrame, col: str) -> DataFrame:
-    return df.select(F.explode(tokens(col)).alias("word")).distinct()
+def vocabulary(index: DataFrame) -> DataFrame:
+    """The distinct words of an index."""
+    return index.select(F.col("token").alias("word")).distinct()
 
 
 def fuzzy_terms(vocab: DataFrame, terms: list[str], max_edits: int = 2) -> DataFrame:

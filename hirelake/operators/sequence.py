@@ -1,19 +1,22 @@
-"""Sequence numbers, batches, top-n and round-robin.
+"""Sequence numbers, batches and top-n.
 
 A global ``row_number()`` window without ``partitionBy`` moves every row to
-one task. ``global_index`` numbers rows over a total order instead with a
-range-partitioned sort: each task numbers its own partition
-(``monotonically_increasing_id`` carries the in-partition position), and a
-per-partition offset table — one row per partition, so its size is bounded
-by the partition count — is broadcast to turn local positions into global
-ones.
+one task. ``global_index`` sorts by ranges instead and writes the sorted rows
+once, each with its partition and its position in it; the written table is
+what both later branches read. (Two branches that sort on their own sample
+their own range bounds as soon as one of them has its columns pruned, and
+then disagree.) One row per partition is enough to add up where each
+partition starts, so that table is bounded by the partition count and is
+broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hirelake.session import scratch_path
+
 _LOCAL_BITS = 33
 
 
@@ -21,15 +24,18 @@ def global_index(df: DataFrame, order: list, name: str = "idx", partitions: int
     """0-based position of every row in ``order`` (which must be total)."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = (ranged.withColumn("__mid", F.monotonically_increasing_id())
-              .withColumn("__pid", F.shiftright("__mid", _LOCAL_BITS))
-              .withColumn("__local", F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    path = scratch_path(spark, "ordered")
+    mid = F.monotonically_increasing_id()
+    (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+     .withColumn("__pid", F.shiftright(mid, _LOCAL_BITS))
+     .withColumn("__local", mid.bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+     .write.parquet(path))
+    tagged = spark.read.parquet(path)
     counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
     out = tagged.join(F.broadcast(offsets), "__pid")
-    return out.withColumn(name, F.col("__off") + F.col("__local")).drop("__mid", "__pid", "__local", "__off")
+    return out.select(*df.columns, (F.col("__off") + F.col("__local")).alias(name))
 
 
 def group_index(df: DataFrame, group: list[str], order: list, name: str = "idx") -> DataFrame:
@@ -53,19 +59,3 @@ def top_n(df: DataFrame, group: list[str], order: list, n: int, name: str = "rn"
     ships at most ``n`` rows per map task."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
-
-
-def round_robin(requests: DataFrame, pool: DataFrame, req_order: list, pool_order: list,
-                start: int = 1) -> DataFrame:
-    """Request i (0-based, in ``req_order``) gets pool member
-    ``(i + start) mod |pool|`` in ``pool_order``; the cursor starts after
-    member 0 as in the source. An equi-join on the computed slot."""
-    r = global_index(requests, req_order, "__i")
-    p = global_index(pool, pool_order, "__slot")
-    n_pool = pool.agg(F.count(F.lit(1))).scalar()
-    r = r.withColumn("__slot", F.pmod(F.col("__i") + F.lit(start), n_pool))
-    return r.join(p, "__slot").drop("__slot")
-
-
-def seq_struct(*cols: str) -> Column:
-    return F.struct(*[F.col(c) for c in cols])

@@ -100,19 +100,6 @@ def pool_stats(spark, sf):
     return A.pool_stats(_health(spark, sf))
 
 
-@query("round_robin", ids=("E8", "B28"), sql=with_sql(_HEALTH_SQL) + """
-, el AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS slot FROM pool WHERE is_healthy OR fail_count < 3),
-req AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events WHERE event_type = 'click')
-SELECT r.event_id, e.user_id AS proxy_id FROM req r
-JOIN el e ON e.slot = (r.i + 1) % (SELECT count(*) FROM el)""")
-def round_robin(spark, sf):
-    e = T.read_table(spark, sf, "events")
-    reqs = e.filter(F.col("event_type") == "click").select("event_id", "ts")
-    pool = H.eligible(_health(spark, sf)).select(F.col("user_id").alias("proxy_id"))
-    out = Q.round_robin(reqs, pool, [F.col("ts"), F.col("event_id")], [F.col("proxy_id")])
-    return out.select("event_id", "proxy_id")
-
-
 @query("distinct_domains", ids=("D16", "D10"), sql=with_sql(W.PAGE_HOSTS_SQL) + """
 SELECT domain, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM ph GROUP BY domain""")
 def distinct_domains(spark, sf):

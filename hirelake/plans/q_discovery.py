@@ -89,7 +89,7 @@ SELECT u.id, u.url, u.ats_platform, u.page_type, round(u.confidence, 6) AS confi
        u.discovered_at
 FROM urls u LEFT JOIN companies c ON u.company_id = c.id LEFT JOIN queue q ON q.url_id = u.id
 WHERE u.is_active AND u.crawl_status = 'pending' AND (q.status IS NULL OR q.status = 'pending')
-ORDER BY u.priority DESC NULLS FIRST, u.discovered_at DESC NULLS FIRST, u.id""")
+""")
 def targets_view(spark, sf):
     t = J.targets(T.discovered_urls(spark, sf), T.companies(spark, sf), T.crawl_queue(spark, sf))
     return t.withColumn("confidence", F.round("confidence", 6))
@@ -113,23 +113,24 @@ def name_of(spark, sf):
 
 
 @query("seed_absent", ids=("A13", "C4"), sql="""
-SELECT n_nationkey, n_name FROM nation
-WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
 def seed_absent(spark, sf):
-    seeds = T.read_table(spark, sf, "nation").select("n_nationkey", "n_name")
-    target = T.read_table(spark, sf, "supplier").select("s_nationkey")
-    added, _ = U.seed(target, seeds, "n_nationkey", "s_nationkey")
+    """Customers as seeds, those with an order in progress being there already."""
+    added, _ = U.seed(*_seed_tables(spark, sf), "c_custkey", "o_custkey")
     return added
 
 
+def _seed_tables(spark, sf):
+    seeds = T.read_table(spark, sf, "customer").select("c_custkey", "c_name")
+    return T.read_table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P").select("o_custkey"), seeds
+
+
 @query("seed_counts", ids=("A13",), sql="""
-SELECT count(*) FILTER (WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)) AS added,
-       count(*) FILTER (WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)) AS skipped
-FROM nation""")
+SELECT count(*) FILTER (WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS added,
+       count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS skipped
+FROM customer""")
 def seed_counts(spark, sf):
-    seeds = T.read_table(spark, sf, "nation").select("n_nationkey", "n_name")
-    target = T.read_table(spark, sf, "supplier").select("s_nationkey")
-    _, counts = U.seed(target, seeds, "n_nationkey", "s_nationkey")
+    _, counts = U.seed(*_seed_tables(spark, sf), "c_custkey", "o_custkey")
     return counts
 
 
@@ -144,21 +145,21 @@ def _docs(spark, sf):
 
 @query("seen_hash", ids=("C11", "H1"), sql=with_sql(_DOC_HASH_SQL) + """
 SELECT n.doc_id, n.text_hash, o.text_hash IS NOT NULL AS seen
-FROM (SELECT * FROM docs WHERE lang <> 'en') n
-LEFT JOIN (SELECT DISTINCT text_hash FROM docs WHERE lang = 'en') o ON n.text_hash = o.text_hash""")
+FROM (SELECT * FROM docs WHERE source <> 'src0') n
+LEFT JOIN (SELECT DISTINCT text_hash FROM docs WHERE source = 'src0') o ON n.text_hash = o.text_hash""")
 def seen_hash(spark, sf):
     d = _docs(spark, sf)
-    new, old = d.filter(F.col("lang") != "en"), d.filter(F.col("lang") == "en")
+    new, old = d.filter(F.col("source") != "src0"), d.filter(F.col("source") == "src0")
     return U.mark_seen(new.select("doc_id", "text_hash"), old, "text_hash")
 
 
 @query("new_only", ids=("C4", "C11"), sql=with_sql(_DOC_HASH_SQL) + """
-SELECT doc_id, text_hash FROM docs n WHERE lang <> 'en'
-AND NOT EXISTS (SELECT 1 FROM docs o WHERE o.lang = 'en' AND o.text_hash = n.text_hash)""")
+SELECT doc_id, text_hash FROM docs n WHERE source <> 'src0'
+AND NOT EXISTS (SELECT 1 FROM docs o WHERE o.source = 'src0' AND o.text_hash = n.text_hash)""")
 def new_only(spark, sf):
     d = _docs(spark, sf)
-    return U.new_only(d.filter(F.col("lang") != "en").select("doc_id", "text_hash"),
-                      d.filter(F.col("lang") == "en"), "text_hash")
+    return U.new_only(d.filter(F.col("source") != "src0").select("doc_id", "text_hash"),
+                      d.filter(F.col("source") == "src0"), "text_hash")
 
 
 @query("cascade_delete", ids=("C5",), sql="""
@@ -205,7 +206,7 @@ def url_upsert(spark, sf):
 _COMPANY_UPSERT_SQL = """
 c AS (SELECT concat(source, '.example.org') AS domain, doc_id AS id,
              concat('Org ', CAST(doc_id AS VARCHAR)) AS name,
-             CASE lang WHEN 'fr' THEN '' WHEN 'de' THEN NULL ELSE substr(text, 1, 40) END AS description,
+             CASE lang WHEN 'fr' THEN '' WHEN 'de' THEN NULL ELSE text END AS description,
              lang AS source, CAST(lang <> 'en' AS BIGINT) * 10000000000 + doc_id AS ord FROM documents)"""
 
 
@@ -219,7 +220,7 @@ def company_upsert(spark, sf):
     rows = d.select(F.concat(F.col("source"), F.lit(".example.org")).alias("domain"), F.col("doc_id").alias("id"),
                     F.concat(F.lit("Org "), F.col("doc_id").cast("string")).alias("name"),
                     F.when(F.col("lang") == "fr", F.lit("")).when(F.col("lang") == "de", F.lit(None).cast("string"))
-                    .otherwise(F.substring("text", 1, 40)).alias("description"),
+                    .otherwise(F.col("text")).alias("description"),
                     F.col("lang").alias("source"), F.col("doc_id").alias("seq"), "lang")
     cols = ["domain", "id", "name", "description", "source", "seq"]
     existing = rows.filter(F.col("lang") == "en").select(*cols)
@@ -266,8 +267,7 @@ cth AS (
   WHERE replace(trim(raw), '*.', '') <> '' AND ends_with(replace(trim(raw), '*.', ''), domain)
 ),
 hv AS (
-  SELECT page_id, domain, lower(trim(concat('  ', upper(host), ' '))) AS subdomain FROM ph
-  WHERE contains(lower(trim(concat('  ', upper(host), ' '))), domain)
+  SELECT page_id, domain, subdomain FROM hraw WHERE contains(subdomain, domain)
 ),
 allh AS (
   SELECT page_id, domain, line_pos, subdomain, 'crt' AS method, 1 AS mrank FROM cth
@@ -284,7 +284,7 @@ def _all_hosts(spark, sf):
 
 
 @query("ct_hosts", ids=("I9", "H8", "B18", "B19", "L4"),
-       sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, _CT_HOSTS_SQL) + """
+       sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, W.HARVESTED_SQL, _CT_HOSTS_SQL) + """
 SELECT page_id, domain, line_pos, subdomain, 'crt' AS method,
        """ + G.contains_any("lower(subdomain)", rules.JOB_HOST_KEYWORDS) + """ AS is_job_related
 FROM cth""")
@@ -294,23 +294,61 @@ def ct_hosts(spark, sf):
         "is_job_related")
 
 
-@query("harvest_hosts", ids=("I10", "H9", "B18"), sql=with_sql(W.PAGE_HOSTS_SQL) + """
-SELECT page_id, domain, lower(trim(concat('  ', upper(host), ' '))) AS subdomain, 'theharvester' AS method,
-       """ + G.contains_any("lower(trim(concat('  ', upper(host), ' ')))", rules.JOB_HOST_KEYWORDS) + """ AS is_job_related
-FROM ph WHERE contains(lower(trim(concat('  ', upper(host), ' '))), domain)""")
+@query("harvest_hosts", ids=("I10", "H9", "B18"), sql=with_sql(W.PAGE_HOSTS_SQL, W.HARVESTED_SQL) + """
+SELECT page_id, domain, subdomain, 'theharvester' AS method,
+       """ + G.contains_any("subdomain", rules.JOB_HOST_KEYWORDS) + """ AS is_job_related
+FROM hraw WHERE contains(subdomain, domain)""")
 def harvest_hosts(spark, sf):
     return X.harvest_hosts(W.harvested(spark, sf)).select("page_id", "domain", "subdomain", "method",
                                                          "is_job_related")
 
 
-@query("union_sources", ids=("G1", "G2", "G5"), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, _CT_HOSTS_SQL) + """
+@query("host_summary", ids=("D19",), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, W.HARVESTED_SQL, _CT_HOSTS_SQL) + """
+SELECT domain, count(DISTINCT subdomain) AS total_found,
+       count(DISTINCT CASE WHEN """ + G.contains_any("lower(subdomain)", rules.JOB_HOST_KEYWORDS) + """ THEN subdomain END) AS job_related
+FROM allh GROUP BY domain""")
+def host_summary(spark, sf):
+    return X.host_summary(_all_hosts(spark, sf))
+
+
+_PAGES_SQL = """
+cp AS (SELECT DISTINCT domain, url, 'careers' AS page_type, CAST(0.9 AS DOUBLE) AS confidence, 1 AS priority FROM ph),
+hp AS (SELECT DISTINCT domain, concat('https://', subdomain) AS url, 'subdomain' AS page_type,
+              CASE WHEN j THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence, CASE WHEN j THEN 1 ELSE 2 END AS priority
+       FROM (SELECT domain, subdomain, """ + G.contains_any("lower(subdomain)", rules.JOB_HOST_KEYWORDS) + """ AS j FROM allh)),
+both_ AS (SELECT * FROM cp UNION ALL SELECT * FROM hp)"""
+
+
+def _company_pages(spark, sf):
+    pages = W.page_hosts(spark, sf).select(
+        "domain", "url", F.lit("careers").alias("page_type"), F.lit(0.9).alias("confidence"), F.lit(1).alias("priority")).distinct()
+    hosts = X.host_pages(_all_hosts(spark, sf).select("domain", "subdomain", "is_job_related").distinct())
+    return X.career_pages(pages, hosts)
+
+
+@query("career_pages", ids=("G2",), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, W.HARVESTED_SQL, _CT_HOSTS_SQL, _PAGES_SQL) + """
+SELECT * FROM both_""")
+def career_pages(spark, sf):
+    return _company_pages(spark, sf)
+
+
+@query("discovery_totals", ids=("D10",), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, W.HARVESTED_SQL, _CT_HOSTS_SQL, _PAGES_SQL) + """
+SELECT (SELECT count(DISTINCT domain) FROM ph) AS companies_found, (SELECT count(*) FROM both_) AS career_pages_found,
+       (SELECT count(DISTINCT url) FROM both_ WHERE priority = 1) AS urls_queued""")
+def discovery_totals(spark, sf):
+    pages = _company_pages(spark, sf)
+    companies = W.page_hosts(spark, sf).select("domain").distinct()
+    return X.discovery_totals(companies, pages, pages.filter("priority = 1").select("url").distinct())
+
+
+@query("union_sources", ids=("G1",), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, W.HARVESTED_SQL, _CT_HOSTS_SQL) + """
 SELECT method, count(*) AS n_rows, count(DISTINCT subdomain) AS n_hosts FROM allh GROUP BY method""")
 def union_sources(spark, sf):
     return _all_hosts(spark, sf).groupBy("method").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("subdomain").alias("n_hosts"))
 
 
-@query("dedup_hosts", ids=("E2", "G3", "B22"), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, _CT_HOSTS_SQL) + """
+@query("dedup_hosts", ids=("E2", "G3", "B22"), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, W.HARVESTED_SQL, _CT_HOSTS_SQL) + """
 SELECT subdomain, method, domain, page_id FROM (
   SELECT *, row_number() OVER (PARTITION BY subdomain ORDER BY mrank, page_id, line_pos) AS rn FROM allh)
 WHERE rn = 1""")
@@ -320,7 +358,7 @@ def dedup_hosts(spark, sf):
     return out.select("subdomain", "method", "domain", "page_id")
 
 
-@query("host_pages", ids=("H15", "T5"), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, _CT_HOSTS_SQL) + """
+@query("host_pages", ids=("H15", "T5"), sql=with_sql(W.PAGE_HOSTS_SQL, W.CT_ENTRIES_SQL, W.HARVESTED_SQL, _CT_HOSTS_SQL) + """
 SELECT subdomain, concat('https://', subdomain) AS url, 'subdomain' AS page_type,
        CASE WHEN j THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence,
        CASE WHEN j THEN 1 ELSE 2 END AS priority
@@ -343,10 +381,13 @@ SELECT url,
 FROM (SELECT *, """ + G.count_present("lower(content)", rules.CAREER_KEYWORDS) + """ AS n FROM cfetch)
 WHERE status = 200 AND n >= 2""")
 def career_score(spark, sf):
-    log = W.career_fetch_log(spark, sf)
-    # the probed candidates (URL + how it was derived) matched to the fetch log
-    cands = log.select(F.col("url").alias("candidate"), "kind")
-    fetched = J.probe(cands, log.select("url", "content", "status"))
+    # both candidates of each document's site; the log knows one of them
+    d = T.read_table(spark, sf, "documents").select("doc_id", "source")
+    site, tail = F.concat("source", F.lit(".example.com/")), F.col("doc_id").cast("string")
+    cands = d.select(F.inline(F.array(
+        F.struct(F.lit("subdomain").alias("kind"), F.concat(F.lit("https://careers."), site, tail).alias("candidate")),
+        F.struct(F.lit("path").alias("kind"), F.concat(F.lit("https://"), site, F.lit("careers/"), tail).alias("candidate")))))
+    fetched = J.probe(cands, W.career_fetch_log(spark, sf).select("url", "content", "status"))
     return X.score_career_pages(fetched)
 
 
@@ -373,7 +414,8 @@ def batch_summary(spark, sf):
 
 _ATS_CASES_SQL = """
 cases AS (
-  SELECT p.page_id, p.html, CAST(p.page_id % 12 AS INTEGER) AS c,
+  SELECT p.page_id, CASE WHEN p.page_id % 24 = 11 THEN concat(p.html, '<!-- Powered by Greenhouse -->') ELSE p.html END AS html,
+         CAST(p.page_id % 12 AS INTEGER) AS c,
          CASE CAST(p.page_id % 12 AS INTEGER)
            WHEN 0 THEN concat('https://boards.greenhouse.io/', h.host, '/jobs/', CAST(p.page_id AS VARCHAR))
            WHEN 1 THEN concat('https://jobs.lever.co/', h.host, '/jobs/', CAST(p.page_id AS VARCHAR))
@@ -408,7 +450,8 @@ def _ats_cases(spark, sf):
            .when(c == 9, F.concat(F.lit("https://acme.bamboohr.com/careers/"), pid))
            .when(c == 10, F.concat(F.lit("https://careers-"), h, F.lit(".icims.com/x")))
            .otherwise(F.col("url")))
-    return p.select("page_id", "html", c.alias("c"), url.alias("url"))
+    html = F.when(F.col("page_id") % 24 == 11, F.concat("html", F.lit("<!-- Powered by Greenhouse -->"))).otherwise(F.col("html"))
+    return p.select("page_id", html.alias("html"), c.alias("c"), url.alias("url"))
 
 
 def _ats_sql(domain_first: bool) -> str:
@@ -506,27 +549,28 @@ def org_to_company(spark, sf):
 def _responses(spark, sf):
     d = T.read_table(spark, sf, "documents")
     lines = F.split(F.col("text"), "\n")
+    host = lambda i: F.when(i % 7 == 3, F.lit("https://jobs.lever.co/")).otherwise(F.lit("https://r.example.com/"))
     items = F.transform(lines, lambda l, i: F.struct(
-        F.concat(F.lit("https://r.example.com/"), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string")).alias("link"),
-        l.alias("title"),
-        F.when(F.length(l) > 60, F.substring(l, 1, 60)).alias("snippet")))
+        F.concat(host(i), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string")).alias("link"),
+        F.when(i % 7 == 5, F.concat(l, F.lit(" Powered by Greenhouse"))).otherwise(l).alias("title"),
+        F.when(F.length(l) > 60, l).alias("snippet")))
     return d.select("doc_id", F.to_json(F.struct(items.alias("organic_results"))).alias("body"))
 
 
 _RESULTS_SQL = """
 res AS (
-  SELECT doc_id, i AS rank, concat('https://r.example.com/', CAST(doc_id AS VARCHAR), '/', CAST(i - 1 AS VARCHAR)) AS url,
-         line AS title, coalesce(CASE WHEN length(line) > 60 THEN substr(line, 1, 60) END, '') AS snippet
+  SELECT doc_id, i AS rank, concat(CASE WHEN (i - 1) % 7 = 3 THEN 'https://jobs.lever.co/' ELSE 'https://r.example.com/' END,
+                CAST(doc_id AS VARCHAR), '/', CAST(i - 1 AS VARCHAR)) AS url,
+         CASE WHEN (i - 1) % 7 = 5 THEN concat(line, ' Powered by Greenhouse') ELSE line END AS title, coalesce(CASE WHEN length(line) > 60 THEN line END, '') AS snippet
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-  WHERE i <= 100
 )"""
 
 
 @query("result_rows", ids=("I13", "E4", "F8", "A16"), sql=with_sql(_RESULTS_SQL) + """
 SELECT doc_id, url, title, snippet, CAST(rank AS INTEGER) AS rank FROM res""")
 def result_rows(spark, sf):
-    return X.result_rows(_responses(spark, sf), limit=100)
+    return X.result_rows(_responses(spark, sf))
 
 
 _TAG = G.ats_case("url", "title")
@@ -536,7 +580,7 @@ _TAG = G.ats_case("url", "title")
 SELECT doc_id, CAST(rank AS INTEGER) AS rank, {_TAG[0]} AS is_ats, {_TAG[1]} AS ats_platform,
        {_TAG[2]} AS confidence, 1 AS priority FROM res""")
 def tag_results(spark, sf):
-    rows = X.result_rows(_responses(spark, sf), limit=100)
+    rows = X.result_rows(_responses(spark, sf))
     return X.tag_results(rows, "url", "title").select("doc_id", "rank", "is_ats", "ats_platform", "confidence",
                                                       "priority")
 
@@ -556,7 +600,7 @@ def retry_queue(spark, sf):
 @query("dork_unprocessed", ids=("B27",), sql=with_sql(_RESULTS_SQL) + """
 SELECT doc_id, CAST(rank AS INTEGER) AS rank, sha256(url) AS url_hash FROM res WHERE NOT (rank <= 10)""")
 def dork_unprocessed(spark, sf):
-    rows = X.result_rows(_responses(spark, sf), limit=100).withColumn("processed", F.col("rank") <= 10)
+    rows = X.result_rows(_responses(spark, sf)).withColumn("processed", F.col("rank") <= 10)
     return X.unprocessed(rows).select("doc_id", "rank", S.url_hash("url").alias("url_hash"))
 
 
@@ -565,7 +609,7 @@ SELECT d.source AS campaign, CAST(count(*) AS INTEGER) AS total_results,
        CAST(count(DISTINCT r.doc_id) AS INTEGER) AS companies_found, CAST(count(DISTINCT r.url) AS INTEGER) AS urls_found
 FROM res r JOIN documents d ON r.doc_id = d.doc_id GROUP BY d.source""")
 def campaigns(spark, sf):
-    rows = X.result_rows(_responses(spark, sf), limit=100)
+    rows = X.result_rows(_responses(spark, sf))
     src = T.read_table(spark, sf, "documents").select("doc_id", F.col("source").alias("campaign"))
     return X.campaign_summary(rows.join(src, "doc_id"), "campaign", "doc_id", "url")
 
@@ -600,6 +644,15 @@ def org_searches(spark, sf):
     return s1.unionByName(s2)
 
 
+@query("query_result_urls", ids=("G5",), sql=with_sql(_RESULTS_SQL) + """
+SELECT 'boards' AS query, url, CAST(rank AS INTEGER) AS rank FROM res WHERE contains(url, 'lever.co')
+UNION ALL SELECT 'first lines', url, CAST(rank AS INTEGER) FROM res WHERE rank <= 3""")
+def query_result_urls(spark, sf):
+    rows = X.result_rows(_responses(spark, sf))
+    return X.query_result_urls([rows.filter(F.contains("url", F.lit("lever.co"))).withColumn("query", F.lit("boards")),
+                                rows.filter("rank <= 3").withColumn("query", F.lit("first lines"))])
+
+
 @query("dork_queries", ids=("C7",), sql="""
 SELECT keyword, CAST(template_id AS INTEGER) AS template_id, replace(tpl, '{kw}', keyword) AS query
 FROM (SELECT DISTINCT p_type AS keyword FROM part),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from hirelake.operators import search as R
 from hirelake.operators.joins import hydrate
 from hirelake.plans.registry import query
+from hirelake.session import scratch_path
 from hirelake.sources import tables as T
+from hirelake.sources.tables import POSTINGS_SQL, with_sql
 
 Q_TEXT = "the river of ment tion"
 FIELDS = {"title": "title", "company": "source", "description": "text"}
@@ -19,10 +21,16 @@ def _docs(spark, sf):
                     F.get(F.split("text", "\n"), 0).alias("title"))
 
 
+def _index(spark, sf):
+    """The index of the documents, written once by token prefix; the
+    searches read the folders of their tokens."""
+    path = scratch_path(spark, "index")
+    R.write_index(R.build_index(_docs(spark, sf), FIELDS), path)
+    return spark.read.parquet(path)
+
+
 def _hits(spark, sf):
-    d = _docs(spark, sf)
-    idx = R.build_index(d, FIELDS, only_tokens=R.query_tokens(Q_TEXT))
-    return R.search_hits(idx, Q_TEXT), d
+    return R.search_hits(_index(spark, sf), Q_TEXT)
 
 
 _TOK = "regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+')"
@@ -42,54 +50,73 @@ hits AS (SELECT doc_id, count(DISTINCT token) AS matched, max(weight) AS best_we
 SELECT doc_id, matched, best_weight, total_tf, (SELECT count(*) FROM hits) AS found FROM hits
 ORDER BY matched DESC, best_weight DESC, total_tf DESC, doc_id LIMIT 20""")
 def search(spark, sf):
-    hits, _ = _hits(spark, sf)
-    return R.search_page(hits, 1, 20)
+    return R.search_page(_hits(spark, sf), 1, 20)
 
 
 @query("search_page2", ids=("F6",), sql=_HITS_SQL + """
 SELECT doc_id, matched, best_weight, total_tf, (SELECT count(*) FROM hits) AS found FROM hits
 ORDER BY matched DESC, best_weight DESC, total_tf DESC, doc_id LIMIT 10 OFFSET 10""")
 def search_page2(spark, sf):
-    hits, _ = _hits(spark, sf)
-    return R.search_page(hits, 2, 10)
+    return R.search_page(_hits(spark, sf), 2, 10)
+
 
+FACETS = ["company", "location", "remote", "currency", "job_type", "experience_level", "source_platform", "tags"]
+JOB_QUERY = "building machinery"
 
-@query("facets", ids=("D6", "J5"), sql=_HITS_SQL + """
-SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM hits JOIN d USING (doc_id) GROUP BY lang
-UNION ALL
-SELECT 'source', source, count(*) FROM hits JOIN d USING (doc_id) GROUP BY source""")
+
+@query("facets", ids=("D6", "J5"), sql=with_sql(POSTINGS_SQL) + """
+, hit AS (SELECT * FROM jobs WHERE company IN ('BUILDING', 'MACHINERY'))
+""" + " UNION ALL ".join(f"SELECT '{f}' AS facet, CAST({f} AS VARCHAR) AS value, count(*) AS n FROM hit WHERE {f} IS NOT NULL GROUP BY ALL"
+                         for f in FACETS[:-1]) + """
+UNION ALL SELECT 'tags', t, count(*) FROM (SELECT unnest([lower(company), lower(location)]) AS t FROM hit) GROUP BY ALL""")
 def facets(spark, sf):
-    hits, d = _hits(spark, sf)
-    return R.facet_counts(hits.join(d.select("doc_id", "lang", "source"), "doc_id"), ["lang", "source"])
+    jobs = T.postings(spark, sf)
+    index = R.build_index(jobs, {"title": "title", "company": "company"}, id_col="id", only_tokens=R.query_tokens(JOB_QUERY))
+    hits = R.search_hits(index, JOB_QUERY).select(F.col("doc_id").alias("id"))
+    return R.facet_counts(jobs.join(hits, "id"), FACETS)
 
 
 @query("hydrate", ids=("C9",), sql=_HITS_SQL + """
 , top AS (SELECT * FROM hits ORDER BY matched DESC, best_weight DESC, total_tf DESC, doc_id LIMIT 20)
 SELECT t.doc_id, t.matched, d.lang, d.source, d.n_chars FROM top t JOIN d USING (doc_id)""")
 def hydrate_hits(spark, sf):
-    hits, d = _hits(spark, sf)
-    page = hits.orderBy(*R.rank_order()).limit(20).select("doc_id", "matched")
-    return hydrate(page, d.select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    page = _hits(spark, sf).orderBy(*R.rank_order()).limit(20).select("doc_id", "matched")
+    return hydrate(page, _docs(spark, sf).select("doc_id", "lang", "source", "n_chars"), "doc_id")
 
 
-FUZZY_TERMS = ["widgit", "bolts", "gaer", "smal", "bleu"]
-PREFIXES = ["gi", "bl", "wid", "s"]
+FUZZY_TERMS = ["thinng", "oering", "erandd", "thattion"]
+PREFIXES = ["thing", "ment", "oner", "zuei"]
+_VOCAB_SQL = f"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10))[1] AS title FROM documents),
+p AS (
+  SELECT doc_id, unnest({_TOK.format(c='title')}) AS token, 3 AS weight FROM d
+  UNION ALL SELECT doc_id, unnest({_TOK.format(c='source')}), 2 FROM d
+  UNION ALL SELECT doc_id, unnest({_TOK.format(c='text')}), 1 FROM d),
+v AS (SELECT DISTINCT token AS word FROM p WHERE token <> ''),
+fz AS (SELECT term, word, CAST(levenshtein(word, term) AS INTEGER) AS distance
+       FROM v JOIN (SELECT unnest(['""" + "','".join(FUZZY_TERMS) + """']) AS term) ON abs(length(word) - length(term)) <= 1
+       WHERE levenshtein(word, term) <= 1),
+px AS (SELECT prefix, word FROM v JOIN (SELECT unnest(['""" + "','".join(PREFIXES) + """']) AS prefix) ON starts_with(word, prefix))
+"""
 
 
-@query("fuzzy", ids=("J3",), sql="""
-WITH v AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+')) AS word FROM part) WHERE word <> ''),
-q AS (SELECT unnest(['""" + "','".join(FUZZY_TERMS) + """']) AS term)
-SELECT term, word, CAST(levenshtein(word, term) AS INTEGER) AS distance FROM v JOIN q
-  ON abs(length(word) - length(term)) <= 2 WHERE levenshtein(word, term) <= 2""")
+@query("fuzzy", ids=("J3",), sql=_VOCAB_SQL + "SELECT * FROM fz")
 def fuzzy(spark, sf):
-    vocab = R.vocabulary(T.read_table(spark, sf, "part"), "p_name")
-    return R.fuzzy_terms(vocab, FUZZY_TERMS, 2)
+    return R.fuzzy_terms(R.vocabulary(_index(spark, sf)), FUZZY_TERMS, 1)
 
 
-@query("prefix", ids=("J4",), sql="""
-WITH v AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+')) AS word FROM part) WHERE word <> ''),
-q AS (SELECT unnest(['""" + "','".join(PREFIXES) + """']) AS prefix)
-SELECT prefix, word FROM v JOIN q ON starts_with(word, prefix)""")
+@query("prefix", ids=("J4",), sql=_VOCAB_SQL + "SELECT * FROM px")
 def prefix(spark, sf):
-    vocab = R.vocabulary(T.read_table(spark, sf, "part"), "p_name")
-    return R.prefix_terms(vocab, PREFIXES)
+    return R.prefix_terms(R.vocabulary(_index(spark, sf)), PREFIXES)
+
+
+@query("search_fuzzy", ids=("J2", "J3", "J4"), sql=_VOCAB_SQL + """
+, x AS (SELECT term, word FROM fz UNION SELECT prefix, word FROM px),
+pt AS (SELECT doc_id, term, max(weight) AS w, count(*) AS tf FROM p JOIN x ON p.token = x.word GROUP BY ALL)
+SELECT doc_id, count(*) AS matched, max(w) AS best_weight, CAST(sum(tf) AS BIGINT) AS total_tf FROM pt GROUP BY doc_id""")
+def search_fuzzy(spark, sf):
+    index = _index(spark, sf)
+    vocab = R.vocabulary(index)
+    terms = R.fuzzy_terms(vocab, FUZZY_TERMS, 1).select("term", "word").unionByName(
+        R.prefix_terms(vocab, PREFIXES).select(F.col("prefix").alias("term"), "word"))
+    return R.search_expanded(index, terms)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import scalars as S
 from hirelake.operators import html as H
+from hirelake.plans.q_documents import _HEUR_SQL
 from hirelake.plans.registry import query
 from hirelake.sources import tables as T
-from hirelake.sources.tables import AS_OF_ORDERS
+from hirelake.sources.tables import AS_OF_ORDERS, COMPANIES_SQL, COMPANY_CRAWL_SQL, with_sql
 from hirelake.streaming import streams as K
 
 N_FILES = 4
@@ -18,7 +19,7 @@ N_FILES = 4
 
 def _orders_stream(spark, sf):
     o = T.read_table(spark, sf, "orders")
-    path = K.stage_in_order(o, "o_orderdate", N_FILES, "orders")
+    path = K.stage(o, "o_orderdate", N_FILES, "orders")
     src = K.file_stream(spark, path, o.schema)
     return src.select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("real_score"),
                       F.col("o_orderdate").alias("posted_at"), F.col("o_orderpriority").alias("source_platform"))
@@ -49,7 +50,7 @@ def stream_rollup(spark, sf):
 
 def _events_stream(spark, sf):
     e = T.read_table(spark, sf, "events")
-    path = K.stage_in_order(e, "ts", N_FILES, "events")
+    path = K.stage(e, "ts", N_FILES, "events")
     return K.file_stream(spark, path, e.schema), e.schema
 
 
@@ -88,21 +89,43 @@ def stream_health(spark, sf):
     return K.latest_by_epoch(rows, ["user_id"])
 
 
+@query("stream_due", ids=("K6",), sql=with_sql(COMPANIES_SQL, COMPANY_CRAWL_SQL) + f"""
+SELECT id, last_crawled_at FROM companies_c
+WHERE is_active AND (last_crawled_at IS NULL OR last_crawled_at < TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 7 DAY)""")
+def stream_due(spark, sf):
+    """K6: each run takes in the crawls finished since the last one (their
+    latest per company is kept by epoch) and selects what is due."""
+    from hirelake.operators.listing import stale_filter
+    o = T.read_table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderdate")
+    src = K.file_stream(spark, K.stage(o, "o_orderdate", N_FILES, "crawls"), o.schema).filter("o_orderstatus = 'F'")
+
+    def latest(batch):
+        return batch.groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("last_crawled_at"))
+
+    sink = K.run_available_now(src, "due", transform=latest)
+    seen = K.read_epochs(spark, sink, latest(o).schema).groupBy("id").agg(F.max("last_crawled_at").alias("last_crawled_at"))
+    companies = T.companies(spark, sf).join(seen, "id", "left")
+    return stale_filter(companies, AS_OF_ORDERS, 7).select("id", "last_crawled_at")
+
+
 @query("stream_dedup", ids=("K5", "E9"), sql="SELECT DISTINCT sha256(text) AS text_hash FROM documents")
 def stream_dedup(spark, sf):
     d = T.read_table(spark, sf, "documents").select("doc_id", "text")
-    path = K.stage_in_order(d, "doc_id", N_FILES, "documents")
+    path = K.stage(d, "doc_id", N_FILES, "documents")
     src = K.file_stream(spark, path, d.schema).select(S.url_hash("text").alias("text_hash"))
     out = K.stream_dedup(src, "text_hash")
     sink = K.run_available_now(out, "dedup")
     return K.read_epochs(spark, sink, out.schema).drop("epoch")
 
 
-@query("stream_parse", ids=("K7", "I5"))
+@query("stream_parse", ids=("K7", "I5"), sql="WITH " + _HEUR_SQL + """
+SELECT page_id, CASE WHEN reject_reason IS NULL THEN 'heuristics' ELSE 'reject' END AS parse_strategy,
+       CASE WHEN reject_reason IS NULL THEN title END AS title, CASE WHEN reject_reason IS NULL THEN company END AS company,
+       reject_reason FROM heur""")
 def stream_parse(spark, sf):
-    """Rows-only: pages stream -> extraction -> parse cascade (stateless)."""
+    """Pages stream -> extraction -> parse cascade (stateless)."""
     p = T.read_table(spark, sf, "pages")
-    path = K.stage_in_order(p, "page_id", N_FILES, "pages")
+    path = K.stage(p, "page_id", N_FILES, "pages")
     src = K.file_stream(spark, path, p.schema)
     cols = ["page_id", "parse_strategy", "title", "company", "reject_reason"]
 

@@ -51,5 +51,13 @@ def unescape(t: str) -> str:
     return t
 
 
+def char_refs(t: str) -> str:
+    """Character references as HTML reads them, also without the semicolon."""
+    for ent, ch in (("&amp;", "\x01"), ("&amp", "\x01"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&quot", '"'),
+                    ("&#39;", "'"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("\x01", "&")):
+        t = f"replace({t}, {lit(ent)}, {lit(ch)})"
+    return t
+
+
 def capitalize(x: str) -> str:
     return f"concat(upper(substr({x}, 1, 1)), lower(substr({x}, 2)))"

@@ -107,25 +107,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def materialised(df, name: str):
+    """``df`` written to the shared folder and read back, for plans whose
+    parts must see one and the same result."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one job's output/state."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def spread(df):
-    """Spread CPU-heavy per-row work over all cores when a plain scan produced
-    fewer input splits than the cluster has task slots (small or
-    single-row-group files). Plans that already contain an exchange are left
-    alone: their data is distributed already, and counting their partitions
-    would make AQE run the shuffle stages ahead of time. Large scans have
-    enough splits and are returned unchanged, so this never adds a shuffle at
-    scale."""
-    if df.isStreaming:
-        return df
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df

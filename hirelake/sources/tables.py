@@ -23,27 +23,11 @@ AS_OF_ORDERS = "2001-08-02 00:00:00"
 AS_OF_EVENTS = "2024-01-31 00:00:00"
 
 
-# tables whose rows carry long texts: per-row work on them is CPU-heavy
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
-
-_UNDER_SPLIT: dict[tuple[str, int], bool] = {}
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of a given table. Text tables are spread over all task slots when
-    the scan has fewer splits than slots (a no-op on large inputs); the
-    decision depends only on the file layout, so it is made once per path."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if name in TEXT_TABLES:
-        slots = spark.sparkContext.defaultParallelism
-        key = (path, slots)
-        if key not in _UNDER_SPLIT:
-            _UNDER_SPLIT[key] = df.rdd.getNumPartitions() < slots
-        if _UNDER_SPLIT[key]:
-            df = df.repartition(slots)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Scan of a given table; ``partitions`` asks for that many task inputs
+    (a round-robin shuffle), by default the scan's own splits are used."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.repartition(partitions) if partitions else df
 
 
 def bounded_dim(df: DataFrame) -> DataFrame:
@@ -203,14 +187,16 @@ urls_d AS (
 
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``companies``: customers outside the HOUSEHOLD segment, several per domain."""
-    c = read_table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") != "HOUSEHOLD")
+    """``companies``: one per customer, several per domain. Only those
+    with a large balance have a site of their own; so some domains find
+    several companies and some none."""
+    c = read_table(spark, sf_dir, "customer")
     n = bounded_dim(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     j = c.join(n, c.c_nationkey == n.n_nationkey)
     return j.select(
         F.col("c_custkey").alias("id"),
         F.col("c_name").alias("name"),
-        _domain(F.col("c_mktsegment"), F.col("n_name")).alias("domain"),
+        F.when(F.col("c_acctbal") >= 9000, _domain(F.col("c_mktsegment"), F.col("n_name"))).alias("domain"),
         F.col("c_mktsegment").alias("industry"),
         F.lit("seed").alias("source"),
         (F.col("c_acctbal") >= 0).alias("is_active"),
@@ -220,10 +206,9 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMPANIES_SQL = """
 companies AS (
   SELECT c.c_custkey AS id, c.c_name AS name,
-         """ + _DOMAIN_SQL.format(s="c.c_mktsegment", n="n.n_name") + """ AS domain,
+         CASE WHEN c.c_acctbal >= 9000 THEN """ + _DOMAIN_SQL.format(s="c.c_mktsegment", n="n.n_name") + """ END AS domain,
          c.c_mktsegment AS industry, 'seed' AS source, c.c_acctbal >= 0 AS is_active
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-  WHERE c.c_mktsegment <> 'HOUSEHOLD'
 )"""
 
 

@@ -39,25 +39,38 @@ ph AS (
 
 def ct_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One certificate-log entry per page: wildcard of the site domain, the
-    page host (padded) and a language sub-host, newline separated."""
+    page host (padded), a language sub-host, a job host and a host of another
+    domain, newline separated."""
     h = page_hosts(spark, sf_dir)
     nv = F.concat(F.lit("*."), F.col("domain"), F.lit("\n "), F.col("host"), F.lit(" \n"),
-                  F.lower("seg1"), F.lit("."), F.col("domain"))
+                  F.lower("seg1"), F.lit("."), F.col("domain"), F.lit("\ncareers."), F.col("domain"),
+                  F.lit("\nother.example.invalid"))
     return h.select("page_id", "domain", nv.alias("name_value"))
 
 
 CT_ENTRIES_SQL = """
 ct AS (
   SELECT page_id, domain,
-         concat('*.', domain, chr(10), ' ', host, ' ', chr(10), lower(seg1), '.', domain) AS name_value
+         concat('*.', domain, chr(10), ' ', host, ' ', chr(10), lower(seg1), '.', domain, chr(10), 'careers.', domain,
+                chr(10), 'other.example.invalid') AS name_value
   FROM ph
 )"""
 
 
 def harvested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw harvested host names (upper-cased, padded) per page domain."""
+    """Raw harvested host names per page domain, upper-cased and padded: the
+    page's host and a job host of the domain."""
     h = page_hosts(spark, sf_dir)
-    return h.select("page_id", "domain", F.concat(F.lit("  "), F.upper("host"), F.lit(" ")).alias("raw_host"))
+    hosts = F.array(F.col("host"), F.concat(F.lit("jobs."), F.col("domain")))
+    return h.select("page_id", "domain", F.explode(F.transform(
+        hosts, lambda x: F.concat(F.lit("  "), F.upper(x), F.lit(" ")))).alias("raw_host"))
+
+
+HARVESTED_SQL = """
+hraw AS (
+  SELECT page_id, domain, lower(trim(concat('  ', upper(h), ' '))) AS subdomain
+  FROM (SELECT page_id, domain, unnest([host, concat('jobs.', domain)]) AS h FROM ph)
+)"""
 
 
 def career_fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:

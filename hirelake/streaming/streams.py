@@ -25,24 +25,14 @@ from hirelake.session import scratch_path
 
 # ---------------------------------------------------------------- sources and sinks
 
-def stage_in_order(df: DataFrame, time_col: str, n_files: int, name: str) -> str:
-    """Copy a table into ``n_files`` files ordered by ``time_col`` (one write
-    per time slice, so file modification times follow event time) — the
-    shape of an append-only landing folder. This stages the given tables for
-    the registered stream queries; in production the producer writes the
-    landing folder and the stream reads it directly."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"landing-{name}")
-    dtype = df.schema[time_col].dataType.typeName()
-    t = (F.unix_micros(F.col(time_col).cast("timestamp")) if dtype.startswith("timestamp")
-         else F.col(time_col)).cast("double")
-    lo, hi = df.agg(F.min(t), F.max(t)).first()
-    width = ((hi - lo) / n_files) if hi is not None and hi > lo else 1.0
-    bucket = F.least(F.floor((t - F.lit(lo or 0.0)) / F.lit(width)), F.lit(n_files - 1))
-    tagged = df.withColumn("__slice", bucket)
-    for i in range(n_files):
-        part = tagged.filter(F.col("__slice") == i).drop("__slice").coalesce(1)
-        part.write.mode("append").parquet(path)
+def stage(df: DataFrame, time_col: str, n_files: int, name: str) -> str:
+    """Write a table to a fresh landing folder, one ordinary parallel write in
+    ``n_files`` ranges of ``time_col`` or more. This stages the given tables
+    for the registered stream queries; in production the producer writes the
+    landing folder. Files may be picked up in any order, so the operators do
+    not rely on it."""
+    path = scratch_path(df.sparkSession, f"landing-{name}")
+    df.repartitionByRange(n_files, time_col).write.parquet(path)
     return path
 
 
@@ -61,31 +51,30 @@ def _epoch_writer(path: str, transform=None):
 
 
 def run_available_now(stream: DataFrame, name: str, mode: str = "append", transform=None,
-                      timeout_s: int = 900, sink: str | None = None, checkpoint: str | None = None) -> str:
-    """Run a streaming plan to completion over what is available; returns the
-    sink folder (``epoch=N`` sub-folders). Passing the same ``sink`` and
+                      sink: str | None = None, checkpoint: str | None = None) -> str:
+    """Run a streaming plan to completion over what is available, however long
+    that takes; a failure is raised. Returns the sink folder (``epoch=N`` sub-folders). Passing the same ``sink`` and
     ``checkpoint`` again resumes: only new input is processed."""
     spark = stream.sparkSession
     sink = sink or scratch_path(spark, f"sink-{name}")
     ckpt = checkpoint or scratch_path(spark, f"ckpt-{name}")
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(_epoch_writer(sink, transform)).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish")
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
     return sink
 
 
 def read_epochs(spark: SparkSession, sink: str, schema) -> DataFrame:
-    """All rows of an epoch-folder sink with their ``epoch`` column."""
-    try:
-        return spark.read.schema(schema).parquet(sink)
-    except Exception:  # no batch had data
-        from pyspark.sql.types import LongType, StructField, StructType
-        return spark.createDataFrame([], StructType(schema.fields + [StructField("epoch", LongType())]))
+    """All rows of an epoch-folder sink with their ``epoch`` column. A folder
+    that no batch has written yet is empty; any other trouble is an error."""
+    from pyspark.sql.types import LongType, StructField, StructType
+    full = StructType(schema.fields + [StructField("epoch", LongType())])
+    place = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(sink)
 
 
 def latest_by_epoch(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,9 +102,13 @@ def stream_dedup(src: DataFrame, key: str, event_time: str | None = None, delay:
 
 # ---------------------------------------------------------------- K2: incremental roll-up
 
-def stream_rollup(src: DataFrame, as_of, min_score: int = 70, days: int = 90) -> DataFrame:
-    """K2: per day and platform running counters (update mode)."""
+def stream_rollup(src: DataFrame, as_of, min_score: int = 70, days: int = 90, delay: str | None = None) -> DataFrame:
+    """K2: per day and platform running counters (update mode). With ``delay``
+    a watermark on ``posted_at`` lets the state of old days go; later rows of
+    those days are then dropped, so the caller states how late rows may be."""
     from hirelake.operators.listing import active_predicate
+    if delay:
+        src = src.withColumn("posted_at", F.col("posted_at").cast("timestamp")).withWatermark("posted_at", delay)
     return (src.groupBy(F.to_date("posted_at").alias("stat_date"), "source_platform")
             .agg(F.count(F.lit(1)).alias("total_jobs"),
                  F.count_if(active_predicate(as_of, min_score, days)).alias("active_jobs"),
@@ -134,36 +127,43 @@ def stream_latest_batch(keys: list[str], order: list[str]):
 
 # ---------------------------------------------------------------- K4: stateful health
 
-HEALTH_OUT = "user_id long, success_count long, fail_count long, is_healthy boolean"
-HEALTH_STATE = "success_count long, fail_count long"
+HEALTH_STATE = "success_count long, last array<long>, fails array<array<long>>"
 
 
 def _health_update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    succ, fail = state.get if state.exists else (0, 0)
-    frames = [p for p in pdfs if len(p)]
-    if frames:
-        ev = pd.concat(frames)
-        order = [c for c in ev.columns if c.startswith("__o")]
-        ev = ev.sort_values(order, kind="mergesort")
-        for is_s in ev["is_success"].tolist():
-            if is_s:
-                succ += 1
-                fail = 0
-            else:
-                fail += 1
-        state.update((succ, fail))
-    yield pd.DataFrame({"user_id": [key[0]], "success_count": [succ], "fail_count": [fail],
-                        "is_healthy": [fail < FAIL_LIMIT]})
+    """Merge a batch into the state: the successes so far, the place of the
+    last one in the order, and the places of the failures after it. Batches
+    may come in any order."""
+    count, last, fails = state.get if state.exists else (0, [], [])
+    last, fails = tuple(last or ()), [tuple(f) for f in fails or ()]
+    for p in pdfs:
+        places = list(zip(*(p[c].tolist() for c in p.columns if c.startswith("__o"))))
+        won = p["is_success"].to_numpy(bool)
+        count += int(won.sum())
+        last = max([last, *(x for x, s in zip(places, won) if s)])
+        fails += [x for x, s in zip(places, won) if not s]
+    fails = [f for f in fails if f > last]
+    state.update((count, list(last), [list(f) for f in fails]))
+    yield pd.DataFrame({"key": [key[0]], "success_count": [count], "fail_count": [len(fails)],
+                        "is_healthy": [len(fails) < FAIL_LIMIT]})
 
 
 def stream_health(src: DataFrame, key: str, is_success, is_failure,
                   order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """K4: per-key health state machine kept in the state store; each batch
-    emits the new state of the keys it touched (update mode). Events inside
-    a batch are applied in ``order`` (a total order, e.g. time then id). The
-    output key column is named ``user_id``."""
-    ev = src.select(F.col(key).alias("user_id"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)],
+    emits the new state of the keys it touched (update mode). ``order`` is a
+    total order of timestamps or whole numbers; events may arrive out of it. A
+    key's state holds its run of failures since its last success. The key
+    keeps its name and type."""
+    def place(c):
+        kind = src.schema[c].dataType.typeName()
+        return F.unix_micros(F.col(c).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(c).cast("long")
+
+    kind = src.schema[key].dataType.simpleString()
+    ev = src.select(F.col(key).alias("key"), *[place(c).alias(f"__o{i}") for i, c in enumerate(order)],
                     is_success.alias("is_success"), is_failure.alias("is_failure")) \
         .filter(F.col("is_success") | F.col("is_failure"))
-    return ev.groupBy("user_id").applyInPandasWithState(
-        _health_update, HEALTH_OUT, HEALTH_STATE, "update", GroupStateTimeout.NoTimeout)
+    out = ev.groupBy("key").applyInPandasWithState(
+        _health_update, f"key {kind}, success_count long, fail_count long, is_healthy boolean", HEALTH_STATE, "update",
+        GroupStateTimeout.NoTimeout)
+    return out.withColumnRenamed("key", key)

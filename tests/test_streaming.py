@@ -17,7 +17,7 @@ def _epochs(path):
 
 def test_restart_processes_only_new_files(spark):
     e = T.read_table(spark, SF, "events")
-    landing = K.stage_in_order(e, "ts", 2, "restart")
+    landing = K.stage(e, "ts", 2, "restart")
     src = K.file_stream(spark, landing, e.schema)
     keys, order = ["user_id", "event_type"], ["ts", "event_id"]
     sink, ckpt = scratch_path(spark, "sink-r"), scratch_path(spark, "ckpt-r")

@@ -41,13 +41,6 @@ def test_batches_per_group(spark):
     assert got[("a", 0)] == 0 and got[("a", 9)] == 0 and got[("a", 10)] == 1 and got[("b", 24)] == 2
 
 
-def test_round_robin_starts_after_first(spark):
-    reqs = spark.createDataFrame([(i,) for i in range(5)], "r long")
-    pool = spark.createDataFrame([(10,), (20,), (30,)], "p long")
-    out = {r["r"]: r["p"] for r in Q.round_robin(reqs, pool, [F.col("r")], [F.col("p")]).collect()}
-    assert out == {0: 20, 1: 30, 2: 10, 3: 20, 4: 30}
-
-
 def test_import_tally_malformed_is_error(spark):
     lines = spark.createDataFrame([('{"success": true}',), ('{"success": false, "error": "x"}',), ('"k": 1}',)],
                                   "line string")
