@@ -153,7 +153,7 @@ def test_resolve_url(spark):
     df = spark.createDataFrame([("http://h.test/a/b?q=1#f", "../c"), ("http://h.test/a/b", "//o.test/x"),
                                 ("http://h.test/a/b", "?z"), ("http://h.test/a/b#f", "")], "b string, h string")
     got = [r[0] for r in df.select(S.resolve_url("b", "h")).collect()]
-    assert got == ["http://h.test/c", "http://o.test/x", "http://h.test/a/b?z", "http://h.test/a/b"]
+    assert got == ["http://h.test/c", "http://o.test/x", "http://h.test/a/b?z", "http://h.test/a/b#f"]
 
 
 def test_url_upsert(spark):

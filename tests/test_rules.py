@@ -23,7 +23,7 @@ SMALL, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 BASES = ["https://h.example.com", "https://h.example.com/", "https://h.example.com/a/b/c", "http://h.example.com/a/b/",
          "https://u@h.example.com:8080/x/y?q=1&r=/../z#frag", "HTTPS://H.example.com/a/../b"]
-HREFS = ["", "x", "/x", "//o.example.org/p/../q", "../x", "../../x", "../../../../../../x", "./x", "/./././x", "a/./b/../c", "..",
+HREFS = ["", " ", "x", "/x", "//o.example.org/p/../q", "../x", "../../x", "../../../../../../x", "./x", "/./././x", "a/./b/../c", "..",
          ".", "/a/b/..", "/a/b/.", "?q=2", "#top", "/jobs/1?next=/x/../y", "/jobs/1#/x/../y", "  /x", "\n/jo\tbs/\r\n2", "x y",
          "mailto:a@b.c", "javascript:void(0)", "tel:+1", "https://o.example.org/a/../b?c#d", "http:x", "https:x/y", "/a//b///c",
          "a//b", "x/", "x?", "x#", "?", "/é/ü?ö#ß", "x;p=1", "/x?a=b?c", "x#a#b", "...", "/..x/../y", "&amp;x=1"]
