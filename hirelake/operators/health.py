@@ -41,11 +41,11 @@ def health_fold(events: DataFrame, key: str, order: list[str], is_success, is_fa
     ev = ev.withColumn("__last", F.max(F.when(F.col("__s"), F.col("__o"))).over(w))
     after = F.col("__f") & (F.col("__last").isNull() | (F.col("__o") > F.col("__last")))
     parts = ev.groupBy(key, "__b").agg(F.count_if("__s").alias("__ns"), F.count_if(after).alias("__nf"))
-    won = parts.groupBy(key).agg(F.sum("__ns").alias("success_count"),
-                                 F.max(F.when(F.col("__ns") > 0, F.col("__b"))).alias("__won"))
-    out = (parts.join(won, key).groupBy(key, "success_count", "__won")
-           .agg(F.sum(F.when(F.col("__won").isNull() | (F.col("__b") >= F.col("__won")), F.col("__nf")).otherwise(0))
-                .cast("long").alias("fail_count")))
+    won = F.max(F.when(F.col("__ns") > 0, F.col("__b"))).over(Window.partitionBy(key))  # over a key's hours
+    late = F.col("__won").isNull() | (F.col("__b") >= F.col("__won"))
+    out = parts.withColumn("__won", won).groupBy(key).agg(
+        F.sum("__ns").alias("success_count"), F.max("__won").alias("__won"),
+        F.sum(F.when(late, F.col("__nf")).otherwise(0)).cast("long").alias("fail_count"))
     healthy = F.col("fail_count") < FAIL_LIMIT
     if not initial_healthy:
         healthy = healthy & F.col("__won").isNotNull()

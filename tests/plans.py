@@ -13,7 +13,7 @@ From `df.explain("formatted")`; only the operator tree is kept. Notes:
 - `list_newest` takes the top-k on the orders scan and joins only that page;
 - struct-valued `min_by`/`max_by` run as partial `SortAggregate` (map side, then final);
 - `MapInArrow` appears once per HTML plan (one parse per page); `job_links` has no exchange;
-- `health_fold` scans the events once; only (key, hour) rows meet by key;
+- `health_fold` scans the events once, dealt by key and hour; only hour rows meet by key;
 - `search` reads a written index: its scan has `PartitionFilters` on the token prefix, and its page is
   sorted from the written hits;
 - other broadcast joins were chosen by Catalyst/AQE from measured sizes.
