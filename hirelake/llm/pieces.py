@@ -4,7 +4,7 @@ Words start at the blank's mark; they are cut further between characters that
 stand side by side in no piece of the table, because no token can cross such a
 place. Each distinct word part is encoded once for the whole table:
 
-    explode   all substrings up to the longest piece
+    explode   all substrings up to the longest piece that begins like them
     join      with the piece table on equality (a vocabulary: bounded, broadcast)
     group     the found edges by word part, in the order of their scores
     fold      with a Spark higher-order aggregate over the edges
@@ -46,9 +46,12 @@ from hirelake.llm.encoders import _Memo
 
 MARK = "▁"
 MAX_PART = 60
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 2048
+HEAD = 3
+#: word parts whose borders every task holds
+COMMON = 200_000
 #: words held by a task before they are handed on or forgotten
-HELD = 200_000
+HELD = 300_000
 
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*").findall
 
@@ -69,6 +72,7 @@ class PieceTable:
     def __post_init__(self):
         self.pairs = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.longest = max(map(len, self.pieces))
+        self.raw = [t if t is not None else bytes([self.byte_of[i]]) if i in self.byte_of else b"" for i, t in enumerate(self.texts)]
         # the same pairs for whole arrays of characters: those that stand in a pair are numbered from 1
         chars = sorted({ord(c) for p in self.pairs for c in p if ord(c) < 0x10000})
         self.char_no = np.zeros(0x10001, np.int32)  # the last one stands for all beyond
@@ -146,8 +150,7 @@ class PieceTable:
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, byte pieces as bytes (broken UTF-8
         becomes the replacement mark), the dummy blank in front removed."""
-        texts, byte_of = self.texts, self.byte_of
-        data = b"".join([texts[i] if texts[i] is not None else bytes([byte_of[i]]) if i in byte_of else b"" for i in ids])
+        data = b"".join(map(self.raw.__getitem__, ids))
         return data.decode(errors="replace").replace(MARK, " ")[1:]
 
 
@@ -212,12 +215,18 @@ def piece_table(path: str) -> PieceTable:
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text, each with its mark or marks in front."""
+    """The words of a text. Each stands without its one mark in front, or with
+    all of them if there are more."""
     if not text:
         return []
     if "  " in text or text[0] == " " or MARK in text:
-        return _WORDS(MARK + text.replace(" ", MARK))
-    return [MARK + w for w in text.split(" ")]
+        return [w if w[1:2] == MARK else w[1:] for w in _WORDS(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
+
+
+def marked(words: list[str]) -> list[str]:
+    """The words with their marks."""
+    return [w if w[:1] == MARK else MARK + w for w in words]
 
 
 # ------------------------------------------------------------------ the lattice
@@ -232,10 +241,17 @@ def lattice(parts: DataFrame, table: PieceTable) -> DataFrame:
     rows = [(p, float(s), ranks[p], table.split.get(p, 0)) for p, (_, s) in table.pieces.items() if len(p) >= least]
     vocabulary = spark.createDataFrame(rows, "piece string, score double, rank long, split int")
     n = F.length("part")
+    # how long a piece can be that begins with these characters: most begin none of more than two
+    head: dict = {}
+    for p in table.pieces:
+        head[p[:HEAD]] = max(head.get(p[:HEAD], 0), len(p))
+    heads = spark.createDataFrame([(h, k) for h, k in head.items() if len(h) == HEAD], "head string, most int")
     cut = parts.select("part", F.explode(F.sequence(F.lit(0), n - least)).alias("s"))
-    cut = cut.select("part", "s", F.explode(F.sequence(F.lit(least), F.least(F.lit(table.longest), n - F.col("s")))).alias("k"))
+    cut = cut.withColumn("head", F.substr("part", F.col("s") + 1, F.lit(HEAD))).join(F.broadcast(heads), "head", "left")
+    most = F.least(F.coalesce("most", F.lit(HEAD - 1)), n - F.col("s"))
+    cut = cut.select("part", "s", F.explode(F.sequence(F.lit(least), most)).alias("k"))
     cut = cut.withColumn("piece", F.substr("part", F.col("s") + 1, F.col("k")))
-    edges = cut.join(F.broadcast(vocabulary), "piece")  # the vocabulary file bounds it
+    edges = cut.join(F.broadcast(vocabulary), "piece")  # the vocabulary file bounds both tables
     if table.unigram:
         edge = F.struct((F.col("s") + F.col("k")).alias("e"), "s", "score")
         grouped = edges.groupBy("part").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
@@ -288,20 +304,26 @@ def viterbi(edges: Column, n: Column) -> Column:
 
 # ------------------------------------------------------------------ documents
 
-def block_parts(rows: DataFrame, path: str, held: int = HELD) -> DataFrame:
+def block_parts(rows: DataFrame, path: str, common=None, held: int = HELD) -> DataFrame:
     """``(block, part)``: the word parts that need a lattice, distinct within a
-    block but for repeats from a full buffer."""
+    block but for repeats from a full buffer. ``common`` is a broadcast
+    dictionary of parts whose borders are known already."""
 
     def run(batches):
         table, block, words = piece_table(path), None, set()
+        known = common.value if common is not None else {}
 
         def out():
-            text, _, cuts = table.cuts(list(words))
+            some, parts = list(words), set()
             words.clear()
-            a, b = cuts[:-1], cuts[1:]
-            long_ = b - a > 1
-            parts = {text[x:y] for x, y in zip(a[long_].tolist(), b[long_].tolist())}
-            parts = [p for p in parts if table.plain(p)]
+            while some:  # a few words at a time: the arrays are wide
+                text, _, cuts = table.cuts(marked(some[-50_000:]))
+                del some[-50_000:]
+                a, b = cuts[:-1], cuts[1:]
+                long_ = b - a > 1
+                found = {text[x:y] for x, y in zip(a[long_].tolist(), b[long_].tolist())}
+                parts.update(p for p in found if p not in known and table.plain(p))
+            parts = list(parts)
             for x in range(0, len(parts), 50_000):
                 some = parts[x:x + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.string())],
@@ -320,11 +342,27 @@ def block_parts(rows: DataFrame, path: str, held: int = HELD) -> DataFrame:
     return rows.mapInArrow(run, "block long, part string")
 
 
+def common_parts(rows: DataFrame, path: str, table: PieceTable, most: int = COMMON, one_in: int = 16) -> dict:
+    """The borders of at most ``most`` parts, those that stand in most blocks
+    (two at least) if one row in ``one_in`` is looked at. They are broadcast,
+    so that parts which most blocks share need not be joined for each of them;
+    which parts these are changes no result."""
+    seen = block_parts(rows.where(F.pmod(F.xxhash64("block", "row"), F.lit(one_in)) == 0), path)
+    often = (seen.groupBy("part").agg(F.count_distinct("block").alias("n")).where("n > 1")
+             .orderBy(F.desc("n"), "part").limit(most).select("part"))
+    return {r["part"]: r["borders"] for r in lattice(often.repartition("part"), table).collect()}
+
+
+#: what a Python worker has encoded, per piece table; it is the same in every block
+_WORDS_KNOWN: dict[int, _Memo] = {}
+
+
 class _BlockEncoder:
     """Encodes the texts of one block from the borders in its file."""
 
-    def __init__(self, folder: str, block: int, table: PieceTable):
-        self.table, self.words = table, _Memo()
+    def __init__(self, folder: str, block: int, table: PieceTable, common: dict):
+        self.table, self.common = table, common
+        self.words = _WORDS_KNOWN.setdefault(id(table), _Memo())
         t = of_block(folder, block, ["part", "borders"])
         self.borders = dict(zip(*(c.to_pylist() for c in t.columns))) if t is not None else {}
 
@@ -333,11 +371,11 @@ class _BlockEncoder:
         new = self.words.new
         if not new:
             return
-        table, known = self.table, self.borders
-        text, starts, cuts = table.cuts(new)
+        table, own, common = self.table, self.borders.get, self.common.get
+        text, starts, cuts = table.cuts(marked(new))
         places, more = [cuts], []
         parts = [text[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        masks = np.fromiter((known.get(p, 0) for p in parts), np.int64, len(parts))
+        masks = np.fromiter((common(p) or own(p, 0) for p in parts), np.int64, len(parts))
         for i in np.flatnonzero((masks == 0) & (np.diff(cuts) > 1)).tolist():
             if table.plain(parts[i]):
                 raise KeyError(f"no borders for {parts[i]!r}: the rows changed between two scans")
@@ -368,8 +406,8 @@ class _BlockEncoder:
         self.words.put(np.bincount(owner, minlength=len(new)), np.array(ids, np.uint32))
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        if len(self.words) > HELD:
-            self.words = _Memo()
+        if len(self.words) > HELD or self.words.new:  # full, or left by a task that failed
+            self.words = _WORDS_KNOWN[id(self.table)] = _Memo()
         at = []
         for t in texts:
             w = words_of(t or "")
@@ -393,7 +431,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     text_rows(spark)
     table = piece_table(path)
     rows = placed(docs, id_col, text_col, block_rows)
-    noted = stored(block_parts(rows, path), "piece-parts")
+    common = spark.sparkContext.broadcast(common_parts(rows, path, table))
+    noted = stored(block_parts(rows, path, common), "piece-parts")
     known = lattice(noted.select("part").distinct(), table)
     alone = F.call_function("shiftleft", F.lit(1).cast("long"), F.length("part") + 1) - 1  # no edge: no merge
     answers = noted.join(known, "part", "left").select("block", "part", F.coalesce("borders", alone).alias("borders"))
@@ -405,7 +444,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             texts, blocks = b.column(1).to_pylist(), b.column(2).to_pylist()
             for lo, hi in runs(blocks):
                 if enc is None or now != blocks[lo]:
-                    now, enc = blocks[lo], _BlockEncoder(folder, blocks[lo], own)
+                    now, enc = blocks[lo], _BlockEncoder(folder, blocks[lo], own, common.value)
                 ids = enc.encode(texts[lo:hi])
                 ends = np.cumsum([0, *map(len, ids)])
                 cells = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))

@@ -34,7 +34,7 @@ def test_queue_gives_what_the_library_gives(sp):
     for t in texts():
         if t:
             ids = []
-            for w in P.words_of(t):
+            for w in P.marked(P.words_of(t)):
                 text, _, cuts = table.cuts([w])
                 for a, b in zip(cuts, cuts[1:]):
                     for x in P.merge_queue(text[a:b], table.pieces)[0]:
