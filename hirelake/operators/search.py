@@ -62,7 +62,8 @@ def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "doc_id",
     return t.groupBy("token", "doc_id", "field", "weight").agg(F.count(F.lit(1)).alias("tf"))
 
 
-PREFIX_LEN = 2
+#: one character: few folders; files are sorted by token, so their statistics narrow a read further
+PREFIX_LEN = 1
 
 
 def write_index(index: DataFrame, path: str, prefix_len: int = PREFIX_LEN, partitions: int | None = None) -> None:
