@@ -1,9 +1,12 @@
 """A page as a tree of block elements and text blocks.
 
-Inline markup vanishes, scripts, styles and controls are dropped whole, and
-character references are decoded. Each run of text between two block borders
-is one text block below its innermost block element. Missing end tags are
-closed as browsers do for paragraphs, list items and table cells.
+Inline markup vanishes (that of media, formulas, objects and templates too:
+their text stays in its place), character references are decoded, and the
+raw text of scripts, styles, titles, text fields and frames is dropped. So is
+a button or select list that its own end tag closes; an unclosed one ends with
+its parent and leaves its text. Each run of text between two block borders is
+one text block below its innermost block element. Missing end tags are closed
+as browsers do for paragraphs, list items and table cells.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ import re
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search
 section summary table tbody td tfoot th thead tr ul""".split())
-DROPPED = "script style noscript template svg math iframe object textarea select button title audio video canvas map"
+RAW = frozenset("script style title textarea iframe".split())
+CONTROLS, FOREIGN = ("button", "select"), ("svg", "math")
 CLOSED_BY = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"),
              "th": ("table", "tr")}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "li": ("li",), "tr": ("tr",)}
@@ -23,9 +27,11 @@ SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td",
 # quoted values and the number of attributes are bounded, so that a page of
 # broken tags costs linear time; such tags end at the next ">"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED.replace(' ', '|')})\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]{0,5000}\"|'[^']{0,5000}'){0,200}+|[^>]*+)>|<[!?/][^>]*+>",
-    re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,5000}\"|'[^']{0,5000}'){0,200}+|[^>]*+)>|<[!?/][^>]*+>",
+    re.S | re.I | re.A)
+#: where raw text ends, and the border of an svg or formula
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in RAW}
+_ENDS["svg"] = re.compile(r"</?(?:svg|math)(?=[\s/>])", re.I | re.A)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -47,21 +53,24 @@ class Page:
         self.parent, self.tag, self.attrs, self.text, self.linked = [-1], ["html"], [""], [None], [0]
         stack, held, links, linked = [0], [], 0, 0
         count = {"html": 1}
+        controls: list = []  # open buttons and select lists, with what was there before them
+        foreign: list = []  # open svg and math elements
+        ends: dict = {}
 
         def flush():
-            nonlocal linked
+            nonlocal linked, held
             if held:
                 text = " ".join("".join(held).split())
-                held.clear()
+                held = []  # the old list may be an open control's
                 if text:
                     self._add(stack[-1], "", "", text, linked)
                 linked = 0
 
-        def close(tags, stops=()):
+        def close(tags, stops=(), floor=1):
             """Pop up to the nearest open element of ``tags``, not beyond ``stops``."""
             if not any(count.get(t) for t in tags):
                 return
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, floor - 1, -1):
                 t = self.tag[stack[k]]
                 if t in tags:
                     flush()
@@ -80,36 +89,81 @@ class Page:
                 if links:
                     linked += len(raw)
 
+        def live(opened):
+            """``opened`` without the elements whose parent is closed."""
+            while opened and not (len(stack) >= opened[-1][1] and stack[opened[-1][1] - 1] == opened[-1][2]):
+                opened.pop()
+            return opened
+
+        def ahead(name):
+            """The next place from ``at`` on where ``_ENDS[name]`` matches; each stretch is searched once."""
+            if ends.get(name, -1) < at:
+                found = _ENDS[name].search(source, at)
+                ends[name] = found.start() if found else len(source)
+            return ends[name]
+
+        def control(tag, end):
+            """A control's own end tag takes back all since its start; a new
+            one of its kind ends it with its text left."""
+            nonlocal held, linked, links
+            k = next((k for k, c in enumerate(live(controls)) if c[0] == tag), None)
+            if k is not None:
+                _, depth, _, nodes, before, n, was = controls[k]
+                del controls[k:]
+                if end:
+                    for i in stack[depth:]:
+                        count[self.tag[i]] -= 1
+                    del stack[depth:]
+                    for column in (self.parent, self.tag, self.attrs, self.text, self.linked):
+                        del column[nodes:]
+                    del before[n:]
+                    held, (linked, links) = before, was
+            if not end:
+                controls.append((tag, len(stack), stack[-1], len(self.tag), held, len(held), (linked, links)))
+
         at = 0
-        for m in _TOKEN.finditer(source):
+        while m := _TOKEN.search(source, at):
             words(source[at:m.start()])
             at = m.end()
-            tag = m[3]
+            tag = m[2]
             if tag is None:
                 continue
-            tag = tag.lower()
+            tag, attrs = tag.lower(), m[3]
+            empty = attrs.endswith("/")
             if tag not in BLOCKS:
                 if tag == "a":
-                    links = max(0, links + (-1 if m[2] else 1))
+                    links = max(0, links + (-1 if m[1] else 1))
                 elif tag in ("br", "img", "input", "wbr"):
                     held.append(" ")
+                elif tag in CONTROLS:
+                    control(tag, bool(m[1]))
+                elif tag in FOREIGN:
+                    if not m[1] and not empty:
+                        foreign.append((tag, len(stack), stack[-1]))
+                    elif m[1] and live(foreign) and foreign[-1][0] == tag:
+                        foreign.pop()
+                elif tag in RAW and not m[1]:
+                    # inside an svg it may be empty, and ends with the svg at the latest
+                    if not live(foreign) or not empty and ahead(tag) < ahead("svg"):
+                        at = ahead(tag)
                 continue
-            if m[2]:
+            floor = controls[-1][1] if live(controls) else 1  # what a control holds closes nothing outside of it
+            if m[1]:
                 flush()
                 if tag not in ("html", "body"):  # what follows </body> still belongs to it
-                    close((tag,))
+                    close((tag,), floor=floor if tag == "p" else 1)
             elif tag == "html" or tag == "body" and count.get("body"):
                 flush()
             else:
                 flush()
                 links = 0 if tag not in ("div", "p") else links
                 if tag in SAME:
-                    close(SAME[tag], CLOSED_BY[tag])
+                    close(SAME[tag], CLOSED_BY[tag], floor)
                 else:
-                    close(("p",), ("td", "th", "li", "blockquote", "div", "section", "article"))
+                    close(("p",), ("td", "th", "li", "blockquote", "div", "section", "article"), floor)
                 if tag == "hr":
                     continue
-                self._add(stack[-1], tag, m[4], None, 0)
+                self._add(stack[-1], tag, attrs, None, 0)
                 stack.append(len(self.tag) - 1)
                 count[tag] = count.get(tag, 0) + 1
         tail = source[at:]

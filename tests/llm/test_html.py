@@ -36,6 +36,32 @@ def test_bad_markup_takes_linear_time():
         Page(s)
 
 
+def test_only_raw_text_is_deleted_to_its_end_tag():
+    for tag in ("svg", "math", "object", "audio", "video", "canvas", "map", "template", "noscript", "button", "select"):
+        assert blocks(f"<div><p>a</p><{tag} id=x><p>b</p></div><p>c</p>") == ["a", "b", "c"], tag
+        assert blocks(f"<p>a</p><{tag}-group>b</{tag}-group><p>c</p>") == ["a", "b", "c"], tag
+        assert blocks(f"<div>a<{tag}>b</div><p>c</p><div>d <{tag}>e</{tag}> f</div>")[:2] == ["ab", "c"], tag
+    assert blocks("<p>a</p><svg class=x /><p>b</p><svg><path/></svg>c") == ["a", "b", "c"]
+    assert blocks("<p>so <math><mi>x</mi></math> is <object>y</object></p>") == ["so x is y"]
+    assert blocks("<p>a</p><script-x>b</script-x><style.x>c</style.x><title/>d</title><p>e") == ["a", "bc", "e"]
+    # a self-closing or unclosed title inside an svg, and raw text without an end tag
+    assert blocks("<svg><title/></svg><p>a</p><svg><title>b</title></svg>") == ["a"]
+    assert blocks("<p>a</p><svg><title>b</svg><p>c</p><svg><title>d</title></svg>") == ["a", "b", "c"]
+    assert blocks("<p>a</p><script x>b<p>c</p></scripts>") == ["a"]
+
+
+def test_closed_controls_leave_no_trace():
+    assert blocks("<p>a <button>b</button> c <select><option>d</select>e</p>") == ["a c e"]
+    assert blocks("<p>a <button><div>b</div><p>c</button> d</p>") == ["a d"]
+    # the next button ends an unclosed one
+    assert blocks("<p>a</p><button>b<p>c</p><button>d</button><p>e") == ["a", "b", "c", "e"]
+    page = Page("<div>a <button><ul><li><a>b</ul></button> c<p>d</div>")
+    assert page.tag == ["html", "div", "", "p", ""] and page.parent == [-1, 0, 1, 1, 3] and page.linked == [0] * 5
+    for s in ("<button>" * 50_000, "x<button>y</button>" * 50_000, "<svg><title></svg>" * 20_000 + "</title>",
+              "<svg>" * 50_000 + "</math>" * 50_000, "<svg><title>" * 20_000, "<div><button></div>" * 30_000):
+        Page(s)
+
+
 def test_sum_product_against_all_labelings():
     rng = random.Random(1)
     for _ in range(20):
