@@ -24,11 +24,10 @@ CLOSED_BY = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "t
              "th": ("table", "tr")}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "li": ("li",), "tr": ("tr",)}
 
-# quoted values and the number of attributes are bounded, so that a page of
-# broken tags costs linear time; such tags end at the next ">"
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,5000}\"|'[^']{0,5000}'){0,200}+|[^>]*+)>|<[!?/][^>]*+>",
-    re.S | re.I | re.A)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-z][^\s/>]*+)|<[!?/][^>]*+>", re.S | re.I | re.A)
+#: blanks and slashes, then the tag's end or one attribute; a quote opens a
+#: value after "=" only, and one without a partner belongs to an unquoted value
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|=?+[^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)", re.A)
 #: where raw text ends, and the border of an svg or formula
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in RAW}
 _ENDS["svg"] = re.compile(r"</?(?:svg|math)(?=[\s/>])", re.I | re.A)
@@ -36,6 +35,24 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 _WORD = re.compile(r"[a-z]+")
 
 
+def tag_end(source: str, at: int, dead: set) -> tuple[int, bool]:
+    """Where the tag whose attributes start at ``at`` ends (behind its ">"),
+    and if it is empty ("/>"); -1 if there is no ">" any more. If the page
+    ends within an attribute, the next ">" ends the tag, as quoted it may be.
+    ``dead`` holds the places of this page from which that was so: no place
+    is tried twice, and the time is linear."""
+    seen, first = [], at
+    while at < len(source) and at not in dead:
+        seen.append(at)
+        m = _ATTRIBUTE.match(source, at)
+        if m[1]:
+            return m.end(), m.end() - 1 > at and source[m.end() - 2] == "/"
+        at = m.end()
+    dead.update(seen)
+    at = source.find(">", first) + 1
+    return at or -1, source[at - 2:at - 1] == "/"
+
+
 def name_words(attrs: str) -> list[str]:
     """The words in class, id and role: ``main-content`` and ``mainContent``
     both give ``main`` and ``content``."""
@@ -56,6 +73,7 @@ class Page:
         controls: list = []  # open buttons and select lists, with what was there before them
         foreign: list = []  # open svg and math elements
         ends: dict = {}
+        dead: set = set()
 
         def flush():
             nonlocal linked, held
@@ -128,8 +146,11 @@ class Page:
             tag = m[2]
             if tag is None:
                 continue
-            tag, attrs = tag.lower(), m[3]
-            empty = attrs.endswith("/")
+            end, empty = tag_end(source, at, dead)
+            if end < 0:  # an unfinished tag at the end is not text
+                at = len(source)
+                break
+            tag, attrs, at = tag.lower(), source[at:end - 1], end
             if tag not in BLOCKS:
                 if tag == "a":
                     links = max(0, links + (-1 if m[1] else 1))

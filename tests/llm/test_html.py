@@ -62,6 +62,22 @@ def test_closed_controls_leave_no_trace():
         Page(s)
 
 
+def test_attributes_of_any_size_and_number():
+    long = "{a > b} <p>no</p> " * 1000
+    for q in "\"'":
+        page = Page(f"<p>a</p><div data-x={q}{long}{q} class={q}main{q}>b</div><p>c</p>")
+        assert [x for x in page.text if x] == ["a", "b", "c"]
+        assert name_words(page.attrs[3]) == ["main"]
+    many = " ".join(f'k{i}="> {i}"' for i in range(2000))
+    assert blocks(f"<p {many}>a</p>") == ["a"] and blocks(f"<img {many}/>a") == ["a"]
+    # quotes that open no value, or have no partner
+    assert blocks("<p title=it's>a</p><p class='x'>b</p>") == ["a", "b"]
+    assert blocks('<p title="x>a</p><p>b</p>') == ["a", "b"] and blocks("<p a = \n '>' b>c") == ["c"]
+    for s in ('<a x=">"' * 50_000 + " y='", '<a x="' * 50_001, "<a x='" * 50_000 + '"', "<a/" * 50_000, "<a =" * 50_000,
+              '<p x="' + ">" * 500_000, "<p " + "a='>' " * 100_000, '<a x=">"' * 50_000 + ">"):
+        Page(s)
+
+
 def test_sum_product_against_all_labelings():
     rng = random.Random(1)
     for _ in range(20):
