@@ -126,10 +126,10 @@ def stale_filter(companies: DataFrame, as_of, days: int) -> DataFrame:
     return companies.filter(F.col("is_active") & (ts.isNull() | (ts < S.days_before(as_of, days))))
 
 
-def stalest(companies: DataFrame, as_of, days: int = 7, n: int = 50) -> DataFrame:
-    """the ``n`` stalest active companies, never-crawled first."""
-    return (stale_filter(companies, as_of, days)
-            .orderBy(F.col("last_crawled_at").asc_nulls_first(), F.col("id").asc()).limit(n))
+def stalest(companies: DataFrame, as_of, days: int = 7, n: int | None = None) -> DataFrame:
+    """the ``n`` stalest active companies (without ``n``: all that are due), never-crawled first."""
+    due = stale_filter(companies, as_of, days).orderBy(F.col("last_crawled_at").asc_nulls_first(), F.col("id").asc())
+    return due if n is None else due.limit(n)
 
 
 def touch_crawled(companies: DataFrame, keys: DataFrame, as_of, key: str = "id") -> DataFrame:

@@ -26,6 +26,15 @@ def test_stalest_nulls_first(spark):
     assert ids == [2, 4, 1]
 
 
+def test_touch_reaches_every_due_company(spark):
+    now = dt.datetime(2024, 1, 1)
+    rows = [(i, True, None if i % 3 else dt.datetime(2020, 1, 1)) for i in range(120)] + [(120, True, dt.datetime(2023, 12, 31))]
+    comp = spark.createDataFrame(rows, "id long, is_active boolean, last_crawled_at timestamp")
+    due = L.stalest(comp, "2024-01-01 00:00:00")
+    got = {r["id"]: r["last_crawled_at"] for r in L.touch_crawled(comp, due, "2024-01-01 00:00:00").collect()}
+    assert due.count() == 120 and got == {**{i: now for i in range(120)}, 120: dt.datetime(2023, 12, 31)}
+
+
 def test_rollup_merge_keeps_exact_average(spark):
     s = "stat_date date, source_platform string, total_jobs long, active_jobs long, sum_real_score long, jobs_with_manager long"
     a = spark.createDataFrame([(dt.date(2024, 1, 1), "p", 2, 1, 100, 1)], s)
