@@ -2,8 +2,8 @@
 log-likelihood ratio between trusted texts and the raw corpus.
 
 Byte n-grams of the orders ``ORDERS`` are hashed to ``BUCKETS`` buckets. The
-raw multinomial counts every document; the target multinomial counts the
-documents of a trusted id list, whose size is bounded by a parameter. With add-
+raw multinomial counts every document; the target multinomial counts every
+document whose id the labels trust. With add-
 ``SMOOTH`` smoothing, a document's score is the mean over its n-grams of
 ``log(target / raw)``; length does not enter. A document is kept if no fixed
 rule failed and its score is at least ``threshold``, a constant.
@@ -11,7 +11,8 @@ rule failed and its score is at least ``threshold``, a constant.
 Plan: pass one counts inside each task into two arrays and emits one row per
 used bucket, summed in Spark; only the ``BUCKETS`` sums reach the driver. Pass
 two scores each document with the table of ratios (fixed size, broadcast).
-Texts are never shuffled.
+Up to ``SENT`` trusted ids are broadcast and texts are not shuffled; more mark
+their documents in an equi-join on the id, which shuffles the texts once.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import text_rows
+from hirelake.llm.common import keyed, stored, text_rows
 
 ORDERS = (2, 4)
 BUCKETS = 1 << 16
 SMOOTH = 0.5
-TRUSTED = 20_000
+#: the most trusted ids sent to the tasks (about 70 MB as measured); both ways count the same
+SENT = 1_000_000
 #: nats per n-gram; a language that is a quarter rarer among the trusted texts costs about 0.3
 THRESHOLD = -0.3
 MIN_WORDS = 10
@@ -94,16 +96,24 @@ def _slabs(data: bytes):
             yield gram_buckets(data[a:a + SLAB + order - 1], order)
 
 
-def count_grams(docs: DataFrame, trusted: np.ndarray) -> DataFrame:
+def mark_trusted(docs: DataFrame, trusted: DataFrame, sent: int = SENT) -> DataFrame:
+    """``(good, text)`` per row of ``docs``, ``(doc_id, text)``: whether its id
+    is among ``trusted``, a table of distinct ids ``i``."""
+    ids, hit = trusted.withColumn("hit", F.lit(True)), F.col("hit").isNotNull().alias("good")
+    if trusted.count() <= sent:
+        return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("i"), "left").select(hit, "text")
+    named = docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("i"), "left").select(hit, "text")
+    return named.unionByName(docs.where("doc_id is null").select(F.lit(False).alias("good"), "text"))
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
     """``(bucket, raw, target)`` summed over all documents. ``docs`` is
-    ``(doc_id, text)``; ``trusted`` holds sorted ids."""
+    ``(good, text)``; the good ones count for ``target`` too."""
 
     def run(batches):
         sums = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            good = np.isin(ids, trusted) & ~np.asarray(b.column(0).is_null())
-            for text, t in zip(b.column(1).to_pylist(), good):
+            for text, t in zip(b.column(1).to_pylist(), b.column(0).to_pylist()):
                 for g in _slabs((text or "").encode()):
                     c = np.bincount(g, minlength=BUCKETS) if len(g) > BUCKETS else None
                     for row in (0, 1)[:1 + t]:
@@ -137,15 +147,14 @@ def text_score(data: bytes, ratios: np.ndarray) -> float:
     return total / n if n else 0.0
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> np.ndarray:
-    """At most ``most`` ids labelled as good, those with the smallest hash."""
-    rows = (labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("i")).distinct()
-            .orderBy(F.xxhash64("i"), "i").limit(most).collect())
-    return np.sort(np.array([r["i"] for r in rows], np.int64))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The distinct ids ``i`` labelled as good."""
+    good = keyed(labels.where("quality = 1"), "doc_id").select(F.col("doc_id").cast("long").alias("i"))
+    return stored(good.where("i is not null").distinct(), "trusted")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  threshold: float = THRESHOLD, most_trusted: int = TRUSTED) -> DataFrame:
+                  threshold: float = THRESHOLD, sent: int = SENT) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, llr, kept)`` per document.
 
@@ -156,7 +165,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     text_rows(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(count_grams(src, trusted_ids(labels, most_trusted))))
+    marked = mark_trusted(src, trusted_ids(labels), sent)
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(count_grams(marked)))
 
     def run(batches):
         for b in batches:

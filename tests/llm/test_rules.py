@@ -76,6 +76,24 @@ def test_query_against_brute_force(spark):
     assert np.mean([got[i].kept for i in clean]) == 1 and np.mean([got[i].kept for i in junk]) < 0.05
 
 
+def test_every_trusted_document_counts(spark):
+    """More labels than the 20,000 that once were all; the join counts as the broadcast does."""
+    n = 21_000
+    df = docs(spark, [f"t{i}" for i in range(n)] + ["raw", None, "nul"], [*range(n), n, n, None])
+    labels = spark.createDataFrame([(i, 1) for i in range(n)] + [(0, 1), (None, 1), (n, 0), (-1, 1)], "doc_id long, quality int")
+    want = np.zeros((2, R.BUCKETS), int)
+    for t, k in [(f"t{i}", 2) for i in range(n)] + [("raw", 1), ("nul", 1)]:
+        for order in R.ORDERS:
+            np.add.at(want, (slice(0, k), R.gram_buckets(t.encode(), order)), 1)
+    src = df.select("doc_id", "text")
+    for sent in (R.SENT, 5):
+        counts = R.count_grams(R.mark_trusted(src, R.trusted_ids(labels), sent)).collect()
+        assert {(r.bucket, r.raw, r.target) for r in counts} == {(b, *want[:, b]) for b in np.flatnonzero(want[0])}
+    some = df.where("doc_id < 50 or doc_id is null")
+    a, b = (sorted(map(str, R.quality_rules(some, labels, sent=k).collect())) for k in (R.SENT, 5))
+    assert a == b
+
+
 def test_odd_rows(spark, tmp_path):
     df = docs(spark, [None, "", "w " * 12, "one two three four five six seven eight nine ten", None], [1, 2, 2, 3, None])
     df = df.selectExpr("*", "1 as raw", "2 as bucket", "true as kept")
