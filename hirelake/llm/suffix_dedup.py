@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by difference-cover suffix comparison.
+"""Removal of repeated byte strings through a difference cover and hash groups.
 
 Every string of ``LENGTH`` bytes that also starts anywhere else, in the same
 document or another, is removed. A difference cover is a set of sampled
@@ -6,22 +6,21 @@ positions such that two equal strings hold a sampled position at the same
 offset. Here the cover is content-defined (a local minimum of the hash of
 ``BLOCK`` bytes among ``SPREAD`` neighbours), which keeps that property for
 equal strings and samples one byte in a hundred. The cover of a fixed modulus
-has to sample one in thirteen for strings of this length, and its records
-alone are several times the input.
+would have to sample about one in thirteen for strings of this length (an
+estimate; no such attempt was measured). No suffixes are ordered: sorting of
+triples, recursion on names and the merge of suffixes are replaced by hash
+groups.
 
     sample   the minima; each sampled suffix is read as a triple of blocks:
              the block at the sample, the one before and the one after
     names    equal blocks get equal names (hashes); samples whose own block is
              alone are done: no string around them repeats
-    triples  sorted by their names: samples with equal triples have equal
-             surroundings, so every string around them repeats
-    recurse  samples with equal blocks but other neighbours are compared
-             further, by the names of their shifted strings
-    merge    the remaining suffixes, those between samples: the string that
-             starts ``d`` bytes before a sample is decided by the sample's
-             name, ``d`` bytes of the block before and ``BLOCK - d`` of the
-             one after; in the order of these names, equal neighbours have
-             equal prefixes of ``LENGTH`` bytes
+    triples  grouped by the hash of their names: samples with equal triples
+             have equal surroundings, so every string around them repeats
+    shifts   samples with equal blocks but other neighbours are compared once
+             more, by the hashes of the strings of ``LENGTH`` bytes around
+             them at every shift; this also decides the strings that start
+             between samples
 
 Plan: scan one emits one row per sample; samples whose block repeats are kept
 (an aggregate and an equi-join on the block's name). Scan two fetches the
