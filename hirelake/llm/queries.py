@@ -94,3 +94,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.llm.suffix_dedup import remove_repeats
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.llm.whitening import whiten
+    found = whiten(table(spark, sf_dir, "embeddings"), components=16)
+    each = found.select("vec_id", "n", "deviation", "explained", "identity_error",
+                        F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+                       F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error")
