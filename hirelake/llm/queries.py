@@ -104,3 +104,9 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.posexplode("whitened").alias("at", "whitened"))
     return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
                        F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error")
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.llm.collocations import collocations
+    return collocations(table(spark, sf_dir, "documents"), least=30, longest=4, top=2000).drop("cut")
