@@ -110,3 +110,9 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirelake.llm.collocations import collocations
     return collocations(table(spark, sf_dir, "documents"), least=30, longest=4, top=2000).drop("cut")
+
+
+@query
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirelake.llm.lm_score import lm_scores
+    return lm_scores(table(spark, sf_dir, "documents"), order=3, modulus=10)
