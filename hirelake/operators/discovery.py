@@ -7,13 +7,14 @@ filtering and scoring of those tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.functions import predicates as P
 from hirelake.functions import rules
 from hirelake.functions import scalars as S
+from hirelake.operators.stored import append_once, read_appended
 
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -191,6 +192,38 @@ def dispatch_sources(readers: dict, sources: list[str]) -> DataFrame:
     return out
 
 
+def dispatch_written(readers: dict, sources: list[str], folder: str) -> tuple[DataFrame, DataFrame]:
+    """G1 where a source may fail: ``(rows, statuses)``. Each source is run on
+    its own and written to ``folder``; the rows are those of the sources that
+    finished, tagged with their source, and every source asked for has a status
+    row ``(source, status, rows, error)`` with ``ok`` or ``failed``. What comes out
+    is what was written, so it does not matter whether a source failed when
+    its plan was made or when it ran, and half a source never counts. A name
+    without a reader is an error."""
+    if unknown := [s for s in sources if s not in readers]:
+        raise ValueError(f"unknown source: {unknown}")
+    if not sources:
+        raise ValueError("no source asked for")
+    statuses, parts = [], []
+    spark = SparkSession.active()
+    for s in dict.fromkeys(sources):
+        try:
+            df = readers[s]()
+            append_once(df, f"{folder}/{s}", "all")
+            done = read_appended(spark, f"{folder}/{s}", df.schema).drop("batch")
+            parts.append(done.withColumn("source", F.lit(s)))
+            statuses.append((s, "ok", done.count(), None))
+        except Exception as e:
+            statuses.append((s, "failed", 0, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"))
+    report = spark.createDataFrame(statuses, "source string, status string, rows long, error string")
+    if not parts:
+        return spark.createDataFrame([], "source string"), report
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out, report
+
+
 def host_summary(hosts: DataFrame, host: str = "subdomain", related: str = "is_job_related") -> DataFrame:
     """Distinct hosts found per domain and how many are job related."""
     one = hosts.groupBy("domain", host).agg(F.max(related).alias("__r"))

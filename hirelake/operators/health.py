@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hirelake.operators.sequence import global_index
+from hirelake.session import materialised
+
 FAIL_LIMIT = 3
 
 
@@ -53,6 +56,69 @@ def health_fold(events: DataFrame, key: str, order: list[str], is_success, is_fa
                       healthy.alias("is_healthy"))
 
 
+def health_timeline(events: DataFrame, key: str, order: list[str], is_success, is_failure,
+                    initial_healthy: bool = True, partitions: int | None = None) -> DataFrame:
+    """E7 after every event: ``events``' successes and failures with the key's
+    ``success_count``, ``fail_count`` (since its last success) and
+    ``is_healthy`` once that event is applied.
+
+    A prefix scan in segments: the events are sorted by ranges of (key, order)
+    and written with their range, so a key with a third of all events covers a
+    third of the ranges. Windows run inside (key, range). What a range hands on
+    to the next one of the same key (successes, failures after the last
+    success) is one row per key and range, at most keys + ranges rows; those
+    are scanned per key and added to the rows of their range."""
+    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ev = events.withColumn("__s", F.coalesce(is_success, F.lit(False))).withColumn("__f", F.coalesce(is_failure, F.lit(False)))
+    ev = ev.filter(F.col("__s") | F.col("__f"))
+    ranges = ev.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    ev = materialised(ranges.withColumn("__at", F.spark_partition_id()), "timeline")
+    so_far = Window.partitionBy(key, "__at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ev = ev.withColumn("__ns", F.count_if("__s").over(so_far)).withColumn("__nf", F.count_if("__f").over(so_far))
+    ev = ev.withColumn("__since", F.col("__nf") - F.coalesce(F.max(F.when(F.col("__s"), F.col("__nf"))).over(so_far), F.lit(0)))
+    # the last row of a range holds what it hands on
+    handed = ev.groupBy(key, "__at").agg(
+        F.max("__ns").alias("__won"), F.max_by("__since", F.col("__ns") + F.col("__nf")).alias("__lost"))
+    before = Window.partitionBy(key).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    runs = handed.withColumn("__run", F.coalesce(F.count_if(F.col("__won") > 0).over(
+        Window.partitionBy(key).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    # failures add up from a range with a success on, up to the next such range
+    upto = Window.partitionBy(key, "__run").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("__sum", F.sum("__lost").over(upto))
+    carry = runs.select(F.col(key).alias("__key"), F.col("__at").alias("__of"),
+                        F.coalesce(F.sum("__won").over(before), F.lit(0)).alias("__s0"),
+                        F.coalesce(F.lag("__sum").over(Window.partitionBy(key).orderBy("__at")), F.lit(0)).alias("__f0"))
+    out = ev.join(carry, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__at") == F.col("__of")))
+    total = F.col("__ns") + F.col("__s0")
+    lost = F.col("__since") + F.when(F.col("__ns") > 0, 0).otherwise(F.col("__f0"))
+    out = out.withColumn("success_count", total.cast("long")).withColumn("fail_count", lost.cast("long"))
+    healthy = F.col("fail_count") < FAIL_LIMIT
+    if not initial_healthy:
+        healthy = healthy & (F.col("success_count") > 0)
+    return out.select(*events.columns, "success_count", "fail_count", healthy.alias("is_healthy"))
+
+
+def assign(requests: DataFrame, pool: DataFrame, request_order: list, pool_order: list, member: str,
+           name: str = "assigned") -> DataFrame:
+    """Each request, in order, gets the next usable member of the pool.
+    The cursor starts behind the first place of the pool, so the member at
+    place 1 comes first and place 0 last; members that are not usable are
+    passed over. ``assigned`` is null where no member is usable.
+
+    Both sides are numbered by range sorts; a request meets its member by an
+    equi-join on its number modulo the number of usable members. A small pool
+    is broadcast where the planner measures it as small; a large one gives as
+    many join keys as it has members."""
+    placed = global_index(pool, pool_order, "__place")
+    size = placed.agg(F.count(F.lit(1))).first()[0]
+    usable = eligible(placed).withColumn("__turn", F.pmod(F.col("__place") - 1, F.lit(max(size, 1))))
+    usable = global_index(usable, [F.col("__turn")], "__rank").select(F.col(member).alias(name), "__rank")
+    n = usable.agg(F.count(F.lit(1))).first()[0]
+    numbered = global_index(requests, request_order, "__no")
+    turn = F.pmod(F.col("__no"), F.lit(n)) if n else F.lit(None).cast("long")
+    return numbered.join(usable, turn == F.col("__rank"), "left").select(*requests.columns, name)
+
+
 def eligible(pool: DataFrame, country: str | None = None) -> DataFrame:
     """Usable members (healthy or fewer than 3 failures), optional country."""
     df = pool.filter(F.col("is_healthy") | (F.col("fail_count") < FAIL_LIMIT))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,17 +113,66 @@ def search_page(hits: DataFrame, page: int = 1, per_page: int = 20) -> DataFrame
     return ranked.withColumn("found", found)
 
 
-def facet_counts(hits_with_fields: DataFrame, facets: list[str]) -> DataFrame:
-    """Counts per value of each facet field over the hits, in one scan
-    and one aggregate; a list field counts each of its values, a field
-    without a value counts nowhere."""
+def _facet_values(hits_with_fields: DataFrame, facets: list[str]) -> DataFrame:
+    """``(facet, value)``, a row for each value a hit has in each field."""
     def values(f):
         many = isinstance(hits_with_fields.schema[f].dataType, T.ArrayType)
         return F.transform(F.col(f) if many else F.array(F.col(f)), lambda v: F.struct(
             F.lit(f).alias("facet"), v.cast("string").alias("value")))
 
-    long = hits_with_fields.select(F.inline(F.concat(*map(values, facets)))).filter(F.col("value").isNotNull())
-    return long.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+    return hits_with_fields.select(F.inline(F.concat(*map(values, facets)))).filter(F.col("value").isNotNull())
+
+
+def facet_counts(hits_with_fields: DataFrame, facets: list[str]) -> DataFrame:
+    """Counts per value of each facet field over the hits, in one scan
+    and one aggregate; a list field counts each of its values, a field
+    without a value counts nowhere."""
+    return _facet_values(hits_with_fields, facets).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def facets_top(hits_with_fields: DataFrame, facets: list[str], k: int, tracked: int = 4096) -> DataFrame:
+    """D6 with ``k`` values a facet: ``(facet, rank, value, n)``, the most
+    frequent values with exact counts, ties by value.
+
+    A facet with millions of values does not need them all counted. One
+    sketch per facet (``approx_top_k``, of bounded size) names candidates; only
+    they are counted exactly, in map-side aggregates. A value that the sketch
+    does not name occurs at most ``bound`` times: twice the sketch's error, or the
+    estimate of the last value named if its list is full. If the k-th exact
+    count is above that, no other value can belong among the ``k``. Facets where
+    that is not sure (many ties at the cut) are counted in full."""
+    spark = hits_with_fields.sparkSession
+    long = _facet_values(hits_with_fields, facets)
+    named = tracked // 4
+    sketch = long.groupBy("facet").agg(F.count(F.lit(1)).alias("total"),
+                                       F.expr(f"approx_top_k(value, {named}, {tracked})").alias("top"))
+    found = {r.facet: r for r in sketch.collect()}  # at most ``named`` values for each facet asked for
+    if not found:
+        return spark.createDataFrame([], "facet string, rank int, value string, n long")
+    cands = [(f, t["item"]) for f, r in found.items() for t in r.top]
+    cand_rows = F.broadcast(spark.createDataFrame(cands, "facet string, value string"))
+    exact = materialised(long.join(cand_rows, ["facet", "value"]).groupBy("facet", "value").agg(
+        F.count(F.lit(1)).alias("n")), "facets")
+    order = Window.partitionBy("facet").orderBy(F.desc("n"), "value")
+    best = exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)  # at most ``named`` rows a facet
+    cut = {r.facet: (r.c, r.n) for r in best.groupBy("facet").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).collect()}
+
+    def sure(f):
+        top, (c, least) = found[f].top, cut.get(f, (0, 0))
+        if len(top) < named and found[f].total == sum(t["count"] for t in top):
+            return True  # every value is named
+        bound = max(2 * 3.5 / tracked * found[f].total, top[-1]["count"] if len(top) == named else 0)
+        return c == k and least > bound
+
+    unsure = [f for f in found if not sure(f)]
+    out = best.filter(~F.col("facet").isin(unsure)) if unsure else best
+    if unsure:
+        full = facet_counts(hits_with_fields, unsure)
+        share = F.pmod(F.xxhash64("value"), F.lit(64))  # a facet's values never meet in one task whole
+        near = full.withColumn("__r", F.row_number().over(Window.partitionBy("facet", share).orderBy(F.desc("n"), "value")))
+        near = near.filter(F.col("__r") <= k).drop("__r")
+        out = out.unionByName(near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+    return out.select("facet", "rank", "value", "n")
 
 
 def vocabulary(index: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.session import materialised
+
 
 def _seq_union(existing: DataFrame, incoming: DataFrame, seq: str) -> DataFrame:
     # existing rows come before every incoming row
@@ -73,3 +75,28 @@ def cascade(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     """Children whose parent survives (semi join)."""
     return child.join(parent.select(F.col(parent_key).alias("__p")), F.col(child_key) == F.col("__p"),
                       "left_semi")
+
+
+def cascade_all(edges: DataFrame, deleted: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """C5 over all levels: ``(kind, key, level)`` of every row that goes when
+    the rows ``(kind, key)`` of ``deleted`` go. ``edges`` names each child's
+    parent: ``(kind, key, parent_kind, parent_key)``; a child with several
+    parents goes with the first of them, on the lowest level.
+
+    Level by level: the children of what the last level took, less what is
+    gone already, so a cycle ends. Each level is written, and is the join side
+    of the next; the edges are read once a level and a level ends the lineage.
+    ``max_levels`` bounds the levels of a caller who knows their number."""
+    level = 0
+    gone = materialised(deleted.select("kind", "key").distinct().withColumn("level", F.lit(0)), "cascade")
+    last = gone
+    while max_levels is None or level < max_levels:
+        level += 1
+        up = last.select(F.col("kind").alias("__k"), F.col("key").alias("__v"))
+        found = edges.join(up, (F.col("parent_kind") == F.col("__k")) & (F.col("parent_key") == F.col("__v")), "left_semi")
+        found = found.select("kind", "key").distinct().join(gone.select("kind", "key"), ["kind", "key"], "left_anti")
+        last = materialised(found.withColumn("level", F.lit(level)), "cascade")
+        if last.isEmpty():
+            break
+        gone = gone.unionByName(last)
+    return gone

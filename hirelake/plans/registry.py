@@ -32,5 +32,5 @@ def query(name: str, sql: str | None = None, ids: tuple[str, ...] = ()):
 def load_all() -> None:
     # importing the plan modules fills the registry
     from hirelake.plans import (  # noqa: F401
-        q_postings, q_discovery, q_dedupe, q_sequences, q_documents, q_search, q_streams,
+        q_postings, q_discovery, q_dedupe, q_sequences, q_documents, q_search, q_streams, q_stored,
     )
