@@ -70,13 +70,12 @@ def stalest(spark, sf):
 @query("touch_crawled", ids=("A15", "K6"), sql=with_sql(COMPANIES_SQL, COMPANY_CRAWL_SQL) + f"""
 , due AS (
   SELECT id FROM companies_c
-  WHERE is_active AND (last_crawled_at IS NULL OR last_crawled_at < TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 7 DAY)
-  ORDER BY last_crawled_at ASC NULLS FIRST, id LIMIT 50)
+  WHERE is_active AND (last_crawled_at IS NULL OR last_crawled_at < TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 7 DAY))
 SELECT c.id, CASE WHEN d.id IS NOT NULL THEN TIMESTAMP '{AS_OF_ORDERS}' ELSE c.last_crawled_at END AS last_crawled_at
 FROM companies_c c LEFT JOIN due d ON c.id = d.id""")
 def touch_crawled(spark, sf):
     comp = T.company_last_crawl(spark, sf)
-    due = L.stalest(comp, AS_OF_ORDERS, days=7, n=50)
+    due = L.stale_filter(comp, AS_OF_ORDERS, 7)
     return L.touch_crawled(comp, due, AS_OF_ORDERS).select("id", "last_crawled_at")
 
 
