@@ -17,9 +17,10 @@ script/style/template and comments never counts.
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,7 +55,7 @@ EXTRACT_SCHEMA = T.StructType([
     T.StructField("url", T.StringType()),
     T.StructField("anchors", T.ArrayType(T.StructType([
         T.StructField("pos", T.IntegerType()), T.StructField("href", T.StringType()),
-        T.StructField("text", T.StringType())]))),
+        T.StructField("abs_url", T.StringType()), T.StructField("text", T.StringType())]))),
     T.StructField("ld_json", T.ArrayType(T.StringType())),
     T.StructField("title_cands", T.ArrayType(T.StringType())),
     T.StructField("company_cands", T.ArrayType(T.StringType())),
@@ -226,12 +227,24 @@ def parse_page(html: str | None) -> dict:
     return out
 
 
+def absolute(base: str | None, href: str) -> str | None:
+    """H4: ``href`` as the page at ``base`` means it; a reference that no URL
+    can be made of stays as it is."""
+    if base is None:
+        return None
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return href
+
+
 def _extract_batches(batches):
     arrow_schema = None
     for batch in batches:
         arrow_schema = arrow_schema or pa.schema([
             ("page_id", batch.column("page_id").type), ("url", pa.string()),
-            ("anchors", pa.list_(pa.struct([("pos", pa.int32()), ("href", pa.string()), ("text", pa.string())]))),
+            ("anchors", pa.list_(pa.struct([
+                ("pos", pa.int32()), ("href", pa.string()), ("abs_url", pa.string()), ("text", pa.string())]))),
             ("ld_json", pa.list_(pa.string())),
             ("title_cands", pa.list_(pa.string())), ("company_cands", pa.list_(pa.string())),
             ("location_cands", pa.list_(pa.string())), ("description_cands", pa.list_(pa.string())),
@@ -243,6 +256,9 @@ def _extract_batches(batches):
         cols = {k: [] for k in arrow_schema.names}
         for pid, url, html in zip(ids, urls, htmls):
             r = parse_page(html)
+            resolved = {h: absolute(url, h) for h in {a["href"] for a in r["anchors"]}}
+            for a in r["anchors"]:
+                a["abs_url"] = resolved[a["href"]]
             cols["page_id"].append(pid)
             cols["url"].append(url)
             for k in ("anchors", "ld_json", "title_cands", "company_cands", "location_cands",
@@ -269,27 +285,33 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 def anchors(extracted: DataFrame) -> DataFrame:
     """``(page_id, pos, href, abs_url, text)``, one row per anchor with an
     ``href``, in document order."""
-    a = extracted.select("page_id", "url", F.inline("anchors"))
-    return a.select("page_id", "pos", "href", S.resolve_url("url", "href").alias("abs_url"), "text")
+    return extracted.select("page_id", F.inline("anchors")).select("page_id", "pos", "href", "abs_url", "text")
+
+
+def _accepted(extracted: DataFrame) -> DataFrame:
+    """``(page_id, page_url, url, title, pos)`` of the first accepted anchor
+    per page and URL. The anchors become rows before the filter, so that it is
+    compiled; only accepted ones are shuffled, once, by page."""
+    a = extracted.select("page_id", F.col("url").alias("page_url"), F.inline("anchors")).filter(
+        (F.col("href") != "") & P.job_link_ok(F.col("page_url"), F.col("abs_url"), F.col("text")))
+    first = F.min(F.struct("pos", F.col("text").alias("title"), "page_url"))
+    rows = a.repartition("page_id").groupBy("page_id", F.col("abs_url").alias("url")).agg(first.alias("__a"))
+    return rows.select("page_id", "__a.page_url", "url", "__a.title", "__a.pos")
 
 
 def job_links(extracted: DataFrame) -> DataFrame:
     """Anchors -> absolute URL -> http / same host / not generic / job
     URL with an id / title length -> first accepted anchor per (page, URL)."""
-    return job_link_arrays(extracted).select("page_id", F.inline("links")).select("page_id", "url", "title", "pos")
-
-
-def job_link_arrays(extracted: DataFrame) -> DataFrame:
-    """I2 per page: ``(page_id, page_url, links)``. All anchors of a page sit
-    in its row, so filter and keep-first run inside the array: no shuffle."""
-    found = F.transform(F.filter("anchors", lambda a: a["href"] != ""), lambda a: F.struct(
-        S.resolve_url(F.col("url"), a["href"]).alias("url"), a["text"].alias("title"), a["pos"].alias("pos")))
-    rows = extracted.select("page_id", F.col("url").alias("page_url"), found.alias("__all"))
-    ok = F.filter("__all", lambda a: P.job_link_ok(F.col("page_url"), a["url"], a["title"]))
-    rows = rows.select("page_id", "page_url", ok.alias("__ok"))
-    rows = rows.select("page_id", "page_url", "__ok", F.transform("__ok", lambda a: a["url"]).alias("__urls"))
-    first = F.filter("__ok", lambda a, i: F.array_position("__urls", a["url"]) == i + 1)
-    return rows.select("page_id", "page_url", first.alias("links"))
+    return _accepted(extracted).select("page_id", "url", "title", "pos")
+
+
+def numbered_job_links(extracted: DataFrame, first: int | None = None) -> DataFrame:
+    """I2/E5 in page order: ``(page_id, page_url, pos, url, title)`` with ``pos``
+    counted from 0 over a page's job links, the ``first`` of them if given."""
+    w = Window.partitionBy("page_id").orderBy("pos")  # a page's links
+    rows = _accepted(extracted).withColumn("pos", F.row_number().over(w) - 1)
+    rows = rows if first is None else rows.filter(F.col("pos") < first)
+    return rows.select("page_id", "page_url", "pos", "url", "title")
 
 
 # ---------------------------------------------------------------- JSON-LD

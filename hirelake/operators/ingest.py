@@ -1,10 +1,9 @@
 """The crawl of career pages as one plan.
 
-pages -> job links (inside each page's row) -> linked pages (equi-join on the
+pages -> job links (numbered within each page) -> linked pages (equi-join on the
 URL) -> parse -> postings numbered within their career page's batch -> one
-result row per career page. Two shuffles: the join on the link and the
-grouping by career page; both keys are high-cardinality, and a page holds few
-links.
+result row per career page. The shuffles go by career page and by link; both keys are
+high-cardinality, and a page holds few links.
 """
 
 from __future__ import annotations
@@ -20,11 +19,7 @@ _KEY = "page_id long, page_url string, company string, pos int"
 def followed_links(pages: DataFrame, follow: int | None = None) -> DataFrame:
     """``(page_id, page_url, pos, url, title)``: each career page's job links
     in page order, the first ``follow`` of them if given."""
-    rows = H.job_link_arrays(H.extract_pages(pages))
-    links = F.col("links") if follow is None else F.slice("links", 1, follow)
-    return rows.select("page_id", "page_url", F.posexplode(F.transform(
-        links, lambda a: F.struct(a["url"], a["title"])))).select(
-        "page_id", "page_url", "pos", F.col("col.url").alias("url"), F.col("col.title").alias("title"))
+    return H.numbered_job_links(H.extract_pages(pages), follow)
 
 
 def linked_postings(links: DataFrame, store: DataFrame, pages: DataFrame) -> DataFrame:

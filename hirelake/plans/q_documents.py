@@ -26,12 +26,12 @@ FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '{_A_PAT}', 1)) AS hr
              unnest(regexp_extract_all(html, '{_A_PAT}', 2)) AS title,
              generate_subscripts(regexp_extract_all(html, '{_A_PAT}', 1), 1) - 1 AS pos FROM pages)""")
 def anchors(spark, sf):
-    return H.anchors(H.extract_pages(T.read_table(spark, sf, "pages"))).select(
+    return H.anchors(H.extract_pages(T.spread(T.read_table(spark, sf, "pages")))).select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "href", "abs_url", "text")
 
 
 def _job_pages(spark, sf):
-    p = T.read_table(spark, sf, "pages")
+    p = T.spread(T.read_table(spark, sf, "pages"))
     return p.select("page_id", "url", F.replace("html", F.lit('href="/'), F.lit('href="/jobs/1/')).alias("html"))
 
 
@@ -68,9 +68,8 @@ def job_links(spark, sf):
 SELECT page_id, url, CAST(rn AS INTEGER) AS rn FROM (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM f) WHERE rn <= 5"""))
 def top_links(spark, sf):
-    rows = H.job_link_arrays(H.extract_pages(_job_pages(spark, sf)))
-    first = rows.select("page_id", F.posexplode(F.slice("links", 1, 5)))
-    return first.select("page_id", F.col("col.url").alias("url"), (F.col("pos") + 1).cast("int").alias("rn"))
+    links = H.numbered_job_links(H.extract_pages(_job_pages(spark, sf)), 5)
+    return links.select("page_id", "url", (F.col("pos") + 1).alias("rn"))
 
 
 # ---------------------------------------------------------------- crawl of career pages over the JSON-LD pages
@@ -146,7 +145,7 @@ def jsonld_pages(spark, sf):
     region + scalar employment type, @graph wrapper with zero salary, or no
     location/currency and a text organisation); small parts carry a list
     ``@type`` (not a match) or a null title (an unusable hit)."""
-    d = T.read_table(spark, sf, "documents")
+    d = T.spread(T.read_table(spark, sf, "documents"))
     p = T.read_table(spark, sf, "part")
     j = d.join(p, d.doc_id == p.p_partkey)
     lang, size = F.col("lang"), F.col("p_size")
@@ -209,7 +208,7 @@ heur AS (SELECT page_id, url, CASE WHEN {G.valid_title('t')} THEN t END AS title
 def heuristics(spark, sf):
     """On the given pages the article is the description and its heading the
     title; golden tests cover the other branches."""
-    return H.heuristics(H.extract_pages(T.read_table(spark, sf, "pages")))
+    return H.heuristics(H.extract_pages(T.spread(T.read_table(spark, sf, "pages"))))
 
 
 _JOB_FIELDS = ["title", "description", "company", "location", "salary", "job_type"]
@@ -231,7 +230,7 @@ casc AS (
 
 
 def _cascade_pages(spark, sf):
-    pages = T.read_table(spark, sf, "pages").select("page_id", "url", "html")
+    pages = T.spread(T.read_table(spark, sf, "pages")).select("page_id", "url", "html")
     wrapped = jsonld_pages(spark, sf).select((F.col("page_id") + F.lit(10_000_000_000)).alias("page_id"), "url", "html")
     return pages.unionByName(wrapped)
 
@@ -267,7 +266,7 @@ SELECT page_id, array_to_string(list_filter(list_transform(flatten(list_transfor
          lambda l: string_split(trim(l), '  '))), lambda p: trim(p)), lambda p: p <> ''), chr(10)) AS text FROM pages""")
 def page_text(spark, sf):
     """Visible text after dropping non-visible subtrees, cleaned."""
-    return H.page_text(H.extract_pages(T.read_table(spark, sf, "pages")))
+    return H.page_text(H.extract_pages(T.spread(T.read_table(spark, sf, "pages"))))
 
 
 # ---------------------------------------------------------------- hashes over pages, raw-page rows, decode

@@ -30,6 +30,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | No
     return df.repartition(partitions) if partitions else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A plain scan before heavy work per row: a file of one row group is one
+    task, however many cores there are. Such a small scan is dealt over all of
+    them; a scan with as many splits as cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_dim(df: DataFrame) -> DataFrame:
     """Broadcast hint for dimensions whose size is fixed by the data model
     (nation: 25 rows, region: 5 rows), independent of scale."""
