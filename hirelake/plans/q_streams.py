@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import scalars as S
 from hirelake.operators import html as H
+from hirelake.operators import stored
 from hirelake.plans.q_documents import _HEUR_SQL
 from hirelake.plans.registry import query
 from hirelake.sources import tables as T
@@ -61,10 +62,8 @@ WHERE rn = 1""")
 def stream_latest(spark, sf):
     src, schema = _events_stream(spark, sf)
     keys, order = ["user_id", "event_type"], ["ts", "event_id"]
-    sink = K.run_available_now(src, "latest", transform=K.stream_latest_batch(keys, order))
-    rows = K.read_epochs(spark, sink, schema).drop("epoch")
-    from hirelake.operators.dedupe import latest_version
-    return latest_version(rows, keys, order).select("event_id", "ts", "user_id", "event_type", "value", "props")
+    sink = K.run_available_now(src, "latest", writer=K.upsert_writer(keys, order, buckets=16))
+    return stored.read_upserted(spark, sink, schema).select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 @query("stream_health", ids=("K4", "E7"), sql="""
@@ -93,19 +92,21 @@ def stream_health(spark, sf):
 SELECT id, last_crawled_at FROM companies_c
 WHERE is_active AND (last_crawled_at IS NULL OR last_crawled_at < TIMESTAMP '{AS_OF_ORDERS}' - INTERVAL 7 DAY)""")
 def stream_due(spark, sf):
-    """K6: each run takes in the crawls finished since the last one (their
-    latest per company is kept by epoch) and selects what is due."""
-    from hirelake.operators.listing import stale_filter
-    o = T.read_table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderdate")
-    src = K.file_stream(spark, K.stage(o, "o_orderdate", N_FILES, "crawls"), o.schema).filter("o_orderstatus = 'F'")
-
-    def latest(batch):
-        return batch.groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("last_crawled_at"))
-
-    sink = K.run_available_now(src, "due", transform=latest)
-    seen = K.read_epochs(spark, sink, latest(o).schema).groupBy("id").agg(F.max("last_crawled_at").alias("last_crawled_at"))
-    companies = T.companies(spark, sf).join(seen, "id", "left")
-    return stale_filter(companies, AS_OF_ORDERS, 7).select("id", "last_crawled_at")
+    """The fulfilled orders are crawls; a tick at the clock's time ends the
+    feed. Companies that the feed never names are due, too."""
+    o = T.read_table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(
+        F.col("o_custkey").cast("long").alias("id"), F.col("o_orderdate").cast("timestamp").alias("crawled_at"))
+    tick = spark.range(1).select(F.lit(None).cast("long").alias("id"), F.lit(AS_OF_ORDERS).cast("timestamp").alias("crawled_at"))
+    feed = o.unionByName(tick)
+    src = K.file_stream(spark, K.stage(feed, "crawled_at", N_FILES, "crawls"), feed.schema, files_per_trigger=None)
+    states = K.stream_due(src, days=7)
+    sink = K.run_available_now(states, "due", mode="update")
+    rows = K.read_epochs(spark, sink, states.schema).drop("epoch")
+    newest = rows.groupBy("id").agg(F.max(F.struct("last_crawled_at", "due")).alias("s")).select("id", "s.*")
+    companies = T.companies(spark, sf).filter("is_active").select(F.col("id").cast("long").alias("id"))
+    kind = T.read_table(spark, sf, "orders").schema["o_orderdate"].dataType
+    return companies.join(newest, "id", "left").filter(F.coalesce("due", F.lit(True))).select(
+        "id", F.col("last_crawled_at").cast(kind).alias("last_crawled_at"))
 
 
 @query("stream_dedup", ids=("K5", "E9"), sql="SELECT DISTINCT sha256(text) AS text_hash FROM documents")
@@ -113,9 +114,8 @@ def stream_dedup(spark, sf):
     d = T.read_table(spark, sf, "documents").select("doc_id", "text")
     path = K.stage(d, "doc_id", N_FILES, "documents")
     src = K.file_stream(spark, path, d.schema).select(S.url_hash("text").alias("text_hash"))
-    out = K.stream_dedup(src, "text_hash")
-    sink = K.run_available_now(out, "dedup")
-    return K.read_epochs(spark, sink, out.schema).drop("epoch")
+    sink = K.run_available_now(src, "dedup", writer=K.dedupe_writer("text_hash"))
+    return stored.read_new(spark, sink, src.schema)
 
 
 @query("stream_parse", ids=("K7", "I5"), sql="WITH " + _HEUR_SQL + """

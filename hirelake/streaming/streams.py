@@ -14,10 +14,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from hirelake.operators import stored
 from hirelake.operators.dedupe import latest_version
 from hirelake.operators.health import FAIL_LIMIT
 from hirelake.session import scratch_path
@@ -51,15 +54,17 @@ def _epoch_writer(path: str, transform=None):
 
 
 def run_available_now(stream: DataFrame, name: str, mode: str = "append", transform=None,
-                      sink: str | None = None, checkpoint: str | None = None) -> str:
+                      sink: str | None = None, checkpoint: str | None = None, writer=None) -> str:
     """Run a streaming plan to completion over what is available, however long
     that takes; a failure is raised. Returns the sink folder (``epoch=N`` sub-folders). Passing the same ``sink`` and
-    ``checkpoint`` again resumes: only new input is processed."""
+    ``checkpoint`` again resumes: only new input is processed. ``writer``, if given, makes the micro-batch writer of
+    a sink folder (``upsert_writer``, ``dedupe_writer``); a batch that is repeated after a failure keeps its epoch."""
     spark = stream.sparkSession
     sink = sink or scratch_path(spark, f"sink-{name}")
     ckpt = checkpoint or scratch_path(spark, f"ckpt-{name}")
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(_epoch_writer(sink, transform)).trigger(availableNow=True).start())
+    write = writer(sink) if writer else _epoch_writer(sink, transform)
+    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).foreachBatch(write)
+         .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()
@@ -91,10 +96,20 @@ def stream_active(src: DataFrame, as_of, min_score: int = 70, days: int = 90) ->
     return src.filter((F.col("real_score") >= min_score) & (F.col("posted_at") >= days_before(as_of, days)))
 
 
+def dedupe_writer(key: str, prefix: int = 1):
+    """K5, exact and without operator state: a micro-batch's distinct keys are
+    anti-joined with the keys stored so far and added with the batch's epoch
+    (``stored.append_new``). What Spark keeps between batches does not grow
+    with the history, and a repeated batch adds nothing."""
+    return lambda path: lambda batch, epoch: stored.append_new(batch, path, epoch, key, prefix)
+
+
 def stream_dedup(src: DataFrame, key: str, event_time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """K5: drop repeated keys across micro-batches. With an event-time column
-    the state is bounded by a watermark (``dropDuplicatesWithinWatermark``);
-    without one every key seen is kept in state."""
+    """K5 in operator state: drop repeated keys across micro-batches. With an
+    event-time column the state is bounded by a watermark
+    (``dropDuplicatesWithinWatermark``) and keys that return later count as
+    new; without one every key seen is kept in state. ``dedupe_writer`` is exact
+    with neither."""
     if event_time:
         return src.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
     return src.dropDuplicates([key])
@@ -117,6 +132,19 @@ def stream_rollup(src: DataFrame, as_of, min_score: int = 70, days: int = 90, de
 
 # ---------------------------------------------------------------- K3: upsert stream
 
+def upsert_writer(keys: list[str], order: list[str], buckets: int = stored.BUCKETS, keep: int = 2):
+    """Each micro-batch is brought into a stored table under its epoch
+    (``stored.upsert``): only the buckets that it touches are rewritten, a
+    repeated batch changes nothing, and versions that newer epochs replaced are
+    removed but for the ``keep`` newest epochs'."""
+    def writer(path: str):
+        def write(batch: DataFrame, epoch: int) -> None:
+            stored.upsert(batch, path, epoch, keys, order, buckets)
+            stored.vacuum(batch.sparkSession, path, keep)
+        return write
+    return writer
+
+
 def stream_latest_batch(keys: list[str], order: list[str]):
     """K3 micro-batch transform: latest row per key inside the batch; the
     reader keeps the latest across batches with the same order."""
@@ -167,3 +195,64 @@ def stream_health(src: DataFrame, key: str, is_success, is_failure,
         _health_update, f"key {kind}, success_count long, fail_count long, is_healthy boolean", HEALTH_STATE, "update",
         GroupStateTimeout.NoTimeout)
     return out.withColumnRenamed("key", key)
+
+
+# ---------------------------------------------------------------- K6: due selection with timers
+
+DUE_SCHEMA = "id long, last_crawled_at timestamp, due boolean"
+
+
+class _DueTimer(StatefulProcessor):
+    """Per company its latest crawl, and a timer for when the next is due."""
+
+    def __init__(self, wait_ms: int):
+        self.wait_ms = wait_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.crawl = handle.getValueState("crawl", "last long")
+
+    def _row(self, key, last: int, due: bool) -> pd.DataFrame:
+        return pd.DataFrame({"id": [key[0]], "last_crawled_at": [pd.Timestamp(last, unit="ms")], "due": [due]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        newest = max(int(p["at_ms"].max()) for p in rows)
+        last = self.crawl.get()[0] if self.crawl.exists() else None
+        if last is not None and newest <= last:
+            return
+        if last is not None:
+            self.handle.deleteTimer(last + self.wait_ms)
+        self.crawl.update((newest,))
+        self.handle.registerTimer(newest + self.wait_ms)
+        yield self._row(key, newest, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._row(key, self.crawl.get()[0], True)
+
+    def close(self) -> None:
+        pass
+
+
+def _latest_of_batch(batches):
+    """The latest crawl of each company in an Arrow batch: a company with most
+    of the crawls goes into the shuffle as one row a batch."""
+    for b in batches:
+        t = pa.Table.from_batches([b]).group_by("id").aggregate([("crawled_at", "max")])
+        t = t.rename_columns([c.replace("_max", "") for c in t.column_names]).select(["id", "crawled_at"])
+        yield from t.cast(b.schema).combine_chunks().to_batches()
+
+
+def stream_due(crawls: DataFrame, days: int = 7, delay: str = "0 seconds") -> DataFrame:
+    """K6: ``(id, last_crawled_at, due)`` whenever a company's state changes.
+    ``crawls`` is ``(id, crawled_at)``; rows without an id are ticks of the clock.
+    A company becomes due once the event clock (the watermark) passes its latest
+    crawl by ``days``: a timer says so, without a scan of the companies. A later
+    crawl moves the timer and takes the company off the due ones. The state is
+    one row a company. The newest row per id (by crawl, then due) holds."""
+    wait_ms = days * 86_400_000 + 1  # a timer fires at its time; due is later than that
+    src = crawls.select(F.col("id").cast("long").alias("id"), F.col("crawled_at").cast("timestamp").alias("crawled_at"))
+    src = src.mapInArrow(_latest_of_batch, src.schema).withWatermark("crawled_at", delay)
+    # the ticks end behind the watermark: a condition on the id alone would be pushed below it
+    src = src.filter(F.when(F.col("id").isNotNull(), F.col("crawled_at").isNotNull()).otherwise(False))
+    src = src.withColumn("at_ms", F.unix_millis("crawled_at"))
+    return src.groupBy("id").transformWithStateInPandas(_DueTimer(wait_ms), DUE_SCHEMA, "Update", "EventTime")
