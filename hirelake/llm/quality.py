@@ -231,38 +231,39 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST) -> tuple
             np.array([float(r["y"]) for r in got]))
 
 
-def quality_scores(docs: DataFrame, model: Model, cut: float = CUT, keep: bool = False) -> DataFrame:
-    """``(doc_id, score, predicted)`` per row, with ``keep`` after all other
-    columns of ``docs``.
+def quality_scores(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
+    """``(doc_id, score, predicted)`` per row.
 
     Cases: null and empty texts are scored with zero features; repeated rows
-    and null ids come back as they are; an empty table gives no rows. Columns
-    named ``score`` or ``predicted`` are replaced when ``keep`` is set.
+    and null ids come back as they are; an empty table gives no rows; other
+    columns are ignored.
     """
     text_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.drop("score", "predicted") if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    at = src.columns.index("text")
 
     def run(batches):
         for b in batches:
-            s = shared.value.scores(feature_rows(b.column(at).to_pylist()))
-            cols = [c for k, c in enumerate(b.columns) if keep or k != at]
-            names = [c for k, c in enumerate(b.schema.names) if keep or k != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))],
-                                             names=[*names, "score", "predicted"])
+            s = shared.value.scores(feature_rows(b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32))],
+                                             names=["doc_id", "score", "predicted"])
 
-    from pyspark.sql import types as T
-    fields = [f for f in src.schema.fields if keep or f.name != "text"]
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return src.mapInArrow(run, schema)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return src.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def classifier(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     return fit(*training_rows(docs, labels, most))
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects."""
-    scored = quality_scores(docs, classifier(docs, labels), keep=True)
-    return scored.where("predicted = 1").select(*docs.columns)
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; all columns, also
+    ones named ``score`` or ``predicted``, come back as they are."""
+    text_rows(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(classifier(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(shared.value.scores(feature_rows(b.column(at).to_pylist())) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -78,5 +78,7 @@ def test_odd_rows(spark, tmp_path):
     assert {r.score for r in Q.quality_scores(df, Q.classifier(df, none)).collect()} == {0.5}
     kept = Q.accepted(df, labels)
     assert kept.columns == df.columns and kept.count() <= 5
+    every = Q.accepted(df, labels, cut=0.0).collect()
+    assert len(every) == 5 and {(str(r.score), r.predicted, r.y, r.i) for r in every} == {("0.5", "q", 4, 5)}
     empty = docs(spark, [])
     assert Q.quality_scores(empty, Q.classifier(empty, labels)).count() == 0 and Q.accepted(empty, none).count() == 0
