@@ -8,7 +8,7 @@ is encoded by the library once and remembered, up to ``MEMO`` words.
 
 Most words are letters with ASCII marks behind them. Such a tokenizer always
 cuts between the two, so both parts are remembered on their own, the letters
-in lower case; new ones go through the library's model joined by blanks, and
+in lower case if the file lower-cases; new ones go through the library's model joined by blanks, and
 the model's word-end mark tells them apart again.
 """
 
@@ -91,9 +91,11 @@ class Encoder:
         self.words, self.parts = _Memo(), _Memo()
 
     def _word_model(self, spec: dict) -> None:
-        """The library's model alone, for lower-case letters already in the
+        """The library's model alone, for normalised letters already in the
         byte alphabet, if its tokens mark the ends of words."""
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        norms = spec.get("normalizer") or {}
+        self.lowers = any(n["type"] == "Lowercase" for n in norms.get("normalizers", [norms] if norms else []))
         mark = spec["model"].get("end_of_word_suffix")
         pres = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.plain = None
@@ -113,7 +115,7 @@ class Encoder:
         return sizes, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of lower-case words of letters."""
+        """Ids of words of letters, normalised."""
         mapped = [w if w.isascii() else w.translate(self.alphabet) for w in words]
         texts = [" ".join(mapped[a:a + 500]) for a in range(0, len(mapped), 500)]
         got = [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
@@ -137,10 +139,10 @@ class Encoder:
         number = self.parts.__getitem__
         for i, w in enumerate(new):
             m = _PLAIN(w)
-            at[i] = (number(m[1].lower()), number(m[2])) if m else (number(w), number(""))
+            at[i] = (number(m[1].lower() if self.lowers else m[1]), number(m[2])) if m else (number(w), number(""))
         parts = self.parts.new
-        # a lower-case word of letters in the parts may also have come whole: both readings agree
-        kind = np.array([bool((m := _PLAIN(p)) and not m[2] and p == p.lower()) for p in parts], bool)
+        # a normalised word of letters in the parts may also have come whole: both readings agree
+        kind = np.array([bool((m := _PLAIN(p)) and not m[2] and (p == p.lower() or not self.lowers)) for p in parts], bool)
         sizes, where = np.zeros(len(parts), np.int64), [np.flatnonzero(kind), np.flatnonzero(~kind)]
         made = [self._letters([parts[i] for i in where[0]]), self._library([parts[i] for i in where[1]])]
         for w, (n, _) in zip(where, made):

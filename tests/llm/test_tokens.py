@@ -1,4 +1,5 @@
 import io
+import json
 import random
 import zlib
 
@@ -49,6 +50,22 @@ def test_encoder_gives_what_the_library_gives(name):
     assert enc.counts(texts) == [len(lib(t)) for t in texts]
 
 
+@pytest.mark.parametrize("drop", ["Lowercase", "NFC", "both"])
+def test_cased_and_uncomposed_files(tmp_path, drop):
+    """The same file without a normaliser: words keep their case, as the library has it."""
+    with open(WORDS) as f:
+        spec = json.load(f)
+    left = [n for n in spec["normalizer"]["normalizers"] if n["type"] != drop and drop != "both"]
+    assert len(left) < len(spec["normalizer"]["normalizers"])
+    spec["normalizer"] = {"type": "Sequence", "normalizers": left}
+    path = str(tmp_path / "cased.json")
+    with open(path, "w") as f:
+        json.dump(spec, f)
+    texts = [*odd_texts(), "Hello World, NASA Launch", "ÀÉ Àé aB Ab! AB? ab"]
+    enc, tok = Encoder(path), Tokenizer.from_file(path)
+    assert [x.tolist() for x in enc.ids(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_full_memo_is_emptied(monkeypatch):
     monkeypatch.setattr(encoders, "MEMO", 5)
     enc, lib = Encoder(WORDS), library("word_bpe_49k.json")
