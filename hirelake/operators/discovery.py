@@ -15,6 +15,7 @@ from hirelake.functions import predicates as P
 from hirelake.functions import rules
 from hirelake.functions import scalars as S
 from hirelake.operators.stored import append_once, read_appended
+from hirelake.session import materialised
 
 EMAIL_RE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -164,6 +165,17 @@ def decode_fetch_response(bodies: DataFrame, json_col: str = "body") -> DataFram
         *keep, "item_pos", "__it.url", "__it.html", "__it.error", "__it.success")
 
 
+def attach_emails(pages: DataFrame, emails: DataFrame, domain: str = "domain") -> DataFrame:
+    """``pages`` with the sorted distinct ``emails`` of their domain, an
+    empty array where it has none. ``emails`` is ``(domain, email)``. An array
+    holds one domain's addresses; it is built once, written, and joined, so a
+    domain with most pages is split at run time."""
+    each = emails.groupBy(F.col(domain).alias("__domain")).agg(F.array_sort(F.collect_set("email")).alias("__emails"))
+    known = materialised(each, "emails")
+    out = pages.join(known, F.col(domain) == F.col("__domain"), "left")
+    return out.select(*pages.columns, F.coalesce("__emails", F.array().cast("array<string>")).alias("emails"))
+
+
 def by_method(df: DataFrame, methods: list[str], col: str = "method") -> DataFrame:
     """Keep the rows of the requested methods/sources; unknown names are
     an error (the source rejects unknown sources)."""

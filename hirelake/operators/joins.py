@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions import rules
+from hirelake.session import materialised
 
 
 def targets(urls: DataFrame, companies: DataFrame, queue: DataFrame) -> DataFrame:
@@ -42,8 +43,11 @@ def first_company_per_domain(companies: DataFrame) -> DataFrame:
 
 
 def attach_company(urls: DataFrame, companies: DataFrame) -> DataFrame:
-    """Company id by the URL's domain, first match, NULL when none."""
-    firsts = first_company_per_domain(companies).select("domain", "company_id")
+    """Company id by the URL's domain, first match, NULL when none. The
+    first companies are written (one row a domain): a join with an aggregate
+    on its own key is not split at run time, one with a table is, so a domain
+    that holds most URLs takes many tasks."""
+    firsts = materialised(first_company_per_domain(companies).select("domain", "company_id"), "firsts")
     return urls.join(firsts, "domain", "left")
 
 

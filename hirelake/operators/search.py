@@ -11,13 +11,16 @@ bucket (no cross join).
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.session import materialised
+from hirelake.operators import stored
+from hirelake.session import materialised, shared_dir
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -77,6 +80,25 @@ def write_index(index: DataFrame, path: str, prefix_len: int = PREFIX_LEN, parti
      .write.mode("overwrite").partitionBy("prefix").parquet(path))
 
 
+def standing_index(spark: SparkSession, source: str, fields: dict[str, str], build: Callable[[], DataFrame],
+                   folder: str | None = None) -> DataFrame:
+    """The index of the files under ``source``, built once for each state of
+    them: its folder is named after their names, sizes and times and after the
+    fields, and closed by a marker when it is written. Every later search, also
+    of another query, reads it. ``folder`` keeps indexes beyond the application."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(source)
+    files, state = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True), []
+    while files.hasNext():
+        f = files.next()
+        state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    name = hashlib.sha256(repr((sorted(state), sorted(fields.items()), PREFIX_LEN)).encode()).hexdigest()[:16]
+    path = f"{(folder or shared_dir(spark)).rstrip('/')}/index-{name}"
+    if not stored.is_closed(spark, path):
+        write_index(build(), path)
+        stored.close(spark, path)
+    return spark.read.parquet(path)
+
+
 def search_hits(index: DataFrame, q: str) -> DataFrame:
     """Every matching document with its ranking features: matched query
     tokens, best field weight, total term frequency. Two small aggregates

@@ -20,8 +20,10 @@ from hirelake.session import scratch_path
 _LOCAL_BITS = 33
 
 
-def global_index(df: DataFrame, order: list, name: str = "idx", partitions: int | None = None) -> DataFrame:
-    """0-based position of every row in ``order`` (which must be total)."""
+def global_index(df: DataFrame, order: list, name: str = "idx", partitions: int | None = None,
+                 keep_range: bool = False) -> DataFrame:
+    """0-based position of every row in ``order`` (which must be total). With
+    ``keep_range`` the number of the row's range follows as ``__pid``."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "ordered")
@@ -35,16 +37,24 @@ def global_index(df: DataFrame, order: list, name: str = "idx", partitions: int
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
     out = tagged.join(F.broadcast(offsets), "__pid")
-    return out.select(*df.columns, (F.col("__off") + F.col("__local")).alias(name))
+    kept = ["__pid"] if keep_range else []
+    return out.select(*df.columns, (F.col("__off") + F.col("__local")).alias(name), *kept)
 
 
 def group_index(df: DataFrame, group: list[str], order: list, name: str = "idx") -> DataFrame:
     """0-based position inside each group. Built on ``global_index`` over
-    (group, order) so a hot group is spread over many range partitions
-    instead of one window task; the group start is subtracted afterwards."""
-    keyed = global_index(df, [F.col(g) for g in group] + list(order), "__g")
-    starts = keyed.groupBy(*group).agg(F.min("__g").alias("__start"))
-    return keyed.join(starts, group).withColumn(name, F.col("__g") - F.col("__start")).drop("__g", "__start")
+    (group, order), so a hot group is spread over many ranges instead of one
+    window task; the group start is subtracted afterwards. The starts meet the
+    rows by (range, group): no key holds more rows than a range."""
+    keyed = global_index(df, [F.col(g) for g in group] + list(order), "__g", keep_range=True)
+    firsts = keyed.groupBy("__pid", *group).agg(F.min("__g").alias("__first"))  # at most groups + ranges rows
+    starts = firsts.withColumn("__start", F.min("__first").over(Window.partitionBy(*group))).select(
+        F.col("__pid").alias("__at"), *[F.col(g).alias(f"__k{i}") for i, g in enumerate(group)], "__start")
+    on = F.col("__pid") == F.col("__at")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"__k{i}"))
+    found = keyed.join(starts, on)
+    return found.select(*df.columns, (F.col("__g") - F.col("__start")).alias(name))
 
 
 def batches(df: DataFrame, size: int, order: list, group: list[str] | None = None, name: str = "batch_id") -> DataFrame:

@@ -42,19 +42,19 @@ def _folders(spark: SparkSession, path: str, key: str) -> dict[str, str]:
     return {n.partition("=")[2]: f"{path}/{n}" for n in names if n.startswith(f"{key}=")}
 
 
-def _is_closed(spark: SparkSession, folder: str) -> bool:
+def is_closed(spark: SparkSession, folder: str) -> bool:
     fs, place = _place(spark, f"{folder}/{MARKER}")
     return fs.exists(place)
 
 
-def _close(spark: SparkSession, folder: str) -> None:
+def close(spark: SparkSession, folder: str) -> None:
     fs, place = _place(spark, f"{folder}/{MARKER}")
     fs.create(place, True).close()
 
 
 def closed(spark: SparkSession, path: str, key: str = "batch") -> dict[str, str]:
     """The folders of finished writes."""
-    return {v: f for v, f in _folders(spark, path, key).items() if _is_closed(spark, f)}
+    return {v: f for v, f in _folders(spark, path, key).items() if is_closed(spark, f)}
 
 
 def _read(spark: SparkSession, path: str, folders: list[str], schema: T.StructType) -> DataFrame:
@@ -72,10 +72,10 @@ def append_once(df: DataFrame, path: str, batch_id: str, partition_by: tuple[str
     if not re.fullmatch(r"[A-Za-z0-9._-]+", batch_id):
         raise ValueError(f"batch id {batch_id!r} makes no folder name")
     spark, folder = df.sparkSession, f"{path}/batch={batch_id}"
-    if _is_closed(spark, folder):
+    if is_closed(spark, folder):
         return False
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(folder)
-    _close(spark, folder)
+    close(spark, folder)
     return True
 
 
@@ -106,7 +106,7 @@ def upsert(batch: DataFrame, path: str, epoch: int, keys: list[str], order: list
     none for an epoch that is closed already. The batch is reduced to one row a
     key first (map-side), so a hot key costs a bucket one row."""
     spark, folder = batch.sparkSession, f"{path}/epoch={epoch}"
-    if _is_closed(spark, folder):
+    if is_closed(spark, folder):
         return []
     made = _folders(spark, path, "buckets")
     if made and str(buckets) not in made:
@@ -128,8 +128,8 @@ def upsert(batch: DataFrame, path: str, epoch: int, keys: list[str], order: list
         # one shuffle: by bucket, which is a part of the grouping key and the layout of the files
         merged = latest_version(rows.repartition(len(touched), "bucket"), ["bucket", *keys], order)
         merged.write.mode("overwrite").partitionBy("bucket").parquet(folder)
-    _close(spark, f"{path}/buckets={buckets}")
-    _close(spark, folder)
+    close(spark, f"{path}/buckets={buckets}")
+    close(spark, folder)
     fs, place = _place(spark, staged)
     fs.delete(place, True)
     return sorted(map(int, touched))
@@ -162,7 +162,7 @@ def append_new(batch: DataFrame, path: str, epoch: int, key: str, prefix: int =
     a batch that the planner measures as small is broadcast to them, so that
     the history is scanned but not shuffled."""
     spark, folder = batch.sparkSession, f"{path}/epoch={epoch}"
-    if _is_closed(spark, folder):
+    if is_closed(spark, folder):
         return False
     staged = f"{path}/_staged/epoch={epoch}"
     part = F.coalesce(F.substring(F.col(key).cast("string"), 1, prefix), F.lit("null"))
@@ -176,7 +176,7 @@ def append_new(batch: DataFrame, path: str, epoch: int, key: str, prefix: int =
         hits = seen.join(keys, (F.col("__prefix") == F.col("__part")) & F.col("__key").eqNullSafe(F.col("__new")), "left_semi")
         new = new.join(hits.select("__key"), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
     new.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(folder)
-    _close(spark, folder)
+    close(spark, folder)
     fs, place = _place(spark, staged)
     fs.delete(place, True)
     return True

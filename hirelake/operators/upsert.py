@@ -66,9 +66,12 @@ def seed(target: DataFrame, seeds: DataFrame, key: str, target_key: str | None =
 
 
 def mark_seen(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
-    """C11: flag each new row whose key already exists in ``old``."""
-    seen = old.select(key).distinct().withColumn("seen", F.lit(True))
-    return new.join(seen, key, "left").withColumn("seen", F.coalesce(F.col("seen"), F.lit(False)))
+    """C11: flag each new row whose key already exists in ``old``: the rows of a
+    semi join and those of the anti join, over the same two exchanges. Both are
+    plain joins, which run-time splitting takes apart where a key is hot."""
+    k = old.select(F.col(key).alias("__k"))
+    there = new.join(k, new[key] == k["__k"], "left_semi").withColumn("seen", F.lit(True))
+    return there.unionByName(new.join(k, new[key] == k["__k"], "left_anti").withColumn("seen", F.lit(False)))
 
 
 def cascade(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -518,6 +518,27 @@ def domain_emails(spark, sf):
     return X.clean_harvested_emails(found)
 
 
+@query("page_emails", ids=("I11",), sql=with_sql(W.PAGE_HOSTS_SQL) + """
+, e AS (SELECT DISTINCT CASE WHEN lang IN ('en', 'fr') THEN 'example.com' ELSE concat(lang, '.example.com') END AS domain,
+               lower(trim(e)) AS email
+        FROM (SELECT lang, unnest(regexp_extract_all(text, '""" + X.EMAIL_RE + """')) AS e FROM documents)),
+l AS (SELECT domain, list(email ORDER BY email) AS emails FROM e WHERE email <> '' AND contains(email, domain) GROUP BY domain),
+p AS (SELECT page_id, CASE WHEN seg1 IN ('de', 'es') THEN concat(seg1, '.example.com')
+                           ELSE regexp_extract(domain, '[^.]+[.][^.]+$') END AS domain FROM ph)
+SELECT p.page_id, p.domain, CAST(coalesce(len(emails), 0) AS INTEGER) AS n_emails, emails[1] AS first_email,
+       sha256(array_to_string(coalesce(emails, []), ',')) AS emails_sha256
+FROM p LEFT JOIN l ON p.domain = l.domain""")
+def page_emails(spark, sf):
+    """Every page with the addresses harvested for its domain: that of its
+    language's site for German and Spanish pages, else its registered one."""
+    ph = W.page_hosts(spark, sf)
+    dom = F.when(F.col("seg1").isin("de", "es"), F.concat("seg1", F.lit(".example.com"))).otherwise(
+        F.regexp_extract("domain", r"[^.]+[.][^.]+$", 0))
+    out = X.attach_emails(ph.select("page_id", dom.alias("domain")), domain_emails(spark, sf))
+    return out.select("page_id", "domain", F.size("emails").alias("n_emails"), F.get("emails", 0).alias("first_email"),
+                      F.sha2(F.array_join("emails", ","), 256).alias("emails_sha256"))
+
+
 def _org_login(c):
     return F.lower(F.replace(c, F.lit("#"), F.lit("-")))
 

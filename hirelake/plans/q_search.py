@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from hirelake.operators import search as R
 from hirelake.operators.joins import hydrate
 from hirelake.plans.registry import query
-from hirelake.session import scratch_path
 from hirelake.sources import tables as T
 from hirelake.sources.tables import POSTINGS_SQL, with_sql
 
@@ -16,17 +15,19 @@ FIELDS = {"title": "title", "company": "source", "description": "text"}
 
 
 def _docs(spark, sf):
-    d = T.read_table(spark, sf, "documents")
+    d = T.spread(T.read_table(spark, sf, "documents"))
     return d.select("doc_id", "lang", "source", "n_chars", "text",
                     F.get(F.split("text", "\n"), 0).alias("title"))
 
 
+def _built(spark, sf):
+    return R.build_index(_docs(spark, sf), FIELDS)
+
+
 def _index(spark, sf):
-    """The index of the documents, written once by token prefix; the
-    searches read the folders of their tokens."""
-    path = scratch_path(spark, "index")
-    R.write_index(R.build_index(_docs(spark, sf), FIELDS), path)
-    return spark.read.parquet(path)
+    """The index of the documents, written by token prefix once for each
+    state of the table; the searches read the folders of their tokens."""
+    return R.standing_index(spark, f"{sf.rstrip('/')}/documents.parquet", FIELDS, lambda: _built(spark, sf))
 
 
 def _hits(spark, sf):

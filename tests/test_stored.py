@@ -196,6 +196,53 @@ def test_failing_sources_are_left_out_and_named(spark, tmp_path):
         X.dispatch_written(readers, ["other"], str(tmp_path / "out3"))
 
 
+def test_emails_of_a_domain_on_each_of_its_pages(spark):
+    pages = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "page_id long, domain string")
+    emails = spark.createDataFrame([("a", "y@a"), ("a", "x@a"), ("a", "x@a"), (None, "z")], "domain string, email string")
+    got = {r.page_id: r.emails for r in X.attach_emails(pages, emails).collect()}
+    assert got == {1: ["x@a", "y@a"], 2: ["x@a", "y@a"], 3: [], 4: []}
+
+
+def test_a_hot_group_is_numbered_in_many_tasks(spark):
+    from hirelake.operators import sequence as Q
+    df = spark.range(6000).select(F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 9 == 0, None).otherwise(
+        (F.col("id") % 30).cast("string")).alias("g"), F.col("id"))
+    out = Q.group_index(df, ["g"], [F.col("id")], "n")
+    assert out.columns == ["g", "id", "n"] and out.count() == 6000
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: r.id):
+        want.setdefault(r.g, []).append(r.id)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: r.n):
+        got.setdefault(r.g, []).append(r.id)
+        assert r.n == len(got[r.g]) - 1
+    assert got == want
+
+
+def test_seen_flags_and_null_keys(spark):
+    new = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, v int")
+    old = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    assert sorted((r.v, r.seen) for r in U.mark_seen(new, old, "k").collect()) == [(1, True), (2, True), (3, False), (4, False)]
+
+
+def test_the_index_stands_until_its_source_changes(spark, tmp_path):
+    src, made = str(tmp_path / "docs"), []
+    docs = spark.createDataFrame([(1, "red fox"), (2, "blue fox")], "doc_id long, text string")
+    docs.write.parquet(src)
+
+    def build():
+        made.append(1)
+        return R.build_index(spark.read.parquet(src), {"description": "text"})
+
+    def hits():
+        index = R.standing_index(spark, src, {"description": "text"}, build, str(tmp_path / "indexes"))
+        return sorted(r.doc_id for r in R.search_hits(index, "fox").collect())
+
+    assert hits() == [1, 2] and hits() == [1, 2] and len(made) == 1
+    spark.createDataFrame([(3, "a fox")], "doc_id long, text string").write.mode("append").parquet(src)
+    assert hits() == [1, 2, 3] and len(made) == 2
+
+
 # ---------------------------------------------------------------- top facets
 
 @pytest.mark.parametrize("tracked", [16, 64, 4096])
