@@ -78,13 +78,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def apply_conf(spark: SparkSession) -> None:
-    """Set runtime SQL confs on an existing session (driver-provided sessions)."""
+    """Set the runtime SQL settings of an existing (driver-provided) session,
+    once: what the caller changes afterwards stays. Settings that the cluster
+    has fixed are left alone, any other trouble is an error."""
+    if spark.conf.get("spark.hirelake.configured", None):
+        return
     for k, v in BASE_CONF.items():
-        if k.startswith("spark.sql.") and not k.startswith("spark.sql.streaming.stateStore"):
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static conf already fixed by the cluster
-                pass
+        if k.startswith("spark.sql.") and not k.startswith("spark.sql.streaming.stateStore") and spark.conf.isModifiable(k):
+            spark.conf.set(k, v)
+    spark.conf.set("spark.hirelake.configured", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
