@@ -336,7 +336,9 @@ def repeated_samples(rows: DataFrame, group: int = GROUP) -> DataFrame:
     """``(block, spot, shifts)``: the samples with repeated strings around
     them. ``rows`` is ``placed`` documents."""
     samples = stored(sample_rows(rows), "suffix-samples")
-    again = samples.groupBy("own").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # written: a join with an aggregate on its own key is not split at run time,
+    # and a passage that many documents share is one key
+    again = stored(samples.groupBy("own").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "suffix-again")
     known = stored(samples.join(again, "own"), "suffix-repeats")
     triples = known.groupBy("own", "triple").agg(F.count("*").alias("n"), F.min(F.struct("block", "spot")).alias("one"))
     triples = stored(triples, "suffix-triples")
@@ -344,7 +346,7 @@ def repeated_samples(rows: DataFrame, group: int = GROUP) -> DataFrame:
     whole = triples.where("n > 1").select("own", "triple", F.array(F.struct(
         F.lit(0).alias("lo"), F.lit(AROUND).alias("hi"))).alias("shifts"))
     # other triples of the same block: compare further, one sample for each
-    sizes = triples.groupBy("own").agg(F.count("*").alias("ways")).where("ways > 1")
+    sizes = stored(triples.groupBy("own").agg(F.count("*").alias("ways")).where("ways > 1"), "suffix-ways")
     ones = triples.join(sizes, "own").select("own", "triple", "one.block", "one.spot", (F.col("ways") > group).alias("large"))
     around = stored(_surroundings(rows, by_block(ones, "suffix-ones")), "suffix-around")
     small = around.where("not large").repartition("own").sortWithinPartitions("own")
