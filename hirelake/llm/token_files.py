@@ -144,15 +144,39 @@ class FrameReader:
         return np.concatenate([np.zeros(0, "<u4"), *self.pieces(int(self.starts[i]), int(self.sizes[i]))])
 
 
+#: names that Spark gives to stores which Python's readers know under another
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfs", "abfss": "abfs"}
+_READ_HERE = {"file", "s3", "gs", "gcs", "hdfs", "abfs"}
+
+
+def python_uri(uri: str) -> str:
+    """A Spark path as Python's readers name it. ``dbfs:`` is read through its
+    mount; a scheme that nothing here reads is an error."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return uri
+    if scheme == "dbfs":
+        return "/dbfs/" + rest.lstrip("/")
+    scheme = SCHEMES.get(scheme, scheme)
+    if scheme not in _READ_HERE:
+        raise ValueError(f"no Python reader for {uri}: set spark.checkpoint.dir to one of {', '.join(sorted(_READ_HERE))} or dbfs")
+    return f"file:///{rest.lstrip('/')}" if scheme == "file" else f"{scheme}:{rest}"
+
+
 def _fs(path: str):
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return pafs.FileSystem.from_uri(path) if ":" in path.partition("/")[0] else (pafs.LocalFileSystem(), path)
 
 
 def _qualified(spark: SparkSession, path: str) -> str:
-    """The path with the scheme that Spark would use for it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
-    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+    """The path that tasks open for what Spark opens as ``path``: with its
+    scheme, behind the mounts that only Spark's file systems know."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, rest = place.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    place = fs.makeQualified(place)
+    while not fs.exists(place) and place.getParent() is not None:
+        rest.append(place.getName())
+        place = place.getParent()
+    return python_uri("/".join([fs.resolvePath(place).toString().rstrip("/"), *rest[::-1]]))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id",

@@ -170,3 +170,36 @@ def test_letters_with_marks_equal_the_library():
     assert enc.plain is not None
     assert [x.tolist() for x in enc.ids(texts)] == [lib(t) for t in texts]
     assert [x.tolist() for x in enc.ids(words)] == [lib(t) for t in words]
+
+
+def test_paths_of_other_stores():
+    from hirelake.llm.token_files import python_uri
+    assert python_uri("s3a://b/k/x") == "s3://b/k/x"
+    assert python_uri("dbfs:/tmp/x") == "/dbfs/tmp/x"
+    assert python_uri("file:/tmp/x") == python_uri("file:///tmp/x") == "file:///tmp/x"
+    assert python_uri("hdfs://n:8020/x") == "hdfs://n:8020/x" and python_uri("/tmp/a:b") == "/tmp/a:b"
+    with pytest.raises(ValueError, match="no Python reader"):
+        python_uri("odd://x/y")
+
+
+def test_a_folder_that_only_spark_opens(spark, tmp_path):
+    """Tasks write and read behind a mount of Spark's file systems."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.tokens.link./in", f"file://{tmp_path}")
+    df = docs(spark, ["a b c", "", "d e"])
+    made = write_token_files(df, WORDS, folder="viewfs://tokens/in/new/files")
+    assert sorted(x.n_tokens for x in read_token_files(made).collect()) == [1, 3, 4]
+    assert list((tmp_path / "new/files").glob("*.zst"))
+
+
+def test_look_ups_by_block(spark):
+    from hirelake.llm.blocks import by_block, of_block
+    df = spark.range(5000).selectExpr("(id % 700) * 7919 - 100000 as block", "id as v", "repeat('x', 50) as w")
+    for n in (3, 40):
+        folder = by_block(df, "look", n)
+        import glob
+        files = glob.glob(folder.removeprefix("file://") + "/*/*.parquet")
+        assert 0 < len(files) <= n  # whatever the number of blocks
+        for k in (0, 1, 350, 699):
+            t = of_block(folder, k * 7919 - 100000, ["v"])
+            assert t.column_names == ["v"] and sorted(t.column("v").to_pylist()) == [i for i in range(5000) if i % 700 == k]
+        assert of_block(folder, 12345, ["v"]) is None
