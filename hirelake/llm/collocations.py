@@ -11,7 +11,7 @@ chunks holds copies once, with the frequency of the parse.
 Phrases are counted inside the distinct chunks, weighted by that frequency, in
 three passes: words, pairs, then three words and more. A phrase of ``f >= least``
 has only parts that are as frequent, so a pass skips phrases with a part
-outside the last pass's result. That result is asked through a Bloom filter of
+outside the results before. Those results are asked through a Bloom filter of
 fixed size (``BITS``): it never denies a frequent part, and what it lets through
 by chance is counted like the rest and dropped by its count. Counts are exact
 at any size; far beyond a tenth of ``BITS`` frequent phrases only the saving
@@ -25,11 +25,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirelake.llm.common import LOWER, stored, text_rows
+from hirelake.llm.common import LOWER, byte_strings, stored, text_rows
 
 #: mean tokens from one chunk's end to the next
 EVERY = 24
@@ -37,8 +38,8 @@ EVERY = 24
 MARK = b"."
 #: bits of the filter of frequent phrases: 8 MB, whatever the corpus
 BITS = 1 << 26
-#: tokens counted at once in a task
-SLAB = 1_000_000
+#: bytes of chunks whose phrases a task counts at once
+SLAB = 16 << 20
 #: floor(2000000 * a / (l + r)) in decimals: the product may pass 64 bits
 SCORE = ("cast((cast(a as decimal(20,0)) * 2000000) div "
          "(cast(l as decimal(20,0)) + cast(r as decimal(20,0))) as bigint)")
@@ -88,15 +89,27 @@ def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return found.groupBy("lang", "chunk", "seen").agg(F.count("*").alias("times"))
 
 
-def _bit(lang: str, phrase: bytes, bits: int) -> int:
-    return xxhash.xxh64_intdigest(lang.encode() + b"\x00" + phrase) % bits
+def _hashes(lang: str, words) -> np.ndarray:
+    head = lang.encode() + b"\x00"
+    return np.array([xxhash.xxh64_intdigest(head + w) for w in words], np.uint64)
+
+
+def _longer(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from that of its words but the last, and the last one's."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
+    return h ^ (h >> np.uint64(29))
 
 
 def frequent_filter(phrases: DataFrame, bits: int = BITS) -> np.ndarray:
     """The bits of the given phrases, packed; ``bits / 8`` bytes."""
     def run(batches):
         for b in batches:
-            at = [_bit(lang, p.encode(), bits) for lang, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            at = []
+            for lang, phrase in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                h = _hashes(lang, phrase.encode().split(b" "))
+                for i in range(1, len(h)):
+                    h[i:i + 1] = _longer(h[i - 1:i], h[i:i + 1])
+                at.append(int(h[-1]) % bits)
             at = np.unique(np.array(at, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)),
                                               pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))],
@@ -111,69 +124,80 @@ def frequent_filter(phrases: DataFrame, bits: int = BITS) -> np.ndarray:
 
 def _count(sizes: tuple[int, ...], known, slab: int):
     """A task that counts the phrases of the given sizes. ``known`` is the
-    broadcast filter over phrases one word shorter than the least size."""
-    def emit(lang, toks, lengths, seen, times):
-        names: dict[bytes, int] = {}
-        ids = np.fromiter((names.setdefault(t, len(names)) for t in toks), np.int64, len(toks))
-        words = list(names)
-        first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        at = np.arange(len(ids)) - np.repeat(first, lengths)
-        new, weight = at >= np.repeat(seen, lengths), np.repeat(times, lengths)
-        stop = ids == names.get(MARK, -1)
-        if known is not None and min(sizes) == 2:  # words outside the filter end a run
-            stop |= ~np.array([_known(lang, w) for w in words], bool)[ids]
+    broadcast filter over the frequent words, and for three words and more
+    over the frequent pairs too."""
+    def emit(lang, rows):
+        lists = pc.split_pattern(rows.column("chunk").combine_chunks(), " ")
+        lengths = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        words, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        first = np.cumsum(lengths) - lengths
         idx = np.arange(len(ids))
+        new = idx - np.repeat(first, lengths) >= np.repeat(rows.column("seen").to_numpy(), lengths)
+        weight = np.repeat(rows.column("times").to_numpy(), lengths)
+        stop = ids == words.index(MARK.decode()).as_py()
+        if max(sizes) == 1:
+            yield out(lang, words, [], ids[~stop], np.flatnonzero(~stop), new, weight)
+            return
+        h = of_word = _hashes(lang, byte_strings(words))
+        stop |= ~_known(h)[ids]  # words that are not frequent end a run
         run = idx - np.maximum(np.maximum.accumulate(np.where(stop, idx, -1)), np.repeat(first, lengths) - 1)
-        code, back = ids, np.arange(len(ids))
-        base = words
+        # of each distinct phrase of a size: the shorter phrase in front and the last word
+        code, levels = ids, []
         for size in range(2, max(sizes) + 1):
-            # the phrase that ends at each place: a shorter phrase, then this word
             ends = np.flatnonzero(run >= size)
-            pair = code[ends - 1] * len(words) + ids[ends]
-            distinct, which = np.unique(pair, return_inverse=True)
-            base = [base[p] + b" " + words[w] for p, w in zip((distinct // len(words)).tolist(), (distinct % len(words)).tolist())]
+            distinct, which = np.unique(code[ends - 1] * len(words) + ids[ends], return_inverse=True)
+            before, last = distinct // len(words), distinct % len(words)
+            h = _longer(h[before], of_word[last])
+            levels.append((before, last))
             code = np.full(len(ids), -1, np.int64)
             code[ends] = which
             if size in sizes:
-                yield from out(lang, base, which, ends, new, weight)
-            elif size == min(sizes) - 1:  # pairs outside the filter end a run of pairs
-                good = np.array([_known(lang, p) for p in base], bool)
+                yield out(lang, words, levels, which, ends, new, weight)
+            elif size == min(sizes) - 1:  # pairs that are not frequent end a run of pairs
                 bad = np.zeros(len(ids), bool)
-                bad[ends] = ~good[which]
-                cut = np.maximum.accumulate(np.where(bad, idx, -1))
-                # a run may go on from the second word of an infrequent pair
-                run = np.minimum(run, idx - cut + 1)
-        if 1 in sizes:
-            yield from out(lang, words, ids[~stop], np.flatnonzero(~stop), new, weight)
-
-    def out(lang, base, which, ends, new, weight):
-        counted = new[ends]
-        sums = np.zeros(len(base), np.int64)
-        np.add.at(sums, which[counted], weight[ends[counted]])
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(some), pa.string()), pa.array([base[i] for i in some.tolist()], pa.binary()).cast(pa.string()),
-             pa.array(sums[some])], names=["lang", "phrase", "a"])
+                bad[ends] = ~_known(h)[which]
+                # the next run may begin with the second word of such a pair
+                run = np.minimum(run, idx - np.maximum.accumulate(np.where(bad, idx, -1)) + 1)
 
-    def _known(lang, phrase):
-        at = _bit(lang, phrase, 8 * len(known.value))
-        return known.value[at >> 3] >> (at & 7) & 1
+    def out(lang, words, levels, which, ends, new, weight):
+        counted = new[ends]
+        at, w = which[counted], weight[ends[counted]]
+        n = len(levels[-1][0]) if levels else len(words)
+        if w.sum() < 1 << 53:  # sums of doubles are exact up to there
+            sums = np.bincount(at, weights=w, minlength=n).astype(np.int64)
+        else:
+            sums = np.zeros(n, np.int64)
+            np.add.at(sums, at, w)
+        at = some = np.flatnonzero(sums)
+        parts = []
+        for before, last in levels[::-1]:
+            parts.append(words.take(pa.array(last[at])))
+            at = before[at]
+        parts.append(words.take(pa.array(at)))
+        phrase = pc.binary_join_element_wise(*parts[::-1], " ") if levels else parts[0]
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(some)), phrase, pa.array(sums[some])],
+                                          names=["lang", "phrase", "a"])
+
+    def _known(h):
+        at = h % np.uint64(8 * len(known.value))
+        return (known.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
     def run(batches):
-        held: dict[str, list] = {}
+        held, size = [], 0
         for b in batches:
-            for lang, chunk, seen, times in zip(*[c.to_pylist() for c in b.columns]):
-                toks = chunk.encode().split(b" ")
-                mine = held.setdefault(lang, [[], [], [], []])
-                mine[0] += toks
-                mine[1].append(len(toks))
-                mine[2].append(seen)
-                mine[3].append(times)
-                if len(mine[0]) >= slab:
-                    yield from emit(lang, mine[0], *[np.array(x, np.int64) for x in mine[1:]])
-                    del held[lang]
-        for lang, mine in held.items():
-            yield from emit(lang, mine[0], *[np.array(x, np.int64) for x in mine[1:]])
+            held.append(b)
+            size += pc.sum(pc.binary_length(b.column(1))).as_py() or 0
+            if size >= slab:
+                yield from each_lang(held)
+                held, size = [], 0
+        if held:
+            yield from each_lang(held)
+
+    def each_lang(batches):
+        rows = pa.Table.from_batches(batches)
+        for lang in pc.unique(rows.column("lang")).to_pylist():
+            yield from emit(lang, rows.filter(pc.equal(rows.column("lang"), lang)))
 
     return run
 
@@ -192,7 +216,8 @@ def phrase_counts(docs: DataFrame, least: int, longest: int = 4, text_col: str =
     words = stored(counted((1,), None), "phrase-words")
     levels = [words.where(F.col("a") >= least)]
     for sizes in [(2,), tuple(range(3, longest + 1))][:max(0, longest - 1)]:
-        known = sc.broadcast(frequent_filter(levels[-1], bits))
+        asked = levels[0] if sizes == (2,) else levels[0].unionByName(levels[1])
+        known = sc.broadcast(frequent_filter(asked, bits))
         levels.append(stored(counted(sizes, known).where(F.col("a") >= least), "phrases"))
         known.unpersist()
     all_levels = levels[0]

@@ -6,6 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,17 @@ def alnum_words(data: bytes) -> list[bytes]:
     return data.translate(WORDS).split()
 
 
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of each string of an Arrow column without nulls, much
+    faster than a Python object for each first."""
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1].tolist()
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Only a local session (tests)
     without that setting gets a folder of its own; a cluster without it is an
