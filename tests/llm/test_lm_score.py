@@ -5,7 +5,9 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from hirelake.llm import lm_score as L
 from hirelake.llm.queries import QUERIES
@@ -75,6 +77,14 @@ def test_packing_is_exact():
     assert (np.diff(part) >= 0).all() and [int(k) * 7 >> 64 for k in keys] == part.tolist()
 
 
+def test_tokens_are_the_plain_rule_s():
+    texts = ["", None, " ", "a", " A\x0bb\x0c\r\nC ", "\x1c x\x85y \u00a0 Ä É", "\t", "z" * 5000, "a a  b"]
+    got = L.token_hashes(pa.chunked_array([texts[:3], texts[3:]], pa.string()))
+    want = [[xxhash.xxh64_intdigest(w.encode()) for w in tokens(t)[:-1]] + [int(L.END)] for t in texts]
+    assert [g.tolist() for g in got] == want
+    assert L.token_hashes(pa.array([], pa.string())) == []
+
+
 def test_query_against_the_formula(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     agrees(QUERIES["op13_lm_score"](spark, SF).collect(), rows, 3, L.STRENGTH)
