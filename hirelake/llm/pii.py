@@ -2,11 +2,12 @@
 
 Candidates come from regular expressions, strict ones (the base kinds) and
 wider ones (phone numbers without a plus, spelled-out addresses, social
-security numbers, titled names). Labelers vote +1, -1 or 0 on each candidate:
+security numbers, titled names, and keys or tokens: long runs of letters and
+digits). Labelers vote +1, -1 or 0 on each candidate:
 
-    regex      the strict pattern with its length rule matches
-    check      digits are plausible (Luhn, parts at most 255, area code)
-    gazetteer  the top-level domain, given name or cue is in a fixed list
+    regex      the strict pattern with its length rule matches; a secret is hexadecimal
+    check      digits are plausible (Luhn, parts at most 255, area code, a mix with letters)
+    gazetteer  the top-level domain, given name, cue, key prefix or key length is in a fixed list
     context    a cue word of the kind stands in the words just before
     border     no letter or digit touches the candidate
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = ["email", "ip", "card", "phone"]
-KINDS = [*BASE, "ssn", "name"]
+KINDS = [*BASE, "ssn", "name", "secret"]
 LABELERS = ["regex", "check", "gazetteer", "context", "border"]
 ACCEPT = 0.9
 ROUNDS = 50
@@ -51,7 +52,11 @@ CUES = {
     "phone": "phone tel telephone call fax mobile cell telefon whatsapp",
     "ssn": "ssn social security",
     "name": "dear signed regards name from by author",
+    "secret": "token secret key apikey api_key access_key password passwd pwd auth bearer credential",
 }
+# FIXED VALUES: how issued keys begin, and the lengths of hexadecimal digests and keys
+KEY_PREFIX = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|pk_live_|xoxb-|xoxp-|AIza|eyJ|npm_|hf_"
+KEY_LENGTHS = [32, 40, 48, 56, 64, 96, 128]
 
 _STRICT = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++",
@@ -67,8 +72,9 @@ _WIDE = [  # kind, pattern
     ("phone", r"(?<![0-9+(.-])(?<!\+[0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?"),
+    ("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])[A-Za-z0-9_-]{20,512}(?![A-Za-z0-9_-])"),
 ]
-_WIDE_HINT = r"[(\[]at[)\]]|[0-9]{3}[) .-]|(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]"
+_WIDE_HINT = r"[(\[]at[)\]]|[0-9]{3}[) .-]|(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]|[A-Za-z0-9_-]{20}"
 
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -174,13 +180,19 @@ def _votes(kind: str, x: Column, strict: Column) -> Column:
     elif kind == "ssn":
         check = _vote(~digits.rlike("^(?:000|666|9)|^...00|0000$"), F.lit(True))
         gazetteer = F.lit(0)
+    elif kind == "secret":
+        part = F.length(digits) / F.length(m)
+        check = _vote(part.between(0.15, 0.85), F.lit(True))
+        hexadecimal = m.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        gazetteer = _vote(m.rlike(f"^(?:{KEY_PREFIX})") | hexadecimal & F.length(m).isin(KEY_LENGTHS), F.lit(False))
     else:
         check = F.lit(0)
         given = F.exists(F.split(low, "[^a-z]+"), lambda w: w.isin(GIVEN))
         gazetteer = _vote(given, F.lit(False))
+    form = _vote(hexadecimal & (F.length(m) >= 32), F.lit(False)) if kind == "secret" else _vote(strict, F.lit(kind in BASE))
     size = F.when(F.length(m) < 10, 0).when(F.length(m) < 20, 1).otherwise(2)
     return F.struct(
-        _vote(strict, F.lit(kind in BASE)).alias("regex"), check.alias("check"), gazetteer.alias("gazetteer"),
+        form.alias("regex"), check.alias("check"), gazetteer.alias("gazetteer"),
         _vote(before.rlike(rf"(?:^|[^a-z])(?:{cues})[^a-z]"), F.lit(False)).alias("context"),
         _vote(~around.rlike("[A-Za-z0-9_]"), F.lit(True)).alias("border"), size.alias("size"))
 

@@ -107,6 +107,40 @@ def test_the_method_adds_spans(spark):
     assert set(range(60, 80)) <= set(added) and not set(range(80, 120)) & set(added)
 
 
+def test_secrets_are_found_and_long_words_left(spark):
+    rng = random.Random(21)
+
+    def run(n, abc):
+        return "".join(rng.choice(abc) for _ in range(n))
+
+    hexa, any_ = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    cues = ["token", "API_KEY", "password", "secret key"]
+    keys = [run(40, hexa) for _ in range(30)] + [run(64, hexa) for _ in range(10)] + ["ghp_" + run(36, any_) + "7" for _ in range(20)]
+    texts = [f'the way {rng.choice(cues)} = "{k}" went on' for k in keys]
+    plain = ["a chapter-by-chapter-index-of-volume-12 here", "Donaudampfschifffahrtsgesellschaftskapitaen 1", "_" * 60 + "3",
+             "number 123456789012345678901234567890 of", "see 2024-01-02-03-04-05-06-07 for", "words only aaaaaaaaaaaaaaaaaaaaaaaaaa"]
+    rows = {r.doc_id: r for r in P.find_pii(docs(spark, texts + plain * 5)).collect()}
+    kind = P.KINDS.index("secret")
+    found = [i for i, r in rows.items() if any(s.kind == kind for s in r.spans)]
+    assert sorted(found) == list(range(len(keys)))
+    for i, k in enumerate(keys):
+        (s,) = [s for s in rows[i].spans if s.kind == kind]
+        assert texts[i][s.start:s.end] == k
+    assert P.redact(docs(spark, texts[:3] + plain)).where("text like '%[SECRET]%'").count() == 3
+
+
+def test_added_spans_on_the_given_documents(spark):
+    """Every planted token is a secret span, and nothing but planted tokens is added."""
+    src = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    added = 0
+    for r in P.find_pii(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect():
+        more = [s for s in r.spans if s not in r.base]
+        want = [m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', src[r.doc_id])]
+        assert [(s.start, s.end) for s in more] == want
+        added += len(more)
+    assert added > 5
+
+
 def test_redaction(spark):
     texts = ["a b@c.de, +1 (415) 555-0100!", None, "", "clean é", "4111111111111111"]
     df = docs(spark, texts).selectExpr("*", "1 as _base", "2 as kind", "3 as _row")
