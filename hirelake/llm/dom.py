@@ -1,10 +1,9 @@
 """A page as a tree of block elements and text blocks.
 
-Inline markup vanishes (that of media, formulas, objects and templates too:
-their text stays in its place), character references are decoded, and the
-raw text of scripts, styles, titles, text fields and frames is dropped. So is
-a button or select list that its own end tag closes; an unclosed one ends with
-its parent and leaves its text. Each run of text between two block borders is
+Inline markup vanishes (that of media, formulas, objects, templates, buttons
+and select lists too: their text stays in its place), character references are
+decoded, and the raw text of scripts, styles, titles, text fields and frames is
+dropped. Each run of text between two block borders is
 one text block below its innermost block element. Missing end tags are closed
 as browsers do for paragraphs, list items and table cells.
 """
@@ -19,7 +18,7 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search
 section summary table tbody td tfoot th thead tr ul""".split())
 RAW = frozenset("script style title textarea iframe".split())
-CONTROLS, FOREIGN = ("button", "select"), ("svg", "math")
+FOREIGN = ("svg", "math")
 CLOSED_BY = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"),
              "th": ("table", "tr")}
 SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "li": ("li",), "tr": ("tr",)}
@@ -70,25 +69,24 @@ class Page:
         self.parent, self.tag, self.attrs, self.text, self.linked = [-1], ["html"], [""], [None], [0]
         stack, held, links, linked = [0], [], 0, 0
         count = {"html": 1}
-        controls: list = []  # open buttons and select lists, with what was there before them
         foreign: list = []  # open svg and math elements
         ends: dict = {}
         dead: set = set()
 
         def flush():
-            nonlocal linked, held
+            nonlocal linked
             if held:
                 text = " ".join("".join(held).split())
-                held = []  # the old list may be an open control's
+                held.clear()
                 if text:
                     self._add(stack[-1], "", "", text, linked)
                 linked = 0
 
-        def close(tags, stops=(), floor=1):
+        def close(tags, stops=()):
             """Pop up to the nearest open element of ``tags``, not beyond ``stops``."""
             if not any(count.get(t) for t in tags):
                 return
-            for k in range(len(stack) - 1, floor - 1, -1):
+            for k in range(len(stack) - 1, 0, -1):
                 t = self.tag[stack[k]]
                 if t in tags:
                     flush()
@@ -120,25 +118,6 @@ class Page:
                 ends[name] = found.start() if found else len(source)
             return ends[name]
 
-        def control(tag, end):
-            """A control's own end tag takes back all since its start; a new
-            one of its kind ends it with its text left."""
-            nonlocal held, linked, links
-            k = next((k for k, c in enumerate(live(controls)) if c[0] == tag), None)
-            if k is not None:
-                _, depth, _, nodes, before, n, was = controls[k]
-                del controls[k:]
-                if end:
-                    for i in stack[depth:]:
-                        count[self.tag[i]] -= 1
-                    del stack[depth:]
-                    for column in (self.parent, self.tag, self.attrs, self.text, self.linked):
-                        del column[nodes:]
-                    del before[n:]
-                    held, (linked, links) = before, was
-            if not end:
-                controls.append((tag, len(stack), stack[-1], len(self.tag), held, len(held), (linked, links)))
-
         at = 0
         while m := _TOKEN.search(source, at):
             words(source[at:m.start()])
@@ -154,10 +133,8 @@ class Page:
             if tag not in BLOCKS:
                 if tag == "a":
                     links = max(0, links + (-1 if m[1] else 1))
-                elif tag in ("br", "img", "input", "wbr"):
+                elif tag in ("br", "img", "input", "wbr", "option", "optgroup"):
                     held.append(" ")
-                elif tag in CONTROLS:
-                    control(tag, bool(m[1]))
                 elif tag in FOREIGN:
                     if not m[1] and not empty:
                         foreign.append((tag, len(stack), stack[-1]))
@@ -168,20 +145,19 @@ class Page:
                     if not live(foreign) or not empty and ahead(tag) < ahead("svg"):
                         at = ahead(tag)
                 continue
-            floor = controls[-1][1] if live(controls) else 1  # what a control holds closes nothing outside of it
             if m[1]:
                 flush()
                 if tag not in ("html", "body"):  # what follows </body> still belongs to it
-                    close((tag,), floor=floor if tag == "p" else 1)
+                    close((tag,))
             elif tag == "html" or tag == "body" and count.get("body"):
                 flush()
             else:
                 flush()
                 links = 0 if tag not in ("div", "p") else links
                 if tag in SAME:
-                    close(SAME[tag], CLOSED_BY[tag], floor)
+                    close(SAME[tag], CLOSED_BY[tag])
                 else:
-                    close(("p",), ("td", "th", "li", "blockquote", "div", "section", "article"), floor)
+                    close(("p",), ("td", "th", "li", "blockquote", "div", "section", "article"))
                 if tag == "hr":
                     continue
                 self._add(stack[-1], tag, attrs, None, 0)
