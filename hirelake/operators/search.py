@@ -44,13 +44,13 @@ def query_tokens(q: str) -> list[str]:
 
 def _token_rows(docs: DataFrame, fields: dict[str, str], id_col: str) -> DataFrame:
     """One row per (doc, token occurrence, field) from a single scan: the
-    token arrays of all fields are concatenated and exploded once."""
-    def tagger(name):
-        weight = FIELD_WEIGHTS.get(name, 1)
-        return lambda t: F.struct(t.alias("token"), F.lit(name).alias("field"), F.lit(weight).alias("weight"))
-
-    arrays = [F.transform(tokens(col), tagger(name)) for name, col in fields.items()]
-    return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.concat(*arrays)))
+    fields become rows, then their tokens; no function runs inside an array,
+    so all of it is compiled."""
+    texts = [F.struct(F.lit(name).alias("field"), F.lit(FIELD_WEIGHTS.get(name, 1)).alias("weight"),
+                      F.col(col).cast("string").alias("text")) for name, col in fields.items()]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(*texts)))
+    words = rows.select("doc_id", "field", "weight", F.explode(F.split(F.lower("text"), TOKEN_SPLIT)).alias("token"))
+    return words.filter(F.col("token") != "")
 
 
 def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "doc_id",
