@@ -54,8 +54,17 @@ def test_timeline_spreads_a_hot_key(spark):
     final = H.health_fold(df, "k", ["at"], F.col("ok"), ~F.col("ok"), bucket=F.floor(F.col("at") / 100))
     last = out.groupBy("k").agg(F.max_by(F.struct("success_count", "fail_count", "is_healthy"), "at").alias("s")).select("k", "s.*")
     assert last.exceptAll(final).count() == 0 and final.exceptAll(last).count() == 0
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spread = H.health_timeline(df, "k", ["at"], F.col("ok"), ~F.col("ok"))
+        tasks = spread.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(r["count"] for r in tasks) < 8000 / 3  # one task would hold two thirds of the rows
 
 
 def test_assignment_follows_the_cursor(spark):
@@ -260,6 +269,28 @@ def test_top_facets_are_exact(spark, tracked):
     assert R.facets_top(df.limit(0), ["a"], 5).count() == 0
 
 
+# ---------------------------------------------------------------- links
+
+def test_links_are_filtered_as_rows_and_shuffled_once(spark):
+    from hirelake.operators import html as HT
+    html = "".join(f"<a href='/jobs/{i % 40}'>Opening {i}</a><a href='/about'>About us</a>" for i in range(100))
+    pages = spark.createDataFrame([(k, "https://a.example/list", html) for k in range(6)], "page_id long, url string, html string")
+    links = HT.job_links(HT.extract_pages(pages))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1
+    assert "lambda" not in plan and "array_position" not in plan  # nothing runs inside arrays
+    got = links.collect()
+    assert len(got) == 6 * 40 and {r.pos for r in got if r.page_id == 3} == {2 * i for i in range(40)}
+    first = HT.numbered_job_links(HT.extract_pages(pages), 3).filter("page_id = 2").orderBy("pos").collect()
+    assert [(r.pos, r.url, r.title) for r in first] == [(i, f"https://a.example/jobs/{i}", f"Opening {i}") for i in range(3)]
+
+
+def test_links_no_url_can_be_made_of(spark):
+    from hirelake.operators import html as HT
+    assert HT.absolute("https://a.example/x/", "y?z#w") == "https://a.example/x/y?z#w"
+    assert HT.absolute(None, "y") is None and HT.absolute("https://a.example", "http://[broken") == "http://[broken"
+
+
 # ---------------------------------------------------------------- extractors and generators
 
 PAGES = [(1, "https://a.example/x/", "<h1>Hi <b>you</b></h1><a href='y'>Y</a><a href='//b.example/z'>Z</a>"),
