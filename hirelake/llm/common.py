@@ -37,6 +37,7 @@ def byte_strings(column: pa.Array) -> list[bytes]:
     faster than a Python object for each first."""
     if not len(column):
         return []
+    column = column.cast(pa.binary())  # also from strings with wide offsets
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1].tolist()
     raw = data.to_pybytes() if data else b""
