@@ -199,7 +199,7 @@ def stream_health(src: DataFrame, key: str, is_success, is_failure,
 
 # ---------------------------------------------------------------- K6: due selection with timers
 
-DUE_SCHEMA = "id long, last_crawled_at timestamp, due boolean"
+DUE_SCHEMA = "id long, at_ms long, due boolean"
 
 
 class _DueTimer(StatefulProcessor):
@@ -213,7 +213,7 @@ class _DueTimer(StatefulProcessor):
         self.crawl = handle.getValueState("crawl", "last long")
 
     def _row(self, key, last: int, due: bool) -> pd.DataFrame:
-        return pd.DataFrame({"id": [key[0]], "last_crawled_at": [pd.Timestamp(last, unit="ms")], "due": [due]})
+        return pd.DataFrame({"id": [key[0]], "at_ms": [last], "due": [due]})
 
     def handleInputRows(self, key, rows, timerValues):
         newest = max(int(p["at_ms"].max()) for p in rows)
@@ -255,4 +255,5 @@ def stream_due(crawls: DataFrame, days: int = 7, delay: str = "0 seconds") -> Da
     # the ticks end behind the watermark: a condition on the id alone would be pushed below it
     src = src.filter(F.when(F.col("id").isNotNull(), F.col("crawled_at").isNotNull()).otherwise(False))
     src = src.withColumn("at_ms", F.unix_millis("crawled_at"))
-    return src.groupBy("id").transformWithStateInPandas(_DueTimer(wait_ms), DUE_SCHEMA, "Update", "EventTime")
+    out = src.groupBy("id").transformWithStateInPandas(_DueTimer(wait_ms), DUE_SCHEMA, "Update", "EventTime")
+    return out.select("id", F.timestamp_millis("at_ms").alias("last_crawled_at"), "due")
