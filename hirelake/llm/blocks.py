@@ -61,9 +61,10 @@ def of_block(folder: str, block: int, columns: list[str]) -> pa.Table | None:
                 near = [g for g in range(file.num_row_groups)
                         if (s := file.metadata.row_group(g).column(at).statistics) is None or s.min <= block <= s.max]
                 if near:
-                    rows = file.read_row_groups(near, ["block", *columns])
+                    rows = file.read_row_groups(near, ["block", *columns], use_threads=False)
                     parts.append(rows.filter(pc.equal(rows.column("block"), block)).select(columns))
     found = pa.concat_tables(parts) if parts else None
+    pa.default_memory_pool().release_unused()  # a worker looks up many blocks
     return found if found is not None and found.num_rows else None
 
 
