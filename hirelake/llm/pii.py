@@ -74,7 +74,8 @@ _WIDE = [  # kind, pattern
     ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?"),
     ("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])[A-Za-z0-9_-]{20,512}(?![A-Za-z0-9_-])"),
 ]
-_WIDE_HINT = r"[(\[]at[)\]]|[0-9]{3}[) .-]|(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]|[A-Za-z0-9_-]{20}"
+_WIDE_HINT = r"[(\[]at[)\]]|[0-9]{3}[) .-]|(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z]"
+_KEY_HINT = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20}"
 
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -212,8 +213,9 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.withColumns({f"_{k}": _strict(text, k) for k in BASE})
     none = F.array().cast(_MATCH)
-    out = out.withColumn("_hint", text.rlike(_WIDE_HINT))
-    out = out.withColumns({f"_wide{i}": F.when(F.col("_hint"), matches(text, p)).otherwise(none) for i, (_, p) in enumerate(_WIDE)})
+    out = out.withColumns({"_hint": text.rlike(_WIDE_HINT), "_key": text.rlike(_KEY_HINT)})
+    out = out.withColumns({f"_wide{i}": F.when(F.col("_key" if k == "secret" else "_hint"), matches(text, p)).otherwise(none)
+                           for i, (k, p) in enumerate(_WIDE)})
     out = out.withColumn("_base", F.array_sort(F.concat(*[_as_spans(F.col(f"_{k}"), i) for i, k in enumerate(BASE)])))
 
     def seen(kind, column, strict):
@@ -224,7 +226,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     more = [seen(k, f"_{k}", lambda x: x["ok"]) for k in BASE]
     more += [seen(k, f"_wide{i}", lambda x: F.lit(False)) for i, (k, _) in enumerate(_WIDE)]
     out = out.withColumn("_more", F.concat(*more))
-    return out.drop("_hint", *[f"_{k}" for k in BASE], *[f"_wide{i}" for i in range(len(_WIDE))])
+    return out.drop("_hint", "_key", *[f"_{k}" for k in BASE], *[f"_wide{i}" for i in range(len(_WIDE))])
 
 
 def vote_counts(docs: DataFrame, text_col: str = "text") -> list[tuple]:
