@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import rules
 from hirelake.functions.scalars import (
-    _c, contains_any, count_present, is_http, keyword_confidence, path_segment_count,
+    _c, contains_any, mentions_any, count_present, is_http, keyword_confidence, path_segment_count,
     url_authority,
 )
 
@@ -46,14 +46,14 @@ def valid_description(x) -> Column:
 
 
 def not_generic(url) -> Column:
-    return ~contains_any(F.lower(_c(url)), rules.SKIP_PATH_PATTERNS)
+    return ~mentions_any(F.lower(_c(url)), rules.SKIP_PATH_PATTERNS)
 
 
 def is_job_url(url) -> Column:
     """Job-path pattern present and an id: any digit anywhere in the URL or
     at least 3 path segments."""
     u = _c(url)
-    has_pattern = contains_any(F.lower(u), rules.JOB_PATH_PATTERNS)
+    has_pattern = mentions_any(F.lower(u), rules.JOB_PATH_PATTERNS)
     has_id = u.rlike(r"\p{Nd}") | (path_segment_count(u) >= 3)  # a digit of any script
     return has_pattern & has_id
 

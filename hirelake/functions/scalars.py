@@ -168,6 +168,13 @@ def contains_any(x: ColOrName, needles: list[str]) -> Column:
     return F.exists(arr, lambda k: F.contains(_c(x), k))
 
 
+def mentions_any(x: ColOrName, needles: list[str]) -> Column:
+    """``contains_any`` as one compiled pattern of quoted literals, for filters
+    on plain columns. (Of nested expressions the optimiser derives not-null
+    constraints from it, level by level, and planning a cascade takes minutes.)"""
+    return _c(x).rlike("|".join(rf"\Q{n}\E" for n in needles))
+
+
 def count_present(x: ColOrName, needles: list[str]) -> Column:
     """Number of distinct needles that occur in ``x``."""
     arr = F.array(*[F.lit(n) for n in dict.fromkeys(needles)])

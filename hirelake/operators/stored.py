@@ -12,6 +12,7 @@ One job at a time writes a table.
   a bucket is its content. ``vacuum`` removes the ones before.
 * ``append_new``: rows whose key no earlier epoch holds. The table is the state
   of an exact dedupe; a batch's keys are looked up in the key column alone.
+  ``merge_epochs`` brings many small epochs into one folder.
 """
 
 from __future__ import annotations
@@ -52,6 +53,11 @@ def close(spark: SparkSession, folder: str) -> None:
     fs.create(place, True).close()
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    fs, place = _place(spark, folder)
+    fs.delete(place, True)
+
+
 def closed(spark: SparkSession, path: str, key: str = "batch") -> dict[str, str]:
     """The folders of finished writes."""
     return {v: f for v, f in _folders(spark, path, key).items() if is_closed(spark, f)}
@@ -130,8 +136,7 @@ def upsert(batch: DataFrame, path: str, epoch: int, keys: list[str], order: list
         merged.write.mode("overwrite").partitionBy("bucket").parquet(folder)
     close(spark, f"{path}/buckets={buckets}")
     close(spark, folder)
-    fs, place = _place(spark, staged)
-    fs.delete(place, True)
+    _remove(spark, staged)
     return sorted(map(int, touched))
 
 
@@ -148,40 +153,75 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
     for epoch, folder in epochs[:-keep] if keep else epochs:
         for b, place in _folders(spark, folder, "bucket").items():
             if newest[b][0] > int(epoch):
-                fs, p = _place(spark, place)
-                fs.delete(p, True)
+                _remove(spark, place)
                 gone += 1
     return gone
 
 
 # ---------------------------------------------------------------- exact dedupe
 
+def _epochs(spark: SparkSession, path: str) -> tuple[dict[int, str], dict[int, str]]:
+    """The folders of closed epochs, and of merges up to an epoch. A merge has
+    a negative number, so that all folders are partitions of one column."""
+    found = {int(v): f for v, f in closed(spark, path, "epoch").items()}
+    return {e: f for e, f in found.items() if e >= 0}, {-e - 1: f for e, f in found.items() if e < 0}
+
+
+def _live(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """The last epoch merged (-1: none), and the folders that hold the table:
+    the newest merge, and the closed epochs after it."""
+    epochs, merges = _epochs(spark, path)
+    upto = max(merges, default=-1)
+    return upto, ([merges[upto]] if merges else []) + [f for e, f in epochs.items() if e > upto]
+
+
 def append_new(batch: DataFrame, path: str, epoch: int, key: str, prefix: int = 1) -> bool:
-    """Add one row of each ``key`` that no earlier epoch holds. The earlier
-    keys are read, one column, from the folders of the prefixes in question;
-    a batch that the planner measures as small is broadcast to them, so that
-    the history is scanned but not shuffled."""
+    """Add one row of each ``key`` that no earlier epoch holds; False for an
+    epoch that is in the table. The earlier keys are read, one column, from the
+    folders of the prefixes in question; a batch that the planner measures as
+    small is broadcast to them, so that the history is scanned but not shuffled."""
     spark, folder = batch.sparkSession, f"{path}/epoch={epoch}"
-    if is_closed(spark, folder):
+    upto, earlier = _live(spark, path)
+    if epoch <= upto or is_closed(spark, folder):
         return False
     staged = f"{path}/_staged/epoch={epoch}"
     part = F.coalesce(F.substring(F.col(key).cast("string"), 1, prefix), F.lit("null"))
     batch.dropDuplicates([key]).withColumn("prefix", part).write.mode("overwrite").parquet(staged)
     new = spark.read.parquet(staged)
-    earlier = {e: f for e, f in closed(spark, path, "epoch").items() if int(e) != epoch}
     if earlier:
         seen = spark.read.schema(T.StructType([batch.schema[key], T.StructField("prefix", T.StringType())])).option(
-            "basePath", path).parquet(*earlier.values()).select(F.col(key).alias("__key"), F.col("prefix").alias("__prefix"))
+            "basePath", path).parquet(*earlier).select(F.col(key).alias("__key"), F.col("prefix").alias("__prefix"))
         keys = new.select(F.col(key).alias("__new"), F.col("prefix").alias("__part"))
         hits = seen.join(keys, (F.col("__prefix") == F.col("__part")) & F.col("__key").eqNullSafe(F.col("__new")), "left_semi")
         new = new.join(hits.select("__key"), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
     new.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(folder)
     close(spark, folder)
-    fs, place = _place(spark, staged)
-    fs.delete(place, True)
+    _remove(spark, staged)
     return True
 
 
 def read_new(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The distinct rows of all closed epochs."""
-    return _read(spark, path, list(closed(spark, path, "epoch").values()), schema)
+    return _read(spark, path, _live(spark, path)[1], schema)
+
+
+def merge_epochs(spark: SparkSession, path: str, schema: T.StructType) -> int:
+    """Write the table of ``append_new`` as one folder, so that a look-up does
+    not open the files of every epoch there ever was. Returns the last epoch
+    merged. What the merge before this one replaced is removed; what this one
+    replaces stays, as a reader may have listed it."""
+    upto, folders = _live(spark, path)
+    epochs, merges = _epochs(spark, path)
+    last = max([upto, *epochs])
+    if last > upto:
+        full = T.StructType([*schema.fields, T.StructField("prefix", T.StringType())])
+        target = f"{path}/epoch={-last - 1}"
+        _read(spark, path, folders, full).repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(target)
+        close(spark, target)
+        for e, f in epochs.items():
+            if e <= upto:
+                _remove(spark, f)
+        for e, f in merges.items():
+            if e < upto:
+                _remove(spark, f)
+    return last

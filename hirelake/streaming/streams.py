@@ -96,12 +96,19 @@ def stream_active(src: DataFrame, as_of, min_score: int = 70, days: int = 90) ->
     return src.filter((F.col("real_score") >= min_score) & (F.col("posted_at") >= days_before(as_of, days)))
 
 
-def dedupe_writer(key: str, prefix: int = 1):
+def dedupe_writer(key: str, prefix: int = 1, merge_every: int = 50):
     """K5, exact and without operator state: a micro-batch's distinct keys are
     anti-joined with the keys stored so far and added with the batch's epoch
     (``stored.append_new``). What Spark keeps between batches does not grow
-    with the history, and a repeated batch adds nothing."""
-    return lambda path: lambda batch, epoch: stored.append_new(batch, path, epoch, key, prefix)
+    with the history, and a repeated batch adds nothing. Each ``merge_every``
+    epochs the stored ones become one folder."""
+    def writer(path: str):
+        def write(batch: DataFrame, epoch: int) -> None:
+            stored.append_new(batch, path, epoch, key, prefix)
+            if (epoch + 1) % merge_every == 0:
+                stored.merge_epochs(batch.sparkSession, path, batch.schema)
+        return write
+    return writer
 
 
 def stream_dedup(src: DataFrame, key: str, event_time: str | None = None, delay: str = "1 day") -> DataFrame:

@@ -171,6 +171,27 @@ def test_exact_dedupe_over_epochs(spark, tmp_path):
     assert sorted(((r.k, r.v) for r in got), key=str) == sorted([("a", 0), ("b", 0), (None, 0), ("c", 1), ("d", 3)], key=str)
 
 
+def test_merged_epochs_hold_the_same_rows(spark, tmp_path):
+    path, kind = str(tmp_path / "t"), "k string, v int"
+    want = {}
+    for epoch in range(7):
+        keys = [f"k{i % 11}" for i in range(epoch, epoch * 3 + 2)] + [None]
+        df = spark.createDataFrame([(k, epoch) for k in keys], kind)
+        assert K.append_new(df, path, epoch, "k")
+        for k in keys:
+            want.setdefault(k, epoch)
+        if epoch in (1, 3, 5):
+            assert K.merge_epochs(spark, path, df.schema) == epoch
+            assert K.merge_epochs(spark, path, df.schema) == epoch  # nothing new to merge
+            assert not K.append_new(df, path, epoch, "k")  # the batch comes again after the merge
+        got = K.read_new(spark, path, df.schema).collect()
+        assert len(got) == len(want) and {r.k: r.v for r in got} == want
+    assert len(K._live(spark, path)[1]) == 2  # the merge of 0 to 5, and epoch 6
+    # a merge that died before its marker does not count
+    df.write.partitionBy("k").parquet(f"{path}/epoch=-7")
+    assert K._live(spark, path)[0] == 5
+
+
 # ---------------------------------------------------------------- cascades
 
 def test_cascade_with_a_cycle_and_a_diamond(spark):
