@@ -100,7 +100,7 @@ def stream_due(spark, sf):
     feed = o.unionByName(tick)
     src = K.file_stream(spark, K.stage(feed, "crawled_at", N_FILES, "crawls"), feed.schema, files_per_trigger=None)
     states = K.stream_due(src, days=7)
-    sink = K.run_available_now(states, "due", mode="update")
+    sink = K.run_available_now(states, "due", mode="update", conf=K.DUE_CONF)
     rows = K.read_epochs(spark, sink, states.schema).drop("epoch")
     newest = rows.groupBy("id").agg(F.max(F.struct("last_crawled_at", "due")).alias("s")).select("id", "s.*")
     companies = T.companies(spark, sf).filter("is_active").select(F.col("id").cast("long").alias("id"))

@@ -115,3 +115,19 @@ def test_index_written_by_prefix_is_pruned(spark):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [prefix" in plan and "IN (r,t)" in plan
     assert hits.count() > 0
+
+
+def test_due_timers_in_a_session_with_the_default_state_store(spark):
+    from hirelake.plans import registry
+    registry.load_all()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(key, default)
+    try:
+        rows = registry.QUERIES["stream_due"](spark, SF).collect()
+        assert spark.conf.get(key) == default  # the session's own setting stays
+    finally:
+        spark.conf.set(key, before)
+    due = {r.c_custkey for r in T.read_table(spark, SF, "customer").collect()}
+    assert rows and len({r.id for r in rows}) == len(rows) and {r.id for r in rows} <= due
