@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.operators import stored
-from hirelake.session import materialised, shared_dir
+from hirelake.session import materialised, settings, shared_dir
+from hirelake.sources.tables import parts
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -45,11 +46,10 @@ def query_tokens(q: str) -> list[str]:
 def _token_rows(docs: DataFrame, fields: dict[str, str], id_col: str) -> DataFrame:
     """One row per (doc, token occurrence, field) from a single scan: the
     fields become rows, then their tokens; no function runs inside an array,
-    so all of it is compiled."""
-    texts = [F.struct(F.lit(name).alias("field"), F.lit(FIELD_WEIGHTS.get(name, 1)).alias("weight"),
-                      F.col(col).cast("string").alias("text")) for name, col in fields.items()]
+    so all of it is compiled. ``which`` is the field's place in ``fields``."""
+    texts = [F.struct(F.lit(i).alias("which"), F.col(col).cast("string").alias("text")) for i, col in enumerate(fields.values())]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(*texts)))
-    words = rows.select("doc_id", "field", "weight", F.explode(F.split(F.lower("text"), TOKEN_SPLIT)).alias("token"))
+    words = rows.select("doc_id", "which", F.explode(F.split(F.lower("text"), TOKEN_SPLIT)).alias("token"))
     return words.filter(F.col("token") != "")
 
 
@@ -58,43 +58,84 @@ def build_index(docs: DataFrame, fields: dict[str, str], id_col: str = "doc_id",
     """Postings ``(token, doc_id, field, weight, tf)`` over the given
     fields, from one scan of the documents. With ``only_tokens`` the rows are
     filtered right after the split, so a query never materialises the whole
-    index."""
+    index. Rows are counted under the field's number; its name comes after."""
     t = _token_rows(docs, fields, id_col)
     if only_tokens is not None:
         t = t.filter(F.col("token").isin(only_tokens))
-    return t.groupBy("token", "doc_id", "field", "weight").agg(F.count(F.lit(1)).alias("tf"))
+    n = t.groupBy("token", "doc_id", "which").agg(F.count(F.lit(1)).alias("tf"))
+    names, weights = F.array(*map(F.lit, fields)), F.array(*[F.lit(FIELD_WEIGHTS.get(f, 1)) for f in fields])
+    return n.select("token", "doc_id", F.get(names, "which").alias("field"), F.get(weights, "which").alias("weight"), "tf")
 
 
 #: one character: few folders; files are sorted by token, so their statistics narrow a read further
 PREFIX_LEN = 1
 
 
+#: files that a task keeps open at once; with them Spark needs no sort by prefix of its own
+OPEN_FILES = 32
+
+
 def write_index(index: DataFrame, path: str, prefix_len: int = PREFIX_LEN, partitions: int | None = None) -> None:
     """Persist the postings partitioned by token prefix, so a query reads only
     the prefixes of its tokens (partition pruning). Range-partitioned on
-    (prefix, token, doc): a very common prefix is written by many tasks, and
-    files are sorted by token for min/max skipping."""
-    n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (index.withColumn("prefix", F.substring("token", 1, prefix_len))
-     .repartitionByRange(n, "prefix", "token", "doc_id").sortWithinPartitions("prefix", "token", "doc_id")
-     .write.mode("overwrite").partitionBy("prefix").parquet(path))
-
-
-def standing_index(spark: SparkSession, source: str, fields: dict[str, str], build: Callable[[], DataFrame],
-                   folder: str | None = None) -> DataFrame:
-    """The index of the files under ``source``, built once for each state of
-    them: its folder is named after their names, sizes and times and after the
-    fields, and closed by a marker when it is written. Every later search, also
-    of another query, reads it. ``folder`` keeps indexes beyond the application."""
+    (token, doc), which is by prefix, too: a very common prefix is written by many
+    tasks, and files hold a range of tokens for min/max skipping. Inside a file the
+    order is by the token's first seven bytes as a number, which Spark sorts
+    without comparing rows: most rows of a common token tie."""
+    spark = index.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}):
+        first = F.rpad(F.hex(F.substring(F.col("token").cast("binary"), 1, 7)), 14, "0")
+        (index.repartitionByRange(n, "token", "doc_id")
+         .withColumn("__first", F.conv(first, 16, 10).cast("long")).sortWithinPartitions("__first").drop("__first")
+         .withColumn("prefix", F.substring("token", 1, prefix_len))
+         .write.mode("overwrite").partitionBy("prefix").parquet(path))
+
+
+#: MB of source files to a partition of the index, so that a task's share does not grow with the source
+PART_MB = 8
+
+
+def _standing(spark: SparkSession, source: str, fields: dict[str, str], folder: str | None) -> tuple[str, int]:
+    """The folder of the index of the files under ``source``, named after their
+    names, sizes and times and after the fields, and the number of its parts."""
     place = spark._jvm.org.apache.hadoop.fs.Path(source)
     files, state = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True), []
     while files.hasNext():
         f = files.next()
         state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     name = hashlib.sha256(repr((sorted(state), sorted(fields.items()), PREFIX_LEN)).encode()).hexdigest()[:16]
-    path = f"{(folder or shared_dir(spark)).rstrip('/')}/index-{name}"
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return f"{(folder or shared_dir(spark)).rstrip('/')}/index-{name}", parts(sum(s[1] for s in state), PART_MB, least)
+
+
+def standing_index(spark: SparkSession, source: str, fields: dict[str, str], build: Callable[[], DataFrame],
+                   folder: str | None = None) -> DataFrame:
+    """The index of the files under ``source``, built once for each state of
+    them and closed by a marker when it is written. Every later search, also
+    of another query, reads it. The shuffles of the build have as many partitions
+    as the files' size asks for. ``folder`` keeps indexes beyond the application."""
+    path, n = _standing(spark, source, fields, folder)
+    if not stored.is_closed(spark, path):
+        with settings(spark, {"spark.sql.shuffle.partitions": str(n)}):
+            write_index(build(), path)
+        stored.close(spark, path)
+    return spark.read.parquet(path)
+
+
+def standing_words(spark: SparkSession, index: DataFrame, source: str, fields: dict[str, str],
+                   folder: str | None = None) -> DataFrame:
+    """``(word, prefix)``, the distinct words of the standing index,
+    written once beside it by the same prefixes and sorted, so that a
+    look-up reads words and no postings."""
+    path, n = _standing(spark, source, fields, folder)
+    path = f"{path}-words"
     if not stored.is_closed(spark, path):
-        write_index(build(), path)
+        with settings(spark, {"spark.sql.shuffle.partitions": str(n)}):
+            words = vocabulary(index).withColumn("prefix", F.substring("word", 1, PREFIX_LEN))
+            # without a number of partitions: Spark joins small ones, words are far fewer than postings
+            (words.repartitionByRange("prefix", "word").sortWithinPartitions("prefix", "word")
+             .write.mode("overwrite").partitionBy("prefix").parquet(path))
         stored.close(spark, path)
     return spark.read.parquet(path)
 
@@ -119,8 +160,13 @@ def rank_order() -> list:
 def search_expanded(index: DataFrame, terms: DataFrame) -> DataFrame:
     """J2 over expanded terms (J3, J4): ``terms`` is ``(term, word)`` with the
     vocabulary words that stand for each query term. An equi-join on the word,
-    so a term may stand for any number of words; ``matched`` counts terms."""
-    t = terms.select("term", F.col("word").alias("token")).distinct()
+    so a term may stand for any number of words; ``matched`` counts terms. The
+    terms are written first: the planner then knows their size, and a
+    persisted index is read in the folders of their words only."""
+    t = materialised(terms.select("term", F.col("word").alias("token")).distinct(), "terms")
+    if "prefix" in index.columns:  # first characters: no more than the alphabet has
+        first = t.select(F.substring("token", 1, PREFIX_LEN).alias("p")).distinct()
+        index = index.filter(F.col("prefix").isin([r.p for r in first.collect()]))
     per_term = index.join(t, "token").groupBy("doc_id", "term").agg(F.max("weight").alias("w"), F.sum("tf").alias("tf"))
     return per_term.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"), F.max("w").alias("best_weight"),
                                           F.sum("tf").cast("long").alias("total_tf"))
@@ -216,8 +262,11 @@ def fuzzy_terms(vocab: DataFrame, terms: list[str], max_edits: int = 2) -> DataF
 
 def prefix_terms(vocab: DataFrame, prefixes: list[str], bucket: int = 1) -> DataFrame:
     """Vocabulary words starting with each prefix, via an equi-join on the
-    first ``bucket`` characters."""
+    first ``bucket`` characters. Stored words are read in the folders of the
+    prefixes only."""
     spark = vocab.sparkSession
+    if "prefix" in vocab.columns:
+        vocab = vocab.filter(F.col("prefix").isin(sorted({p[:PREFIX_LEN] for p in prefixes if p}))).drop("prefix")
     q = F.broadcast(spark.createDataFrame([(p, p[:bucket]) for p in dict.fromkeys(prefixes) if p],
                                           "prefix string, b string"))
     v = vocab.withColumn("b", F.substring("word", 1, bucket))

@@ -10,6 +10,8 @@ subsets: every view covers its whole source tables.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +32,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | No
     return df.repartition(partitions) if partitions else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files that ``df`` is read from; 0 for made-up rows."""
+    spark, total = df.sparkSession, 0
+    for name in df.inputFiles():
+        place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(name))
+        total += place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).getLen()
+    return total
+
+
+def parts(n_bytes: int, mb: int, least: int) -> int:
+    """A number of partitions that grows with the bytes, ``mb`` to each."""
+    return max(least, math.ceil(n_bytes / (mb * 1024 * 1024)))
+
+
+def spread(df: DataFrame, mb: int | None = None) -> DataFrame:
     """A plain scan before heavy work per row: a file of one row group is one
     task, however many cores there are. Such a small scan is dealt over all of
-    them; a scan with as many splits as cores stays as it is."""
+    them; a scan with as many splits as cores stays as it is. With ``mb`` no
+    partition has more than about so many MB of the files, for work whose
+    memory grows with a task's rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = parts(input_bytes(df), mb, cores) if mb else cores
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def bounded_dim(df: DataFrame) -> DataFrame:

@@ -273,6 +273,39 @@ def test_the_index_stands_until_its_source_changes(spark, tmp_path):
     assert hits() == [1, 2, 3] and len(made) == 2
 
 
+def test_index_and_words_are_read_by_folder_and_written_in_parts_by_size(spark, tmp_path, monkeypatch):
+    from hirelake.sources import tables as T
+    src, folder, fields = str(tmp_path / "docs"), str(tmp_path / "indexes"), {"description": "text"}
+    rows = [(i, " ".join(f"{c}{i % 50}" for c in "abcdefgh")) for i in range(400)] + [(None, "thing a1"), (None, "thing a1"), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(src)
+    docs = spark.read.parquet(src)
+    size, cores = T.input_bytes(docs), spark.sparkContext.defaultParallelism
+    assert T.spread(docs, 1).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(T, "input_bytes", lambda df: 20 << 20)  # as if it had 20 MB
+    assert T.spread(docs, 1).rdd.getNumPartitions() == 20
+
+    seen, write = [], R.write_index
+    monkeypatch.setattr(R, "write_index", lambda index, path: seen.append(int(spark.conf.get("spark.sql.shuffle.partitions"))) or write(index, path))
+    monkeypatch.setattr(R, "parts", lambda n, mb, least: T.parts(n * (20 << 20) // size, 1, least))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    index = R.standing_index(spark, src, fields, lambda: R.build_index(docs, fields), folder)
+    assert seen[0] >= 20 and spark.conf.get("spark.sql.shuffle.partitions") == before
+
+    words = R.standing_words(spark, index, src, fields, folder)
+    plain = R.vocabulary(R.build_index(docs, fields))
+    assert sorted(r.word for r in words.collect()) == sorted(r.word for r in plain.collect())
+    assert all("-words/" in f for f in words.inputFiles())
+    found = R.prefix_terms(words, ["a1", "thi", "zz"])
+    assert rows_of(found) == rows_of(R.prefix_terms(plain, ["a1", "thi", "zz"]))
+    assert "PartitionFilters: [prefix" in found._jdf.queryExecution().executedPlan().toString()
+    fuzzy = R.fuzzy_terms(words, ["thng", "b11"], 1)
+    assert rows_of(fuzzy) == rows_of(R.fuzzy_terms(plain, ["thng", "b11"], 1))
+    hits = R.search_expanded(index, fuzzy.select("term", "word"))
+    assert "PartitionFilters: [prefix" in hits._jdf.queryExecution().executedPlan().toString()
+    want = R.search_expanded(R.build_index(docs, fields), fuzzy.select("term", "word"))
+    assert sorted(map(str, hits.collect())) == sorted(map(str, want.collect())) and hits.count() > 8
+
+
 # ---------------------------------------------------------------- top facets
 
 @pytest.mark.parametrize("tracked", [16, 64, 4096])
