@@ -15,13 +15,12 @@ from hirelake.sources import tables as T
 from hirelake.sources.tables import AS_OF_ORDERS, COMPANIES_SQL, COMPANY_CRAWL_SQL, with_sql
 from hirelake.streaming import streams as K
 
-N_FILES = 4
+N_BATCHES = 4
 
 
 def _orders_stream(spark, sf):
     o = T.read_table(spark, sf, "orders")
-    path = K.stage(o, "o_orderdate", N_FILES, "orders")
-    src = K.file_stream(spark, path, o.schema)
+    src = K.staged_stream(o, "o_orderdate", N_BATCHES, "orders")
     return src.select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 5000).cast("int").alias("real_score"),
                       F.col("o_orderdate").alias("posted_at"), F.col("o_orderpriority").alias("source_platform"))
 
@@ -51,8 +50,7 @@ def stream_rollup(spark, sf):
 
 def _events_stream(spark, sf):
     e = T.read_table(spark, sf, "events")
-    path = K.stage(e, "ts", N_FILES, "events")
-    return K.file_stream(spark, path, e.schema), e.schema
+    return K.staged_stream(e, "ts", N_BATCHES, "events"), e.schema
 
 
 @query("stream_latest", ids=("K3", "A9", "E1"), sql="""
@@ -98,7 +96,7 @@ def stream_due(spark, sf):
         F.col("o_custkey").cast("long").alias("id"), F.col("o_orderdate").cast("timestamp").alias("crawled_at"))
     tick = spark.range(1).select(F.lit(None).cast("long").alias("id"), F.lit(AS_OF_ORDERS).cast("timestamp").alias("crawled_at"))
     feed = o.unionByName(tick)
-    src = K.file_stream(spark, K.stage(feed, "crawled_at", N_FILES, "crawls"), feed.schema, files_per_trigger=None)
+    src = K.file_stream(spark, K.stage(feed, "crawled_at", N_BATCHES, "crawls"), feed.schema, files_per_trigger=None)
     states = K.stream_due(src, days=7)
     sink = K.run_available_now(states, "due", mode="update", conf=K.DUE_CONF)
     rows = K.read_epochs(spark, sink, states.schema).drop("epoch")
@@ -112,8 +110,7 @@ def stream_due(spark, sf):
 @query("stream_dedup", ids=("K5", "E9"), sql="SELECT DISTINCT sha256(text) AS text_hash FROM documents")
 def stream_dedup(spark, sf):
     d = T.read_table(spark, sf, "documents").select("doc_id", "text")
-    path = K.stage(d, "doc_id", N_FILES, "documents")
-    src = K.file_stream(spark, path, d.schema).select(S.url_hash("text").alias("text_hash"))
+    src = K.staged_stream(d, "doc_id", N_BATCHES, "documents").select(S.url_hash("text").alias("text_hash"))
     sink = K.run_available_now(src, "dedup", writer=K.dedupe_writer("text_hash"))
     return stored.read_new(spark, sink, src.schema)
 
@@ -125,8 +122,7 @@ SELECT page_id, CASE WHEN reject_reason IS NULL THEN 'heuristics' ELSE 'reject'
 def stream_parse(spark, sf):
     """Pages stream -> extraction -> parse cascade (stateless)."""
     p = T.read_table(spark, sf, "pages")
-    path = K.stage(p, "page_id", N_FILES, "pages")
-    src = K.file_stream(spark, path, p.schema)
+    src = K.staged_stream(p, "page_id", N_BATCHES, "pages")
     cols = ["page_id", "parse_strategy", "title", "company", "reject_reason"]
 
     def parse_batch(batch):

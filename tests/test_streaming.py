@@ -131,3 +131,20 @@ def test_due_timers_in_a_session_with_the_default_state_store(spark):
         spark.conf.set(key, before)
     due = {r.c_custkey for r in T.read_table(spark, SF, "customer").collect()}
     assert rows and len({r.id for r in rows}) == len(rows) and {r.id for r in rows} <= due
+
+
+def test_a_large_table_is_staged_in_more_files_but_not_more_batches(spark, tmp_path, monkeypatch):
+    """A task of the staging holds a share that does not grow with the table."""
+    rows = spark.range(4000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    rows.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    size = T.input_bytes(df)
+    assert size == sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert T.parts(size, 1, 2) == 2 and T.parts(6 << 30, 16, 4) == 384
+    monkeypatch.setattr(K, "parts", lambda n, mb, least: T.parts(n * (10 << 20) // size, 1, least))  # as if it had 10 MB
+    landing = K.stage(df, "k", 4, "wide")
+    per_file = spark.read.parquet(landing).groupBy(F.input_file_name()).count().collect()
+    assert len(per_file) == 10 and max(r["count"] for r in per_file) < 1000  # four files would hold 1000 each
+    sink = K.run_available_now(K.staged_stream(df, "k", 4, "wide"), "wide")
+    got = K.read_epochs(spark, sink, df.schema)
+    assert sorted(got.drop("epoch").collect()) == sorted(df.collect()) and len(_epochs(sink)) == 4
